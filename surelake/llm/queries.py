@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from surelake.llm import exact_topk, html_extraction, language_id, quality_cnn
+from surelake.llm.decontaminate import decontaminate
 from surelake.llm.substring_dedup import substring_dedup
 
 
@@ -17,9 +19,31 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), with_text=False)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs)).drop("rejected")
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_cnn.score(docs, quality_cnn.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op5_language_id, op6_exact_topk, op9_quality, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_topk": exact_topk.ORACLE_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surelake.llm import exact_topk, html_extraction, language_id, quality_cnn
+from surelake.llm import exact_topk, html_extraction, language_id, mixing, quality_cnn, warc
 from surelake.llm.decontaminate import decontaminate
 from surelake.llm.substring_dedup import substring_dedup
 
@@ -23,6 +23,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), with_text=False)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs)).drop("rejected")
@@ -32,6 +36,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(_read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality_cnn.score(docs, quality_cnn.fit(docs, _read(spark, sf_dir, "labels")))
@@ -42,8 +50,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op5_language_id, op6_exact_topk, op9_quality, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_warc, op5_language_id, op6_exact_topk, op7_mixing, op9_quality, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": exact_topk.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op7_mixing": mixing.oracle_sql()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from surelake.llm import exact_topk, html_extraction, language_id, mixing, quality_cnn, warc
 from surelake.llm.decontaminate import decontaminate
+from surelake.llm.lm_scoring import lm_scores
 from surelake.llm.substring_dedup import substring_dedup
 
 
@@ -40,6 +41,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(_read(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality_cnn.score(docs, quality_cnn.fit(docs, _read(spark, sf_dir, "labels")))
@@ -50,7 +55,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_warc, op5_language_id, op6_exact_topk, op7_mixing, op9_quality, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_warc, op5_language_id, op6_exact_topk, op7_mixing, op8_lm_scoring, op9_quality, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

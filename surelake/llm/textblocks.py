@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -193,12 +193,12 @@ def buffers(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), U) for x in column]
 
 
-def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """(bid, row, key, text), with row a hash of key and text; and the number of bytes of text."""
+def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int, **more: Column) -> tuple[DataFrame, int]:
+    """(bid, row, key, text, and more columns), with row a hash of key and text; and the number of bytes of text."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     row = F.xxhash64(F.col(key), F.col(text))
-    picked = docs.select(F.pmod(row, F.lit(blocks)).cast("int").alias("bid"), row.alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    picked = docs.select(F.pmod(row, F.lit(blocks)).cast("int").alias("bid"), row.alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *(c.alias(name) for name, c in more.items()))
     return picked, total
 
 

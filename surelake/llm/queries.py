@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from surelake.llm import exact_topk, html_extraction, language_id, mixing, quality_cnn, warc
 from surelake.llm.decontaminate import decontaminate
+from surelake.llm.jaccard_join import near_duplicates
 from surelake.llm.lm_scoring import lm_scores
 from surelake.llm.substring_dedup import substring_dedup
 
@@ -28,6 +29,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents")).drop("row", "root")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs)).drop("rejected")
@@ -55,7 +60,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_warc, op5_language_id, op6_exact_topk, op7_mixing, op8_lm_scoring, op9_quality, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_warc, op4_jaccard_join, op5_language_id, op6_exact_topk, op7_mixing, op8_lm_scoring, op9_quality, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

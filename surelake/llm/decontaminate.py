@@ -178,14 +178,14 @@ def _automaton(key: str, shared, window: int) -> Automaton:
     return _built[key]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, coverage: tuple[int, int] = (1, 20), with_text: bool = True, slice_words: int = 200_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, coverage: tuple[int, int] = (1, 20), with_text: bool = True, carry: tuple[str, ...] = (), slice_words: int = 200_000) -> DataFrame:
     """Marks and removes benchmark passages.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, with A-Z lower-cased. A document word is
     hit inside any occurrence of ``window`` consecutive words of an item, or of a whole shorter item. Returns a row for
     each row of ``docs``: doc_id, n_words, n_hit, n_items (distinct items with an occurring window), items_sha256 (of
     their ids as sorted strings, comma-joined), contaminated (hit words reach the ``coverage`` fraction) and, unless
-    ``with_text`` is false, kept_text: the text without the hit spans. Null and blank texts have no words; null and blank
+    ``with_text`` is false, kept_text: the text without the hit spans; then the columns ``carry`` as they are. Null and blank texts have no words; null and blank
     items match nothing; an item without id marks words but is not counted; repeated items and rows count alike; an
     empty table gives no rows, an empty benchmark no hits. Other columns are not read.
     """
@@ -194,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     part, whole = coverage
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.sliced(batches, "text"):
             data, bounds = tb.text_buffer(batch.column("text"))
             w = tb.words(data, bounds, tb.ALNUM[tb.LOWER], tb.LOWER)
             hit = np.zeros(len(w.hash), bool)
@@ -218,9 +218,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 "items_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in names],
                 "contaminated": (hits > 0) & (whole * hits >= part * n), "kept_text": texts,
             }
-            yield from tb.table_of(OUT, rows).to_batches()
+            yield from tb.with_columns(tb.table_of(OUT, rows), pa.Table.from_batches([batch]), carry).to_batches()
 
-    out = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(scan, OUT)
+    schema = ", ".join([OUT, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    out = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry)).mapInArrow(scan, schema)
     return out if with_text else out.drop("kept_text")
 
 

@@ -138,36 +138,57 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return train(samples.balanced(docs.where(samples.learns(key, modulus, held)), key, text, lang, max_rows, salt="lang")[0])
 
 
+def padded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a blank before and after each."""
+    docs = len(bounds) - 1
+    out = np.full(len(data) + 2 * docs, 32, np.uint8)
+    for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        out[a + 2 * d + 1 : b + 2 * d + 1] = data[a:b]
+    return out, bounds + 2 * np.arange(docs + 1)
+
+
+def decide(model: Model, column) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language, calibrated probability and rejection of each text of an Arrow column."""
+    n = len(column)
+    data, bounds = tb.text_buffer(column)
+    sums = np.append(0, np.cumsum(_ASCII_LETTERS[data], dtype=np.int64))
+    letters = sums[bounds[1:]] > sums[bounds[:-1]]
+    for i in np.flatnonzero(~letters).tolist():
+        letters[i] = bool(_LETTER.search(data[bounds[i] : bounds[i + 1]].tobytes().decode("utf-8", "replace")))
+    score, best = np.zeros(n), np.zeros(n, np.int64)
+    if not model.labels:
+        letters[:] = False
+    elif n:
+        p = softmax(logits(model, *padded(data, bounds)) / model.temperature)
+        best = p.argmax(axis=1)
+        score = np.where(letters, np.clip(p[np.arange(n), best], 0, 1), 0.0)
+    return [model.labels[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], score, ~letters | (score < model.threshold)
+
+
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", modulus: int = 5, held: int = 0) -> DataFrame:
     """Predicts every row's language from its whole text alone.
 
     Returns doc_id (null stays null), held_out, lang_pred, score (the calibrated probability) and rejected (score below
     the model's threshold). A text that is null or has no letter is ``und`` with score 0 and rejected, and so is every
-    text if the model has no language. Repeated rows are repeated; an empty table gives none.
+    text if the model has no language. Repeated rows are repeated; an empty table gives none; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            n = batch.num_rows
-            data, bounds = tb.text_buffer(batch.column("text"))
-            sums = np.append(0, np.cumsum(_ASCII_LETTERS[data], dtype=np.int64))
-            letters = sums[bounds[1:]] > sums[bounds[:-1]]
-            for i in np.flatnonzero(~letters).tolist():
-                letters[i] = bool(_LETTER.search(data[bounds[i] : bounds[i + 1]].tobytes().decode("utf-8", "replace")))
-            if not m.labels:
-                letters[:] = False
-            score, best = np.zeros(n), np.zeros(n, np.int64)
-            if m.labels and n:
-                p = softmax(logits(m, data, bounds) / m.temperature)
-                best = p.argmax(axis=1)
-                score = np.where(letters, np.clip(p[np.arange(n), best], 0, 1), 0.0)
-            rows = {
-                "doc_id": batch.column("key"), "held_out": batch.column("held"), "lang_pred": [m.labels[b] if ok else "und" for b, ok in zip(best, letters, strict=True)],
-                "score": score, "rejected": ~letters | (score < m.threshold),
-            }
-            yield from tb.table_of(OUT, rows).to_batches()
-
-    padded = F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")), F.lit(" "))
-    return docs.select(F.col(key).cast("bigint").alias("key"), samples.held_out(key, modulus, held).alias("held"), padded.alias("text")).mapInArrow(scan, OUT)
+        for batch in tb.sliced(batches, "text"):
+            lang, score, rejected = decide(shared.value, batch.column("text"))
+            yield from tb.table_of(OUT, {"doc_id": batch.column("key"), "held_out": batch.column("held"), "lang_pred": lang, "score": score, "rejected": rejected}).to_batches()
+
+    return docs.select(F.col(key).cast("bigint").alias("key"), samples.held_out(key, modulus, held).alias("held"), F.col(text).alias("text")).mapInArrow(scan, OUT)
+
+
+def recognised(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``identify`` does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.sliced(batches, place):
+            yield batch.filter(pa.array(~decide(shared.value, batch.column(place))[2]))
+
+    return docs.mapInArrow(scan, docs.schema)

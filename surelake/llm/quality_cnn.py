@@ -185,7 +185,7 @@ def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.sliced(batches, "text"):
             data, bounds = tb.text_buffer(batch.column("text"))
             p = 1 / (1 + np.exp(-np.clip(scores(shared.value, data, bounds), -500, 500)))
             yield from tb.table_of(OUT, {"doc_id": batch.column("key"), "held_out": batch.column("held"), "score": p, "predicted": (p >= 0.5).astype(np.int32)}).to_batches()

@@ -26,6 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from surelake.llm import textblocks as tb
 
@@ -190,15 +191,17 @@ def shared(rows: pa.Table) -> pa.Table:
     return tb.replies(rows["bid"].to_pylist(), bucket, [_packed(found[e - len(p) : e]) for e, p in zip(ends, parts, strict=True)])
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, rounds: int = 4, min_symbol: int = 4, with_text: bool = True, block_bytes: int = 4 << 20, bucket_keys: int = 1 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, rounds: int = 4, min_symbol: int = 4, with_text: bool = True, carry: tuple[str, ...] = (), block_bytes: int = 4 << 20, bucket_keys: int = 1 << 20) -> DataFrame:
     """Removes every word that lies in a ``window``-word passage that also starts elsewhere in the corpus.
 
     Returns a row for each row of ``docs``: doc_id (null stays null), n_words, n_removed, kept_sha256 and, unless
-    ``with_text`` is false, kept_text, the kept words joined by one space. A null or blank text has no words, an empty
-    kept text and its hash. Repeated rows are copies of each other and lose all words if they have ``window`` or more.
-    An empty table gives none. Other columns are not read.
+    ``with_text`` is false, kept_text; then the columns ``carry`` as they are. The hash is of the kept words joined by one
+    space, and kept_text is the same, but a text that loses nothing stays as it is, null too. A null or blank text has no
+    words. Repeated rows are copies of each other and lose all words if they have ``window`` or more. An empty table
+    gives none. Other columns are not read.
     """
-    x, total = tb.in_blocks(docs, key, text, block_bytes)
+    x, total = tb.in_blocks(docs, key, text, block_bytes, **{f"carry_{c}": F.col(c) for c in carry})
+    out_schema = ", ".join([OUT, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     buckets = max(1, total // 6 // bucket_keys)
 
     def ask_symbols(table: pa.Table) -> pa.Table:
@@ -224,7 +227,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     def remove(_, table: pa.Table, rows: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return tb.table_of(OUT, {c.split()[0]: [] for c in OUT.split(", ")})
+            return tb.with_columns(tb.table_of(OUT, {c.split()[0]: [] for c in OUT.split(", ")}), table, carry)
         table, data, bounds, w = _block(table)
         n = len(w.hash)
         own = next((body for b, body in zip(rows["bucket"].to_pylist(), rows["body"].to_pylist(), strict=True) if b < 0), b"")
@@ -245,13 +248,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                     kept = [kept[j] for j in np.flatnonzero(~gone[a:b]).tolist()]
                 kept = b" ".join(kept)
             digests.append(hashlib.sha256(kept).hexdigest())
-            texts.append(kept.decode("utf-8", "replace") if with_text else None)
-        return tb.table_of(OUT, {"doc_id": table["key"], "n_words": np.diff(first), "n_removed": removed, "kept_sha256": digests, "kept_text": texts})
+            texts.append(None if not with_text else kept.decode("utf-8", "replace") if removed[i] else table["text"][i].as_py())
+        rows = {"doc_id": table["key"], "n_words": np.diff(first), "n_removed": removed, "kept_sha256": digests, "kept_text": texts}
+        return tb.with_columns(tb.table_of(OUT, rows), table, carry)
 
     def answered_by(asked: DataFrame) -> DataFrame:
         return asked.groupBy("bucket").applyInArrow(shared, tb.REPLY)
 
     symbols = answered_by(x.groupBy("bid").applyInArrow(ask_symbols, tb.REQUEST))
     repeats = answered_by(x.groupBy("bid").cogroup(symbols.groupBy("bid")).applyInArrow(ask_windows, tb.REQUEST))
-    out = x.groupBy("bid").cogroup(repeats.groupBy("bid")).applyInArrow(remove, OUT)
+    out = x.groupBy("bid").cogroup(repeats.groupBy("bid")).applyInArrow(remove, out_schema)
     return out if with_text else out.drop("kept_text")

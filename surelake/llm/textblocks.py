@@ -11,10 +11,12 @@ is sent once per block, so a hot key cannot load one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,6 +190,24 @@ def table_of(schema: str, columns: dict) -> pa.Table:
     return pa.table({name: pa.array(columns[name], kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))})
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes in a text column, or of one longer text, so that arrays per word stay small."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        p, n, ends = 0, len(size), np.cumsum(size, dtype=np.int64)
+        while p < n:
+            q = max(p + 1, int(np.searchsorted(ends, (ends[p - 1] if p else 0) + most, "right")))
+            yield batch.slice(p, q - p)
+            p = q
+
+
+def with_columns(rows: pa.Table, source: pa.Table, carry: tuple[str, ...]) -> pa.Table:
+    """rows, with the columns that came along as ``carry_`` columns of source."""
+    for c in carry:
+        rows = rows.append_column(c, source[f"carry_{c}"])
+    return rows
+
+
 def buffers(column) -> list[np.ndarray]:
     """The uint64 keys of each row's bytes."""
     return [np.frombuffer(x.as_buffer(), U) for x in column]

@@ -1,7 +1,8 @@
 """WARC archives as a Spark data source, for reading and writing.
 
-Registered as ``warc``. A read plans one partition for each archive file. Filters on
-record type, on the other header columns, and on null are taken over from Spark and
+Registered as ``warc``. A read plans one partition for each archive file. Predicates
+on record type and the other header columns come with the read's options, or, with
+the option ``pushdown``, from the query's own filters. They are
 decided on the headers alone, which are parsed first: of a gzip member only the first
 few kB are inflated, and a record that is not wanted, or whose payload is not, is
 passed over by its length (the member's ``sl`` extra field, or Content-Length in a
@@ -13,6 +14,7 @@ is run again leaves no second copy. Paths may be URIs that pyarrow's file system
 from __future__ import annotations
 
 import base64
+import json
 import struct
 import uuid
 import zlib
@@ -230,9 +232,13 @@ class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.payloads = str(options.get("payload", "true")).lower() != "false"
-        self.rules: list[tuple[str, str, object]] = []
+        self.rules: list[tuple[str, str, object]] = [tuple(r) for r in json.loads(options.get("predicates", "[]"))]
+        self.takes_filters = str(options.get("pushdown", "false")).lower() == "true"
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        if not self.takes_filters:
+            yield from filters
+            return
         kinds = {EqualTo: "eq", EqualNullSafe: "same", In: "in", StringStartsWith: "starts", StringEndsWith: "ends", StringContains: "contains", IsNotNull: "some", IsNull: "none"}
         for f in filters:
             column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
@@ -366,9 +372,16 @@ def write_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "u
     joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).write.format("warc").mode("append").save(path)
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payload: bool = True, predicates: list[tuple[str, str, object]] | None = None, pushdown: bool = False) -> DataFrame:
+    """The records of an archive, or of a folder of them, for which all predicates (column, kind, value) hold.
+
+    Kinds: eq, same (null-safe), in, starts, ends, contains, some (not null), none (null). With ``pushdown`` the filters of
+    the query do the same. Spark 4.1 keeps what a read took over with the data frame, so such a frame must serve one query
+    with one set of filters; read anew for each other one.
+    """
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    reader = spark.read.format("warc").option("payload", str(payload).lower()).option("pushdown", str(pushdown).lower())
+    return reader.option("predicates", json.dumps(predicates or [])).load(path)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def brute(rows, window):
             if seen[tuple(w[i : i + window])] > 1:
                 gone[i : i + window] = [True] * window
         kept = " ".join(a for a, g in zip(w, gone, strict=True) if not g)
-        out.append((r[1], len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+        out.append((r[1], len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept if any(gone) else r[2]))
     return out
 
 
@@ -31,6 +31,12 @@ def test_equals_brute_force(spark, window, rounds, block):
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, brute(rows, window)))
 
 
+def test_carries_columns(spark):
+    found = substring_dedup(frame(spark), with_text=False, carry=("lang", "bid", "key"))
+    assert found.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "lang", "bid", "key"]
+    assert sorted(map(repr, found.select("doc_id", "lang", "bid", "key").collect())) == sorted(map(repr, frame(spark).select("doc_id", "lang", "bid", "key").collect()))
+
+
 def test_empty_table(spark):
     assert substring_dedup(frame(spark, [], DOCS)).collect() == []
 

@@ -253,3 +253,20 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     joined = marked.join(stays.select("__stays"), F.col("__row") == F.col("__stays"))
     once = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
     return joined.withColumn("__once", once).where("__once = 1").select(docs.columns)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w FROM documents),
+t AS (SELECT *, array_to_string(w, ' ') AS words FROM d),
+c AS (SELECT words, any_value(w) AS w, count(*) AS docs, min(doc_id) AS copy_id FROM t WHERE len(w) > 0 GROUP BY words),
+n AS (SELECT row_number() OVER (ORDER BY copy_id, words) AS k, * FROM c),
+g AS (SELECT DISTINCT k, hash(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT k, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM n)),
+z AS (SELECT k, count(*) AS size FROM g GROUP BY k),
+o AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.k <> b.k GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN z x ON x.k = a JOIN z y ON y.k = b WHERE 5 * shared >= 4 * (x.size + y.size - shared)),
+reach AS (SELECT k AS a, k AS b FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+m AS (SELECT reach.a AS k, min(n.copy_id) AS class_id FROM reach JOIN n ON n.k = reach.b GROUP BY reach.a),
+l AS (SELECT e.a AS k, CAST(sum(n.docs) AS BIGINT) AS links FROM e JOIN n ON n.k = e.b GROUP BY e.a)
+SELECT t.doc_id, coalesce(m.class_id, t.doc_id) AS class_id, coalesce(n.copy_id, t.doc_id) AS copy_id, CASE WHEN len(t.w) = 0 THEN 0 ELSE coalesce(l.links, 0) + n.docs - 1 END AS n_links, CAST(len(t.w) AS BIGINT) AS n_words
+FROM t LEFT JOIN n ON n.words = t.words AND len(t.w) > 0 LEFT JOIN m ON m.k = n.k LEFT JOIN l ON l.k = n.k
+"""

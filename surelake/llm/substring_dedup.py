@@ -259,3 +259,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     repeats = answered_by(x.groupBy("bid").cogroup(symbols.groupBy("bid")).applyInArrow(ask_windows, tb.REQUEST))
     out = x.groupBy("bid").cogroup(repeats.groupBy("bid")).applyInArrow(remove, out_schema)
     return out if with_text else out.drop("kept_text")
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS w FROM documents),
+s AS (SELECT r, unnest(generate_series(1, len(w) - 34)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS n FROM s),
+gone AS (SELECT DISTINCT r, i + k AS p FROM (SELECT r, i FROM h WHERE n > 1) CROSS JOIN (SELECT unnest(generate_series(0, 34)) AS k)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

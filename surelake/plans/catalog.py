@@ -321,7 +321,7 @@ def _solutions() -> Column:
 
 
 @_query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey % 50 AS VARCHAR) WHEN 1 THEN CAST(o_orderkey % 50 AS VARCHAR) WHEN 2 THEN '\\frac{' || (o_orderkey % 50) || '}{7}' END AS value,
-  CAST(CASE o_orderkey % 4 WHEN 0 THEN 27 WHEN 1 THEN 20 WHEN 2 THEN 12 END AS INTEGER) AS start, CAST(CASE o_orderkey % 4 WHEN 0 THEN 27 + len(CAST(o_orderkey % 50 AS VARCHAR)) WHEN 1 THEN 20 + len(CAST(o_orderkey % 50 AS VARCHAR)) WHEN 2 THEN 21 + len(CAST(o_orderkey % 50 AS VARCHAR)) END AS INTEGER) AS "end",
+  CAST(CASE o_orderkey % 4 WHEN 0 THEN 26 WHEN 1 THEN 20 WHEN 2 THEN 12 END AS INTEGER) AS start, CAST(CASE o_orderkey % 4 WHEN 0 THEN 26 + len(CAST(o_orderkey % 50 AS VARCHAR)) WHEN 1 THEN 20 + len(CAST(o_orderkey % 50 AS VARCHAR)) WHEN 2 THEN 22 + len(CAST(o_orderkey % 50 AS VARCHAR)) END AS INTEGER) AS "end",
   CASE o_orderkey % 4 WHEN 0 THEN 'boxed' WHEN 1 THEN 'answer_label' WHEN 2 THEN 'boxed' END AS method FROM orders""")
 def answer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", answers.answer_span(_solutions()).alias("s")).select("o_orderkey", "s.value", "s.start", "s.end", "s.method")

@@ -40,28 +40,36 @@ def _sparse(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Postings:
-    """Per term, the candidates that have it and their weights."""
+    """Per term, the candidates that have it and their weights; a term that a quarter of them have is kept as a whole row of weights."""
 
     def __init__(self, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray):
         self.ids, self.largest = ids, int(np.abs(weight).max(initial=0))
         order = np.argsort(term, kind="stable")
-        self.terms, begin = np.unique(term[order], return_index=True)
-        self.at, self.weight = row[order], weight[order]
-        self.edges = np.append(begin, len(order))
+        terms, begin = np.unique(term[order], return_index=True)
+        self.lists: dict[int, tuple[np.ndarray | None, np.ndarray]] = {}
+        for t, part in zip(terms.tolist(), np.split(order, begin[1:]), strict=True):
+            if 4 * len(part) >= len(ids):
+                whole = np.zeros(len(ids), np.int64)
+                whole[row[part]] = weight[part]
+                self.lists[t] = (None, whole)
+            else:
+                self.lists[t] = (row[part], weight[part])
+
+    def of_kind(self, kind: np.dtype) -> None:
+        self.lists = {t: (at, weight.astype(kind)) for t, (at, weight) in self.lists.items()}
 
-    def accumulate(self, queries: np.ndarray, kind: np.dtype) -> np.ndarray:
-        """Scores of a tile of dense query rows [queries, terms] against every candidate."""
-        out = np.zeros((len(queries), len(self.ids)), kind)
+    def accumulate(self, queries: np.ndarray) -> np.ndarray:
+        """Scores of a tile of dense query rows [queries, terms], of the weights' kind, against every candidate."""
+        out = np.zeros((len(queries), len(self.ids)), queries.dtype)
         part = np.empty_like(out)
-        for k, t in enumerate(self.terms.tolist()):
-            if t >= queries.shape[1] or not queries[:, t].any():
+        for t, (at, weight) in self.lists.items():
+            if t >= queries.shape[1]:
                 continue
-            lo, hi = self.edges[k], self.edges[k + 1]
-            at, weight, mine = self.at[lo:hi], self.weight[lo:hi].astype(kind), queries[:, t].astype(kind)
-            if hi - lo == len(self.ids):  # every candidate, in order
+            mine = queries[:, t]
+            if at is None:
                 np.multiply(mine[:, None], weight[None, :], out=part)
                 out += part
-            else:
+            elif mine.any():
                 has = np.flatnonzero(mine)
                 out[np.ix_(has, at)] += mine[has][:, None] * weight[None, :]
         return out
@@ -79,7 +87,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at].astype(np.float64) if scores.dtype.kind == "f" else -scores[at]))]
 
 
-def search_block(rows: pa.Table, k: int, tile: int = 64) -> pa.Table:
+def search_block(rows: pa.Table, k: int, tile: int = 16) -> pa.Table:
     """The k best candidates of each query of a block pair."""
     side = rows["query"].to_numpy().astype(bool)
     queries, cands = rows.filter(pa.array(side)), rows.filter(pa.array(~side))
@@ -93,9 +101,11 @@ def search_block(rows: pa.Table, k: int, tile: int = 64) -> pa.Table:
         dense[row, term] = weight
         reach = int(np.abs(weight).max(initial=0)) * post.largest * dense.shape[1]
         kind = np.dtype(np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64)  # each exact
+        post.of_kind(kind)
+        dense = dense.astype(kind)
         none = -np.inf if kind.kind == "f" else np.iinfo(np.int64).min
         for p in range(0, len(dense), tile):
-            scores = post.accumulate(dense[p : p + tile], kind)
+            scores = post.accumulate(dense[p : p + tile])
             for i, s in enumerate(scores):
                 own = slice(*np.searchsorted(ids, [qids[p + i], qids[p + i] + 1]))
                 s[own] = none

@@ -39,8 +39,9 @@ _HOLDERS = frozenset("html head body div section article main aside nav header f
 _FURNITURE = frozenset("head nav footer aside form button menu dialog object canvas".split())
 _ARTICLE = frozenset(("article", "main"))
 _WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup social share sharing related recommended recommendations comment comments disqus respond reply replies widget pagination pager toolbar login search contentinfo complementary alert alertdialog".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar subnav sidenav topnav navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup social share sharing related recommended recommendations comment comments disqus respond reply replies widget pagination pager toolbar login search contentinfo complementary alert alertdialog".split()
 )
+_TOPS = frozenset(("header", "masthead", "topbar"))  # unless they are the article's own
 _NEVER_FURNITURE = frozenset(("html", "body", "article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -126,7 +127,7 @@ def _is_furniture(tag: str, attrs: str, article: bool) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    return any(w in _WORDS for m in _HINT.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+    return any(w in _WORDS or w in _TOPS and not article for m in _HINT.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
 
 
 def surges(rows: list[tuple[str, int, bool]], marked: bool, window: int = 3, threshold: int = 86, most_links: float = 0.5) -> list[str]:

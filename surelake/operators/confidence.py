@@ -25,23 +25,40 @@ def token_confidence(entropies: Column, logprobs: Column, spans: Column, mask: C
 
     spans: array of structs (start, end), null as a whole or in part; start and end: the answer's span, null if there is none.
     """
-    entropies = checked_tokens(entropies, logprobs, mask, vocab_size)
-    zipped = F.transform(entropies, lambda e, i: F.struct(e.alias("e"), F.get(logprobs, i).alias("p"), F.get(mask, i).alias("m"), F.get(spans, i).alias("s")))
-    content = F.filter(zipped, lambda t: t["m"])
-    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, t: acc + t[f])
-    n = F.size(content)
-    mean = F.try_divide(total(content, "e"), n)
-    logprob = F.when(n > 0, total(content, "p"))
-    usable = spans.isNotNull() & (F.size(spans) == F.size(entropies))
-    inside = lambda t: F.coalesce((t["s"]["start"] < end) & (t["s"]["end"] > start) & (t["s"]["end"] > t["s"]["start"]), F.lit(False))
-    answer = F.when(start.isNotNull() & usable, F.filter(content, inside)).otherwise(F.filter(content, lambda t: F.lit(False)))
-    k = F.size(answer)
-    status = F.when(start.isNull(), "no_answer_span").when(~F.coalesce(usable, F.lit(False)), "token_alignment_unavailable").when(k > 0, "aligned").otherwise("no_answer_tokens")
+    given = F.struct(checked_tokens(entropies, logprobs, mask, vocab_size).alias("e"), logprobs.alias("p"), mask.alias("m"), spans.alias("s"), start.alias("start"), end.alias("end"))
+    return bound(given, lambda z: bound(_token_sums(z), lambda r: _summary(r, z, vocab_size)))
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _usable(z: Column) -> Column:
+    return F.coalesce(z["s"].isNotNull() & (F.size(z["s"]) == F.size(z["e"])), F.lit(False))
+
+
+def _token_sums(z: Column) -> Column:
+    """In one pass over the tokens: how many there are of content and of the answer, and sums of their scores."""
+    rows = F.transform(F.arrays_zip(z["e"], z["p"], z["m"]), lambda t, i: F.struct(t["e"].alias("e"), t["p"].alias("p"), t["m"].alias("m"), F.get(z["s"], i).alias("s")))
+
+    def add(acc: Column, t: Column) -> Column:
+        hit = F.coalesce((t["s"]["start"] < z["end"]) & (t["s"]["end"] > z["start"]) & (t["s"]["end"] > t["s"]["start"]), F.lit(False)) & _usable(z)
+        grown = F.struct((acc["n"] + 1).alias("n"), (acc["e"] + t["e"]).alias("e"), (acc["p"] + t["p"]).alias("p"), (acc["k"] + hit.cast("int")).alias("k"), (acc["a"] + F.when(hit, t["p"]).otherwise(0.0)).alias("a"))
+        return F.when(t["m"], grown).otherwise(acc)
+
+    return F.aggregate(rows, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("e"), F.lit(0.0).alias("p"), F.lit(0).alias("k"), F.lit(0.0).alias("a")), add)
+
+
+def _summary(r: Column, z: Column, vocab_size: int) -> Column:
+    some = r["n"] > 0
+    mean = F.try_divide(r["e"], r["n"])
+    status = F.when(z["start"].isNull(), "no_answer_span").when(~_usable(z), "token_alignment_unavailable").when(r["k"] > 0, "aligned").otherwise("no_answer_tokens")
     return F.struct(
-        n.alias("content_token_count"), mean.alias("mean_entropy_nats"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - mean / math.log(vocab_size))).alias("entropy_confidence_"),
-        logprob.alias("sequence_logprob_sum"), F.exp(F.try_divide(logprob, n)).alias("sequence_geometric_probability"), k.alias("answer_token_count"),
-        F.exp(F.try_divide(F.when(k > 0, total(answer, "p")), k)).alias("answer_token_geometric_probability"), status.alias("answer_alignment_status"),
-    ).withField("entropy_confidence", F.when(n > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - mean / math.log(vocab_size))))).dropFields("entropy_confidence_")
+        r["n"].alias("content_token_count"), mean.alias("mean_entropy_nats"), F.when(some, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - mean / math.log(vocab_size)))).alias("entropy_confidence"),
+        F.when(some, r["p"]).alias("sequence_logprob_sum"), F.exp(F.try_divide(r["p"], r["n"])).alias("sequence_geometric_probability"), r["k"].alias("answer_token_count"),
+        F.exp(F.try_divide(r["a"], r["k"])).alias("answer_token_geometric_probability"), status.alias("answer_alignment_status"),
+    )
 
 
 def termination(tokens: Column, eos: list[int], max_new_tokens: int) -> Column:

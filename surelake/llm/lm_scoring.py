@@ -39,6 +39,22 @@ def from_small(body: bytes, n: int) -> tuple[np.ndarray, int]:
     return counts, n + 8 * len(large)
 
 
+def pack_pairs(keys: np.ndarray) -> bytes:
+    """Sorted keys of a context's and a token's 32 bits: each context once, with how many tokens it has, then all tokens."""
+    context = (keys >> tb.U(32)).astype(np.uint32)
+    begin = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
+    runs = small_counts(np.diff(np.append(begin, len(keys))))
+    return np.array([len(begin), len(runs)], np.int32).tobytes() + context[begin].tobytes() + keys.astype(np.uint32).tobytes() + runs
+
+
+def unpack_pairs(body: bytes) -> np.ndarray:
+    contexts, size = (int(x) for x in np.frombuffer(body, np.int32, 2))
+    runs, _ = from_small(body[len(body) - size :], contexts)
+    context = np.frombuffer(body, np.uint32, contexts, 8)
+    token = np.frombuffer(body[8 + 4 * contexts : len(body) - size], np.uint32)
+    return np.repeat(context, runs).astype(tb.U) << tb.U(32) | token
+
+
 class _Tokens:
     """A block's tokens in order: each document's words, then one end."""
 
@@ -94,9 +110,8 @@ class _Pairs:
         return small_counts(self.counts[lo:hi]) + small_counts(self.of_key[lo:hi][new])
 
 
-def _add_up(rows: pa.Table):
+def _add_up(parts: list[np.ndarray]):
     """All keys that a bucket was asked for, sorted and once each, and where each asked one is."""
-    parts = tb.buffers(rows["keys"])
     keys, at = np.unique(np.concatenate(parts), return_inverse=True)
     return parts, keys, at, np.cumsum([len(p) for p in parts])
 
@@ -104,7 +119,7 @@ def _add_up(rows: pa.Table):
 def count_tokens(rows: pa.Table) -> pa.Table:
     """Answers each block: tokens and kinds in the bucket's training counts, then the count of each asked token."""
     bucket = rows["bucket"][0].as_py()
-    parts, keys, at, ends = _add_up(rows)
+    parts, keys, at, ends = _add_up(tb.buffers(rows["keys"]))
     own = np.concatenate([from_small(m, len(p))[0] for m, p in zip(rows["more"].to_pylist(), parts, strict=True)])
     total = np.bincount(at, own, len(keys)).astype(np.int64)
     head = np.array([total.sum(), np.count_nonzero(total)], np.int64).tobytes()
@@ -116,7 +131,7 @@ def look_up_pairs(rows: pa.Table, mu: float) -> pa.Table:
     bucket = rows["bucket"][0].as_py()
     if bucket < 0:
         return tb.replies(rows["bid"].to_pylist(), bucket, rows["keys"].to_pylist())
-    parts, keys, at, ends = _add_up(rows)
+    parts, keys, at, ends = _add_up([unpack_pairs(x) for x in rows["keys"].to_pylist()])
     total = np.zeros(len(keys), np.int64)
     of_context = np.zeros(len(keys), np.int64)
     for m, p, e in zip(rows["more"].to_pylist(), parts, ends, strict=True):
@@ -173,7 +188,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
         p = _Pairs(t, count, _ends(t, count), pair_buckets, split)
         bid = tb.first_bid(table)
         memo = np.array([tokens, kinds], np.int64).tobytes() + small_counts(count)
-        return pa.concat_tables([tb.requests(bid, p.distinct, p.more), tb.note(bid, memo)])
+        return pa.concat_tables([tb.requests(bid, p.distinct, p.more, pack=pack_pairs), tb.note(bid, memo)])
 
     def add_scores(_, table: pa.Table, rows: pa.Table) -> pa.Table:
         if not table.num_rows:

@@ -162,14 +162,14 @@ def distinct(keys: np.ndarray, bucket: np.ndarray, buckets: int) -> Distinct:
     return Distinct(k[place], np.searchsorted(b[place], np.arange(buckets + 1)), at, np.diff(np.append(place, len(k))))
 
 
-def requests(bid: int, d: Distinct, more=None, all_buckets: bool = False) -> pa.Table:
-    """A row for each bucket in which the block has keys; more(lo, hi) gives what goes with keys[lo:hi]."""
+def requests(bid: int, d: Distinct, more=None, all_buckets: bool = False, pack=np.ndarray.tobytes) -> pa.Table:
+    """A row for each bucket in which the block has keys, as pack makes bytes of them; more(lo, hi) gives what goes with keys[lo:hi]."""
     rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(d.edges[:-1].tolist(), d.edges[1:].tolist(), strict=True)) if hi > lo or all_buckets]
     return pa.table(
         {
             "bucket": pa.array([r[0] for r in rows], pa.int32()),
             "bid": pa.array([bid] * len(rows), pa.int32()),
-            "keys": pa.array([d.keys[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()),
+            "keys": pa.array([pack(d.keys[lo:hi]) for _, lo, hi in rows], pa.binary()),
             "more": pa.array([more(lo, hi) if more else b"" for _, lo, hi in rows], pa.binary()),
         }
     )

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from surelake.llm.elias_fano import Level, Sequence, quantised
-from surelake.llm.lm_scoring import from_small, lm_scores, small_counts
+from surelake.llm.lm_scoring import from_small, lm_scores, pack_pairs, small_counts, unpack_pairs
 from tests.llm.cases import DOCS, awkward, frame, prose
 
 
@@ -83,3 +83,10 @@ def test_quantised_and_small_counts():
     assert np.abs(book[code] - value).max() < 0.05
     counts = np.array([0, 3, 254, 255, 10**12])
     assert from_small(small_counts(counts) + b"rest", 5)[0].tolist() == counts.tolist()
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_packed_pairs(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 9, n, dtype=np.uint64) << np.uint64(32) | rng.integers(0, 1 << 32, n, dtype=np.uint64))
+    assert (unpack_pairs(pack_pairs(keys)) == keys).all()

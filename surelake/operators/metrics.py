@@ -44,7 +44,7 @@ def calibration_bins(df: DataFrame, groups: list[str], score: str = "score", out
     if n_bins < 1:
         raise ValueError("n_bins must be positive")
     index = F.least(F.floor(F.col(score) * n_bins), F.lit(n_bins - 1)).cast("int")
-    per_bin = df.groupBy(*groups, index.alias("bin_index")).agg(F.count("*").alias("count"), F.avg(score).alias("mean_confidence"), F.avg(outcome).alias("accuracy"))
+    per_bin = df.where(F.col(score).isNotNull()).groupBy(*groups, index.alias("bin_index")).agg(F.count("*").alias("count"), F.avg(score).alias("mean_confidence"), F.avg(outcome).alias("accuracy"))
     packed = per_bin.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("bin_index", F.struct("count", "mean_confidence", "accuracy")))).alias("bins"))
     every = packed.select(*groups, "bins", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin_index"))
     value = F.try_element_at("bins", F.col("bin_index"))
@@ -64,36 +64,44 @@ def ece(df: DataFrame, groups: list[str], score: str = "score", outcome: str = "
     return ece_from_bins(calibration_bins(df, groups, score, outcome, n_bins), groups)
 
 
-def auroc(df: DataFrame, groups: list[str], score: str = "score", outcome: str = "outcome", slices: int = 1024) -> DataFrame:
-    """Tie-correct area under the ROC curve of each group; null if it has one class only.
+def _ranked(df: DataFrame, groups: list[str], score: str, outcome: str, slices: int) -> DataFrame:
+    """Rows counted per distinct score ``s``: pos, neg, and ``won``, the pairs that its positives win, ties as halves.
 
-    Rows are first counted per distinct score. Negatives below a score are those of lower slices of the score's range,
-    at most ``slices`` numbers a group, plus those below it in its slice; so no task sorts a whole group.
+    Negatives below a score are those of lower slices of the score's range, at most ``slices`` numbers a group, plus those
+    below it in its slice; so no task sorts a whole group. Rows without a score are counted too and win nothing.
     """
     o = known_outcome(outcome)
-    counted = df.where(o.isNotNull() & F.col(score).isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("s")).agg(F.sum(o).alias("pos"), F.sum(1 - o).alias("neg"))
-    sliced = counted.withColumn("slice", F.floor(F.least(F.greatest("s", F.lit(0.0)), F.lit(1.0)) * slices))
-    lower = sliced.groupBy(*groups, "slice").agg(F.sum("neg").alias("n"))
+    counted = df.where(o.isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("s")).agg(F.sum(o).alias("pos"), F.sum(1 - o).alias("neg"))
+    sliced = counted.withColumn("slice", F.when(F.col("s").isNull(), -1).otherwise(F.floor(F.least(F.greatest("s", F.lit(0.0)), F.lit(1.0)) * slices)))
+    lower = sliced.groupBy(*groups, "slice").agg(F.sum(F.when(F.col("s").isNotNull(), F.col("neg"))).alias("n"))
     lower = lower.withColumn("below", F.coalesce(F.sum("n").over(Window.partitionBy(*groups).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = Window.partitionBy(*groups, "slice").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sliced.withColumn("near", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-    joined = ranked.join(lower, _same(ranked, lower, [*groups, "slice"])).select(*(ranked[g] for g in groups), "pos", "neg", "near", "below")
-    won = F.col("pos") * (F.col("below") + F.col("near") + F.col("neg") / 2)
-    return joined.groupBy(*groups).agg(F.try_divide(F.sum(won), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
+    joined = ranked.join(lower, _same(ranked, lower, [*groups, "slice"])).select(*(ranked[g] for g in groups), "s", "pos", "neg", "near", "below")
+    won = F.when(F.col("s").isNotNull(), F.col("pos") * (F.col("below") + F.col("near") + F.col("neg") / 2))
+    return joined.select(*groups, "s", "pos", "neg", won.alias("won"))
+
+
+def auroc(df: DataFrame, groups: list[str], score: str = "score", outcome: str = "outcome", slices: int = 1024) -> DataFrame:
+    """Tie-correct area under the ROC curve of each group; null if it has one class only."""
+    ranked = _ranked(df.where(F.col(score).isNotNull()), groups, score, outcome, slices)
+    return ranked.groupBy(*groups).agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
 
 
-def metric_table(df: DataFrame, groups: list[str], scorable: str = "scorable_n") -> DataFrame:
-    """One row for each group: n, scorable_n, coverage, accuracy, ece and auroc.
+def metric_table(df: DataFrame, groups: list[str], scorable: str = "scorable_n", n_bins: int = BINS) -> DataFrame:
+    """One row for each group with a known outcome: n, scorable_n, coverage, accuracy, ece and auroc.
 
     df has score and outcome, null where unknown. Rows with a known outcome are scorable, those that also have a valid score
-    count. A group without any has n 0, coverage 0 and null metrics.
+    count. All metrics come from one count per distinct score, summed up per bin and then per group.
     """
-    rows = df.withColumn("score", valid_score("score")).withColumn("outcome", known_outcome("outcome"))
-    sizes = rows.groupBy(*groups).agg(F.count("outcome").alias(scorable), F.count(F.when(F.col("outcome").isNotNull() & F.col("score").isNotNull(), 1)).alias("n"))
-    pairs = rows.where("score IS NOT NULL AND outcome IS NOT NULL")
-    errors, areas = ece(pairs, groups).drop("n"), auroc(pairs, groups)
-    with_ece = sizes.join(errors, _same(sizes, errors, groups), "left").select(*(sizes[g] for g in groups), "n", scorable, "accuracy", "ece")
-    out = with_ece.join(areas, _same(with_ece, areas, groups), "left").select(*(with_ece[g] for g in groups), "n", scorable, "accuracy", "ece", "auroc")
+    ranked = _ranked(df.withColumn("score", valid_score("score")), groups, "score", "outcome", 1024)
+    index = F.when(F.col("s").isNotNull(), F.least(F.floor(F.col("s") * n_bins), F.lit(n_bins - 1)).cast("int"))
+    rows = F.col("pos") + F.col("neg")
+    bins = ranked.groupBy(*groups, index.alias("bin")).agg(F.sum(rows).alias("rows"), F.sum(F.col("s") * rows).alias("conf"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
+    scored = lambda c: F.sum(F.when(F.col("bin").isNotNull(), F.col(c)))
+    n = F.coalesce(scored("rows"), F.lit(0))
+    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("conf") - F.col("pos")))  # the bin's rows times |mean confidence - accuracy|
+    out = bins.groupBy(*groups).agg(n.alias("n"), F.sum("rows").alias(scorable), F.try_divide(scored("pos"), n).alias("accuracy"), F.try_divide(F.sum(gap), n).alias("ece"), F.try_divide(F.sum("won"), scored("pos").cast("double") * scored("neg")).alias("auroc"))
     return out.withColumn("coverage", F.coalesce(F.try_divide(F.col("n"), F.col(scorable)), F.lit(0.0)))
 
 
@@ -104,14 +112,12 @@ def signals_to_rows(records: DataFrame, keep: list[str], signals: dict[str, str]
 
 
 def report_rows(records: DataFrame, keep: list[str], greedy: dict[str, str], primary: list[str], majority: str, correct: str = "correct", majority_correct: str = "majority_correct") -> DataFrame:
-    """The three analyses of a report in long form: every greedy signal, the primary ones on rows where all of them are valid, and the majority share."""
+    """The three analyses of a report in long form, from one scan: every greedy signal, the primary ones on rows where all of them are valid, and the majority share."""
     whole = reduce(lambda a, b: a & b, [valid_score(greedy[p]).isNotNull() for p in primary])
-    paired = records.where(whole)
-    return (
-        signals_to_rows(records, keep, greedy, correct, "greedy")
-        .unionByName(signals_to_rows(paired, keep, {p: greedy[p] for p in primary}, correct, "paired_primary"))
-        .unionByName(signals_to_rows(records, keep, {"majority_vote_share": majority}, majority_correct, "majority"))
-    )
+    entry = lambda a, s, path, o: F.struct(F.lit(a).alias("analysis"), F.lit(s).alias("signal"), F.col(path).cast("double").alias("score"), F.col(o).cast("int").alias("outcome"))
+    plain = [entry("greedy", s, path, correct) for s, path in greedy.items()] + [entry("majority", "majority_vote_share", majority, majority_correct)]
+    paired = [entry("paired_primary", p, greedy[p], correct) for p in primary]
+    return records.select(*keep, F.explode(F.when(whole, F.array(*plain, *paired)).otherwise(F.array(*plain))).alias("e")).select(*keep, "e.*")
 
 
 def report_metrics(records: DataFrame, keep: list[str], greedy: dict[str, str], primary: list[str], majority: str, domain: DataFrame | None = None, correct: str = "correct", majority_correct: str = "majority_correct") -> DataFrame:
@@ -124,10 +130,9 @@ def report_metrics(records: DataFrame, keep: list[str], greedy: dict[str, str],
     names = [("greedy", s, k) for k, s in enumerate(greedy)] + [("paired_primary", s, len(greedy) + k) for k, s in enumerate(primary)] + [("majority", "majority_vote_share", len(greedy) + len(primary))]
     labels = F.array(*(F.struct(F.lit(a).alias("analysis"), F.lit(s).alias("signal"), F.lit(k).alias("ordinal")) for a, s, k in names))
     domain = (domain if domain is not None else records.select(*keep).distinct()).select(*keep, F.explode(labels).alias("l")).select(*keep, "l.analysis", "l.signal", "l.ordinal")
-    known = records.groupBy(*keep).agg(F.count(known_outcome(correct)).alias("known"))
     out = domain.join(found, _same(domain, found, groups), "left").select(*(domain[g] for g in groups), "ordinal", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("scorable_n", F.lit(0)).alias("own_n"), "accuracy", "ece", "auroc")
-    out = out.join(known, _same(out, known, keep), "left").select(*(out[c] for c in out.columns), F.coalesce("known", F.lit(0)).alias("known"))
-    out = out.withColumn("scorable_n", F.when(F.col("analysis") == "paired_primary", F.col("known")).otherwise(F.col("own_n")))
+    known = F.max(F.when(F.col("analysis") == "greedy", F.col("own_n"))).over(Window.partitionBy(*keep))  # a few rows for each
+    out = out.withColumn("scorable_n", F.when(F.col("analysis") == "paired_primary", known).otherwise(F.col("own_n")))
     return out.withColumn("coverage", F.coalesce(F.try_divide("n", "scorable_n"), F.lit(0.0))).select(*groups, "ordinal", "n", "scorable_n", "coverage", "accuracy", "ece", "auroc")
 
 

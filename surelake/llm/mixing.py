@@ -50,13 +50,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFr
     A value without target gets weight 0; a cell's weight stays 0 once it is. Shares of values without tokens are lost, so
     the weights are scaled to 1 in the end.
     """
+    for dim in DIMS:
+        share = targets[dim].select(dim, F.col("share").alias(f"share_{dim}"))
+        cells = cells.join(share, dim, "left")
+    cells = stored(cells)
     for _ in range(rounds):
         for dim in DIMS:
-            sums = cells.groupBy(dim).agg(F.sum("w").alias("have")).join(targets[dim], dim, "left")
-            factor = sums.select(dim, F.coalesce(F.try_divide("share", "have"), F.lit(0.0)).alias("factor"))
-            cells = cells.join(factor, dim).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
+            sums = cells.groupBy(dim).agg(F.sum("w").alias("have"))
+            cells = cells.join(sums, dim).withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"share_{dim}"), "have"), F.lit(0.0))).drop("have")
         cells = stored(cells)
-    return cells
+    return cells.drop(*(f"share_{d}" for d in DIMS))
 
 
 def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:

@@ -5,8 +5,10 @@ that are page furniture by tag, role or class name leave a gap of empty lines,
 as do the edges of the article; other containers leave a short one. Text lengths
 are summed over sliding windows of lines. A region begins where a window's sum
 surges above a threshold and ends where it dives to nothing, and regions made
-mostly of links are left out. If the page marks its article, only what is inside
-counts and any text there is a surge, so short articles and short paragraphs stay.
+mostly of links are left out. If the page marks an article, any text inside is a
+surge, so short articles and short paragraphs stay, and the rest of the page is
+left out, unless more text surges there: then it stays as well, and the mark
+counts for nothing once there is several times as much.
 """
 
 from __future__ import annotations
@@ -130,32 +132,43 @@ def _is_furniture(tag: str, attrs: str, article: bool) -> bool:
     return any(w in _WORDS or w in _TOPS and not article for m in _HINT.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
 
 
-def surges(rows: list[tuple[str, int, bool]], marked: bool, window: int = 3, threshold: int = 86, most_links: float = 0.5) -> list[str]:
-    """The lines between surge and dive points of the distribution of text over windows of lines; if nothing surges, the longest region."""
-    sizes = [len(t) if a or not marked else 0 for t, _, a in rows]
-    n, kept, best = len(sizes), [], (0, [])
-    least = 0 if marked else threshold
+def regions(rows: list[tuple[str, int, bool]], window: int = 3) -> list[tuple[int, int, int, bool, list[str]]]:
+    """(peak of the windows' sums, characters, those in links, inside the mark, lines) of each run of lines up to a dive."""
+    sizes = [len(t) for t, _, _ in rows]
+    n, out = len(sizes), []
     total, sums = 0, [0] * n  # of the window that begins at each line
     for i in range(n - 1, -1, -1):
         total += sizes[i] - (sizes[i + window] if i + window < n else 0)
         sums[i] = total
     i = 0
     while i < n:
-        if sums[i] == 0 or sizes[i] == 0:
+        if sizes[i] == 0:
             i += 1
             continue
         j = i
         while j < n and sums[j]:  # the dive: a whole window without text
             j += 1
         block = [k for k in range(i, j) if sizes[k]]
-        chars = sum(sizes[k] for k in block)
-        if marked or sum(rows[k][1] for k in block) <= most_links * chars:
-            if max(sums[i:j]) > least:
-                kept += [rows[k][0] for k in block]
-            if chars > best[0]:
-                best = (chars, [rows[k][0] for k in block])
+        out.append((max(sums[i:j]), sum(sizes[k] for k in block), sum(rows[k][1] for k in block), rows[i][2], [rows[k][0] for k in block]))
         i = j
-    return kept or best[1]
+    return out
+
+
+def surges(rows: list[tuple[str, int, bool]], marked: bool, window: int = 3, threshold: int = 86, most_links: float = 0.5, trust: int = 3) -> list[str]:
+    """The lines between surge and dive points of the distribution of text over windows of lines; if nothing surges, the longest region.
+
+    A mark is weighed against the rest of the page: its regions stand alone while neither their text nor the longest of them
+    is less than what surges outside, and need no surge until that is ``trust`` times as much as theirs (or as the threshold).
+    """
+    found = regions(rows, window)
+    good = [r for r in found if r[2] <= most_links * r[1]]
+    within, beside = [r[1] for r in good if r[3]], [r[1] for r in good if not r[3] and r[0] > threshold]
+    alone = bool(within) and sum(beside) <= sum(within) and max(beside, default=0) <= max(within)
+    least = 0 if marked and sum(beside) <= trust * max(sum(within), threshold) else threshold
+    kept = [r for r in good if r[0] > (least if r[3] else threshold) and (r[3] or not alone)]
+    if not kept:
+        kept = [r for r in found if r[3]] or sorted(good, key=lambda r: -r[1])[:1]
+    return [line for r in kept for line in r[4]]
 
 
 def main_text(page: str | None) -> str:

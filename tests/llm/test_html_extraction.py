@@ -26,6 +26,25 @@ def test_pages(page, text):
     assert main_text(page) == text or page == "<p title=\"unclosed>x"
 
 
+CARD = "<div class=grid><article><h3>Teaser</h3><p>More on this.</p></article></div>"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"{CARD}<div><h1>H</h1><p>{LONG}</p><p>{LONG}</p></div>", f"H {LONG}{LONG}".strip()),  # a teaser is marked, the main text is not
+        (f"<div><p>{LONG}</p></div>{CARD * 30}", f"{LONG}" + "Teaser More on this. " * 30),  # many teasers, none as long as the main text
+        (f"<article><p>{LONG}</p></article><div class=x><p>{LONG}{LONG}</p></div>", f"{LONG}{LONG}{LONG}"),  # neither is much longer
+        (f"<article><p>{LONG}</p></article><div class=x><p>{LONG[5:]}</p></div>", LONG),
+        (f"<div class=x><p>{LONG[:100]}</p></div><article>Short.</article>", f"{LONG[:100]}Short."),
+        (f"<article><p>{LONG}</p><div><div><div><ul><li><a href=x>{LONG}</a></ul></div></div></div></article>", LONG),
+        ("<main><ul><li><a href=x>one</a><li><a href=y>two</a></ul></main>", "one two"),
+    ],
+)
+def test_marked_pages(page, text):
+    assert main_text(page) == text.strip()
+
+
 def test_columns(spark):
     rows = [("x", 1, "u", "<article>é𝒳</article>", "t"), ("x", None, None, None, "t"), ("x", 1, "u", "<article>é𝒳</article>", "t")]
     found = extract(spark.createDataFrame(rows, "text string, page_id bigint, url string, html string, n_chars string"))

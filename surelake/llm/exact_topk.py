@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from surelake.llm import textblocks as tb
 
 _PART = "query_id bigint, q_row bigint, vec_id bigint, score bigint"
-_LARGEST = 1 << 26  # of a component
+_LARGEST = 1 << 63  # of a component and of a score: a long
 
 
 def quantised(vector: str, scale: int) -> Column:
-    """floor(scale * x) of each component; null if the vector or a component is null, not finite, or beyond 2**26 when scaled."""
-    fine = F.forall(F.col(vector), lambda x: F.coalesce(F.abs(x.cast("double") * scale) < _LARGEST, F.lit(False)))
-    return F.when(fine, F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("int")))
+    """floor(scale * x) of each component; null if the vector or a component is null, not finite, or no long when scaled."""
+    fine = F.forall(F.col(vector), lambda x: F.coalesce(F.abs(x.cast("double") * scale) < float(_LARGEST), F.lit(False)))
+    return F.when(fine, F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("bigint")))
 
 
 def _sparse(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,6 +87,15 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at].astype(np.float64) if scores.dtype.kind == "f" else -scores[at]))]
 
 
+def _longs(scores: np.ndarray) -> np.ndarray:
+    """A score above all longs stops the query, as no lower one can take its rank; one below them becomes the least, which another block's may outrank."""
+    if scores.dtype.kind == "O":
+        if max(scores, default=0) >= _LARGEST:
+            raise OverflowError("a score among the k best is no long")
+        scores = np.maximum(scores, -_LARGEST)
+    return scores.astype(np.int64)
+
+
 def search_block(rows: pa.Table, k: int, tile: int = 16) -> pa.Table:
     """The k best candidates of each query of a block pair."""
     side = rows["query"].to_numpy().astype(bool)
@@ -100,10 +109,10 @@ def search_block(rows: pa.Table, k: int, tile: int = 16) -> pa.Table:
         dense = np.zeros((queries.num_rows, int(term.max(initial=0)) + 1), np.int64)
         dense[row, term] = weight
         reach = int(np.abs(weight).max(initial=0)) * post.largest * dense.shape[1]
-        kind = np.dtype(np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64)  # each exact
+        kind = np.dtype(np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64 if reach < _LARGEST else object)  # each exact
         post.of_kind(kind)
         dense = dense.astype(kind)
-        none = -np.inf if kind.kind == "f" else np.iinfo(np.int64).min
+        none = np.iinfo(np.int64).min if kind.kind == "i" else -np.inf
         for p in range(0, len(dense), tile):
             scores = post.accumulate(dense[p : p + tile])
             for i, s in enumerate(scores):
@@ -114,7 +123,7 @@ def search_block(rows: pa.Table, k: int, tile: int = 16) -> pa.Table:
                 out["query_id"].append(np.full(len(at), qids[p + i]))
                 out["q_row"].append(np.full(len(at), qrows[p + i]))
                 out["vec_id"].append(ids[at])
-                out["score"].append(s[at].astype(np.int64))
+                out["score"].append(_longs(s[at]))
     return tb.table_of(_PART, {c: np.concatenate(v) if v else [] for c, v in out.items()})
 
 
@@ -123,7 +132,8 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
 
     Components become floor(scale * x). Returns query_id, rank (from 1), vec_id and score, ties to the smaller vec_id; fewer
     rows than k if there are fewer candidates. Rows without key, vector or a finite value in every component take no part,
-    nor do those with a component beyond 2**26 when scaled. Rows with the query's key are its own and no candidates;
+    nor do those with a component that is no long when scaled. A score that is no long stops the query if it is among the k
+    highest. Rows with the query's key are its own and no candidates;
     repeated candidates are listed each, repeated queries once; vectors of unequal length are multiplied over the terms
     that both have. An empty table gives no rows.
     """
@@ -137,7 +147,8 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
     found = queries.unionByName(cands).groupBy("q", "c").applyInArrow(lambda rows: search_block(rows, k), _PART)
     order = Window.partitionBy("query_id", "q_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    score = F.when(F.col("score") > -_LARGEST, F.col("score")).otherwise(F.raise_error(F.lit("a score among the k best is no long")).cast("bigint"))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 ORACLE_SQL = """

@@ -35,3 +35,35 @@ def test_fewer_candidates_than_k_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0], 1, 0.0), (1, [2.0], 1, 0.0)], SCHEMA)
     assert [tuple(r) for r in top_k(few).collect()] == [(0, 1, 1, 64 * 128)]
     assert top_k(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def whole(rows, k, every):
+    """As brute, without its bound."""
+    good = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v, *_ in rows]
+    return sorted((q, r + 1, i, -s) for q, a in good if q % every == 0 for r, (s, i) in enumerate(sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q)[:k]))
+
+
+@pytest.mark.parametrize("large", [3e6, 2e7, 1e9])
+def test_large_components(spark, large):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, large if i % 5 == 1 else 0.2, 9)], 1, 0.0) for i in range(60)]
+    rows += [(60, [large] * 4 + [0.0] * 5, 1, 0.0), (61, [-large] * 9, 1, 0.0)]
+    most = [r for r in rows if r[0] % 2 or r[0] == 60 and large < 1e9]  # an even one is a query
+    most += [(2 * i, [0.25 * (-1) ** j * (i % 3) for j in range(9)], 1, 0.0) for i in range(20)]
+    found = top_k(spark.createDataFrame(most, SCHEMA), every=2, k=7, query_block=10, candidate_block=13)
+    assert sorted(map(tuple, found.collect())) == whole(most, 7, 2)
+    assert {r[0] for r in most if abs(r[1][0]) > 1 << 20} & {r.vec_id for r in found.collect()}
+
+
+def test_wide_blocks(spark):
+    """Sums pass 2**63 on the way and among the scores, but the best ones are longs."""
+    rows = [(0, [1e9, 1e9, 1.0], 1, 0.0), (1, [1e9, -1e9, 5.0], 1, 0.0), (3, [-1e9, -1e9, 1.0], 1, 0.0), (5, [-1e9, 1e9, 7.0], 1, 0.0)]
+    found = top_k(spark.createDataFrame(rows, SCHEMA), every=2, k=2, candidate_block=1)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 5, 7 * 4096), (0, 2, 1, 5 * 4096)]
+
+
+@pytest.mark.parametrize("x", [1e9, -1e9])
+def test_score_that_is_no_long(spark, x):
+    rows = [(0, [1e9, 1e9], 1, 0.0), (1, [x, x], 1, 0.0)]
+    with pytest.raises(Exception, match="no long"):
+        top_k(spark.createDataFrame(rows, SCHEMA)).collect()

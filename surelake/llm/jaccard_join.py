@@ -1,9 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding, the one level of an LSH forest that the recall asks for.
 
-1. Each text's set of word n-grams gets a MinHash signature for every tree of the
-   forest. In a tree, sorted by signature, the texts below one prefix are each other's
-   candidates. The prefix is shortened from the full depth until a pair at the threshold
-   meets in some tree with the target recall; the depth follows from the recall alone.
+1. Each text's set of word n-grams gets a MinHash signature for every tree. In a tree,
+   the texts with equal signatures are each other's candidates. A signature's length is a
+   constant: the longest prefix, up to the full depth, with which a pair at the threshold
+   meets in some tree with the target recall. It follows from threshold, recall and trees
+   before any data is seen; longer prefixes are neither computed nor sorted.
 2. Texts with equal words are one node, whatever their number. Each node below a prefix
    is tied to the smallest one there, not to all, and ties are grown into candidate
    components.

@@ -403,15 +403,25 @@ def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(training.paired_delta(_results(spark, sf_dir)))
 
 
-@_query(f"""WITH {_RESULTS}, f AS (SELECT coalesce(b.correct, false)::INT - coalesce(a.correct, false)::INT AS diff FROM res a JOIN res b ON a.example_id = b.example_id AND a.condition = 'kd_all' AND b.condition = 'kd_gated'),
-  n AS (SELECT count(*) AS n, count(*) FILTER (diff = -1) AS lo, count(*) FILTER (diff <= 0) AS mid, avg(diff) AS delta FROM f), i AS (SELECT unnest(generate_series(0, (SELECT n - 1 FROM n))) AS i), r AS (SELECT unnest(generate_series(0, 199)) AS round),
+def _bootstrap_sql(rounds: int, lo: int, hi: int) -> str:
+    return f"""WITH {_RESULTS}, f AS (SELECT coalesce(b.correct, false)::INT - coalesce(a.correct, false)::INT AS diff FROM res a JOIN res b ON a.example_id = b.example_id AND a.condition = 'kd_all' AND b.condition = 'kd_gated'),
+  n AS (SELECT count(*) AS n, count(*) FILTER (diff = -1) AS lo, count(*) FILTER (diff <= 0) AS mid, avg(diff) AS delta FROM f), i AS (SELECT unnest(generate_series(0, (SELECT n - 1 FROM n))) AS i), r AS (SELECT unnest(generate_series(0, {rounds - 1})) AS round),
   d AS (SELECT r.round, CAST('0x' || substr(sha256('11:' || r.round || ':' || i.i), 1, 12) AS BIGINT) % n.n AS p, n.* FROM r CROSS JOIN i CROSS JOIN n),
   m AS (SELECT round, sum(CASE WHEN p < lo THEN -1 WHEN p < mid THEN 0 ELSE 1 END) / any_value(n)::DOUBLE AS mean FROM d GROUP BY round), s AS (SELECT array_agg(mean ORDER BY mean) AS v FROM m)
-  SELECT n.n, round(delta, 6) AS delta, round(v[6], 6) AS ci_low, round(v[195], 6) AS ci_high FROM s CROSS JOIN n""")
+  SELECT n.n, round(delta, 6) AS delta, round(v[{lo}], 6) AS ci_low, round(v[{hi}], 6) AS ci_high FROM s CROSS JOIN n"""
+
+
+@_query(_bootstrap_sql(200, 6, 195))
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(training.bootstrap(training.paired(_results(spark, sf_dir), "kd_all", "kd_gated"), 11, 200))
 
 
+@_query(_bootstrap_sql(5000, 126, 4875))
+def bootstrap_ci_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bootstrap_ci, with the operator's default of 5,000 resamples."""
+    return _rounded(training.bootstrap(training.paired(_results(spark, sf_dir), "kd_all", "kd_gated"), 11))
+
+
 _COMPACT = f"WITH {_RECORDS}, c AS (SELECT doc_id, dataset, correct = 1 AS right, majority_correct = 1 AS majority, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE s_source END AS agreement, s_hashed AS sure, doc_id % 12 <> 0 AS answered FROM records)"
 
 

@@ -56,6 +56,11 @@ def report(records: DataFrame, selected: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def execution_counts(records: DataFrame) -> dict[str, int]:
+    """Records of each execution origin, all of which summary.json lists."""
+    return {r[0]: r[1] for r in records.where("length(execution_origin) > 0").groupBy("execution_origin").count().collect()}
+
+
 def run_report(spark: SparkSession, folder: str) -> dict:
     """Reads run_manifest.json, predictions.jsonl and stages/ of a run, and writes metrics.csv, calibration_bins.csv, metrics_by_execution.csv (if any), summary.json and report.md beside them."""
     manifest = checkpoints.read_manifest(os.path.join(folder, "run_manifest.json"))
@@ -82,7 +87,7 @@ def run_report(spark: SparkSession, folder: str) -> dict:
     summary = {
         "run_status": manifest.get("status", "unknown"), "profile": profile, "run_complete": complete, "missing_datasets": missing, "selected_count": count.selected, "completed_count": count.completed, "failed_count": count.failed,
         "pending_count": count.pending, "coverage_gate_valid": gate, "datasets": {s["dataset"]: s for s in summaries}, "macro": {m.signal: m.asDict() for m in macro}, "recommendation": metrics.recommendation(complete, profile),
-        "by_execution": {r[0]: r[1] for r in records.where("length(execution_origin) > 0").groupBy("execution_origin").count().limit(1000).collect()},
+        "by_execution": execution_counts(records),
     }
     sinks.atomic_json(os.path.join(folder, "summary.json"), summary)
     text = f"# Report\n\nStatus: {summary['run_status']}; completed {count.completed} of {count.selected}.\n\n{summary['recommendation']['reason']}\n\n## Metrics\n\n{sinks.markdown_table(rows, sinks.METRIC_FIELDS)}\n## Datasets\n\n"

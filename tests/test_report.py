@@ -70,3 +70,9 @@ def test_incomplete_run(spark, tmp_path):
     summary = report.run_report(spark, str(tmp_path))
     assert (summary["completed_count"], summary["failed_count"], summary["pending_count"], summary["run_complete"]) == (12, 1, 2, False)
     assert summary["recommendation"]["status"] == "insufficient"
+
+
+def test_more_origins_than_a_thousand(spark):
+    rows = [(f"o{i % 1001}",) for i in range(1500)] + [("",), (None,)]
+    found = report.execution_counts(spark.createDataFrame(rows, "execution_origin string"))
+    assert found == {f"o{i}": 2 if i < 499 else 1 for i in range(1001)}

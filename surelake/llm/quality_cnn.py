@@ -23,7 +23,7 @@ from surelake.llm import samples
 from surelake.llm import textblocks as tb
 
 OUT = "doc_id bigint, held_out boolean, score double, predicted int"
-WIDTH, STRIDE, FILTERS = 8, 4, 32
+WIDTH, STRIDE, FILTERS = 8, 1, 32
 CHUNK, OVERLAP = 512, 64  # bytes
 
 

@@ -91,6 +91,16 @@ def test_chunks_cover_the_whole_text(length):
         assert own[-1, 1] - own[0, 0] == steps and (own[1:, 0] < own[:-1, 1]).all()
 
 
+@pytest.mark.parametrize("shift", range(9))
+def test_a_pattern_is_seen_at_every_byte(shift):
+    net = quality_cnn.train([], {})
+    net.filters[:] = 0
+    net.filters[np.arange(8), np.frombuffer(b"spammers", np.uint8)] = 1
+    net.weights[:] = 1
+    data = np.frombuffer(b"." * (40 + shift) + b"spammers" + b"." * 40, np.uint8)
+    assert quality_cnn.scores(net, data, np.array([0, len(data)]))[0] == 3 * 8 * quality_cnn.FILTERS
+
+
 def test_a_long_text_scores_as_in_one_go():
     net = quality_cnn.train([(text_in("aa", i), i % 2) for i in range(40)], {}, epochs=1)
     data = np.frombuffer(text_in("bb", 1, 3000).encode(), np.uint8)

@@ -6,16 +6,20 @@ training text and keeps the longest match that ends at each word. A match of
 only runs where it could matter: a vectorised look at short word n-grams leaves
 out stretches in which no window of any item can lie.
 
-Items reach the executors as broadcast slices of at most ``slice_words`` words,
-however large the benchmark is; a worker builds one slice's automaton at a time
-(and keeps the first few), so neither the driver's nor a worker's memory grows
-with it. Texts are read once and not shuffled.
+Items reach the executors as broadcast slices of at most ``slice_words`` words, and
+a pass over the texts broadcasts at most ``pass_words`` words of slices. A worker
+reads one slice at a time, keeps the automata used last by what they were made of,
+and takes a group of batches through one before the next, so its memory does not
+grow with the benchmark. A benchmark of one pass takes the texts through once,
+without a shuffle; of a larger one, each pass writes what it hit to the shared
+folder, and the passes' hits are joined to the texts in the end. Words are compared
+by a 64-bit hash.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surelake.llm import textblocks as tb
+from surelake.llm.shared import stored
 
 OUT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, kept_text string"
+_HITS = "row bigint, spans array<bigint>, items array<string>"
 _KEPT_AUTOMATA = 3
-_built: dict[str, Automaton] = {}
+_built: OrderedDict[tuple[str, int], Automaton] = OrderedDict()
+builds = 0  # automata that this process made
 
 
 class Automaton:
@@ -168,17 +175,106 @@ def _slices(benchmark: DataFrame, item: str, text: str, slice_words: int) -> Ite
         yield part
 
 
-def _automaton(key: str, shared, window: int) -> Automaton:
-    """The automaton of a slice; a worker keeps the first ones."""
-    if key not in _built:
-        made = Automaton(shared.value, window)
-        if len(_built) >= _KEPT_AUTOMATA:
-            return made
-        _built[key] = made
-    return _built[key]
+class Slice:
+    """Some items as a broadcast, and a digest of them."""
 
+    def __init__(self, context, items: list[tuple[str | None, list[int]]]):
+        self.digest = hashlib.sha256(repr(items).encode()).hexdigest()
+        self.shared = context.broadcast(items)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, coverage: tuple[int, int] = (1, 20), with_text: bool = True, carry: tuple[str, ...] = (), slice_words: int = 200_000) -> DataFrame:
+    def items(self) -> list[tuple[str | None, list[int]]]:
+        """A worker reads them from its executor's file and, unlike by ``value``, does not hold on to them."""
+        path = getattr(self.shared, "_path", None)
+        return self.shared.load_from_path(path) if path else self.shared.value
+
+    def automaton(self, window: int) -> Automaton:
+        """One of the automata that the process used last, or a new one in place of the oldest."""
+        global builds
+        key = (self.digest, window)
+        if key not in _built:
+            while len(_built) >= _KEPT_AUTOMATA:
+                _built.popitem(last=False)
+            _built[key] = Automaton(self.items(), window)
+            builds += 1
+        _built.move_to_end(key)
+        return _built[key]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches of about ``most`` bytes together."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _searched(batches: Iterator[pa.RecordBatch], slices: list[Slice], window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, tb.Words, np.ndarray, dict[int, set[str]]]]:
+    """Each batch with its bytes, bounds, words, which of them are hit, and the items that each document met."""
+    for group in _grouped(tb.sliced(batches, "text"), 1 if len(slices) <= _KEPT_AUTOMATA else 32 << 20):
+        hits: list[np.ndarray | None] = [None] * len(group)
+        met: list[dict[int, set[str]]] = [{} for _ in group]
+        for s in slices:
+            a = s.automaton(window)
+            for k, batch in enumerate(group):
+                w = _words(batch)[2]
+                if hits[k] is None:
+                    hits[k] = np.zeros(len(w.hash), bool)
+                for lo, hi in a.stretches(w.hash, w.first).tolist():
+                    if items := a.stream(w.hash[lo:hi].tolist(), lo, hits[k]):
+                        doc = int(np.searchsorted(w.first, lo, "right")) - 1
+                        met[k].setdefault(doc, set()).update(a.names[i] for i in items if a.names[i] is not None)
+        for batch, hit, names in zip(group, hits, met, strict=True):
+            data, bounds, w = _words(batch)
+            yield batch, data, bounds, w, np.zeros(len(w.hash), bool) if hit is None else hit, names
+
+
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, tb.Words]:
+    data, bounds = tb.text_buffer(batch.column("text"))
+    return data, bounds, tb.words(data, bounds, tb.ALNUM[tb.LOWER], tb.LOWER)
+
+
+def _report(batch: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, w: tb.Words, hit: np.ndarray, met: dict[int, set[str]], coverage: tuple[int, int], with_text: bool, carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    part, whole = coverage
+    n = np.diff(w.first)
+    sums = np.append(0, np.cumsum(hit))
+    hits = sums[w.first[1:]] - sums[w.first[:-1]]
+    names = [",".join(sorted(met.get(d, ()))) for d in range(len(n))]
+    texts = batch.column("text").to_pylist() if with_text else [None] * len(n)
+    if with_text:
+        for d in np.flatnonzero(hits).tolist():
+            texts[d] = _cut(data[bounds[d] : bounds[d + 1]], w, hit, int(w.first[d]), int(w.first[d + 1]), int(bounds[d]))
+    rows = {
+        "doc_id": batch.column("key"), "n_words": n, "n_hit": hits, "n_items": [len(met.get(d, ())) for d in range(len(n))],
+        "items_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in names],
+        "contaminated": (hits > 0) & (whole * hits >= part * n), "kept_text": texts,
+    }
+    yield from tb.with_columns(tb.table_of(OUT, rows), pa.Table.from_batches([batch]), carry).to_batches()
+
+
+def _hits(docs: DataFrame, slices: list[Slice], window: int) -> DataFrame:
+    """(row, spans, items) of the rows that a pass hits: the words [from, to) of each span on end."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _, w, hit, met in _searched(batches, slices, window):
+            rows, spans, items = [], [], []
+            row = batch.column("row").to_pylist()
+            for d in range(batch.num_rows):
+                step = np.diff(hit[w.first[d] : w.first[d + 1]].astype(np.int8), prepend=0, append=0)
+                if step.any():
+                    rows.append(row[d])
+                    spans.append(np.column_stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)]).ravel())
+                    items.append(sorted(met.get(d, ())))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["row", "spans", "items"])
+
+    return docs.select("row", "text").mapInArrow(scan, _HITS)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, coverage: tuple[int, int] = (1, 20), with_text: bool = True, carry: tuple[str, ...] = (), slice_words: int = 200_000, pass_words: int = 8_000_000) -> DataFrame:
     """Marks and removes benchmark passages.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, with A-Z lower-cased. A document word is
@@ -187,41 +283,50 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     their ids as sorted strings, comma-joined), contaminated (hit words reach the ``coverage`` fraction) and, unless
     ``with_text`` is false, kept_text: the text without the hit spans; then the columns ``carry`` as they are. Null and blank texts have no words; null and blank
     items match nothing; an item without id marks words but is not counted; repeated items and rows count alike; an
-    empty table gives no rows, an empty benchmark no hits. Other columns are not read.
+    empty table gives no rows, an empty benchmark no hits. Texts of any length are read whole, the benchmark item by
+    item; an item longer than a slice is a slice of its own. Other columns are not read.
     """
     context = docs.sparkSession.sparkContext
-    slices = [(uuid.uuid4().hex, context.broadcast(s)) for s in _slices(benchmark, item, item_text, slice_words)]
-    part, whole = coverage
+    schema = ", ".join([OUT, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    picked = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    numbered = picked.select(F.xxhash64("key", "text").alias("row"), "text")
+    passes: list[DataFrame] = []
+    slices, size = [], 0
+    for items in _slices(benchmark, item, item_text, slice_words):
+        words = sum(len(s) for _, s in items)
+        if slices and size + words > pass_words:
+            passes.append(stored(_hits(numbered, slices, window)))
+            for s in slices:
+                s.shared.destroy()
+            slices, size = [], 0
+        slices.append(Slice(context, items))
+        size += words
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _searched(batches, slices, window):
+            yield from _report(*found, coverage, with_text, carry)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.sliced(batches, "text"):
-            data, bounds = tb.text_buffer(batch.column("text"))
-            w = tb.words(data, bounds, tb.ALNUM[tb.LOWER], tb.LOWER)
-            hit = np.zeros(len(w.hash), bool)
-            met: dict[int, set[str]] = {}
-            for name, s in slices:
-                a = _automaton(name, s, window)
-                for lo, hi in a.stretches(w.hash, w.first).tolist():
-                    if items := a.stream(w.hash[lo:hi].tolist(), lo, hit):
-                        doc = int(np.searchsorted(w.first, lo, "right")) - 1
-                        met.setdefault(doc, set()).update(a.names[i] for i in items if a.names[i] is not None)
-            n = np.diff(w.first)
-            sums = np.append(0, np.cumsum(hit))
-            hits = sums[w.first[1:]] - sums[w.first[:-1]]
-            names = [",".join(sorted(met.get(d, ()))) for d in range(len(n))]
-            texts = batch.column("text").to_pylist() if with_text else [None] * len(n)
-            if with_text:
-                for d in np.flatnonzero(hits).tolist():
-                    texts[d] = _cut(data[bounds[d] : bounds[d + 1]], w, hit, int(w.first[d]), int(w.first[d + 1]), int(bounds[d]))
-            rows = {
-                "doc_id": batch.column("key"), "n_words": n, "n_hit": hits, "n_items": [len(met.get(d, ())) for d in range(len(n))],
-                "items_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in names],
-                "contaminated": (hits > 0) & (whole * hits >= part * n), "kept_text": texts,
-            }
-            yield from tb.with_columns(tb.table_of(OUT, rows), pa.Table.from_batches([batch]), carry).to_batches()
+            data, bounds, w = _words(batch)
+            hit, met = np.zeros(len(w.hash), bool), {}
+            for d, (spans, items) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+                for lo, hi in np.array(spans or [], np.int64).reshape(-1, 2) + w.first[d]:
+                    hit[lo:hi] = True
+                if items:
+                    met[d] = set(items)
+            yield from _report(batch, data, bounds, w, hit, met, coverage, with_text, carry)
 
-    schema = ", ".join([OUT, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
-    out = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry)).mapInArrow(scan, schema)
+    if not passes:
+        out = picked.mapInArrow(scan, schema)
+    else:
+        passes.append(stored(_hits(numbered, slices, window)))
+        every = passes[0]
+        for p in passes[1:]:
+            every = every.unionByName(p)
+        flat = lambda c: F.flatten(F.collect_list(c))  # noqa: E731 (one row a pass and copy of the row)
+        found = every.dropDuplicates(["row", "spans", "items"]).groupBy("row").agg(flat("spans").alias("spans"), F.array_distinct(flat("items")).alias("items"))
+        out = picked.withColumn("row", F.xxhash64("key", "text")).join(found, "row", "left").mapInArrow(finish, schema)
     return out if with_text else out.drop("kept_text")
 
 

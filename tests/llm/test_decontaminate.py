@@ -1,8 +1,10 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 
+from surelake.llm import decontaminate as module
 from surelake.llm.decontaminate import decontaminate
 from tests.llm.cases import DOCS, awkward, frame, prose
 
@@ -40,12 +42,12 @@ def cases():
     return rows, items
 
 
-@pytest.mark.parametrize("slice_words", [200_000, 60])
+@pytest.mark.parametrize("slice_words,pass_words", [(200_000, 1 << 23), (60, 1 << 23), (60, 150)])
 @pytest.mark.parametrize("single", [False, True])
-def test_equals_brute_force(spark, slice_words, single):
+def test_equals_brute_force(spark, slice_words, pass_words, single):
     rows, items = cases()
     items = items if single else [x for x in items if x[0] != 21]
-    found = decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), with_text=False, slice_words=slice_words)
+    found = decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), with_text=False, slice_words=slice_words, pass_words=pass_words)
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, brute(rows, items)))
 
 
@@ -60,3 +62,34 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate(frame(spark, [], DOCS), none).collect() == []
     assert {r.n_hit for r in decontaminate(frame(spark), none).collect()} == {0}
+
+
+def test_several_passes_cut_the_same_text(spark):
+    rows, items = cases()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    once, often = (decontaminate(frame(spark, rows), bench, carry=("source", "bid"), slice_words=60, pass_words=n).collect() for n in (1 << 23, 100))
+    assert sorted(map(repr, once)) == sorted(map(repr, often))
+
+
+class _Held:
+    """A stand-in for a broadcast."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+class _Context:
+    broadcast = _Held
+
+
+def test_each_automaton_is_built_once_in_a_worker(monkeypatch):
+    monkeypatch.setattr(module, "builds", 0)
+    module._built.clear()
+    texts = pa.RecordBatch.from_arrays([pa.array([prose(i, 50, 60) for i in range(8)])], ["text"])
+    for call in range(4):  # four queries, two of them with the same benchmark as one before
+        slices = [module.Slice(_Context, [(f"{k}", [k * 100 + call % 2 + j for j in range(20)])]) for k in range(1)]
+        list(module._searched(iter([texts] * 5), slices, 13))
+    assert module.builds == 2
+    slices = [module.Slice(_Context, [(f"{k}", [7000 + k * 100 + j for j in range(20)])]) for k in range(6)]
+    list(module._searched(iter([texts] * 5), slices, 13))
+    assert module.builds == 2 + 6 and len(module._built) <= module._KEPT_AUTOMATA

@@ -299,6 +299,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def __init__(self, options):
         self.path = options["path"]
+        self.job = uuid.uuid4().hex  # made once, on the driver, and known to all tasks
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, path = opened(self.path)
@@ -308,7 +309,7 @@ class WarcWriter(DataSourceArrowWriter):
                 for r in batch.to_pylist():
                     if out is None:
                         fs.create_dir(path, recursive=True)
-                        hidden = f"{path}/.part-{uuid.uuid4().hex}.warc.gz"
+                        hidden = f"{path}/.part-{self.job}-{uuid.uuid4().hex}.warc.gz"
                         out = fs.open_output_stream(hidden, compression=None)
                     out.write(member(record(r["page_id"], r["url"], r["payload"] or b"", r["digest"], r["refers_to"])))
         finally:
@@ -323,14 +324,14 @@ class WarcWriter(DataSourceArrowWriter):
             if m is not None and m.hidden:
                 fs.move(m.hidden, f"{path}/part-{k:05d}-{m.hidden.rsplit('-', 1)[1]}")
         for f in fs.get_file_info(pafs.FileSelector(path)):
-            if f.base_name.startswith(".part-"):  # of tasks that were run again
+            if f.base_name.startswith(f".part-{self.job}-"):  # of tasks that were run again; other writers' files are theirs
                 fs.delete_file(f.path)
 
     def abort(self, messages) -> None:
-        fs, _ = opened(self.path)
-        for m in messages:
-            if m is not None and m.hidden:
-                fs.delete_file(m.hidden)
+        fs, path = opened(self.path)
+        for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+            if f.base_name.startswith(f".part-{self.job}-"):
+                fs.delete_file(f.path)
 
 
 class WarcSource(DataSource):
@@ -385,20 +386,21 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True, predicate
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes ``pages`` to an archive in the shared folder and reads it back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes ``pages`` to an archive in the shared folder and reads it back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Responses are read with their payloads, of which size and digest are taken anew; revisits by their headers alone. Each
+    read's predicate on the record type passes over the other records by their length. Nulls, repeats and an empty table
+    are as ``write_pages`` has them; a row without page_id comes back without.
+    """
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_pages(pages, path)
-    rows = read_archive(spark, path)
     number = lambda c: F.regexp_extract(F.col(c), r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
-    is_response = F.col("record_type") == "response"
-    return rows.select(
-        number("record_id").alias("page_id"),
-        F.when(is_response, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(is_response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
-    )
+    responses = read_archive(spark, path, predicates=[("record_type", "eq", "response")])
+    revisits = read_archive(spark, path, payload=False, predicates=[("record_type", "eq", "revisit")])
+    facts = lambda rows, size, digest: rows.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    full = facts(responses, F.octet_length("payload").cast("bigint"), F.sha1("payload"))
+    return full.unionByName(facts(revisits, F.col("payload_length"), F.col("payload_digest")))
 
 
 ORACLE_SQL = """

@@ -80,3 +80,33 @@ def test_foreign_archives():
         assert [b for _, b in found] == [b"hello"] * 2
         assert found[0][0]["x-long"] == "a b"
     assert gzip.GzipFile(fileobj=io.BytesIO(warc.member(record))).read() == record
+
+
+def test_the_round_trip_skips_what_each_read_does_not_want(spark, tmp_path):
+    path = tmp_path / "archive"
+    rows = [("t", i, f"http://a/{i}", "<p>" + "x" * 40_000 + str(i // 4), "d") for i in range(40)]  # three of four revisit
+    warc.write_pages(spark.createDataFrame(rows, PAGES), str(path))
+    skipped, inflated = {}, {}
+    for kind, payloads in (("response", True), ("revisit", False)):
+        reader = warc.WarcReader({"path": str(path), "payload": str(payloads), "predicates": f'[["record_type", "eq", "{kind}"]]'})
+        seen: dict = {}
+        found = 0
+        for file in path.glob("*.warc.gz"):
+            data = file.read_bytes()
+            found += len(list(warc.records(pa.BufferReader(data), len(data), reader.wanted, payloads, seen)))
+        assert found == (10 if payloads else 30)
+        skipped[kind], inflated[kind] = seen.get("skipped", 0), seen.get("inflated", 0)
+    assert inflated["revisit"] == 0 and skipped["revisit"] > skipped["response"] > 0
+    assert inflated["response"] < 10 * 41_000
+
+
+def test_a_commit_leaves_other_writers_files(spark, tmp_path):
+    other = tmp_path / ".part-ffff-1.warc.gz"
+    other.write_bytes(b"in flight")
+    warc.write_pages(spark.createDataFrame(page_rows(), PAGES), str(tmp_path))
+    assert other.exists() and [f.name for f in tmp_path.glob(".part-*")] == [other.name]
+    failed = warc.WarcWriter({"path": str(tmp_path)})
+    failed.write(iter([pa.RecordBatch.from_pylist([{"page_id": 1, "url": "u", "payload": b"x", "digest": "00" * 20, "refers_to": None}])]))
+    assert len(list(tmp_path.glob(".part-*"))) == 2
+    failed.abort([])
+    assert [f.name for f in tmp_path.glob(".part-*")] == [other.name]

@@ -1,21 +1,24 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped into lines, one per block element or line break. Elements
-that are page furniture by tag, role or class name leave a gap of empty lines,
-as do the edges of the article; other containers leave a short one. Text lengths
-are summed over sliding windows of lines. A region begins where a window's sum
-surges above a threshold and ends where it dives to nothing, and regions made
-mostly of links are left out. If the page marks an article, any text inside is a
-surge, so short articles and short paragraphs stay, and the rest of the page is
-left out, unless more text surges there: then it stays as well, and the mark
-counts for nothing once there is several times as much.
+Markup is stripped into lines, one per block element or line break. Every line has a
+size: the length of its text times a weight. Text in elements that are page furniture by
+tag, role or class name weighs little, text in a marked article more, runs of links
+little; nothing is deleted for its name. An element that holds most of the page's text is a
+wrapper and its name does not count. Where weights change, and in part between containers, empty
+lines come in. Sizes are summed over sliding windows of lines: a region begins where
+the sum surges and ends where it dives to nothing. A region stays if its highest
+sum reaches the threshold; the threshold is lower where the whole page has little text,
+and higher for regions that weigh less than the one with the highest sum. Short
+lines that share their container with a region that stays, stay with it.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,56 +34,72 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*+>",
     re.S | re.I,
 )
+_RAW_END = re.compile(r"</[a-zA-Z]+\s*>$")
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
-# What ends a line, what holds other blocks, and what never belongs to an article.
+# Which elements end a line, hold other blocks, and are furniture by their tag. Fixed values of HTML and of common page templates.
 _BREAKS = frozenset("address blockquote br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section summary table tbody td tfoot th thead tr ul article aside nav header footer form body html head".split())
 _HOLDERS = frozenset("html head body div section article main aside nav header footer form ul ol dl table details fieldset figure blockquote center menu dialog button label span p li td tr".split())
+_SMALL = frozenset("p li td tr span label".split())  # hold text rather than blocks
 _FURNITURE = frozenset("head nav footer aside form button menu dialog object canvas".split())
 _ARTICLE = frozenset(("article", "main"))
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar subnav sidenav topnav navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup social share sharing related recommended recommendations comment comments disqus respond reply replies widget pagination pager toolbar login search contentinfo complementary alert alertdialog".split()
 )
+_COMMENTS = frozenset("comment comments disqus respond reply replies".split())  # may hold most of a page
 _TOPS = frozenset(("header", "masthead", "topbar"))  # unless they are the article's own
 _NEVER_FURNITURE = frozenset(("html", "body", "article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_FAINT, _MARKED = 0.02, 4.0  # weights
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    weight: float
+    container: int  # the element that holds the line's block
 
 
 class _Open:
-    __slots__ = ("article", "skip", "tag")
+    __slots__ = ("article", "container", "hint", "tag")
 
-    def __init__(self, tag: str, skip: bool, article: bool):
-        self.tag, self.skip, self.article = tag, skip, article
+    def __init__(self, tag: str, container: int, hint: int, article: bool):
+        self.tag, self.container, self.hint, self.article = tag, container, hint, article
 
 
-def lines(page: str, gap: int = 3) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, characters in links, inside the marked article) of each line, empty ones included; and whether an article is marked."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[_Open] = []
+def lines(page: str, gap: int = 3) -> tuple[list[Line], bool]:
+    """The page's lines, empty ones included, and whether an article is marked. Linear in the page, whatever it leaves open."""
+    rows: list[tuple[str, int, int, bool, int]] = []  # text, characters in links, hint, inside the mark, container
+    parents, wraps = [-1], [False]  # per hinted element, the next one around it, and whether it can be a mere wrapper; 0 is none
+    root = _Open("", 0, 0, False)
+    stack: list[_Open] = [root]
+    opened: Counter[str] = Counter()
     words: list[str] = []
-    linked, in_link = 0, 0
-    skip = article = marked = False
+    linked, in_link, containers, marked = 0, 0, 0, False
 
     def flush(blank: int = 0) -> None:
         nonlocal linked
+        top = stack[-1]
         text = " ".join(entities.unescape("".join(words)).split()) if words else ""
         if text:
-            out.append((text, min(linked, len(text)), article))
+            rows.append((text, min(linked, len(text)), top.hint, top.article, top.container))
         words.clear()
         linked = 0
-        out.extend([("", 0, article)] * blank)
+        rows.extend([("", 0, top.hint, top.article, top.container)] * blank)
 
-    p = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > p and not skip:
+    end = page.rfind(">") + 1  # no tag ends beyond
+    p, unclosed = 0, False
+    for m in _TOKEN.finditer(page, 0, end):
+        if m.start() > p:
             words.append(page[p : m.start()])
             if in_link:
                 linked += m.start() - p
         p = m.end()
         tag = m[3] or m[6]
         if tag is None:
+            unclosed = p == end and (bool(m[1]) and not _RAW_END.search(m[0]) or m[0].startswith("<!--") and not m[0].endswith("-->"))
             continue
         tag, closes, attrs = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if tag == "a":
@@ -88,104 +107,174 @@ def lines(page: str, gap: int = 3) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         if tag not in _BREAKS and tag not in _HOLDERS and tag not in _FURNITURE:
             continue
+        blank = 1 if tag in _HOLDERS and tag not in ("p", "li", "span") else 0
+        if tag in _BREAKS:
+            flush(blank)
+        before = stack[-1]
         if closes:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
-            if tag in _BREAKS and not skip:
-                flush(tag in _HOLDERS and tag not in ("p", "li", "span"))
-            if k < 0:
+            if not opened[tag]:
                 continue
-            del stack[k:]
+            top = None
+            while top is None or top.tag != tag:  # each is closed once
+                flush()
+                top = stack.pop()
+                opened[top.tag] -= 1
         else:
-            if tag in _BREAKS and not skip:
-                flush(tag in _HOLDERS and tag not in ("p", "li", "span"))
             if tag in _VOID or tag not in _HOLDERS and tag not in _FURNITURE or attrs.endswith("/"):
                 continue
-            if tag in ("p", "li", "td", "tr") and stack and stack[-1].tag == tag:
-                stack.pop()  # closed by the next one
-            stack.append(_Open(tag, _is_furniture(tag, attrs, article), tag in _ARTICLE or "role=" in attrs and bool(re.search(r"role\s*=\s*[\"']?main\b", attrs))))
-        was, inside = skip, article
-        skip = any(x.skip for x in stack)
-        now = any(x.article for x in stack) and not skip
-        if skip != was or now != inside:
-            if not was:
+            if tag in ("p", "li", "td", "tr") and before.tag == tag or tag == "body" and before.tag == "head":
+                flush()
+                opened[stack.pop().tag] -= 1  # closed by the next one
+            top = stack[-1]
+            hint, container = top.hint, top.container
+            if kind := _furniture(tag, attrs, top.article):
+                flush()
+                parents.append(hint)
+                wraps.append(kind == 1)
+                hint = len(parents) - 1
+            if tag not in _SMALL:
+                containers += 1
+                container = containers
+            article = top.article or tag in _ARTICLE or "role=" in attrs and bool(re.search(r"role\s*=\s*[\"']?main\b", attrs))
+            marked |= article
+            if article != top.article:
                 flush()
-            if skip:
-                words.clear()
-            article = now if not skip else any(x.article for x in stack)
-            marked |= now
-            out.extend([("", 0, article)] * gap)
+            stack.append(_Open(tag, container, hint, article))
+            opened[tag] += 1
+        after = stack[-1]
+        if after.hint != before.hint or after.article != before.article:
+            flush()
+            rows.extend([("", 0, after.hint, after.article, after.container)] * gap)
             in_link = 0
-    if p < len(page) and not skip:
-        words.append(page[p:])
-    if not skip:
-        flush()
-    return out, marked
+    if p < len(page) and not unclosed:
+        tail = page.find("<!--", p)
+        words.append(page[p : tail if tail >= 0 else None])
+    flush()
+    weights = _weights(rows, parents, wraps)
+    return [Line(text, n, weights[hint] * (_MARKED if article else 1.0), container) for text, n, hint, article, container in rows], marked
 
 
-def _is_furniture(tag: str, attrs: str, article: bool) -> bool:
+def _furniture(tag: str, attrs: str, article: bool) -> int:
+    """0 for what is no furniture by tag or attributes, 1 for what may still be a wrapper of the whole page, 2 for what is none."""
+    if tag == "form":
+        return 1
     if tag in _FURNITURE or tag == "header" and not article:
-        return True
+        return 2
     if not attrs or tag in _NEVER_FURNITURE:
-        return False
+        return 0
     if _HIDDEN.search(attrs):
-        return True
-    return any(w in _WORDS or w in _TOPS and not article for m in _HINT.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
-
-
-def regions(rows: list[tuple[str, int, bool]], window: int = 3) -> list[tuple[int, int, int, bool, list[str]]]:
-    """(peak of the windows' sums, characters, those in links, inside the mark, lines) of each run of lines up to a dive."""
-    sizes = [len(t) for t, _, _ in rows]
-    n, out = len(sizes), []
-    total, sums = 0, [0] * n  # of the window that begins at each line
-    for i in range(n - 1, -1, -1):
-        total += sizes[i] - (sizes[i + window] if i + window < n else 0)
-        sums[i] = total
-    i = 0
+        return 1
+    found = {w for m in _HINT.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w in _WORDS or w in _TOPS and not article}
+    return 0 if not found else 2 if found & _COMMENTS else 1
+
+
+def _weights(rows: list[tuple[str, int, int, bool, int]], parents: list[int], wraps: list[bool], most: float = 0.5, times: int = 4) -> list[float]:
+    """The weight of text in each hinted element: faint, or as around it if the element is but a wrapper.
+
+    A wrapper holds more than ``most`` of the page's text that is no link and ``times`` as much as stands in no hinted element,
+    and the marked article, if there is one.
+    """
+    total, marked = [0] * len(parents), [False] * len(parents)
+    for text, linked, hint, article, _ in rows:
+        total[hint] += len(text) - linked
+        marked[hint] |= article and bool(text)
+    page, free, mark = sum(total), total[0], any(marked)
+    wrapper = [False] * len(parents)
+    for e in range(len(parents) - 1, 0, -1):  # inner ones first
+        marked[parents[e]] |= marked[e]
+        wrapper[e] = wraps[e] and total[e] > max(most * page, times * free) and (marked[e] or not mark)
+        if wrapper[e]:
+            total[parents[e]] += total[e]
+    out = [1.0] * len(parents)
+    for e in range(1, len(parents)):
+        out[e] = out[parents[e]] * (1.0 if wrapper[e] else _FAINT)
+    return out
+
+
+class Region(NamedTuple):
+    peak: float  # highest sum of sizes in a window
+    chars: int
+    linked: int
+    weight: float
+    lines: list[int]
+
+
+def link_runs(rows: list[Line], share: float = 0.6) -> list[bool]:
+    """Lines that are mostly link and follow or precede another such line."""
+    out = [False] * len(rows)
+    last = -1  # the text line before, if mostly link
+    for i, r in enumerate(rows):
+        if not r.text:
+            continue
+        if r.linked <= share * len(r.text):
+            last = -1
+            continue
+        if last >= 0:
+            out[last] = out[i] = True
+        last = i
+    return out
+
+
+def regions(rows: list[Line], window: int = 3) -> list[Region]:
+    """Each run of lines of one weight up to a dive: a whole window without text."""
+    runs = link_runs(rows)
+    weight = [r.weight * (_FAINT if run else 1.0) for r, run in zip(rows, runs, strict=True)]
+    n, out, i = len(rows), [], 0
     while i < n:
-        if sizes[i] == 0:
+        if not rows[i].text:
             i += 1
             continue
-        j = i
-        while j < n and sums[j]:  # the dive: a whole window without text
+        block, j, empty = [], i, 0
+        while j < n and empty < window:
+            if rows[j].text:
+                if weight[j] != weight[i] or runs[j] != runs[i]:
+                    break
+                block.append(j)
+                empty = 0
+            else:
+                empty += 1
             j += 1
-        block = [k for k in range(i, j) if sizes[k]]
-        out.append((max(sums[i:j]), sum(sizes[k] for k in block), sum(rows[k][1] for k in block), rows[i][2], [rows[k][0] for k in block]))
-        i = j
+        sizes = [len(rows[k].text) * weight[k] for k in range(i, block[-1] + 1)]
+        total, peak = 0.0, 0.0
+        for k, x in enumerate(sizes):
+            total += x - (sizes[k - window] if k >= window else 0.0)
+            peak = max(peak, total)
+        out.append(Region(peak, sum(len(rows[k].text) for k in block), sum(rows[k].linked for k in block), weight[i], block))
+        i = block[-1] + 1
     return out
 
 
-def surges(rows: list[tuple[str, int, bool]], marked: bool, window: int = 3, threshold: int = 86, most_links: float = 0.5, trust: int = 3) -> list[str]:
-    """The lines between surge and dive points of the distribution of text over windows of lines; if nothing surges, the longest region.
+def surges(rows: list[Line], window: int = 3, threshold: int = 86, most_links: float = 0.5, share: float = 0.2, faint_share: float = 0.25) -> list[str]:
+    """The lines between surge and dive points of the distribution of sizes over windows of lines.
 
-    A mark is weighed against the rest of the page: its regions stand alone while neither their text nor the longest of them
-    is less than what surges outside, and need no surge until that is ``trust`` times as much as theirs (or as the threshold).
+    The region with the highest sum (the first, on a tie) stays. One that weighs as much or more must reach the threshold, or that share
+    of the highest sum if this is less; one that weighs less must reach both the threshold and its share. Regions mostly of
+    links stay only if there are no others; then the one with the highest sum does, and those that weigh as much.
     """
     found = regions(rows, window)
-    good = [r for r in found if r[2] <= most_links * r[1]]
-    within, beside = [r[1] for r in good if r[3]], [r[1] for r in good if not r[3] and r[0] > threshold]
-    alone = bool(within) and sum(beside) <= sum(within) and max(beside, default=0) <= max(within)
-    least = 0 if marked and sum(beside) <= trust * max(sum(within), threshold) else threshold
-    kept = [r for r in good if r[0] > (least if r[3] else threshold) and (r[3] or not alone)]
-    if not kept:
-        kept = [r for r in found if r[3]] or sorted(good, key=lambda r: -r[1])[:1]
-    return [line for r in kept for line in r[4]]
+    good = [r for r in found if r.linked <= most_links * r.chars]
+    if not good:
+        top = max(found, key=lambda r: r.peak, default=None)
+        return [rows[k].text for r in found if r.weight == top.weight for k in r.lines]
+    top = max(good, key=lambda r: r.peak)
+    kept = [r for r in good if r is top or r.peak >= (min(threshold, share * top.peak) if r.weight >= top.weight else max(threshold, faint_share * top.peak))]
+    stays = {k for r in kept for k in r.lines}
+    homes = {(rows[k].container, rows[k].weight) for k in stays}
+    runs = link_runs(rows)
+    return [r.text for k, r in enumerate(rows) if k in stays or r.text and not runs[k] and (r.container, r.weight) in homes and r.linked <= most_links * len(r.text)]
 
 
 def main_text(page: str | None) -> str:
     """The page's article as one line of text; empty for a null, empty or textless page."""
-    if not page:
-        return ""
-    rows, marked = lines(page)
-    if marked and not any(a and t for t, _, a in rows):
-        marked = False
-    return " ".join(surges(rows, marked))
+    return " ".join(surges(lines(page)[0])) if page else ""
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The main text of each row of ``pages``, from its whole html.
 
     Returns page_id, url (both as they are, null too), text (empty if none) and n_chars, its code points. Markup left open
-    runs to the end of the page; repeated rows are repeated; an empty table gives none; other columns are not read.
+    runs to the end of the page; a page of any length or depth is read whole, in time linear in it; of regions that tie for
+    the highest sum the first counts; repeated rows are repeated; an empty table gives none; other columns are not read.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,9 @@
+import time
+
 import pytest
 
-from surelake.llm.html_extraction import extract, main_text
+from surelake.llm import html_extraction
+from surelake.llm.html_extraction import extract, lines, main_text
 
 LONG = "word " * 40
 
@@ -19,11 +22,14 @@ LONG = "word " * 40
         (f"<article><p>{LONG}</p><form>f</form><aside>x</aside><p>end</p><section class='comments'>{LONG}</section></article>", f"{LONG}end"),
         (f"<div><a href=1>{LONG}</a></div><div>{LONG}</div>".replace("</div><div>", "</div><hr><nav></nav><div>"), LONG.strip()),
         ("<article>a < b and c > d</article>", "a < b and c > d"),
-        ("<p title=\"unclosed>x", ""),
+        ("<p title=\"unclosed>x", "x"),
+        ("x <!-- y", "x"),
+        ("<p>x</p><!-- y > z", "x"),
+        ("<p>x</p><script>a</script>y", "x y"),
     ],
 )
 def test_pages(page, text):
-    assert main_text(page) == text or page == "<p title=\"unclosed>x"
+    assert main_text(page) == text.strip()
 
 
 CARD = "<div class=grid><article><h3>Teaser</h3><p>More on this.</p></article></div>"
@@ -50,3 +56,51 @@ def test_columns(spark):
     found = extract(spark.createDataFrame(rows, "text string, page_id bigint, url string, html string, n_chars string"))
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, "u", "é𝒳", 2), (None, None, "", 0), (1, "u", "é𝒳", 2)], key=repr)
     assert extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+PARTS = f"<header>Site name</header><nav><a href=1>Home</a> <a href=2>News</a></nav><div><h1>H</h1><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar>Also read this</div><div id=comments><p>First!</p><p>I read {LONG}</p></div><footer>All rights reserved.</footer>"
+BODY = f"H {LONG}{LONG}".strip()
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (PARTS, BODY),
+        (f"<div class='layout has-sidebar'>{PARTS}</div>", BODY),
+        (f"<form action=/>{PARTS}</form>", BODY),
+        (f"<form><div class='layout has-sidebar'>{PARTS}</div></form>", BODY),
+        (f"<p>A tagline.</p><nav><a href=1>Home</a></nav><div class='related-research'><p>{LONG}</p><p>{LONG}</p></div><footer>f</footer>", f"{LONG}{LONG}"),
+        (f"<article><p>{LONG}</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul><p>{LONG}</p></article>", f"{LONG}{LONG}"),
+        (f"<article><p>{LONG}</p><p><a href=1>A single link</a></p><p>{LONG}</p></article>", f"{LONG}A single link {LONG}"),
+        (f"<nav>n</nav><div><p>{LONG}</p><aside>Subscribe now</aside><p>The end.</p></div><footer>f</footer>", f"{LONG}The end."),
+        (f"<div><div><p>{LONG}</p></div><div><p>Short.</p></div></div>", f"{LONG}Short."),
+        (f"<article><h1>Short</h1><p>Very.</p><section class=comments><p>{LONG}</p><p>{LONG}</p></section></article>", "Short Very."),
+        (f"<article><p>{LONG}</p><div class=cookie-notice><p>{LONG}</p></div><p>More.</p></article>", f"{LONG}More."),
+        (f"<div class=ad>{LONG}</div><article><h1>Short</h1><p>Very.</article>", "Short Very."),
+        (f"<body hidden><div><p>{LONG}</p></div><nav>menu</nav>", LONG),
+    ],
+)
+def test_names_shift_a_weight_and_the_distribution_decides(page, text):
+    assert main_text(page) == text.strip()
+
+
+@pytest.mark.parametrize("page", [PARTS, f"<article><p>{LONG}</p><aside>x</aside></article><footer>f</footer>"])
+def test_without_the_distribution_other_text_comes_out(page, monkeypatch):
+    found = main_text(page)
+    monkeypatch.setattr(html_extraction, "surges", lambda rows: [r.text for r in rows if r.text])
+    assert len(main_text(page)) > len(found)
+
+
+def test_deep_and_long_pages_take_linear_time():
+    begin = time.process_time()
+    assert main_text("<div>" * 100_000 + LONG) == LONG.strip()
+    assert main_text("<div class=ad>" * 100_000 + "</section>" * 100_000 + LONG) == LONG.strip()
+    assert main_text("<b '" * 100_000 + LONG)
+    assert len(main_text(f"<p>{LONG}" * 20_000)) == len(LONG) * 20_000 - 1
+    assert time.process_time() - begin < 15
+
+
+def test_a_tie_goes_to_the_first_region():
+    one, two = "a" * 60, "b" * 60
+    assert main_text(f"<div><p>{one}</p></div><nav></nav><hr><hr><div><p>{two}</p></div>").startswith(one)
+    assert lines("")[0] == []

@@ -164,14 +164,19 @@ def train(rows: list[tuple[str, int]], totals: dict, epochs: int = 12, batch: in
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 3, held: int = 1, max_rows: int = 2000) -> Network:
-    """Learns from about ``max_rows`` labelled rows at most, half of each label, whose crc32 remainder is not ``held``."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 3, held: int = 1, max_rows: int = 2000, max_bytes: int = 1 << 18) -> Network:
+    """Learns from about ``max_rows`` labelled rows at most, half of each label, whose crc32 remainder is not ``held``.
+
+    A doc_id whose labels contradict each other teaches nothing; repeated equal labels count once. Of several texts of one doc_id the
+    least is learned from. Texts of more than ``max_bytes`` bytes are not picked, so rows and bytes on the driver are bounded.
+    """
     y = labels.where(samples.learns(key, modulus, held)).select(F.col(key).cast("bigint").alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    picked, totals = samples.balanced(y.groupBy("key").agg(F.max("label").alias("label")), "key", "key", "label", max_rows, salt="quality")
+    one = y.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+    picked, totals = samples.balanced(one, "key", "key", "label", max_rows, salt="quality")
     if not picked:
         return train([], totals)
     few = docs.sparkSession.createDataFrame(picked, "key bigint, label int")  # max_rows at most, so it may be broadcast
-    texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).join(F.broadcast(few), "key")
+    texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).join(F.broadcast(few), "key")
     rows = texts.groupBy("key", "label").agg(F.min("text").alias("text")).collect()
     return train([(r.text or "", r.label) for r in sorted(rows, key=lambda r: r.key)], totals)
 

@@ -15,14 +15,15 @@ def held_out(key: str, modulus: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == held, F.lit(False))
 
 
-def balanced(rows: DataFrame, key: str, text: str, label: str, most: int, classes: int = 1000, salt: str = "") -> tuple[list[tuple[str, object]], dict]:
+def balanced(rows: DataFrame, key: str, text: str, label: str, most: int, salt: str = "", max_bytes: int = 1 << 18) -> tuple[list[tuple[str, object]], dict]:
     """About ``most`` (text, label) rows at most, shared out evenly over the labels, picked by a hash of the key.
 
-    No more than ``classes`` labels, the most frequent ones, take part. Labels with fewer rows than their share give all.
-    Also returns how many rows each label has in all.
+    Rows whose text has more than ``max_bytes`` bytes are not picked, so what comes to the driver is bounded by both. Labels
+    with fewer rows than their share give all; beyond ``most`` labels, the most frequent ones take part, as no sample of
+    that size can hold them all. Also returns how many rows each label has among those that could be picked.
     """
-    rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(classes).collect()
+    rows = rows.where(F.col(label).isNotNull() & (F.octet_length(F.col(text).cast("string")) <= max_bytes))
+    sizes = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most).collect()
     if not sizes:
         return [], {}
     left, share, rate = most, {}, None

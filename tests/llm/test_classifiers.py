@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from surelake.llm import language_id, quality_cnn
+from surelake.llm import textblocks as tb
 from tests.llm.cases import DOCS, awkward, frame
 
 SYLLABLES = {"aa": "ka lo mi te ru pa".split(), "bb": "sch ung ein ver ach ich".split(), "cc": "tion eux re le ou ai".split()}
@@ -106,3 +108,40 @@ def test_a_long_text_scores_as_in_one_go():
     data = np.frombuffer(text_in("bb", 1, 3000).encode(), np.uint8)
     bounds = np.array([0, len(data)])
     np.testing.assert_allclose(quality_cnn.scores(net, data, bounds, group=1 << 10), quality_cnn.scores(net, data, bounds), rtol=1e-4)
+
+
+ALIEN = [
+    "Zażółć gęślą jaźń, a potem wróć do domu, bo wszyscy czekają na ciebie przy stole i nikt nie chce zaczynać bez ciebie.",
+    "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗いじめじめした所でニャーニャー泣いていた事だけは記憶している。",
+    "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. Все смешалось в доме Облонских.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "asdkjh qwlekj zxmcnb qpwoei lskdjf mznxbc vbnghf ytrueiw oqpwlsk djfhgy tbvncm xzasqw erfdcv tgbnhy ujmkio plokij",
+]
+
+
+def test_texts_in_languages_never_learned_are_rejected():
+    rows = [(text_in(x, i, 40), x) for i in range(80) for x in SYLLABLES]
+    model = language_id.train(rows)
+    assert 0.0005 < model.temperature < 20 and 0 < model.most_unknown < 0.5
+    assert language_id.decide(model, pa.array(ALIEN))[2].all()
+    own = [text_in(x, 1000 + i, 1 + i) for i in range(60) for x in SYLLABLES]
+    lang, _, rejected = language_id.decide(model, pa.array(own))
+    assert rejected.mean() < 0.02
+
+
+def test_unknown_share_does_not_depend_on_pieces_or_neighbours():
+    model = language_id.train([(text_in(x, i), x) for i in range(40) for x in SYLLABLES])
+    texts = [ALIEN[0], text_in("aa", 900, 50), "", "x"]
+    data, bounds = language_id.padded(*tb.text_buffer(pa.array(texts)))
+    every = language_id.unknown_share(model.known, data, bounds)
+    np.testing.assert_allclose(every, language_id.unknown_share(model.known, data, bounds, piece=11))
+    for k, t in enumerate(texts):
+        own = language_id.padded(*tb.text_buffer(pa.array([t])))
+        assert abs(language_id.unknown_share(model.known, *own)[0] - every[k]) < 0.03
+
+
+def test_contradicting_labels_teach_nothing(spark):
+    docs, labels = quality_rows(60)
+    both = [(i, 1 - y, 0, "x") for i, y, _, _ in labels]
+    table = spark.createDataFrame(labels + both, "doc_id bigint, quality int, toxic int, text string")
+    assert {r.score for r in quality_cnn.score(frame(spark, docs), quality_cnn.fit(frame(spark, docs), table)).collect()} == {0.5}

@@ -1,11 +1,12 @@
 """The pipeline's stages on a small corpus with planted cases, each held against what must stay and go."""
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from surelake.llm import language_id
 from tests.llm.cases import prose
-from tests.llm.test_classifiers import text_in
+from tests.llm.test_classifiers import ALIEN, text_in
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -74,5 +75,8 @@ def test_an_empty_table(spark, tmp_path):
 
 
 def test_rejection_is_calibrated():
+    """Own texts that training did not see stay; what is in no learned language goes."""
     model = language_id.train([(text_in(x, i), x) for i in range(60) for x in ("aa", "bb", "cc")])
-    assert 0 <= model.threshold <= 0.5
+    own = pa.array([text_in(x, 500 + i) for i in range(60) for x in ("aa", "bb", "cc")])
+    assert language_id.decide(model, own)[2].mean() <= 0.02
+    assert language_id.decide(model, pa.array(ALIEN))[2].all()

@@ -1,19 +1,24 @@
-"""N-gram Jaccard join by MinHash banding, the one level of an LSH forest that the recall asks for.
-
-1. Each text's set of word n-grams gets a MinHash signature for every tree. In a tree,
-   the texts with equal signatures are each other's candidates. A signature's length is a
-   constant: the longest prefix, up to the full depth, with which a pair at the threshold
-   meets in some tree with the target recall. It follows from threshold, recall and trees
-   before any data is seen; longer prefixes are neither computed nor sorted.
-2. Texts with equal words are one node, whatever their number. Each node below a prefix
-   is tied to the smallest one there, not to all, and ties are grown into candidate
-   components.
-3. Within a component every pair is verified on the exact sets: small components are
-   packed into groups, large ones are cut into parts, and every pair of parts is
-   one group, so that no task holds a component larger than two parts. There, counts of
-   shared n-grams are products of 0/1 matrices. Groups return each node's number of
-   links and a spanning tree of them, never the pairs.
-4. Verified trees are grown into classes.
+"""N-gram Jaccard join by a MinHash LSH forest.
+
+1. Each text's set of word n-grams gets a signature of ``depth`` MinHash values for every
+   tree. A tree is the texts sorted by signature, a prefix trie laid flat: the texts below a
+   prefix are neighbours, and the prefix that two neighbours share tells at which depth
+   their paths part. So a tree is written as its neighbours and their shared prefixes, one row a text,
+   and a hot prefix is a chain, not a star. Texts with equal words are one node.
+2. Matched prefixes are shortened step by step, from the full depth on. At each length,
+   the neighbours that share as much tie the nodes into candidate components; those that
+   changed since the last length are verified, all pairs, on the exact sets.
+3. A pair of similarity s meets in one of the trees at length k with probability
+   P = 1 - (1 - s**k)**trees. So the pairs found so far estimate how many there are, the sum of 1 / P over
+   them, and shortening ends once they are the target recall of that sum; at the latest at the
+   length at which a pair at the threshold itself would meet with that probability.
+4. Small components are packed into groups, large ones are cut into parts by
+   nodes and bytes, and every pair of parts is one group, so that no task holds more than two parts. There,
+   counts of shared n-grams are products of 0/1 matrices. Groups return each node's
+   number of links, a spanning tree of them and a histogram of their similarities, never the pairs.
+5. Verified trees are grown into classes.
+
+A node is named by a 64-bit hash of its words; the words themselves are not compared again.
 """
 
 from __future__ import annotations
@@ -29,16 +34,31 @@ from surelake.llm import textblocks as tb
 from surelake.llm.components import components
 from surelake.llm.shared import stored
 
-_SIGNED = "row bigint, doc_id bigint, n_words bigint, node bigint, trees binary"
-_VERIFIED = "node bigint, other bigint, links bigint"
+_SIGNED = "row bigint, doc_id bigint, n_words bigint, octets bigint, node bigint, paths binary"
+_NEIGHBOURS = "u bigint, v bigint, depth int, path binary"
+_VERIFIED = "comp bigint, node bigint, other bigint, links bigint, bin int, pairs bigint"
+_BINS = 20
 
 
-def prefix_length(threshold: float, recall: float, trees: int, depth: int) -> int:
-    """The longest prefix with which a pair at the threshold meets in one of the trees with the target recall."""
-    for k in range(depth, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
-            return k
-    return 1
+def meets(similarity: float | np.ndarray, length: int, trees: int):
+    """The probability that a pair shares a prefix of that length in one of the trees."""
+    return 1 - (1 - similarity**length) ** trees
+
+
+def lengths(threshold: float, recall: float, trees: int, depth: int) -> list[int]:
+    """The prefix lengths to go through, each about two thirds of the one before, down to the longest that gives a pair at the threshold the target recall."""
+    last = next((k for k in range(depth, 1, -1) if meets(threshold, k, trees) >= recall), 1)
+    out = [depth]
+    while out[-1] > last:
+        out.append(max(last, out[-1] * 2 // 3 + (out[-1] > 8)))
+    return out
+
+
+def estimated_recall(pairs: dict[int, int], threshold: float, length: int, trees: int) -> float:
+    """Of all pairs, the part that was found, from the found pairs by bin of similarity, each taken at its lower edge. None found: 0."""
+    found = sum(pairs.values())
+    every = sum(n / meets(threshold + b * (1 - threshold) / _BINS, length, trees) for b, n in pairs.items())
+    return found / every if found else 0.0
 
 
 def shingles(w: tb.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,18 +109,16 @@ def whole_hash(w: tb.Words) -> np.ndarray:
     return tb.mix(out + size.astype(tb.U) * tb._C1)
 
 
-def _sign(trees: int, prefix: int, n: int):
+def _sign(trees: int, depth: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.sliced(batches, "text"):
             data, bounds = tb.text_buffer(batch.column("text"))
             w = tb.words(data, bounds, tb.SPACED, tb.LOWER)
             size = np.diff(w.first)
-            sig = signatures(*shingles(w, n), trees * prefix).reshape(-1, trees, prefix)
-            below = np.zeros(sig.shape[:2], tb.U)
-            for k in range(prefix):  # one number for each tree's prefix
-                below = tb.mix(below * tb._C1 + sig[:, :, k].astype(tb.U), 61 + k)
+            # 16 bits of each value, the high ones first, so that paths sort as bytes
+            paths = (tb.mix(signatures(*shingles(w, n), trees * depth).astype(tb.U), 61) >> tb.U(48)).astype(">u2")
             node = np.where(size > 0, whole_hash(w).view(np.int64), batch.column("row").to_numpy())
-            rows = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_words": size, "node": node, "trees": [x.tobytes() if s else None for x, s in zip(below, size, strict=True)]}
+            rows = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_words": size, "octets": np.diff(bounds), "node": node, "paths": [x.tobytes() if s else None for x, s in zip(paths, size, strict=True)]}
             yield from tb.table_of(_SIGNED, rows).to_batches()
 
     return run
@@ -109,18 +127,71 @@ def _sign(trees: int, prefix: int, n: int):
 def _unpack(trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            below = np.frombuffer(b"".join(batch.column("trees").to_pylist()), np.int64)
-            node = np.repeat(batch.column("node").to_numpy(), trees)
-            tree = np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)
-            for p in range(0, len(node), 1 << 16):
-                s = slice(p, p + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(tree[s]), pa.array(below[s]), pa.array(node[s])], ["tree", "below", "node"])
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                paths = b"".join(part.column("paths").to_pylist())
+                width = len(paths) // max(part.num_rows * trees, 1)
+                node = np.repeat(part.column("node").to_numpy(), trees)
+                tree = np.tile(np.arange(trees, dtype=np.int32), part.num_rows)
+                path = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(node), [None, pa.py_buffer(paths)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(tree), path, pa.array(node)], ["tree", "path", "node"])
+
+    return run
+
+
+def shared_depth(paths: np.ndarray, trees: np.ndarray) -> np.ndarray:
+    """How many values each path [nodes, depth] shares with the one before; 0 across trees."""
+    same = paths[1:] == paths[:-1]
+    same &= (trees[1:] == trees[:-1])[:, None]
+    return np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1)
+
+
+def _neighbours(least: int, ends: bool):
+    """(u, v, depth) of neighbours in sorted rows that share ``least`` values or more. With ``ends``, also the first and the last row: (node, null, tree, path)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, node = batch.column("tree").to_numpy(), batch.column("node").to_numpy()
+            paths = np.frombuffer(b"".join(batch.column("path").to_pylist()), ">u2").reshape(len(node), -1)
+            first = [(int(node[0]), int(tree[0]), paths[0].tobytes())] if ends and last is None else []
+            if last is not None:
+                tree, node, paths = np.append(last[0], tree), np.append(last[1], node), np.concatenate([last[2], paths])
+            depth = shared_depth(paths, tree)
+            at = np.flatnonzero((depth >= least) & (node[1:] != node[:-1]))
+            last = tree[-1:], node[-1:], paths[-1:]
+            yield _ties(node[at + 1], node[at], depth[at], first)
+        if ends and last is not None:
+            none = np.zeros(0, np.int64)
+            yield _ties(none, none, none, [(int(last[1][0]), int(last[0][0]), last[2][0].tobytes())])
 
     return run
 
 
-def linked(a: np.ndarray, b: np.ndarray | None, grams: list[np.ndarray], threshold: tuple[int, int], dims: int = 4096) -> np.ndarray:
-    """Which of the sets a, or of a (rows) and b (columns), reach the threshold: a boolean matrix, exact."""
+def _ties(u: np.ndarray, v: np.ndarray, depth: np.ndarray, ends: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    rows = {"u": [*u.tolist(), *(e[0] for e in ends)], "v": [*v.tolist(), *(None for _ in ends)], "depth": [*depth.tolist(), *(e[1] for e in ends)], "path": [*(None for _ in u), *(e[2] for e in ends)]}
+    return pa.RecordBatch.from_arrays([pa.array(rows["u"], pa.int64()), pa.array(rows["v"], pa.int64()), pa.array(rows["depth"], pa.int32()), pa.array(rows["path"], pa.binary())], list(rows))
+
+
+def forest(signed: DataFrame, trees: int, least: int) -> DataFrame:
+    """(u, v, depth): the neighbours in every tree that share a prefix of ``least`` values or more, and its length.
+
+    The rows are sorted by range, so a prefix that a third of all texts share takes as many tasks as its texts need; the ends
+    of the sorted partitions are neighbours too, and are tied in one more look at two rows a partition.
+    """
+    nodes = signed.where("n_words > 0").select("node", "paths").distinct()
+    rows = nodes.mapInArrow(_unpack(trees), "tree int, path binary, node bigint")
+    order = ["tree", "path", "node"]
+    found = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, True), _NEIGHBOURS))
+    ends = found.where("v IS NULL").select(F.col("depth").alias("tree"), "path", F.col("u").alias("node")).coalesce(1).sortWithinPartitions(*order)
+    across = ends.mapInArrow(_neighbours(least, False), _NEIGHBOURS)
+    return found.where("v IS NOT NULL").unionByName(across).select("u", "v", "depth")
+
+
+def similarities(a: np.ndarray, b: np.ndarray | None, grams: list[np.ndarray], threshold: tuple[int, int], dims: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sets a, or of a (rows) and b (columns), reach the threshold: a boolean matrix, exact; and the similarities."""
     every = a if b is None else np.concatenate([a, b])
     m, n = len(a), len(every)
     size = np.array([len(grams[i]) for i in every], np.int64)
@@ -145,7 +216,7 @@ def linked(a: np.ndarray, b: np.ndarray | None, grams: list[np.ndarray], thresho
     out = down * shared >= up * both
     if b is None:
         np.fill_diagonal(out, False)
-    return out
+    return out, shared / np.maximum(both, 1)
 
 
 def _trees(link: np.ndarray) -> np.ndarray:
@@ -162,7 +233,7 @@ def _trees(link: np.ndarray) -> np.ndarray:
 
 def verify(rows: pa.Table, n: int, threshold: tuple[int, int]) -> pa.Table:
     """Links of a group of components, or of the pair of parts (i, j) of one."""
-    out: dict[str, list] = {"node": [], "other": [], "links": []}
+    out: dict[str, list] = {c.split()[0]: [] for c in _VERIFIED.split(", ")}
     rows = rows.take(pa.array(np.lexsort((rows["node"].to_numpy(), rows["comp"].to_numpy()))))
     node, comp, part, docs = (rows[c].to_numpy() for c in ("node", "comp", "part", "docs"))
     data, bounds = tb.text_buffer(rows["text"])
@@ -172,74 +243,88 @@ def verify(rows: pa.Table, n: int, threshold: tuple[int, int]) -> pa.Table:
     once[1:] = node[1:] != node[:-1]  # repeated rows bring a node's text again
     i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
     starts = np.flatnonzero(np.append(True, comp[1:] != comp[:-1]))
+    low = threshold[0] / threshold[1]
     for lo, hi in zip(starts, np.append(starts[1:], len(comp)), strict=True):
         at = lo + np.flatnonzero(once[lo:hi])
         grams = {k: np.unique(every[first[k] : first[k + 1]]) for k in at.tolist()}
         if i == j:
-            link = linked(at, None, grams, threshold)
-            label = _trees(link)
-            counts = link @ docs[at]
-            tied = np.flatnonzero(label != np.arange(len(at)))
-            a, b = at[tied], at[label[tied]]
+            whole, alike = similarities(at, None, grams, threshold)
+            found = alike[np.triu(whole)]
         else:
             here, there = at[part[at] == i], at[part[at] == j]
             if not len(here) or not len(there):
                 continue
-            link = linked(here, there, grams, threshold)
+            link, alike = similarities(here, there, grams, threshold)
+            found = alike[link]
             whole = np.zeros((len(here) + len(there),) * 2, bool)
             whole[: len(here), len(here) :] = link
             whole[len(here) :, : len(here)] = link.T
-            label = _trees(whole)
             at = np.concatenate([here, there])
-            counts = whole @ docs[at]
-            tied = np.flatnonzero(label != np.arange(len(at)))
-            a, b = at[tied], at[label[tied]]
-        out["node"] += [node[a], node[at]]
-        out["other"] += [node[b], node[at]]
-        out["links"] += [np.zeros(len(a), np.int64), counts.astype(np.int64)]
+        label = _trees(whole)
+        tied = np.flatnonzero(label != np.arange(len(at)))
+        bins = np.bincount(np.minimum(((found - low) / max(1 - low, 1e-9) * _BINS).astype(np.int64), _BINS - 1), minlength=_BINS)
+        some = np.flatnonzero(bins)
+        a, z = at[tied], np.zeros(len(tied), np.int64)
+        out["node"] += [node[a], node[at], np.zeros(len(some), np.int64)]
+        out["other"] += [node[at[label[tied]]], node[at], np.zeros(len(some), np.int64)]
+        out["links"] += [z, (whole @ docs[at]).astype(np.int64), np.zeros(len(some), np.int64)]
+        out["bin"] += [np.full(len(tied) + len(at), -1), some]
+        out["pairs"] += [np.zeros(len(tied) + len(at), np.int64), bins[some]]
+        out["comp"].append(np.full(len(tied) + len(at) + len(some), comp[lo]))
     return tb.table_of(_VERIFIED, {c: np.concatenate(v) if v else [] for c, v in out.items()})
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.995, trees: int = 16, depth: int = 10, part_nodes: int = 2048, group_bytes: int = 4 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.9995, trees: int = 16, depth: int = 10, part_nodes: int = 2048, part_bytes: int = 16 << 20, group_bytes: int = 4 << 20) -> DataFrame:
     """Texts whose sets of n-word shingles have a Jaccard similarity of ``threshold`` or more are linked.
 
     Words are blank-separated, with A-Z lower-cased; a text of fewer than n words is one shingle. Returns a row for each row
     of ``docs``: doc_id (null stays null), class_id (the smallest doc_id that a chain of links leads to), copy_id (the
     smallest doc_id of the rows with the same words), n_links (other rows that it is linked to, copies included),
     n_words, row (a hash of doc_id and text) and root (a number of the class). Null and blank texts have no links and are their own class; classes
-    without any doc_id have a null class_id. An empty table gives none; other columns are not read.
+    without any doc_id have a null class_id. A text of any length is read whole. An empty table gives none; other columns
+    are not read. ``recall`` is the part of all linked pairs at which prefixes are no more shortened; components that take
+    more than 60 rounds to settle, which needs chains beyond 2**30, stop the query.
     """
-    prefix = prefix_length(threshold[0] / threshold[1], recall, trees, depth)
+    low = threshold[0] / threshold[1]
+    steps = lengths(low, recall, trees, depth)
     row = F.xxhash64(F.col(key), F.col(text))
     picked = docs.select(row.alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    signed = stored(picked.mapInArrow(_sign(trees, prefix, n), _SIGNED))
-
-    nodes = signed.groupBy("node").agg(F.count("*").alias("docs"), F.min("doc_id").alias("copy_id"), F.min("row").alias("row"))
-    forest = signed.where("n_words > 0").select("node", "trees").mapInArrow(_unpack(trees), "tree int, below bigint, node bigint").distinct()
-    tops = forest.groupBy("tree", "below").agg(F.min("node").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = forest.join(tops, ["tree", "below"]).where("node <> top").select(F.col("node").alias("u"), F.col("top").alias("v"))
-    grown = components(ties)
-
-    members = grown.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(grown.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-    sizes = grown.groupBy(F.col("v").alias("comp")).agg((F.count("*") + 1).alias("size"))
-    parts = F.ceil(F.col("size") / part_nodes).cast("int")
-    placed = members.join(sizes, "comp").join(nodes, "node").select("node", "comp", "docs", "row", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    texts = picked.select("row", "text").join(placed, "row")
+    signed = stored(picked.mapInArrow(_sign(trees, depth, n), _SIGNED))
+    nodes = signed.groupBy("node").agg(F.count("*").alias("docs"), F.min("doc_id").alias("copy_id"), F.min("row").alias("row"), F.max("octets").alias("octets"))
+    ties = stored(forest(signed, trees, steps[-1]))
+
     groups = max(1, total // group_bytes)
     pair = lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j"))
-    spread = texts.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), pair)))
-    own = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.col("comp"))
-    dealt = spread.select(own.alias("own"), (F.col("parts") > 1).alias("large"), F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "comp", "part", "node", "docs", "text")
-    verified = stored(dealt.groupBy("own", "large", "i", "j").applyInArrow(lambda rows: verify(rows, n, threshold), _VERIFIED))
-
+    grown = verified = known = None
+    for at, length in enumerate(steps):
+        new = ties.where((F.col("depth") >= length) & (F.col("depth") < (steps[at - 1] if at else depth + 1))).select("u", "v")
+        grown = components(new if grown is None else new.unionByName(grown))
+        members = grown.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(grown.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        placed = members.join(nodes, "node")
+        sizes = stored(placed.groupBy("comp").agg(F.count("*").alias("size"), F.sum("octets").alias("octets")))
+        fresh = sizes if known is None else sizes.join(known, ["comp", "size"], "left_anti")  # a component only grows, so of one size it is the same
+        parts = F.greatest(F.ceil(F.col("size") / part_nodes), F.ceil(F.col("all_octets") / part_bytes)).cast("int")
+        cut = placed.join(fresh.select("comp", "size", F.col("octets").alias("all_octets")), "comp").select("node", "comp", "docs", "row", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+        texts = picked.select("row", "text").join(cut, "row")
+        spread = texts.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), pair)))
+        own = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.col("comp"))
+        dealt = spread.select(own.alias("own"), (F.col("parts") > 1).alias("large"), F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "comp", "part", "node", "docs", "text")
+        found = stored(dealt.groupBy("own", "large", "i", "j").applyInArrow(lambda rows: verify(rows, n, threshold), _VERIFIED))
+        verified = found if verified is None else stored(verified.join(fresh.select("comp"), "comp", "left_anti").join(sizes.select("comp"), "comp", "left_semi").unionByName(found))
+        known = sizes.select("comp", "size")
+        pairs = {r.bin: r.n for r in verified.where("bin >= 0").groupBy("bin").agg(F.sum("pairs").alias("n")).collect()}
+        if estimated_recall(pairs, low, length, trees) >= recall:
+            break
+
+    verified = verified.where("bin < 0")
     roots = components(verified.where("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.join(roots, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("v", "node")).join(links, "node", "left")
-    known = known.select("node", "root", "docs", "copy_id", F.coalesce("links", F.lit(0)).alias("links"))
-    least = known.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    facts = known.join(least, "root").select("node", "root", "class_id", "copy_id", (F.col("links") + F.col("docs") - 1).alias("n_links"))
-    return signed.drop("trees").join(facts, "node").select("doc_id", "class_id", "copy_id", F.when(F.col("n_words") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"), "n_words", "row", "root")
+    named = nodes.join(roots, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("v", "node")).join(links, "node", "left")
+    named = named.select("node", "root", "docs", "copy_id", F.coalesce("links", F.lit(0)).alias("links"))
+    least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    facts = named.join(least, "root").select("node", "root", "class_id", "copy_id", (F.col("links") + F.col("docs") - 1).alias("n_links"))
+    return signed.drop("paths", "octets").join(facts, "node").select("doc_id", "class_id", "copy_id", F.when(F.col("n_words") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"), "n_words", "row", "root")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

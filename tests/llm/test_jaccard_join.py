@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from surelake.llm.components import components
-from surelake.llm.jaccard_join import near_duplicates, one_of_each, prefix_length
+from surelake.llm import jaccard_join as module
+from surelake.llm.jaccard_join import estimated_recall, forest, lengths, meets, near_duplicates, one_of_each
 from tests.llm.cases import DOCS, awkward, frame, prose
 
 
@@ -46,7 +47,7 @@ def near_copies(k: int, base: int, seed: int, words: int = 120):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"part_nodes": 7, "group_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"part_nodes": 7, "group_bytes": 2000}, {"part_bytes": 3000}])
 def test_equals_brute_force(spark, options):
     rows = awkward() + near_copies(40, 1000, 5) + near_copies(3, 2000, 6) + [("s", 3000 + i, prose(i, 40 + i), "en", 1, 1, "k") for i in range(20)] + near_copies(1, 990, 5)
     found = near_duplicates(frame(spark, rows), **options).select("doc_id", "class_id", "n_links", "n_words").collect()
@@ -78,8 +79,54 @@ def test_components(spark):
     assert found == {a: b for a, b in label.items() if a != b}
 
 
-def test_prefix_shortens_until_the_recall():
-    lengths = [prefix_length(0.8, r, 16, 10) for r in (0.5, 0.9, 0.99, 0.999, 0.9999999)]
-    assert lengths == sorted(lengths, reverse=True)
-    for r, k in zip((0.5, 0.9, 0.99, 0.999), lengths, strict=False):
-        assert 1 - (1 - 0.8**k) ** 16 >= r > 1 - (1 - 0.8 ** (k + 1)) ** 16 or k == 10
+def test_prefixes_shorten_until_the_recall():
+    for threshold in (0.5, 0.7, 0.8, 0.9):
+        for recall in (0.9, 0.99, 0.9995):
+            steps = lengths(threshold, recall, 16, 10)
+            assert steps[0] == 10 and steps == sorted(set(steps), reverse=True)
+            assert meets(threshold, steps[-1], 16) >= recall or steps[-1] == 1
+    alike, apart = {19: 1000}, {0: 1000}
+    assert estimated_recall(alike, 0.8, 10, 16) > 0.9995 > estimated_recall(apart, 0.8, 5, 16)
+    assert estimated_recall(apart, 0.8, 4, 16) > 0.9995 and estimated_recall({}, 0.8, 10, 16) == 0.0
+
+
+def test_shared_depth_and_ties_across_partitions(spark):
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 3, (60, 4, 5))  # few values, so that paths share prefixes
+    raw = [(int(i), 1, b"".join(values[i, t].astype(">u2").tobytes() for t in range(4))) for i in range(60)]
+    signed = spark.createDataFrame(raw, "node bigint, n_words bigint, paths binary").repartition(3)
+    found = {(min(r.u, r.v), max(r.u, r.v), r.depth) for r in forest(signed, 4, 1).collect()}
+    label = {k: {i: i for i in range(60)} for k in range(1, 6)}
+    for k in label:  # nodes tied at k are those that share a prefix of k
+        near = {(a, b) for a, b, d in found if d >= k}
+        for _ in range(60):
+            for a, b in near:
+                label[k][a] = label[k][b] = min(label[k][a], label[k][b])
+        for t in range(4):
+            for a in range(60):
+                for b in range(a):
+                    if (values[a, t, :k] == values[b, t, :k]).all():
+                        assert label[k][a] == label[k][b]
+        assert all(any((values[a, t, :k] == values[b, t, :k]).all() for t in range(4)) for a, b in near)
+
+
+def test_lengths_are_not_shortened_more_than_the_pairs_ask(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(module, "estimated_recall", lambda *a: asked.append(a[2]) or estimated_recall(*a))
+    rows = [("s", i, prose(i, 300, 5000), "en", 1, 1, "k") for i in range(20)]
+    close = [("s", 100 + i, prose(i, 300, 5000) + " end", "en", 1, 1, "k") for i in range(20)]
+    assert {r.n_links for r in near_duplicates(frame(spark, rows + close)).collect()} == {1} and asked == [10]
+    far = [("s", 100 + i, prose(i, 270, 5000) + " " + prose(900 + i, 33, 5000), "en", 1, 1, "k") for i in range(20)]
+    found = near_duplicates(frame(spark, rows + far)).select("doc_id", "class_id", "n_links", "n_words").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, brute(rows + far))) and len(asked) > 2
+
+
+@pytest.mark.parametrize("threshold", [(1, 2), (7, 10), (4, 5), (9, 10)])
+def test_recall_against_brute_force(spark, threshold):
+    rows = [r for seed in range(25) for r in near_copies(5, 1000 + 10 * seed, seed)]
+    up, down = threshold
+    own = [x for _, x in sets(rows)]
+    texts = [r[2] for r in rows]
+    expected = sum(len(x & y) * down >= up * len(x | y) and a != b for a, x in enumerate(own) for b, y in enumerate(own))
+    found = sum(r.n_links for r in near_duplicates(frame(spark, rows), threshold=threshold).collect())
+    assert len(set(texts)) > 80 and expected > 50 and found <= expected and found >= 0.995 * expected

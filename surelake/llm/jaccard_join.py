@@ -3,15 +3,15 @@
 1. Each text's set of word n-grams gets a signature of ``depth`` MinHash values for every
    tree. A tree is the texts sorted by signature, a prefix trie laid flat: the texts below a
    prefix are neighbours, and the prefix that two neighbours share tells at which depth
-   their paths part. So a tree is written as its neighbours and their shared prefixes, one row a text,
-   and a hot prefix is a chain, not a star. Texts with equal words are one node.
-2. Matched prefixes are shortened step by step, from the full depth on. At each length,
-   the neighbours that share as much tie the nodes into candidate components; those that
-   changed since the last length are verified, all pairs, on the exact sets.
+   their paths part. So a tree is written with one row a text: the first text
+   below the same branch, and the depth of the branch. Texts with equal words are one node.
+2. Matched prefixes are shortened from the full depth on. At each length, the branches of that depth or
+   more tie the nodes into candidate components; those that changed since the last
+   length are verified, all pairs, on the exact sets.
 3. A pair of similarity s meets in one of the trees at length k with probability
    P = 1 - (1 - s**k)**trees. So the pairs found so far estimate how many there are, the sum of 1 / P over
-   them, and shortening ends once they are the target recall of that sum; at the latest at the
-   length at which a pair at the threshold itself would meet with that probability.
+   them. Shortening ends once they are the target recall of that sum; else it goes on at the longest
+   prefix that would give it, at the latest that at which a pair at the threshold itself would meet with that probability.
 4. Small components are packed into groups, large ones are cut into parts by
    nodes and bytes, and every pair of parts is one group, so that no task holds more than two parts. There,
    counts of shared n-grams are products of 0/1 matrices. Groups return each node's
@@ -45,13 +45,9 @@ def meets(similarity: float | np.ndarray, length: int, trees: int):
     return 1 - (1 - similarity**length) ** trees
 
 
-def lengths(threshold: float, recall: float, trees: int, depth: int) -> list[int]:
-    """The prefix lengths to go through, each about two thirds of the one before, down to the longest that gives a pair at the threshold the target recall."""
-    last = next((k for k in range(depth, 1, -1) if meets(threshold, k, trees) >= recall), 1)
-    out = [depth]
-    while out[-1] > last:
-        out.append(max(last, out[-1] * 2 // 3 + (out[-1] > 8)))
-    return out
+def shortest(threshold: float, recall: float, trees: int, depth: int) -> int:
+    """The longest prefix with which a pair at the threshold meets with the target recall: none shorter is ever asked for."""
+    return next((k for k in range(depth, 1, -1) if meets(threshold, k, trees) >= recall), 1)
 
 
 def estimated_recall(pairs: dict[int, int], threshold: float, length: int, trees: int) -> float:
@@ -61,6 +57,11 @@ def estimated_recall(pairs: dict[int, int], threshold: float, length: int, trees
     return found / every if found else 0.0
 
 
+def next_length(pairs: dict[int, int], threshold: float, recall: float, length: int, least: int, trees: int) -> int:
+    """The length to go on with: ``length`` if the recall is reached there, else the longest shorter one that would reach it for pairs like these."""
+    return next((k for k in range(length, least, -1) if estimated_recall(pairs, threshold, k, trees) >= recall), least)
+
+
 def shingles(w: tb.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each document's n-grams, repeats included, and where each document's begin. A shorter text is one n-gram."""
     size = np.diff(w.first)
@@ -146,23 +147,46 @@ def shared_depth(paths: np.ndarray, trees: np.ndarray) -> np.ndarray:
     return np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1)
 
 
+def branches(depth: np.ndarray, node: np.ndarray, begun: dict[int, int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, first node of the run of rows that share as much, depth) of each row that shares ``least`` values or more with the one before.
+
+    ``begun`` has, for each depth, the first node of the run that the rows before end with, and is brought up to date.
+    """
+    u, v, d = [], [], []
+    place = np.arange(len(depth))
+    for k in range(least, int(depth.max(initial=0)) + 1):
+        at = np.maximum.accumulate(np.where(depth < k, place, -1))
+        rows = np.flatnonzero(depth == k)
+        first = np.where(at[rows] >= 0, node[at[rows]], begun.get(k, 0))
+        keep = first != node[rows]
+        u.append(node[rows][keep])
+        v.append(first[keep])
+        d.append(np.full(int(keep.sum()), k))
+    for k in begun:
+        parted = np.flatnonzero(depth < k)
+        if len(parted):
+            begun[k] = int(node[parted[-1]])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v, d))
+
+
 def _neighbours(least: int, ends: bool):
-    """(u, v, depth) of neighbours in sorted rows that share ``least`` values or more. With ``ends``, also the first and the last row: (node, null, tree, path)."""
+    """(u, v, depth) of the branches in sorted rows. With ``ends``, also the first and the last row: (node, null, tree, path)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, begun = None, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             tree, node = batch.column("tree").to_numpy(), batch.column("node").to_numpy()
             paths = np.frombuffer(b"".join(batch.column("path").to_pylist()), ">u2").reshape(len(node), -1)
             first = [(int(node[0]), int(tree[0]), paths[0].tobytes())] if ends and last is None else []
-            if last is not None:
-                tree, node, paths = np.append(last[0], tree), np.append(last[1], node), np.concatenate([last[2], paths])
-            depth = shared_depth(paths, tree)
-            at = np.flatnonzero((depth >= least) & (node[1:] != node[:-1]))
+            if last is None:
+                begun = {k: int(node[0]) for k in range(least, paths.shape[1] + 1)}
+                depth = np.append(0, shared_depth(paths, tree))
+            else:
+                depth = shared_depth(np.concatenate([last[2], paths]), np.append(last[0], tree))
             last = tree[-1:], node[-1:], paths[-1:]
-            yield _ties(node[at + 1], node[at], depth[at], first)
+            yield _ties(*branches(depth, node, begun, least), first)
         if ends and last is not None:
             none = np.zeros(0, np.int64)
             yield _ties(none, none, none, [(int(last[1][0]), int(last[0][0]), last[2][0].tobytes())])
@@ -176,7 +200,7 @@ def _ties(u: np.ndarray, v: np.ndarray, depth: np.ndarray, ends: list[tuple[int,
 
 
 def forest(signed: DataFrame, trees: int, least: int) -> DataFrame:
-    """(u, v, depth): the neighbours in every tree that share a prefix of ``least`` values or more, and its length.
+    """(u, v, depth): of every tree, each node with the first one below the branch of ``least`` values or more that it parts from, and the branch's depth.
 
     The rows are sorted by range, so a prefix that a third of all texts share takes as many tasks as its texts need; the ends
     of the sorted partitions are neighbours too, and are tied in one more look at two rows a partition.
@@ -286,19 +310,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     more than 60 rounds to settle, which needs chains beyond 2**30, stop the query.
     """
     low = threshold[0] / threshold[1]
-    steps = lengths(low, recall, trees, depth)
+    least = shortest(low, recall, trees, depth)
     row = F.xxhash64(F.col(key), F.col(text))
     picked = docs.select(row.alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     signed = stored(picked.mapInArrow(_sign(trees, depth, n), _SIGNED))
     nodes = signed.groupBy("node").agg(F.count("*").alias("docs"), F.min("doc_id").alias("copy_id"), F.min("row").alias("row"), F.max("octets").alias("octets"))
-    ties = stored(forest(signed, trees, steps[-1]))
+    ties = stored(forest(signed, trees, least))
 
     groups = max(1, total // group_bytes)
     pair = lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j"))
     grown = verified = known = None
-    for at, length in enumerate(steps):
-        new = ties.where((F.col("depth") >= length) & (F.col("depth") < (steps[at - 1] if at else depth + 1))).select("u", "v")
+    length, before = depth, depth + 1
+    while True:
+        new = ties.where((F.col("depth") >= length) & (F.col("depth") < before)).select("u", "v")
         grown = components(new if grown is None else new.unionByName(grown))
         members = grown.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(grown.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         placed = members.join(nodes, "node")
@@ -314,7 +339,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         verified = found if verified is None else stored(verified.join(fresh.select("comp"), "comp", "left_anti").join(sizes.select("comp"), "comp", "left_semi").unionByName(found))
         known = sizes.select("comp", "size")
         pairs = {r.bin: r.n for r in verified.where("bin >= 0").groupBy("bin").agg(F.sum("pairs").alias("n")).collect()}
-        if estimated_recall(pairs, low, length, trees) >= recall:
+        before, length = length, next_length(pairs, low, recall, length, least, trees)
+        if length == before:
             break
 
     verified = verified.where("bin < 0")
@@ -322,8 +348,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(roots, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("v", "node")).join(links, "node", "left")
     named = named.select("node", "root", "docs", "copy_id", F.coalesce("links", F.lit(0)).alias("links"))
-    least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    facts = named.join(least, "root").select("node", "root", "class_id", "copy_id", (F.col("links") + F.col("docs") - 1).alias("n_links"))
+    smallest = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    facts = named.join(smallest, "root").select("node", "root", "class_id", "copy_id", (F.col("links") + F.col("docs") - 1).alias("n_links"))
     return signed.drop("paths", "octets").join(facts, "node").select("doc_id", "class_id", "copy_id", F.when(F.col("n_words") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"), "n_words", "row", "root")
 
 

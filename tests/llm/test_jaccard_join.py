@@ -5,7 +5,7 @@ import pytest
 
 from surelake.llm.components import components
 from surelake.llm import jaccard_join as module
-from surelake.llm.jaccard_join import estimated_recall, forest, lengths, meets, near_duplicates, one_of_each
+from surelake.llm.jaccard_join import branches, estimated_recall, forest, meets, near_duplicates, next_length, one_of_each, shortest
 from tests.llm.cases import DOCS, awkward, frame, prose
 
 
@@ -82,12 +82,13 @@ def test_components(spark):
 def test_prefixes_shorten_until_the_recall():
     for threshold in (0.5, 0.7, 0.8, 0.9):
         for recall in (0.9, 0.99, 0.9995):
-            steps = lengths(threshold, recall, 16, 10)
-            assert steps[0] == 10 and steps == sorted(set(steps), reverse=True)
-            assert meets(threshold, steps[-1], 16) >= recall or steps[-1] == 1
+            k = shortest(threshold, recall, 16, 10)
+            assert meets(threshold, k, 16) >= recall or k == 1
+            assert k == 10 or meets(threshold, k + 1, 16) < recall
     alike, apart = {19: 1000}, {0: 1000}
-    assert estimated_recall(alike, 0.8, 10, 16) > 0.9995 > estimated_recall(apart, 0.8, 5, 16)
-    assert estimated_recall(apart, 0.8, 4, 16) > 0.9995 and estimated_recall({}, 0.8, 10, 16) == 0.0
+    assert next_length(alike, 0.8, 0.9995, 10, 4, 16) == 10 and next_length(apart, 0.8, 0.9995, 10, 4, 16) == 4
+    assert 10 > next_length({19: 1000, 3: 60}, 0.8, 0.9995, 10, 4, 16) > 4
+    assert next_length({}, 0.8, 0.9995, 10, 4, 16) == 4 and next_length(apart, 0.8, 0.9995, 4, 4, 16) == 4
 
 
 def test_shared_depth_and_ties_across_partitions(spark):
@@ -110,15 +111,26 @@ def test_shared_depth_and_ties_across_partitions(spark):
         assert all(any((values[a, t, :k] == values[b, t, :k]).all() for t in range(4)) for a, b in near)
 
 
+def test_branches_over_batches_are_those_in_one_go():
+    rng = np.random.default_rng(3)
+    depth, node = rng.integers(0, 6, 200), rng.permutation(200)
+    depth[0] = 0
+    whole = sorted(zip(*(x.tolist() for x in branches(depth, node, {k: int(node[0]) for k in range(1, 7)}, 1)), strict=True))
+    begun, parts = {k: int(node[0]) for k in range(1, 7)}, []
+    for lo in range(0, 200, 7):
+        parts += zip(*(x.tolist() for x in branches(depth[lo : lo + 7], node[lo : lo + 7], begun, 1)), strict=True)
+    assert sorted(parts) == whole and len(whole) == int((depth > 0).sum())
+
+
 def test_lengths_are_not_shortened_more_than_the_pairs_ask(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(module, "estimated_recall", lambda *a: asked.append(a[2]) or estimated_recall(*a))
     rows = [("s", i, prose(i, 300, 5000), "en", 1, 1, "k") for i in range(20)]
     close = [("s", 100 + i, prose(i, 300, 5000) + " end", "en", 1, 1, "k") for i in range(20)]
-    assert {r.n_links for r in near_duplicates(frame(spark, rows + close)).collect()} == {1} and asked == [10]
+    assert {r.n_links for r in near_duplicates(frame(spark, rows + close)).collect()} == {1} and set(asked) == {10}
     far = [("s", 100 + i, prose(i, 270, 5000) + " " + prose(900 + i, 33, 5000), "en", 1, 1, "k") for i in range(20)]
     found = near_duplicates(frame(spark, rows + far)).select("doc_id", "class_id", "n_links", "n_words").collect()
-    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, brute(rows + far))) and len(asked) > 2
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, brute(rows + far))) and min(asked) < 10
 
 
 @pytest.mark.parametrize("threshold", [(1, 2), (7, 10), (4, 5), (9, 10)])

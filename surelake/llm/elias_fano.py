@@ -122,67 +122,98 @@ def _unpack(packed: np.ndarray, i: np.ndarray, bits: int) -> np.ndarray:
     return value & U((1 << bits) - 1)
 
 
+#: What codes stand for: 0 for nothing, 1 to 4095 for powers of ten from 1 down to 10**-9, closer together near 1, where
+#: logarithms are small. The same in every trie, whatever it holds.
+_NEAR = 0.05
+_RATE = np.log((9 + _NEAR) / _NEAR) / 4094
+BOOK = np.append(-np.inf, _NEAR - _NEAR * np.exp(_RATE * np.arange(4095)))
+
+
+def coded(logs: np.ndarray) -> np.ndarray:
+    """The nearest code of each log10; 4095 for all below the last one."""
+    return (np.clip(np.rint(np.log((_NEAR - logs) / _NEAR) / _RATE), 0, 4094) + 1).astype(np.uint16)
+
+
 class Level:
-    """Contexts and, relative to each, its successors with quantised values.
+    """A trie level: for each parent, its successors in ascending order, each with a code.
 
-    Contexts are one Elias-Fano sequence, the pointers to each one's successors another. Successors ascend within a context;
-    each is stored plus the last stored value of the context before, so that all of them make one monotone sequence.
+    The pointers to each parent's first successor are one Elias-Fano sequence. A successor is stored plus the last stored value of
+    the parent before, so that all of them make another; it is found by a search relative to its parent's base.
     """
 
-    def __init__(self, context: np.ndarray, successor: np.ndarray, value: np.ndarray, codes: int = 255):
-        """Sorted pairs of (context, successor), 32 bits each, and a number for each."""
-        n = len(context)
-        new = np.ones(n, bool)
-        new[1:] = context[1:] != context[:-1]
-        begin = np.flatnonzero(new)
-        self.contexts = Sequence(context[begin])
-        self.pointers = Sequence(np.append(begin, n))
-        last = successor[np.append(begin[1:], n) - 1].astype(U) + U(1) if n else np.zeros(0, U)
-        base = np.append(U(0), np.cumsum(last, dtype=U)[:-1]) if n else np.zeros(0, U)
-        rank = np.cumsum(new) - 1
-        self.successors = Sequence(successor.astype(U) + base[rank] if n else np.zeros(0, U))
-        code, self.book = quantised(value, codes)
+    def __init__(self, parents: int, parent: np.ndarray, successor: np.ndarray, code: np.ndarray):
+        """Rows sorted by (parent, successor): the parent's place in the level above, 32 bits, a code."""
+        n = len(parent)
+        count = np.bincount(parent, minlength=parents)
+        ends = np.cumsum(count)
+        self.pointers = Sequence(np.append(0, ends))
+        last = np.zeros(parents, U)
+        some = count > 0
+        last[some] = successor[ends[some] - 1].astype(U) + U(1)
+        base = np.cumsum(last, dtype=U) - last
+        self.successors = Sequence(successor.astype(U) + base[parent] if n else np.zeros(0, U))
         (self.code,) = mapped([code])
 
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The code of each pair, 0 for pairs that are not there. Pairs are sorted by context."""
-        out = np.zeros(len(context), np.uint8)
-        if not self.contexts.n or not len(context):
+    def find(self, parent: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """The place of each successor of its parent, -1 where it is not; parents of -1 have none."""
+        out = np.full(len(parent), -1, np.int64)
+        if not self.successors.n:
             return out
-        new = np.ones(len(context), bool)
-        new[1:] = context[1:] != context[:-1]
-        which = np.cumsum(new) - 1
-        asked = context[new].astype(U)
-        place = self.contexts.successor(asked)
-        there = place < self.contexts.n
-        there[there] = self.contexts.access(place[there]) == asked[there]
-        place = np.where(there, place, 0)
-        lo, hi = self.pointers.access(place).astype(np.int64), self.pointers.access(place + 1).astype(np.int64)
+        some = np.flatnonzero(parent >= 0)
+        asked, which = np.unique(parent[some], return_inverse=True)
+        lo, hi = self.pointers.access(asked).astype(np.int64), self.pointers.access(asked + 1).astype(np.int64)
         base = np.where(lo > 0, self.successors.access(np.maximum(lo - 1, 0)) + U(1), U(0))
-        some = np.flatnonzero(there[which])
-        if not len(some):
-            return out
-        w = which[some]
-        target = successor[some].astype(U) + base[w]
+        target = successor[some].astype(U) + base[which]
         at = self.successors.successor(target)
-        ok = at < hi[w]
+        ok = at < hi[which]
         ok[ok] = self.successors.access(at[ok]) == target[ok]
-        out[some[ok]] = self.code[at[ok]]
+        out[some[ok]] = at[ok]
+        return out
+
+    def nbytes(self) -> int:
+        return self.pointers.nbytes() + self.successors.nbytes() + self.code.nbytes
+
+
+class Trie:
+    """Contexts u, their successors v and the successors w of (u, v), in levels with pointers from each to the next.
+
+    Codes are quantised smoothed probabilities: of v after u, count(u, v) / (count(u) + mu[0]), and of w after (u, v),
+    count(u, v, w) / (count(u, v) + mu[1]).
+    """
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray, of_u: np.ndarray, mu: tuple[float, float], end: int):
+        """Distinct paths in ascending order with their counts, and the count of each one's u. A w of ``end`` is no successor: the path ends at v."""
+        n = len(u)
+        new_u = np.ones(n, bool)
+        new_u[1:] = u[1:] != u[:-1]
+        new_v = new_u.copy()
+        new_v[1:] |= v[1:] != v[:-1]
+        begin = np.flatnonzero(new_v)
+        pair = np.cumsum(new_v) - 1
+        of_pair = np.add.reduceat(count, begin) if n else np.zeros(0, np.int64)
+        self.contexts = Sequence(u[new_u])
+        self.second = Level(int(new_u.sum()), (np.cumsum(new_u) - 1)[begin], v[begin], coded(np.log10(of_pair / (of_u[begin] + mu[0]))))
+        on = w != end
+        self.third = Level(len(begin), pair[on], w[on], coded(np.log10(count[on] / (of_pair[pair[on]] + mu[1]))))
+
+    def find(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """[paths, 2]: the codes of v after u and of w after (u, v); 0 for what is not there. Paths ascend."""
+        out = np.zeros((len(u), 2), np.uint16)
+        if not self.contexts.n or not len(u):
+            return out
+        new_u = np.ones(len(u), bool)
+        new_u[1:] = u[1:] != u[:-1]
+        new_v = new_u.copy()
+        new_v[1:] |= v[1:] != v[:-1]
+        place = self.contexts.successor(u[new_u])
+        there = place < self.contexts.n
+        there[there] = self.contexts.access(place[there]) == u[new_u][there]
+        context = np.where(there, place.astype(np.int64), -1)[np.cumsum(new_u) - 1]
+        pair = self.second.find(context[new_v], v[new_v])[np.cumsum(new_v) - 1]
+        out[pair >= 0, 0] = self.second.code[pair[pair >= 0]]
+        path = self.third.find(pair, w)
+        out[path >= 0, 1] = self.third.code[path[path >= 0]]
         return out
 
     def nbytes(self) -> int:
-        return self.contexts.nbytes() + self.pointers.nbytes() + self.successors.nbytes() + self.code.nbytes
-
-
-def quantised(value: np.ndarray, codes: int = 255) -> tuple[np.ndarray, np.ndarray]:
-    """Codes from 1, and what each stands for (0: nothing): the values themselves if they are few, else means of bins of equal width."""
-    distinct = np.unique(value)
-    if len(distinct) <= codes:
-        book = distinct
-        code = np.searchsorted(distinct, value) + 1
-    else:
-        span = (value - value.min()) / (value.max() - value.min())
-        code = np.minimum((span * codes).astype(np.int64), codes - 1) + 1
-        count = np.bincount(code, minlength=codes + 1)[1:]
-        book = np.bincount(code, value, codes + 1)[1:] / np.maximum(count, 1)
-    return code.astype(np.uint8), np.append(-np.inf, book).astype(np.float32)
+        return self.contexts.nbytes() + self.second.nbytes() + self.third.nbytes()

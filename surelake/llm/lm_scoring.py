@@ -1,64 +1,83 @@
-"""Language-model scoring with a bigram trie of Elias-Fano levels.
+"""Language-model scoring with a trigram trie of Elias-Fano levels.
 
 Blocks of documents first ask for the corpus counts of their tokens, by buckets of
-the token's hash. Knowing them, they ask for their token pairs, by buckets of the
-context; a frequent context is split by successor into as many parts as its count
-calls for, so no bucket grows with one word. A bucket adds up the training counts of
-its pairs, builds one trie level of them in a memory map - contexts, monotone
-pointers, successors relative to their context, quantised smoothed probabilities -
-and looks up every pair that was asked. Probabilities are Dirichlet-smoothed: the trie
-has count / (context's count + mu), to which the unigram share mu / (...) * p(token)
-is added. Counts are gathered from the whole training corpus; nothing goes to the driver.
+the token's hash. Knowing them, they ask for their paths (u, v, w), three tokens in a row, by
+buckets of u; a frequent u is split by v into as many contexts as its count calls for, so no bucket
+grows with one word. Equal paths of many blocks are added up on the way (``textblocks.Exchange``). A
+bucket lays the training paths down as a trie in memory maps: contexts u, monotone pointers to
+their successors v, and from these to the successors w of (u, v), each relative to its parent, with quantised smoothed
+probabilities. Then every path that was asked is looked up in it, trained or not.
+
+Probabilities are Dirichlet-smoothed at each order: the trie has count(u, v, w) / (count(u, v) +
+mu), to which mu / (count(u, v) + mu) times the next shorter probability is added, and so on down to the add-one unigram.
+Counts are gathered from the whole training corpus; nothing goes to the driver. The totals
+of all tokens and kinds travel as paths of their own: each token is counted by one of its askers.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from surelake.llm import samples
 from surelake.llm import textblocks as tb
-from surelake.llm.elias_fano import Level
+from surelake.llm.elias_fano import BOOK, Trie
 
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 END, BEGIN = tb.U(0x5851F42D4C957F2D), tb.U(0x14057B7EF767814F)
+#: The w of a path that ends at v: the text does, or the next token is not known.
+NONE = 0xFFFFFFFF
+_TOTALS = 16  # paths (0, 0, i): eight bytes of the training tokens, eight of their kinds
+
+
+def pack_paths(k: tb.Keys) -> bytes:
+    """Each context once, with its count and how many pairs it has; each pair's v, with how many paths; each path's w and count."""
+    u, v, w = split_up(k)
+    new_u = np.ones(len(u), bool)
+    new_u[1:] = u[1:] != u[:-1]
+    new_v = new_u.copy()
+    new_v[1:] |= v[1:] != v[:-1]
+    pairs = np.flatnonzero(new_v)
+    runs = lambda starts, n: tb.small_counts(np.diff(np.append(starts, n)))
+    contexts = tb.pack_sorted(u[new_u] << tb.U(24), 3)
+    return tb.sections(contexts, tb.small_counts(k.extra[new_u]), runs(np.searchsorted(pairs, np.flatnonzero(new_u)), len(pairs)), v[new_v].astype(np.uint32).tobytes(), runs(pairs, len(u)), w.astype(np.uint32).tobytes(), tb.small_counts(k.value))
+
 
+def unpack_paths(body: bytes) -> tb.Keys:
+    contexts, of_u, pairs, v, paths, w, value = tb.from_sections(body)
+    pairs, paths = tb.from_small(pairs), tb.from_small(paths)
+    u = np.repeat(np.repeat(tb.unpack_sorted(contexts, 3) >> tb.U(24), pairs), paths)
+    extra = np.repeat(np.repeat(tb.from_small(of_u), pairs), paths)
+    return joined(u, np.repeat(np.frombuffer(v, np.uint32), paths).astype(tb.U), np.frombuffer(w, np.uint32).astype(tb.U), tb.from_small(value), extra)
 
-def small_counts(counts: np.ndarray) -> bytes:
-    """A byte each, 255 for those that follow in full."""
-    large = counts[counts >= 255].astype(np.int64)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
 
+def joined(u: np.ndarray, v: np.ndarray, w: np.ndarray, value: np.ndarray, extra: np.ndarray) -> tb.Keys:
+    """Paths of 40, 32 and 32 bits as keys that ascend as they do."""
+    return tb.Keys(u << tb.U(24) | v >> tb.U(8), (v & tb.U(255)) << tb.U(32) | w, value, extra)
 
-def from_small(body: bytes, n: int) -> tuple[np.ndarray, int]:
-    """The counts and the number of bytes they took."""
-    counts = np.frombuffer(body, np.uint8, n).astype(np.int64)
-    large = np.flatnonzero(counts == 255)
-    counts[large] = np.frombuffer(body[n : n + 8 * len(large)], np.int64)
-    return counts, n + 8 * len(large)
 
+def split_up(k: tb.Keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return k.a >> tb.U(24), (k.a & tb.U(0xFFFFFF)) << tb.U(8) | k.b >> tb.U(32), k.b & tb.U(0xFFFFFFFF)
 
-def pack_pairs(keys: np.ndarray) -> bytes:
-    """Sorted keys of a context's and a token's 32 bits: each context once, with how many tokens it has, then all tokens."""
-    context = (keys >> tb.U(32)).astype(np.uint32)
-    begin = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
-    runs = small_counts(np.diff(np.append(begin, len(keys))))
-    return np.array([len(begin), len(runs)], np.int32).tobytes() + context[begin].tobytes() + keys.astype(np.uint32).tobytes() + runs
 
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Two codes a path, of 12 bits each, their upper bits apart, deflated."""
+    planes = np.ascontiguousarray(codes.T.astype("<u2")).view(np.uint8).reshape(2, -1, 2)
+    return zlib.compress(np.ascontiguousarray(planes.transpose(0, 2, 1)).tobytes(), 1)
 
-def unpack_pairs(body: bytes) -> np.ndarray:
-    contexts, size = (int(x) for x in np.frombuffer(body, np.int32, 2))
-    runs, _ = from_small(body[len(body) - size :], contexts)
-    context = np.frombuffer(body, np.uint32, contexts, 8)
-    token = np.frombuffer(body[8 + 4 * contexts : len(body) - size], np.uint32)
-    return np.repeat(context, runs).astype(tb.U) << tb.U(32) | token
+
+def unpack_codes(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(body), np.uint8).reshape(2, 2, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u2").reshape(2, -1).T
 
 
 class _Tokens:
     """A block's tokens in order: each document's words, then one end."""
 
-    def __init__(self, table: pa.Table, buckets: int):
+    def __init__(self, table: pa.Table):
         self.table = table = tb.ordered(table)
         data, bounds = tb.text_buffer(table["text"])
         w = tb.words(data, bounds, tb.SPACED, tb.LOWER)
@@ -71,157 +90,106 @@ class _Tokens:
         self.token[ends] = END
         self.token[word] = w.hash
         self.learned = np.repeat(table["learns"].to_numpy(zero_copy_only=False).astype(bool), np.diff(self.first))
-        self.kinds = tb.distinct(self.token, tb.bucket_of(tb.mix(self.token, 77), buckets), buckets)
+        self.kinds, self.at, _ = tb.united(tb.mix(self.token, 77), None, self.learned.astype(np.int64))
 
-    def train_counts(self, d: tb.Distinct, mask: np.ndarray | None = None) -> np.ndarray:
-        learned = self.learned if mask is None else self.learned[mask]
-        return np.bincount(d.at[learned], minlength=len(d.keys))
+    def before(self, values: np.ndarray, at_begin) -> np.ndarray:
+        """Of each token, the value of the one before it."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first[:-1]] = at_begin
+        return out
 
-    def previous(self) -> np.ndarray:
-        out = np.empty_like(self.token)
-        out[1:] = self.token[:-1]
-        out[self.first[:-1]] = BEGIN
+    def after(self, values: np.ndarray, at_end) -> np.ndarray:
+        out = np.empty_like(values)
+        out[:-1] = values[1:]
+        out[self.first[1:] - 1] = at_end
         return out
 
 
-class _Pairs:
-    """A block's pairs of which both tokens are known, distinct by bucket."""
-
-    def __init__(self, t: _Tokens, count: np.ndarray, begins: int, buckets: int, split: int):
-        c = count[t.kinds.at]
-        self.context_count = np.empty_like(c)
-        self.context_count[1:] = c[:-1]
-        self.context_count[t.first[:-1]] = begins
-        self.mask = np.flatnonzero((c > 0) & (self.context_count > 0))
-        context, token = t.previous()[self.mask], t.token[self.mask]
-        token32 = (tb.mix(token, 5) >> tb.U(32)) & tb.U(0xFFFFFFFF)
-        keys = (tb.mix(context, 6) & tb.U(0xFFFFFFFF00000000)) | token32
-        parts = (self.context_count[self.mask] // split + 1).astype(tb.U)
-        where = tb.mix(context + (token32 % parts) * tb._C1, 8)
-        self.distinct = d = tb.distinct(keys, tb.bucket_of(where, buckets), buckets)
-        self.of_key = np.zeros(len(d.keys), np.int64)  # count of each key's context
-        self.of_key[d.at] = self.context_count[self.mask]
-        self.counts = t.train_counts(d, self.mask)
-
-    def more(self, lo: int, hi: int) -> bytes:
-        context = self.distinct.keys[lo:hi] >> tb.U(32)
-        new = np.ones(hi - lo, bool)
-        new[1:] = context[1:] != context[:-1]
-        return small_counts(self.counts[lo:hi]) + small_counts(self.of_key[lo:hi][new])
-
-
-def _add_up(parts: list[np.ndarray]):
-    """All keys that a bucket was asked for, sorted and once each, and where each asked one is."""
-    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-    return parts, keys, at, np.cumsum([len(p) for p in parts])
-
-
-def count_tokens(rows: pa.Table) -> pa.Table:
-    """Answers each block: tokens and kinds in the bucket's training counts, then the count of each asked token."""
-    bucket = rows["bucket"][0].as_py()
-    parts, keys, at, ends = _add_up(tb.buffers(rows["keys"]))
-    own = np.concatenate([from_small(m, len(p))[0] for m, p in zip(rows["more"].to_pylist(), parts, strict=True)])
-    total = np.bincount(at, own, len(keys)).astype(np.int64)
-    head = np.array([total.sum(), np.count_nonzero(total)], np.int64).tobytes()
-    return tb.replies(rows["bid"].to_pylist(), bucket, [head + small_counts(total[at[e - len(p) : e]]) for e, p in zip(ends, parts, strict=True)])
-
-
-def look_up_pairs(rows: pa.Table, mu: float) -> pa.Table:
-    """Builds the bucket's trie level and answers each block: the code book, then a code for each asked pair."""
-    bucket = rows["bucket"][0].as_py()
-    if bucket < 0:
-        return tb.replies(rows["bid"].to_pylist(), bucket, rows["keys"].to_pylist())
-    parts, keys, at, ends = _add_up([unpack_pairs(x) for x in rows["keys"].to_pylist()])
-    total = np.zeros(len(keys), np.int64)
-    of_context = np.zeros(len(keys), np.int64)
-    for m, p, e in zip(rows["more"].to_pylist(), parts, ends, strict=True):
-        counts, used = from_small(m, len(p))
-        where = at[e - len(p) : e]
-        total[where] += counts
-        context = p >> tb.U(32)
-        new = np.ones(len(p), bool)
-        new[1:] = context[1:] != context[:-1]
-        of_context[where] = from_small(m[used:], int(new.sum()))[0][np.cumsum(new) - 1]
-    seen = total > 0
-    context, token = (keys >> tb.U(32)).astype(np.uint32), (keys & tb.U(0xFFFFFFFF)).astype(np.uint32)
-    level = Level(context[seen], token[seen], np.log10(total[seen] / (of_context[seen] + mu)))
-    code = level.find(context, token)
-    book = level.book.tobytes()
-    head = np.array([len(level.book)], np.int32).tobytes() + book
-    return tb.replies(rows["bid"].to_pylist(), bucket, [head + code[at[e - len(p) : e]].tobytes() for e, p in zip(ends, parts, strict=True)])
-
-
-def _counts_of(rows: pa.Table, d: tb.Distinct) -> tuple[np.ndarray, int, int]:
-    """Per distinct token its training count; all training tokens; all kinds of them."""
-    count, tokens, kinds = np.zeros(len(d.keys), np.int64), 0, 0
-    for bucket, body in zip(rows["bucket"].to_pylist(), rows["body"].to_pylist(), strict=True):
-        lo, hi = d.edges[bucket], d.edges[bucket + 1]
-        n, v = np.frombuffer(body, np.int64, 2)
-        tokens, kinds = tokens + int(n), kinds + int(v)
-        count[lo:hi] = from_small(body[16:], hi - lo)[0]
-    return count, tokens, kinds
-
-
-def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, mu: float = 20.0, block_bytes: int = 4 << 20, bucket_keys: int = 1 << 19) -> DataFrame:
-    """Scores every row's whole text with a bigram model of the rows whose crc32 remainder is not ``held``.
+class _Paths:
+    """A block's paths: of each token, the one before it, itself and the one after it, where the first two are known."""
+
+    def __init__(self, t: _Tokens, count: np.ndarray, split: int):
+        self.count = c = count[t.at]
+        begins = int(count[t.at[t.first[1] - 1]])  # as many texts begin as end
+        self.of_u = t.before(c, begins)
+        self.mask = np.flatnonzero((c > 0) & (self.of_u > 0))
+        v = (tb.mix(t.token, 5) >> tb.U(32))
+        w = np.where(t.after(c, 0) > 0, np.minimum(t.after(v, 0), tb.U(NONE - 1)), tb.U(NONE))
+        u, of_u, v, w = t.before(t.token, BEGIN)[self.mask], self.of_u[self.mask], v[self.mask], w[self.mask]
+        parts = (of_u // split + 1).astype(tb.U)
+        u = tb.mix(u + (v % parts) * tb._C1, 8) >> tb.U(24)
+        every = joined(u, v, w, t.learned[self.mask].astype(np.int64), of_u)
+        self.keys, self.at, _ = tb.united(*every)
+
+
+def _totals(t: _Tokens, mine: np.ndarray, count: np.ndarray) -> tb.Keys:
+    """The block's share of all training tokens and kinds, as the first paths of all."""
+    value = np.zeros(_TOTALS, np.int64)
+    value[0], value[8] = count[mine].sum(), np.count_nonzero(count[mine])
+    zero = np.zeros(_TOTALS, tb.U)
+    return joined(zero, zero, np.arange(_TOTALS, dtype=tb.U), value, np.zeros(_TOTALS, np.int64))
+
+
+def look_up(keys: tb.Keys, mu: tuple[float, float]) -> np.ndarray:
+    """What a bucket answers: builds its trie of the training paths and looks up every path that was asked; totals are given by bytes."""
+    first = int(np.searchsorted(keys.a, 1)) if len(keys.a) else 0  # totals, in the first bucket
+    rest = keys.part(first, len(keys.a))
+    u, v, w = split_up(rest)
+    seen = rest.value > 0
+    trie = Trie(u[seen], v[seen], w[seen], rest.value[seen], rest.extra[seen], mu, NONE)
+    out = np.zeros((len(keys.a), 2), np.uint16)
+    if first:
+        out[:first, 0] = np.frombuffer(keys.value[[0, 8]].astype("<i8").tobytes(), np.uint8)
+    out[first:] = trie.find(u, v, w)
+    return out
+
+
+def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, mu: tuple[float, float] = (1000.0, 20.0), block_bytes: int = 4 << 20, bucket_keys: int = 1 << 19, fan: int = 4096) -> DataFrame:
+    """Scores every row's whole text with a trigram model of the rows whose crc32 remainder is not ``held``.
 
     Tokens are blank-separated words after A-Z are lower-cased, then one end. Returns doc_id (null stays null; such rows are
     scored but not learned from), held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (the
-    add-one unigram log10 probability) and score (the model's). A null text is empty: one end. Repeated rows count as often
-    as they are there; an empty table gives none; other columns are not read.
+    add-one unigram log10 probability) and score (the model's). A null text is empty: one end. A text of any length is
+    scored whole. Repeated rows count as often as they are there; an empty table gives none; other columns are not read.
     """
-    x, total = tb.in_blocks(docs, key, text, block_bytes, learns=samples.learns(key, modulus, held), held=samples.held_out(key, modulus, held))
-    token_buckets = max(1, total // 40 // bucket_keys)
-    pair_buckets = max(1, total // 6 // bucket_keys)
-    split = bucket_keys
+    x, blocks, total = tb.in_blocks(docs, key, text, block_bytes, learns=samples.learns(key, modulus, held), held=samples.held_out(key, modulus, held))
+    tokens = tb.Exchange(blocks, max(1, total // 40 // bucket_keys), lambda k: k.value << 1, pack_reply=tb.small_counts, unpack_reply=tb.from_small, owned=True, fan=fan)
+    paths = tb.Exchange(blocks, max(1, total // 6 // bucket_keys), lambda k: look_up(k, mu), pack_paths, unpack_paths, pack_codes, unpack_codes, fan=fan)
 
     def ask_tokens(table: pa.Table) -> pa.Table:
-        t = _Tokens(table, token_buckets)
-        counts = t.train_counts(t.kinds)
-        return tb.requests(tb.first_bid(table), t.kinds, lambda lo, hi: small_counts(counts[lo:hi]), all_buckets=True)
+        return tokens.ask(tb.first_bid(table), _Tokens(table).kinds)
 
-    def ask_pairs(_, table: pa.Table, rows: pa.Table) -> pa.Table:
+    def ask_paths(_, table: pa.Table, rows: pa.Table) -> pa.Table:
         if not table.num_rows:
             return tb.note(0, b"").slice(0, 0)
-        t = _Tokens(table, token_buckets)
-        count, tokens, kinds = _counts_of(rows, t.kinds)
-        p = _Pairs(t, count, _ends(t, count), pair_buckets, split)
+        t, got = _Tokens(table), tokens.replies(rows)
+        count = got >> 1
+        totals = _totals(t, (got & 1).astype(bool), count)
+        keys = _Paths(t, count, bucket_keys).keys
         bid = tb.first_bid(table)
-        memo = np.array([tokens, kinds], np.int64).tobytes() + small_counts(count)
-        return pa.concat_tables([tb.requests(bid, p.distinct, p.more, pack=pack_pairs), tb.note(bid, memo)])
+        return pa.concat_tables([paths.ask(bid, tb.Keys(*(np.concatenate(x) for x in zip(totals, keys, strict=True)))), tb.note(bid, tb.small_counts(count))])
 
     def add_scores(_, table: pa.Table, rows: pa.Table) -> pa.Table:
         if not table.num_rows:
             return tb.table_of(OUT, {c.split()[0]: [] for c in OUT.split(", ")})
-        t = _Tokens(table, token_buckets)
-        answers = list(zip(rows["bucket"].to_pylist(), rows["body"].to_pylist(), strict=True))
-        memo = next(body for b, body in answers if b < 0)
-        tokens, kinds = (int(v) for v in np.frombuffer(memo, np.int64, 2))
-        count, _ = from_small(memo[16:], len(t.kinds.keys))
-        p = _Pairs(t, count, _ends(t, count), pair_buckets, split)
-        seen = np.zeros(len(p.distinct.keys))
-        for bucket, body in answers:
-            if bucket >= 0:
-                lo, hi = p.distinct.edges[bucket], p.distinct.edges[bucket + 1]
-                n = int(np.frombuffer(body, np.int32, 1)[0])
-                book = np.frombuffer(body, np.float32, n, 4).astype(np.float64)
-                seen[lo:hi] = 10.0 ** book[np.frombuffer(body, np.uint8, hi - lo, 4 + 4 * n)]
-        c = count[t.kinds.at]
-        unigram = (c + 1) / (tokens + kinds + 1)
-        probability = unigram * (mu / (p.context_count + mu))
-        probability[p.mask] += seen[p.distinct.at]
+        t, codes = _Tokens(table), paths.replies(rows)
+        n, kinds = (int(x) for x in np.frombuffer(codes[:_TOTALS, 0].astype(np.uint8).tobytes(), "<i8"))
+        p = _Paths(t, tb.from_small(tb.noted(rows)), bucket_keys)
+        found = np.zeros((len(t.token), 2))
+        found[p.mask] = 10.0 ** BOOK[codes[_TOTALS:][p.at]]
+        unigram = (p.count + 1) / (n + kinds + 1)
+        bigram = found[:, 0] + mu[0] / (p.of_u + mu[0]) * unigram
+        pair = found[:, 0] * (p.of_u + mu[0])  # of the pair (before, token); whole numbers as far as the code tells
+        pair = t.before(np.where(pair < 12, np.rint(pair), pair), 0.0)
+        trigram = t.before(found[:, 1], 0.0) + mu[1] / (pair + mu[1]) * bigram
         begin = t.first[:-1]
         columns = {
-            "doc_id": t.table["key"], "held_out": t.table["held"], "n_tokens": np.diff(t.first), "n_known": np.add.reduceat((c > 0).astype(np.int64), begin),
-            "train_tokens": np.full(len(begin), tokens), "base_score": np.add.reduceat(np.log10(unigram), begin), "score": np.add.reduceat(np.log10(np.minimum(probability, 1.0)), begin),
+            "doc_id": t.table["key"], "held_out": t.table["held"], "n_tokens": np.diff(t.first), "n_known": np.add.reduceat((p.count > 0).astype(np.int64), begin),
+            "train_tokens": np.full(len(begin), n), "base_score": np.add.reduceat(np.log10(unigram), begin), "score": np.add.reduceat(np.log10(np.minimum(trigram, 1.0)), begin),
         }
         return tb.table_of(OUT, columns)
 
-    def _ends(t: _Tokens, count: np.ndarray) -> int:
-        """How often a text begins, or ends, in training."""
-        return int(count[t.kinds.at[t.first[1] - 1]])
-
-    counted = x.groupBy("bid").applyInArrow(ask_tokens, tb.REQUEST).groupBy("bucket").applyInArrow(count_tokens, tb.REPLY)
-    asked = x.groupBy("bid").cogroup(counted.groupBy("bid")).applyInArrow(ask_pairs, tb.REQUEST)
-    found = asked.groupBy("bucket").applyInArrow(lambda rows: look_up_pairs(rows, mu), tb.REPLY)
+    counted = tokens.run(x.groupBy("bid").applyInArrow(ask_tokens, tb.REQUEST)).withColumnRenamed("child", "bid")
+    found = paths.run(x.groupBy("bid").cogroup(counted.groupBy("bid")).applyInArrow(ask_paths, tb.REQUEST)).withColumnRenamed("child", "bid")
     return x.groupBy("bid").cogroup(found.groupBy("bid")).applyInArrow(add_scores, OUT)

@@ -11,12 +11,14 @@ appears wherever the window does.
 1. Blocks send the distinct symbols of at least ``min_symbol`` words; each bucket
    of names answers which occur twice or more in the corpus.
 2. A symbol that occurs once rules out every window that covers what decided it.
-   The windows left, those whose inner symbols are all shared, are verified: a
-   64-bit fingerprint of their words, in a bucket chosen by a second independent
-   hash, must occur again.
+   The windows left, those whose inner symbols are all shared, are verified: 80 bits of
+   two independent hashes of their words must occur again. The shared symbols show where repeats can be,
+   the fingerprints of whole windows prove them; words are not compared letter by letter.
 3. Words covered by verified windows are removed.
 
-Text is shuffled once, by block; the rest moves as packed keys and bitmaps.
+Each round's names are thus global by content, without a Spark job that hands them out: a lookup table
+of names would have to be shuffled to every block in every round. Text is shuffled once, by
+block; the rest moves as packed keys and bitmaps.
 """
 
 from __future__ import annotations
@@ -145,69 +147,41 @@ def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _fingerprints(w: tb.Words, starts: np.ndarray, window: int, buckets: int) -> tb.Distinct:
-    keys = tb.runs_of(w.hash, window, 11)[starts]
-    other = tb.runs_of(w.hash, window, 12, 0xD1342543DE82EF95)[starts]
-    return tb.distinct(keys, tb.bucket_of(other, buckets), buckets)
+def _twice(keys: tb.Keys) -> tb.Keys:
+    """Values of 2 at most: all that is asked is whether there are two."""
+    return keys._replace(value=np.minimum(keys.value, 2))
 
 
-def _packed(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
+def _fingerprints(w: tb.Words, starts: np.ndarray, window: int) -> tuple[tb.Keys, np.ndarray]:
+    """80 bits of each window: two hashes of its words."""
+    a = tb.runs_of(w.hash, window, 11)[starts]
+    b = tb.runs_of(w.hash, window, 12, 0xD1342543DE82EF95)[starts] >> tb.U(48)
+    keys, at, _ = tb.united(a, b)
+    return _twice(keys), at
 
 
-def _flags(body: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(body, np.uint8), count=n).astype(bool)
+def occurs_again(keys: tb.Keys) -> np.ndarray:
+    """What a bucket answers: which of its keys are there twice or more."""
+    return keys.value > 1
 
 
-def _asked(bid: int, d: tb.Distinct) -> pa.Table:
-    return tb.requests(bid, d, lambda lo, hi: _packed(d.count[lo:hi] > 1))
-
-
-def _answered(rows: pa.Table, d: tb.Distinct) -> np.ndarray:
-    out = np.zeros(len(d.keys), bool)
-    for bucket, body in zip(rows["bucket"].to_pylist(), rows["body"].to_pylist(), strict=True):
-        if bucket >= 0:
-            lo, hi = d.edges[bucket], d.edges[bucket + 1]
-            out[lo:hi] = _flags(body, hi - lo)
-    return out
-
-
-def shared(rows: pa.Table) -> pa.Table:
-    """Answers a bucket's requests: which keys occur in two blocks, or twice in one. A note goes back as it is."""
-    bucket = rows["bucket"][0].as_py()
-    if bucket < 0:
-        return tb.replies(rows["bid"].to_pylist(), bucket, rows["keys"].to_pylist())
-    parts = tb.buffers(rows["keys"])
-    keys = np.concatenate(parts)
-    twice = np.concatenate([_flags(m, len(p)) for m, p in zip(rows["more"].to_pylist(), parts, strict=True)])
-    order = np.argsort(keys)
-    same = keys[order][1:] == keys[order][:-1]
-    again = np.zeros(len(keys), bool)
-    again[1:] |= same
-    again[:-1] |= same
-    found = twice
-    found[order] |= again
-    ends = np.cumsum([len(p) for p in parts])
-    return tb.replies(rows["bid"].to_pylist(), bucket, [_packed(found[e - len(p) : e]) for e, p in zip(ends, parts, strict=True)])
-
-
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, rounds: int = 4, min_symbol: int = 4, with_text: bool = True, carry: tuple[str, ...] = (), block_bytes: int = 4 << 20, bucket_keys: int = 1 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, rounds: int = 4, min_symbol: int = 4, with_text: bool = True, carry: tuple[str, ...] = (), block_bytes: int = 4 << 20, bucket_keys: int = 1 << 20, fan: int = 4096) -> DataFrame:
     """Removes every word that lies in a ``window``-word passage that also starts elsewhere in the corpus.
 
     Returns a row for each row of ``docs``: doc_id (null stays null), n_words, n_removed, kept_sha256 and, unless
     ``with_text`` is false, kept_text; then the columns ``carry`` as they are. The hash is of the kept words joined by one
     space, and kept_text is the same, but a text that loses nothing stays as it is, null too. A null or blank text has no
-    words. Repeated rows are copies of each other and lose all words if they have ``window`` or more. An empty table
-    gives none. Other columns are not read.
+    words. Repeated rows are copies of each other and lose all words if they have ``window`` or more. A text of any length
+    is handled whole. An empty table gives none. Other columns are not read.
     """
-    x, total = tb.in_blocks(docs, key, text, block_bytes, **{f"carry_{c}": F.col(c) for c in carry})
+    x, blocks, total = tb.in_blocks(docs, key, text, block_bytes, **{f"carry_{c}": F.col(c) for c in carry})
     out_schema = ", ".join([OUT, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
-    buckets = max(1, total // 6 // bucket_keys)
+    way = tb.Exchange(blocks, max(1, total // 6 // bucket_keys), occurs_again, fan=fan)
 
     def ask_symbols(table: pa.Table) -> pa.Table:
         _, _, _, w = _block(table)
         name, _, _ = _symbols(w, rounds, min_symbol, window)
-        return _asked(tb.first_bid(table), tb.distinct(name, tb.bucket_of(name, buckets), buckets))
+        return way.ask(tb.first_bid(table), _twice(tb.united(name, None)[0]))
 
     def ask_windows(_, table: pa.Table, rows: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -215,25 +189,21 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         _, _, _, w = _block(table)
         n = len(w.hash)
         name, low, high = _symbols(w, rounds, min_symbol, window)
-        d = tb.distinct(name, tb.bucket_of(name, buckets), buckets)
-        once = ~_answered(rows, d)[d.at]
+        once = ~way.replies(rows)[tb.united(name, None)[1]]
         step = np.zeros(n + 2, np.int32)  # over the starts of windows that cover what decided such a symbol
         np.add.at(step, np.maximum(high[once] - window, 0), 1)
         np.add.at(step, low[once] + 1, -1)
         maybe = _fits(w.first, n, window) & (np.cumsum(step)[:n] <= 0)
         bid = tb.first_bid(table)
-        asked = _asked(bid, _fingerprints(w, np.flatnonzero(maybe), window, buckets))
-        return pa.concat_tables([asked, tb.note(bid, _packed(maybe))])
+        return pa.concat_tables([way.ask(bid, _fingerprints(w, np.flatnonzero(maybe), window)[0]), tb.note(bid, tb.pack_flags(maybe))])
 
     def remove(_, table: pa.Table, rows: pa.Table) -> pa.Table:
         if not table.num_rows:
             return tb.with_columns(tb.table_of(OUT, {c.split()[0]: [] for c in OUT.split(", ")}), table, carry)
         table, data, bounds, w = _block(table)
-        n = len(w.hash)
-        own = next((body for b, body in zip(rows["bucket"].to_pylist(), rows["body"].to_pylist(), strict=True) if b < 0), b"")
-        starts = np.flatnonzero(_flags(own, n))
-        d = _fingerprints(w, starts, window, buckets)
-        gone = _covered(starts[_answered(rows, d)[d.at]], n, window)
+        starts = np.flatnonzero(tb.unpack_flags(tb.noted(rows)))
+        at = _fingerprints(w, starts, window)[1]
+        gone = _covered(starts[way.replies(rows)[at]], len(w.hash), window)
         sums = np.append(0, np.cumsum(gone))
         first = w.first
         removed = sums[first[1:]] - sums[first[:-1]]
@@ -252,11 +222,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         rows = {"doc_id": table["key"], "n_words": np.diff(first), "n_removed": removed, "kept_sha256": digests, "kept_text": texts}
         return tb.with_columns(tb.table_of(OUT, rows), table, carry)
 
-    def answered_by(asked: DataFrame) -> DataFrame:
-        return asked.groupBy("bucket").applyInArrow(shared, tb.REPLY)
-
-    symbols = answered_by(x.groupBy("bid").applyInArrow(ask_symbols, tb.REQUEST))
-    repeats = answered_by(x.groupBy("bid").cogroup(symbols.groupBy("bid")).applyInArrow(ask_windows, tb.REQUEST))
+    symbols = way.run(x.groupBy("bid").applyInArrow(ask_symbols, tb.REQUEST)).withColumnRenamed("child", "bid")
+    repeats = way.run(x.groupBy("bid").cogroup(symbols.groupBy("bid")).applyInArrow(ask_windows, tb.REQUEST)).withColumnRenamed("child", "bid")
     out = x.groupBy("bid").cogroup(repeats.groupBy("bid")).applyInArrow(remove, out_schema)
     return out if with_text else out.drop("kept_text")
 

@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from surelake.llm import textblocks as tb
@@ -24,10 +26,10 @@ def brute(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,rounds,block", [(35, 4, 1 << 22), (35, 3, 3000), (8, 2, 2000)])
-def test_equals_brute_force(spark, window, rounds, block):
+@pytest.mark.parametrize("window,rounds,block,fan", [(35, 4, 1 << 22, 4096), (35, 3, 3000, 4096), (8, 2, 2000, 4096), (8, 2, 2000, 8), (35, 3, 5000, 3)])
+def test_equals_brute_force(spark, window, rounds, block, fan):
     rows = awkward() + [("s", 100 + i, prose(i, 80, 40), "en", 1, 1, "k") for i in range(40)]
-    found = substring_dedup(frame(spark, rows), window=window, rounds=rounds, block_bytes=block, bucket_keys=500)
+    found = substring_dedup(frame(spark, rows), window=window, rounds=rounds, block_bytes=block, bucket_keys=500, fan=fan)
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, brute(rows, window)))
 
 
@@ -63,3 +65,62 @@ def test_words_across_pieces():
     assert [text[a:b] for a, b in zip(w.start, w.end, strict=True)][:2] == [b"word", b"wo"]
     assert len(w.hash) == len(text[:7].split()) + len(text[7:].split())
     assert len(np.unique(w.hash)) == 5  # word, wo, rd, x.., é
+
+
+def _exchange(texts: int, fan: int) -> tuple[tb.Exchange, dict[int, tb.Keys]]:
+    """Blocks of 200 keys each, a tenth of them the same in all, in buckets of 50."""
+    rng = np.random.default_rng(texts)
+    hot = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    asked = {bid: tb.united(np.concatenate([hot, tb.mix(np.arange(180, dtype=np.uint64) + np.uint64(1000 * bid % 700))]), None)[0] for bid in range(texts)}
+    return tb.Exchange(texts, texts * 4, lambda k: k.value, pack_reply=tb.small_counts, unpack_reply=tb.from_small, fan=fan), asked
+
+
+@pytest.mark.parametrize("fan", [4, 7, 4096])
+def test_the_exchange_counts_over_all_blocks(spark, fan):
+    way, asked = _exchange(30, fan)
+    total = Counter(k for keys in asked.values() for k in keys.a.tolist())
+    rows = pa.concat_tables([*(way.ask(bid, k) for bid, k in asked.items()), *(tb.note(bid, b"%d" % bid) for bid in asked)])
+    found = way.run(spark.createDataFrame(rows.to_pandas(), tb.REQUEST)).toArrow()
+    for bid, keys in asked.items():
+        own = found.filter(pc.equal(found["child"], bid))
+        assert way.replies(own).tolist() == [total[k] for k in keys.a.tolist()] and tb.noted(own) == b"%d" % bid
+
+
+def test_one_asker_owns_each_key(spark):
+    way, asked = _exchange(20, 4)
+    way = tb.Exchange(way.blocks, way.buckets, lambda k: k.value << 1, pack_reply=tb.small_counts, unpack_reply=tb.from_small, fan=4, owned=True)
+    found = way.run(spark.createDataFrame(pa.concat_tables([way.ask(bid, k) for bid, k in asked.items()]).to_pandas(), tb.REQUEST)).toArrow()
+    owners = Counter(k for bid, keys in asked.items() for k, r in zip(keys.a.tolist(), way.replies(found.filter(pc.equal(found["child"], bid))).tolist(), strict=True) if r & 1)
+    assert set(owners) == {k for keys in asked.values() for k in keys.a.tolist()} and set(owners.values()) == {1}
+
+
+def _rows_of(way: tb.Exchange, asked: dict[int, tb.Keys]) -> list[int]:
+    """Rows that are sent at each level."""
+    out, rows = [], pa.concat_tables([way.ask(bid, k) for bid, k in asked.items()])
+    for level in range(1, way.levels + 1):
+        out.append(rows.num_rows)
+        if level < way.levels:
+            rows = pa.concat_tables([way._merge(rows.filter(pc.equal(rows["node"], n)), level) for n in sorted(set(rows["node"].to_pylist()))])
+    return out
+
+
+def test_the_rows_of_an_exchange_grow_with_the_text():
+    """Both the blocks and the buckets grow; their product is never sent."""
+    for fan in (8, 16):
+        (small, few), (large, many) = ((n, _exchange(n, fan)) for n in (64, 256))
+        a, b = sum(_rows_of(*few)), sum(_rows_of(*many))
+        assert b / a < 1.6 * large / small and max(_rows_of(*many)) <= fan * large
+        assert b < large * many[0].buckets / 4
+    direct = _exchange(256, 4096)
+    assert sum(_rows_of(*direct)) > 1.5 * sum(_rows_of(*_exchange(256, 8)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_packing(n):
+    rng = np.random.default_rng(n)
+    keys, at, first = tb.united(rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(0, 1 << 16, n, dtype=np.uint64), rng.integers(0, 400, n))
+    for a, b in zip(keys, tb.unpack_plain(tb.pack_plain(keys)), strict=True):
+        assert (a == b).all()
+    counts = np.array([0, 3, 254, 255, 10**12] * n, np.int64)
+    assert (tb.from_small(tb.small_counts(counts)) == counts).all()
+    assert (tb.unpack_sorted(tb.pack_sorted(keys.a >> np.uint64(24) << np.uint64(24), 3), 3) == keys.a >> np.uint64(24) << np.uint64(24)).all()

@@ -101,8 +101,8 @@ def ascii_seed_question_id(text: Column) -> Column:
 
 
 def leak_group(dataset: Column, question: Column, seed_id: Column) -> Column:
-    """Examples that share it must not be on both sides of a split."""
-    return F.when(dataset == "gsm8k", ascii_seed_question_id(question)).when(dataset == "gsm_plus", seed_id)
+    """Examples that share it must not be on both sides of a split. Both sides are named by the exact key, whatever the script."""
+    return F.when(dataset == "gsm8k", seed_question_id(question)).when(dataset == "gsm_plus", seed_id)
 
 
 def optional_text(c: Column) -> Column:

@@ -63,10 +63,15 @@ def _summary(r: Column, z: Column, vocab_size: int) -> Column:
 
 def termination(tokens: Column, eos: list[int], max_new_tokens: int) -> Column:
     """Struct of eos_generated, was_truncated and termination_reason."""
+    return termination_of(F.try_element_at(tokens, F.lit(-1)), F.size(tokens), eos, max_new_tokens)
+
+
+def termination_of(last: Column, count: Column, eos: list[int], max_new_tokens: int) -> Column:
+    """The same from the last token, null if there is none, and the number of tokens."""
     if isinstance(max_new_tokens, bool) or max_new_tokens < 1:
         raise ValueError("max_new_tokens must be a positive integer")
-    ended = F.coalesce(F.try_element_at(tokens, F.lit(-1)).isin(*eos) if eos else F.lit(False), F.lit(False))
-    cut = ~ended & (F.size(tokens) >= max_new_tokens)
+    ended = F.coalesce(last.isin(*eos) if eos else F.lit(False), F.lit(False))
+    cut = ~ended & (count >= max_new_tokens)
     reason = F.when(ended, "eos").when(cut, "max_new_tokens").otherwise("other_stop")
     return F.struct(ended.alias("eos_generated"), cut.alias("was_truncated"), reason.alias("termination_reason"))
 
@@ -81,8 +86,12 @@ def alignment(tokens: Column, special: list[int], encoded: Column, offsets: Colu
     same = (encoded == visible) & (F.size(offsets) == F.size(visible))
     status = F.when(encoded.isNull() | offsets.isNull(), "offsets_unavailable").when(~F.coalesce(same, F.lit(False)), "token_roundtrip_mismatch").when(bad, "invalid_offsets").otherwise("aligned")
     is_special = (lambda t: t.isin(*special)) if special else (lambda t: F.lit(False))
-    before = lambda i: F.size(F.filter(F.slice(tokens, F.lit(1), i), lambda t: ~is_special(t)))
-    spans = F.transform(tokens, lambda t, i: F.when(~is_special(t), F.get(offsets, before(i))))
+    # Visible positions carry the offsets in order, special ones nothing; sorted by position they are one span a token.
+    places = lambda shown: F.filter(F.transform(tokens, lambda t, i: F.when(is_special(t) != F.lit(shown), i)), lambda i: i.isNotNull())
+    span = lambda i, o: F.struct(i.alias("i"), o.alias("o"))
+    seen = F.zip_with(places(True), offsets, span)
+    hidden = F.transform(places(False), lambda i: span(i, F.when(F.lit(False), F.get(offsets, F.lit(0)))))
+    spans = F.transform(F.array_sort(F.concat(seen, hidden), lambda a, b: a["i"] - b["i"]), lambda x: x["o"])
     return F.struct(F.when(status == "aligned", spans).alias("spans"), status.alias("status"))
 
 

@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 
 BINS = 15
 MIN_SCORABLE_FRACTION = 0.95
+# The reasons that a summary gives.
+REASONS = {
+    "incomplete": "The run is incomplete; no gate recommendation is made.",
+    "mini_12h": "The mini_12h subset (111 questions) is too small to justify a KD gate; metrics are descriptive only.",
+    "other": "The {profile} profile is a setup/runtime check, not a gate recommendation.",
+}
 
 
 def valid_score(score: str | Column) -> Column:
@@ -64,15 +70,21 @@ def ece(df: DataFrame, groups: list[str], score: str = "score", outcome: str = "
     return ece_from_bins(calibration_bins(df, groups, score, outcome, n_bins), groups)
 
 
-def _ranked(df: DataFrame, groups: list[str], score: str, outcome: str, slices: int) -> DataFrame:
+def score_slice(s: Column, per_octave: int = 4096) -> Column:
+    """A number that ascends with the score: each factor of two, on either side of 0, has so many slices, whatever the score's range."""
+    place = lambda x: F.floor(F.log2(x) * per_octave) + 1100 * per_octave  # noqa: E731 (above 0 for every double)
+    return F.when(F.isnan(s), 1 << 40).when(s == 0, 0).when(s > 0, F.least(place(s), F.lit(1 << 39))).otherwise(-F.least(place(-s), F.lit(1 << 39)))
+
+
+def _ranked(df: DataFrame, groups: list[str], score: str, outcome: str) -> DataFrame:
     """Rows counted per distinct score ``s``: pos, neg, and ``won``, the pairs that its positives win, ties as halves.
 
-    Negatives below a score are those of lower slices of the score's range, at most ``slices`` numbers a group, plus those
-    below it in its slice; so no task sorts a whole group. Rows without a score are counted too and win nothing.
+    Negatives below a score are those of lower slices, which are summed up first, plus those below it in its slice; so no
+    task sorts a whole group. Rows without a score are counted too and win nothing.
     """
     o = known_outcome(outcome)
     counted = df.where(o.isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("s")).agg(F.sum(o).alias("pos"), F.sum(1 - o).alias("neg"))
-    sliced = counted.withColumn("slice", F.when(F.col("s").isNull(), -1).otherwise(F.floor(F.least(F.greatest("s", F.lit(0.0)), F.lit(1.0)) * slices)))
+    sliced = counted.withColumn("slice", score_slice(F.col("s")))
     lower = sliced.groupBy(*groups, "slice").agg(F.sum(F.when(F.col("s").isNotNull(), F.col("neg"))).alias("n"))
     lower = lower.withColumn("below", F.coalesce(F.sum("n").over(Window.partitionBy(*groups).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = Window.partitionBy(*groups, "slice").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,9 +94,9 @@ def _ranked(df: DataFrame, groups: list[str], score: str, outcome: str, slices:
     return joined.select(*groups, "s", "pos", "neg", won.alias("won"))
 
 
-def auroc(df: DataFrame, groups: list[str], score: str = "score", outcome: str = "outcome", slices: int = 1024) -> DataFrame:
+def auroc(df: DataFrame, groups: list[str], score: str = "score", outcome: str = "outcome") -> DataFrame:
     """Tie-correct area under the ROC curve of each group; null if it has one class only."""
-    ranked = _ranked(df.where(F.col(score).isNotNull()), groups, score, outcome, slices)
+    ranked = _ranked(df.where(F.col(score).isNotNull()), groups, score, outcome)
     return ranked.groupBy(*groups).agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
 
 
@@ -94,7 +106,7 @@ def metric_table(df: DataFrame, groups: list[str], scorable: str = "scorable_n",
     df has score and outcome, null where unknown. Rows with a known outcome are scorable, those that also have a valid score
     count. All metrics come from one count per distinct score, summed up per bin and then per group.
     """
-    ranked = _ranked(df.withColumn("score", valid_score("score")), groups, "score", "outcome", 1024)
+    ranked = _ranked(df.withColumn("score", valid_score("score")), groups, "score", "outcome")
     index = F.when(F.col("s").isNotNull(), F.least(F.floor(F.col("s") * n_bins), F.lit(n_bins - 1)).cast("int"))
     rows = F.col("pos") + F.col("neg")
     bins = ranked.groupBy(*groups, index.alias("bin")).agg(F.sum(rows).alias("rows"), F.sum(F.col("s") * rows).alias("conf"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
@@ -194,11 +206,8 @@ def macro(metrics: DataFrame, n_datasets: int, gate: bool, dataset: str = "datas
 
 def recommendation(run_complete: bool, profile: str) -> dict:
     """Never names a signal: a small run only describes."""
-    if not run_complete:
-        return {"signal": None, "status": "insufficient", "reason": "The run is incomplete; no gate recommendation is made."}
-    if profile == "mini_12h":
-        return {"signal": None, "status": "exploratory", "reason": "The mini_12h subset (111 questions) is too small to justify a KD gate; metrics are descriptive only."}
-    return {"signal": None, "status": "exploratory", "reason": f"The {profile} profile is a setup/runtime check, not a gate recommendation."}
+    status = "exploratory" if run_complete else "insufficient"
+    return {"signal": None, "status": status, "reason": REASONS["incomplete"] if not run_complete else REASONS.get(profile, REASONS["other"].format(profile=profile))}
 
 
 def run_accounting(selected: DataFrame, completed: DataFrame, failed: DataFrame, key: str = "example_id") -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surelake.functions.answers import leak_group
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -41,13 +44,17 @@ def rank_key(key: str | Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}\0"), c), 256)
 
 
-def take_ranked(df: DataFrame, strata: list[str], key: str, seed: int, limit: int | None, digest_only: bool = False) -> DataFrame:
-    """The ``limit`` rows of each stratum that come first by rank key, then key. The limit reaches the map side (WindowGroupLimit)."""
-    if limit is None:
+def take_ranked(df: DataFrame, strata: list[str], key: str, seed: int, limit: int | None, digest_only: bool = False, place: str | None = None) -> DataFrame:
+    """The ``limit`` rows of each stratum that come first by rank key, then key, with their ``place``, if it is named.
+
+    The limit is a literal, so it reaches the map side (WindowGroupLimit): a task sends ``limit`` rows of a stratum at most.
+    """
+    if limit is None and place is None:
         return df
     order = [rank_key(key, seed)] + ([] if digest_only else [F.col(key)])
-    place = F.row_number().over(Window.partitionBy(*(strata or [F.lit(0)])).orderBy(*order))
-    return df.withColumn("__place", place).where(F.col("__place") <= limit).drop("__place")
+    ranked = df.withColumn(place or "__place", F.row_number().over(Window.partitionBy(*(strata or [F.lit(0)])).orderBy(*order)))
+    kept = ranked if limit is None else ranked.where(F.col(place or "__place") <= limit)
+    return kept if place else kept.drop("__place")
 
 
 def seed_group(seed: str, key: str) -> Column:
@@ -64,7 +71,11 @@ def check_examples(examples: DataFrame, key: str = "example_id") -> DataFrame:
 
 
 def select_examples(examples: DataFrame, profile: Profile, seed: int, key: str = "example_id") -> DataFrame:
-    """gsm8k up to its cap, math per source_config, gsm_plus one per seed question and then up to its cap; ordered by key."""
+    """gsm8k up to its cap, math per source_config, gsm_plus one per seed question and then up to its cap; ordered by key.
+
+    Repeated keys and unknown datasets stop the query.
+    """
+    examples = check_examples(examples, key)
     by = lambda name: examples.where(F.col("dataset") == name)
     plus = by("gsm_plus")
     if profile.gsm_plus_one_per_seed:
@@ -79,6 +90,12 @@ def without_leaks(candidates: DataFrame, training: DataFrame, key: str = "exampl
     return out.join(training.where(F.col(group).isNotNull()).select(group).distinct(), group, "left_anti").select(candidates.columns)
 
 
+def training_groups(training: DataFrame, examples: DataFrame, key: str = "example_id") -> DataFrame:
+    """(key, leak_group) of the training ids that are among the examples; others are passed over."""
+    group = leak_group(F.col("dataset"), F.col("question"), F.col("seed_question_id"))
+    return training.select(key).distinct().join(examples.select(key, group.alias("leak_group")), key)
+
+
 def select_heldout(examples: DataFrame, training: DataFrame, seed: int, gsm8k: int = 300, math_per_subject: int = 20, gsm_plus: int = 200, key: str = "example_id") -> DataFrame:
     """Scorable examples without leaks, ranked by digest alone in each bucket (dataset, and config of math).
 
@@ -87,11 +104,10 @@ def select_heldout(examples: DataFrame, training: DataFrame, seed: int, gsm8k: i
     """
     scorable = examples.where((F.col("gold_status") == "parsed") & F.col("gold_answer").isNotNull())
     rows = without_leaks(scorable, training, key).withColumn("bucket_config", F.when(F.col("dataset") == "math", F.col("source_config")))
-    plus = take_ranked(rows.where("dataset = 'gsm_plus'"), ["seed_question_id"], key, seed, 1, digest_only=True)
-    rows = rows.where("dataset <> 'gsm_plus'").unionByName(plus)
-    limit = F.when(F.col("dataset") == "gsm8k", gsm8k).when(F.col("dataset") == "math", math_per_subject).otherwise(gsm_plus)
-    place = F.row_number().over(Window.partitionBy("dataset", "bucket_config").orderBy(rank_key(key, seed)))
-    return rows.withColumn("place", place).where(F.col("place") <= limit)
+    of = lambda name: rows.where(F.col("dataset") == name)
+    plus = take_ranked(of("gsm_plus"), ["seed_question_id"], key, seed, 1, digest_only=True)
+    parts = [(of("gsm8k"), [], gsm8k), (of("math"), ["bucket_config"], math_per_subject), (plus, [], gsm_plus)]
+    return reduce(DataFrame.unionByName, [take_ranked(part, ["dataset", *strata], key, seed, limit, digest_only=True, place="place") for part, strata, limit in parts])
 
 
 def sample_seed(base_seed: int, key: str | Column, index: str | Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GATE = 0.75
@@ -48,21 +50,72 @@ def student_summary(results: DataFrame) -> DataFrame:
     return rows.unionByName(overall.withColumn("dataset", F.lit("overall")))
 
 
+def paired_wide(results: DataFrame, comparisons: list[tuple[str, str]]) -> DataFrame:
+    """A row for each example with the difference of each comparison, ``d0``, ``d1`` and so on: right's outcome minus left's.
+
+    One aggregation by example serves all comparisons. Null where the left condition lacks the example; one that only the right
+    one lacks, or that a condition has twice, stops the query.
+    """
+    value = F.coalesce(F.col("correct"), F.lit(False)).cast("int")
+    names = sorted({c for pair in comparisons for c in pair})
+    of = {c: F.when(F.col("condition") == c, value) for c in names}
+    each = results.where(F.col("condition").isin(*names)).groupBy("example_id").agg(*(F.sum(of[c]).alias(f"v_{k}") for k, c in enumerate(names)), *(F.count(of[c]).alias(f"n_{k}") for k, c in enumerate(names)))
+    stop = lambda what: F.raise_error(F.concat(F.lit(what), F.col("example_id").cast("string"))).cast("int")
+    v = {c: F.when(F.col(f"n_{k}") > 1, stop("two results of one condition for ")).otherwise(F.col(f"v_{k}")) for k, c in enumerate(names)}
+    return each.select("example_id", *(F.when(v[a].isNotNull(), F.coalesce(v[b], stop("no paired result for ")) - v[a]).alias(f"d{k}") for k, (a, b) in enumerate(comparisons)))
+
+
 def paired(results: DataFrame, left: str, right: str) -> DataFrame:
     """(example_id, diff) of the left condition's examples; an example that the right one lacks stops the query."""
-    value = F.coalesce(F.col("correct"), F.lit(False)).cast("int")
-    a = results.where(F.col("condition") == left).select("example_id", value.alias("a"))
-    b = results.where(F.col("condition") == right).select("example_id", value.alias("b"))
-    missing = F.raise_error(F.concat(F.lit("no paired result for "), F.col("example_id").cast("string"))).cast("int")
-    return a.join(b, "example_id", "left").select("example_id", (F.coalesce(F.col("b"), missing) - F.col("a")).alias("diff"))
+    return paired_wide(results, [(left, right)]).where("d0 IS NOT NULL").select("example_id", F.col("d0").cast("int").alias("diff"))
 
 
 def paired_delta(results: DataFrame, comparisons: list[tuple[str, str]] | None = None) -> DataFrame:
-    out = [paired(results, a, b).agg(F.count("*").alias("n"), F.avg("diff").alias("delta")).select(F.lit(a).alias("left"), F.lit(b).alias("right"), "n", "delta") for a, b in comparisons or COMPARISONS]
-    first = out[0]
-    for x in out[1:]:
-        first = first.unionByName(x)
-    return first
+    """left, right, n and mean difference of each comparison, from one pass over the results."""
+    pairs = comparisons or COMPARISONS
+    sums = paired_wide(results, pairs).agg(*(F.struct(F.count(f"d{k}").alias("n"), F.avg(f"d{k}").alias("delta")).alias(f"c{k}") for k in range(len(pairs))))
+    rows = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{k}.n").alias("n"), F.col(f"c{k}.delta").alias("delta")) for k, (a, b) in enumerate(pairs)))
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def draw(seed: int, n: int) -> Column:
+    """Place in [0, n) of draw ``i`` of ``round``."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("i").cast("string")), 256), 1, 12), 16, 10).cast("bigint") % n
+
+
+def drawn_value(place: Column, sizes: list[tuple[int, int]]) -> Column:
+    """The value at a place, from (value, count) in ascending order."""
+    value, reached = F.lit(None), 0
+    for d, c in sizes:
+        reached += c
+        value = F.coalesce(value, F.when(place < reached, F.lit(d)))
+    return value
+
+
+def comparison_table(results: DataFrame, seed: int, rounds: int = 5000, comparisons: list[tuple[str, str]] | None = None) -> DataFrame:
+    """left, right, n, delta, ci_low and ci_high of every comparison, each by ``rounds`` resamples.
+
+    As ``bootstrap``, but comparisons over equally many examples share their draws, so that five cost little more than one.
+    """
+    pairs = comparisons or COMPARISONS
+    wide = paired_wide(results, pairs)
+    counts = wide.agg(*(F.count_if(F.col(f"d{k}") == d).alias(f"c{k}_{d + 1}") for k in range(len(pairs)) for d in (-1, 0, 1))).first()
+    sizes = [[(d, counts[f"c{k}_{d + 1}"]) for d in (-1, 0, 1)] for k in range(len(pairs))]
+    spark, out = results.sparkSession, []
+    lo, hi = int(0.025 * rounds), max(int(0.975 * rounds) - 1, 0)
+    for n in sorted({sum(c for _, c in s) for s in sizes}):
+        own = [k for k, s in enumerate(sizes) if sum(c for _, c in s) == n]
+        if not n:
+            raise ValueError("there is nothing to resample")
+        rows = spark.range(rounds * n).select((F.col("id") / n).cast("bigint").alias("round"), (F.col("id") % n).alias("i")).select("round", draw(seed, n).alias("p"))
+        means = rows.groupBy("round").agg(*((F.sum(drawn_value(F.col("p"), sizes[k])) / n).alias(f"m{k}") for k in own))
+        draws = means.agg(*(F.sort_array(F.collect_list(f"m{k}")).alias(f"m{k}") for k in own))  # as many as rounds, which is a parameter
+        entry = lambda k: F.struct(
+            F.lit(pairs[k][0]).alias("left"), F.lit(pairs[k][1]).alias("right"), F.lit(n).cast("bigint").alias("n"), F.lit(sum(d * c for d, c in sizes[k]) / n).alias("delta"),  # noqa: B023
+            F.get(f"m{k}", F.lit(lo)).alias("ci_low"), F.get(f"m{k}", F.lit(hi)).alias("ci_high"),
+        )
+        out.append(draws.select(F.explode(F.array(*map(entry, own))).alias("r")).select("r.*"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def bootstrap(diffs: DataFrame, seed: int, rounds: int = 5000) -> DataFrame:
@@ -77,12 +130,7 @@ def bootstrap(diffs: DataFrame, seed: int, rounds: int = 5000) -> DataFrame:
     if not n:
         raise ValueError("there is nothing to resample")
     spark = diffs.sparkSession
-    place = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("i").cast("string")), 256), 1, 12), 16, 10).cast("bigint") % n
-    value, reached = F.lit(None), 0
-    for r in sizes:
-        reached += r.c
-        value = F.coalesce(value, F.when(place < reached, F.lit(r.diff)))
-    drawn = spark.range(rounds * n).select((F.col("id") / n).cast("bigint").alias("round"), (F.col("id") % n).alias("i")).select("round", value.alias("d"))
+    drawn = spark.range(rounds * n).select((F.col("id") / n).cast("bigint").alias("round"), (F.col("id") % n).alias("i")).select("round", drawn_value(draw(seed, n), [(r.diff, r.c) for r in sizes]).alias("d"))
     means = drawn.groupBy("round").agg((F.sum("d") / n).alias("mean"))
     draws = means.agg(F.sort_array(F.collect_list("mean")).alias("draws"))  # as many as rounds, which is a parameter
     lo, hi = int(0.025 * rounds), max(int(0.975 * rounds) - 1, 0)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surelake.functions import answers, grading
@@ -230,11 +230,19 @@ def select_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_examples(_examples(spark, sf_dir), selection.PROFILES["mini_12h"], 42).select("example_id", "dataset")
 
 
-@_query("""WITH d AS (SELECT doc_id, 'gsm8k-test-seed:' || substr(sha256(lower(lang || ' ' || source)), 1, 16) AS seed_group FROM documents),
+_SEED_SQL = "'gsm8k-test-seed:' || substr(sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g'))), 1, 16)"
+
+
+@_query(f"SELECT doc_id, {_SEED_SQL} AS seed_key FROM documents")
+def seed_question_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact key of every text, in four languages: letters beyond ASCII are folded as well."""
+    return _read(spark, sf_dir, "documents").select("doc_id", answers.seed_question_id(F.col("text")).alias("seed_key"))
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_SEED_SQL} AS seed_group FROM documents),
   k AS (SELECT *, row_number() OVER (PARTITION BY seed_group ORDER BY sha256('42' || chr(0) || doc_id), doc_id) AS n FROM d) SELECT doc_id, seed_group FROM k WHERE n = 1""")
 def one_per_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.col("lang"), F.lit("  \t"), F.upper("source"))
-    d = _read(spark, sf_dir, "documents").select("doc_id", answers.ascii_seed_question_id(text).alias("seed_group"))
+    d = seed_question_keys(spark, sf_dir).withColumnRenamed("seed_key", "seed_group")
     return selection.take_ranked(d, ["seed_group"], "doc_id", 42, 1)
 
 
@@ -268,11 +276,11 @@ _VOTES = "votes AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderke
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes in order: their place is their rank within an order, from an array of a few lines."""
-    l = _read(spark, sf_dir, "lineitem")  # noqa: E741
+    """Votes in order: their place is their rank within an order."""
+    l = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")  # noqa: E741
     answer = F.when(F.col("l_linenumber") % 5 != 0, F.concat("l_returnflag", (F.col("l_partkey") % 2).cast("string")))
-    packed = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", answer.alias("answer")))).alias("v"))
-    return packed.select("l_orderkey", F.posexplode("v").alias("i", "v")).select("l_orderkey", (F.col("i") + 1).alias("i"), F.col("v.answer").alias("answer"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return l.select("l_orderkey", place.alias("i"), answer.alias("answer"))
 
 
 _MAJORITY = f"""WITH {_VOTES}, g AS (SELECT l_orderkey, answer, count(*) AS n, min(i) AS first_at FROM votes GROUP BY ALL),
@@ -309,9 +317,9 @@ def token_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""WITH t AS (SELECT conv_id, array_agg(len(text) ORDER BY turn, role, text) AS v FROM conversations GROUP BY conv_id) SELECT conv_id, coalesce(v[-1] % 3 = 0, false) AS eos_generated, NOT coalesce(v[-1] % 3 = 0, false) AND len(v) >= 4 AS was_truncated,
   CASE WHEN v[-1] % 3 = 0 THEN 'eos' WHEN len(v) >= 4 THEN 'max_new_tokens' ELSE 'other_stop' END AS termination_reason FROM t""")
 def termination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("v"))
-    tokens = F.transform("v", lambda t: F.length(t["text"]) % 3)
-    return turns.select("conv_id", confidence.termination(tokens, [0], 4).alias("t")).select("conv_id", "t.*")
+    last = F.max_by(F.length("text") % 3, F.struct("turn", "role", "text"))
+    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(last.alias("last"), F.count("*").alias("n"))
+    return turns.select("conv_id", confidence.termination_of(F.col("last"), F.col("n"), [0], 4).alias("t")).select("conv_id", "t.*")
 
 
 def _solutions() -> Column:
@@ -422,6 +430,17 @@ def bootstrap_ci_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(training.bootstrap(training.paired(_results(spark, sf_dir), "kd_all", "kd_gated"), 11))
 
 
+@_query(f"""WITH {_RESULTS}, pairs(l, r) AS (VALUES ('base', 'kd_all'), ('base', 'kd_gated'), ('base', 'kd_oracle'), ('kd_all', 'kd_gated'), ('kd_oracle', 'kd_gated')),
+  f AS (SELECT p.l, p.r, coalesce(b.correct, false)::INT - coalesce(a.correct, false)::INT AS diff FROM pairs p JOIN res a ON a.condition = p.l JOIN res b ON b.condition = p.r AND a.example_id = b.example_id),
+  n AS (SELECT l, r, count(*) AS n, count(*) FILTER (diff = -1) AS lo, count(*) FILTER (diff <= 0) AS mid, avg(diff) AS delta FROM f GROUP BY l, r), i AS (SELECT unnest(generate_series(0, (SELECT max(n) - 1 FROM n))) AS i), t AS (SELECT unnest(generate_series(0, 4999)) AS round),
+  d AS (SELECT t.round, CAST('0x' || substr(sha256('11:' || t.round || ':' || i.i), 1, 12) AS BIGINT) % (SELECT max(n) FROM n) AS p FROM t CROSS JOIN i),
+  m AS (SELECT l, r, round, sum(CASE WHEN p < lo THEN -1 WHEN p < mid THEN 0 ELSE 1 END) / any_value(n)::DOUBLE AS mean FROM d CROSS JOIN n GROUP BY l, r, round), s AS (SELECT l, r, array_agg(mean ORDER BY mean) AS v FROM m GROUP BY l, r)
+  SELECT n.l AS "left", n.r AS "right", n.n, round(delta, 6) AS delta, round(v[126], 6) AS ci_low, round(v[4875], 6) AS ci_high FROM s JOIN n ON s.l = n.l AND s.r = n.r""")
+def comparisons_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five comparisons with their intervals, by 5,000 resamples each; every example has a result of every condition."""
+    return _rounded(training.comparison_table(_results(spark, sf_dir), 11))
+
+
 _COMPACT = f"WITH {_RECORDS}, c AS (SELECT doc_id, dataset, correct = 1 AS right, majority_correct = 1 AS majority, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE s_source END AS agreement, s_hashed AS sure, doc_id % 12 <> 0 AS answered FROM records)"
 
 
@@ -474,7 +493,7 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROMPT_SQL = answers.PROMPT.replace("'", "''")
 
 
-@_query(f"SELECT conv_id, turn, role AS turn_role, text, 'user' AS role, '{_PROMPT_SQL}' || trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM conversations WHERE length(trim(text)) > 0")
+@_query(f"SELECT conv_id, turn, role AS turn_role, text, 'user' AS role, '{_PROMPT_SQL}' || trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM conversations WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "conversations").where("length(trim(text)) > 0")
     return c.select("conv_id", "turn", F.col("role").alias("turn_role"), "text", F.explode(answers.chat_messages(F.col("text"))).alias("m")).select("conv_id", "turn", "turn_role", "text", "m.role", "m.content")
@@ -485,7 +504,9 @@ def checkpoint_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, ingested into a table that is resumed once without repeats."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/surelake-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     at = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
     events = _read(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
     events.write.parquet(f"{at}/in")

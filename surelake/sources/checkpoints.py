@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GREEDY = "text:string,token_ids:array<int>,token_entropies_nats:array<double>,token_logprobs:array<double>,token_char_spans:array<array<int>>,content_token_mask:array<boolean>,token_alignment_status:string,eos_generated:boolean,was_truncated:boolean,termination_reason:string"
@@ -22,42 +26,97 @@ def is_complete():
     return (F.length("example_id") > 0) & (F.col("status") == "complete") & F.col("greedy").isNotNull() & F.col("samples").isNotNull()
 
 
-def torn_tail(spark: SparkSession, file: str) -> str | None:
-    """A file's last line if no line end follows it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+def _path(spark: SparkSession, file: str):
+    """A file as Spark names it, which is as a URI."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+
+
+def torn_tail(spark: SparkSession, file: str) -> tuple[str, int] | None:
+    """A file's last line, if no line end follows it, and the byte at which it begins."""
+    path = _path(spark, file)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     size, room = fs.getFileStatus(path).getLen(), 1 << 16
     while size:
         stream = fs.open(path)
         try:
             stream.seek(max(0, size - room))
-            tail = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            tail = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
         finally:
             stream.close()
-        if tail.endswith("\n"):
+        if tail.endswith(b"\n"):
             return None
-        if "\n" in tail or room >= size:
-            return tail.rpartition("\n")[2]
+        if b"\n" in tail or room >= size:
+            last = tail.rpartition(b"\n")[2]
+            return last.decode("utf-8", "replace"), size - len(last)
         room *= 16
     return None
 
 
-def read_predictions(spark: SparkSession, path: str, schema: str = PREDICTION) -> DataFrame:
+def torn_tails(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, int]]:
+    """torn_tail of each file that has one; many files are looked at together."""
+    with ThreadPoolExecutor(16) as pool:
+        return {f: t for f, t in zip(files, pool.map(lambda f: torn_tail(spark, f), files), strict=True) if t}
+
+
+def repair(spark: SparkSession, path: str) -> list[str]:
+    """Cuts torn last lines off a log's files on disk, so that what is appended next begins a line. Returns the files that were cut.
+
+    Local files are truncated by Python, others by their file system, if it can.
+    """
+    tails = torn_tails(spark, spark.read.text(path).inputFiles())
+    for file, (_, at) in tails.items():
+        if file.startswith("file:"):
+            with open(unquote(urlparse(file).path), "r+b") as f:
+                f.truncate(at)
+                f.flush()
+                os.fsync(f.fileno())
+        else:
+            where = _path(spark, file)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).truncate(where, at)
+    return sorted(tails)
+
+
+def whole_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a log without torn last ones: of those of a file that read like its torn one, one is left out."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    tails = torn_tails(spark, lines.inputFiles())
+    if not tails:
+        return lines
+    lines = lines.withColumn("file", F.input_file_name())
+    torn = reduce(lambda a, b: a | b, [(F.col("file") == f) & (F.col("value") == t) for f, (t, _) in tails.items()])
+    same = F.row_number().over(Window.partitionBy("file", "value").orderBy("value"))
+    # Torn lines become null rather than being filtered, so that no check of the lines can be moved before it.
+    kept = lines.select(F.when(~torn, F.col("value")).alias("value"))
+    again = lines.where(torn).withColumn("n", same).select(F.when(F.col("n") > 1, F.col("value")).alias("value"))
+    return kept.unionByName(again).where("value IS NOT NULL")
+
+
+def read_predictions(spark: SparkSession, path: str, schema: str = PREDICTION, blank: bool = False) -> DataFrame:
     """Complete records of a JSON-lines log, strictly.
 
     A last line without line end was torn off in writing and is left out; any other row that is corrupt or not complete, and an
-    id that is there twice, stops the query. The driver reads no more of a file than its last line.
+    id that is there twice, stops the query; so does a blank line, unless ``blank`` lets them pass. The driver reads no more of a file
+    than its last line.
     """
-    lines = spark.read.option("lineSep", "\n").text(path)
-    tails = [t for t in (torn_tail(spark, f) for f in lines.inputFiles()) if t]
-    kept = lines.where(~F.col("value").isin(*tails)) if tails else lines
+    kept = whole_lines(spark, path)
+    if blank:
+        kept = kept.where(F.length(F.trim("value")) > 0)
     parsed = kept.select("value", F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"))
-    bad = F.when(F.col(f"r.{_BAD}").isNotNull() | F.col("r").isNull(), F.raise_error(F.lit("a checkpoint row is corrupt")))
+    bad = F.when(F.col("value").isNotNull() & (F.col(f"r.{_BAD}").isNotNull() | F.col("r").isNull()), F.raise_error(F.lit("a checkpoint row is corrupt")))
     records = parsed.where(F.coalesce(bad.cast("boolean"), F.lit(True))).select("r.*").drop(_BAD)
     complete = F.when(F.coalesce(is_complete(), F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a checkpoint row is not a complete prediction")).cast("boolean"))
     return without_duplicates(records.where(complete), "example_id")
 
 
+def read_export(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
+    """Records for export: blank lines pass, and there must be as many records as the manifest says."""
+    records = read_predictions(spark, path, blank=True)
+    n, expected = records.count(), manifest.get("completed_count", len(manifest.get("selected_example_ids", [])))
+    if n != expected:
+        raise ValueError(f"{n} records where the manifest has {expected}")
+    return records
+
+
 def without_duplicates(rows: DataFrame, key: str) -> DataFrame:
     """The same rows; a key that is there twice stops the query."""
     twice = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("duplicate checkpoint for "), F.col(key))).cast("boolean")).otherwise(F.lit(False)))

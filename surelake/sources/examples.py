@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surelake.functions import answers
+from surelake.operators.selection import Profile, select_examples
 
 # The sources of a run, as (dataset, config).
 MATH_SUBJECTS = ("algebra", "counting_and_probability", "geometry", "intermediate_algebra", "number_theory", "prealgebra", "precalculus")
@@ -69,8 +70,15 @@ def require_all_sources(examples: DataFrame, requests: list[tuple[str, str]] | N
 
 
 def read_examples(spark: SparkSession, root: str, revisions: dict[str, str], split: str = "test", requests: list[tuple[str, str]] | None = None, fmt: str = "parquet") -> DataFrame:
-    """Normalised rows of all sources, laid out as root/dataset/config/revision=<sha>/, each with its place in source_row_id."""
+    """Normalised rows of all sources, laid out as root/dataset/config/revision=<sha>/, each with its place in source_row_id. A source without rows is an error."""
     requests = requests or REQUESTS
     check_revisions(revisions, sorted({d for d, _ in requests}))
     parts = [normalize(spark.read.format(fmt).load(f"{root}/{d}/{c}/revision={revisions[d]}"), d, c, split, revisions[d]) for d, c in requests]
-    return reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, parts)
+    require_all_sources(found, requests)
+    return found
+
+
+def load_selected(spark: SparkSession, root: str, revisions: dict[str, str], profile: Profile, seed: int, requests: list[tuple[str, str]] | None = None, fmt: str = "parquet") -> DataFrame:
+    """The examples that a profile takes from all sources, which are read offline from their pinned folders."""
+    return select_examples(read_examples(spark, root, revisions, profile.split, requests, fmt), profile, seed)

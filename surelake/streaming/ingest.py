@@ -30,6 +30,11 @@ def resume_guard(folder: str, identity: dict) -> str:
     return signature
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "example_id", fmt: str = "json", files_per_trigger: int = 8, strict: bool = True) -> StreamingQuery:
     """Appends new rows of a folder to a Parquet table, then stops; what was read before is not read again.
 
@@ -40,12 +45,7 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
 
     def append(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
-        try:
-            done = own.read.option("basePath", target).parquet(target).where(F.col("__batch") != number).select(key)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = None
+        done = own.read.schema(f"{schema}, __batch int").option("basePath", target).parquet(target).where(F.col("__batch") != number).select(key) if exists(own, target) else None
         repeated = batch.groupBy(key).count().where("count > 1").select(key)
         if strict:
             again = repeated if done is None else repeated.unionByName(batch.join(done, key, "left_semi").select(key))

@@ -63,6 +63,36 @@ def test_checkpoint_log(spark, tmp_path):
             checkpoints.read_predictions(spark, path).collect()
 
 
+def test_a_torn_line_that_reads_like_a_whole_one(spark, tmp_path):
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    for name, tail in (("x.jsonl", "a"), ("y.jsonl", None), ("z.jsonl", "c")):
+        path = str(folder / name)
+        for i in {"x.jsonl": "ab", "y.jsonl": "cd", "z.jsonl": "ef"}[name]:
+            sinks.append_record(path, complete(i))
+        if tail:
+            with open(path, "ab") as f:
+                f.write(open(str(folder / "x.jsonl"), "rb").read().split(b"\n")[0] if tail == "a" else b'{"example_id":"c')
+    assert {r.example_id for r in checkpoints.read_predictions(spark, str(folder)).collect()} == set("abcdef")
+    cut = checkpoints.repair(spark, str(folder))
+    assert [c.rsplit("/", 1)[1] for c in cut] == ["x.jsonl", "z.jsonl"] and checkpoints.repair(spark, str(folder)) == []
+    sinks.append_record(str(folder / "x.jsonl"), complete("g"))
+    assert {r.example_id for r in checkpoints.read_predictions(spark, str(folder)).collect()} == set("abcdefg")
+
+
+def test_blank_lines(spark, tmp_path):
+    path = str(tmp_path / "log.jsonl")
+    sinks.append_record(path, complete("a"))
+    with open(path, "ab") as f:
+        f.write(b"\n")
+    sinks.append_record(path, complete("b"))
+    with pytest.raises(Exception, match="corrupt"):
+        checkpoints.read_predictions(spark, path).collect()
+    assert checkpoints.read_export(spark, path, {"selected_example_ids": ["a", "b"]}).count() == 2
+    with pytest.raises(ValueError, match="3"):
+        checkpoints.read_export(spark, path, {"completed_count": 3})
+
+
 def test_stages(spark, tmp_path):
     for i, failure in (("a", "oom"), ("b", None), ("c", "oom")):
         (tmp_path / f"{i}.json").write_text(json.dumps({"run_signature": "s", "example_id": i, "failure": failure, "samples": {}}, indent=1))

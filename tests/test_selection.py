@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from surelake.functions import answers
 from surelake.operators import selection
 
 SCHEMA = "example_id string, dataset string, source_config string, seed_question_id string, gold_status string, gold_answer string"
@@ -65,3 +66,29 @@ def test_checks(spark):
 def test_the_limit_reaches_the_map_side(spark):
     df = spark.range(1000).select((F.col("id") % 5).alias("g"), F.col("id").cast("string").alias("k"))
     assert "WindowGroupLimit" in selection.take_ranked(df, ["g"], "k", 42, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_selection_stops_on_repeated_ids(spark):
+    twice = pool(spark, 3, {}, 0, None).unionByName(pool(spark, 1, {}, 0, None))
+    with pytest.raises(Exception, match="duplicate"):
+        selection.select_examples(twice, selection.Profile("t", 2, 1, 1), 1).collect()
+
+
+def test_a_leak_is_seen_in_every_script(spark):
+    """A question and its perturbed copy, whose seed is named by the exact key, are one group."""
+    rows = [("g", "gsm8k", "Straße  ΣΊΣΥΦΟΣ?", None), ("p", "gsm_plus", "other", answers.seed_question_key("STRASSE σίσυφος?")), ("q", "gsm_plus", "other", None)]
+    e = spark.createDataFrame(rows, "example_id string, dataset string, question string, seed_question_id string")
+    groups = {r.example_id: r.leak_group for r in selection.training_groups(e, e).collect()}
+    assert groups["g"] == groups["p"] is not None and groups["q"] is None
+    trained = spark.createDataFrame([("g",), ("unknown",)], "example_id string")
+    marked = e.withColumn("leak_group", answers.leak_group(F.col("dataset"), F.col("question"), F.col("seed_question_id")))
+    assert {r.example_id for r in selection.without_leaks(marked, selection.training_groups(trained, e)).collect()} == {"q"}
+
+
+def test_heldout_limits_reach_the_map_side(spark):
+    p = pool(spark, 50, {"a": 30, "b": 30}, 40, lambda i: f"q{i}").withColumn("leak_group", F.lit(None).cast("string"))
+    found = selection.select_heldout(p, p.limit(0), 1, 5, 3, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 8  # partial and final, of four rankings
+    assert {r.dataset: r["count"] for r in found.groupBy("dataset").count().collect()} == {"gsm8k": 5, "math": 6, "gsm_plus": 4}
+    assert sorted(r.place for r in found.where("dataset = 'gsm8k'").collect()) == [1, 2, 3, 4, 5]

@@ -72,8 +72,8 @@ def ece(df: DataFrame, groups: list[str], score: str = "score", outcome: str = "
 
 def score_slice(s: Column, per_octave: int = 4096) -> Column:
     """A number that ascends with the score: each factor of two, on either side of 0, has so many slices, whatever the score's range."""
-    place = lambda x: F.floor(F.log2(x) * per_octave) + 1100 * per_octave  # noqa: E731 (above 0 for every double)
-    return F.when(F.isnan(s), 1 << 40).when(s == 0, 0).when(s > 0, F.least(place(s), F.lit(1 << 39))).otherwise(-F.least(place(-s), F.lit(1 << 39)))
+    place = lambda x: F.floor(F.least(F.log2(x), F.lit(1100.0)) * per_octave) + 1100 * per_octave  # noqa: E731 (above 0 for every double)
+    return F.when(F.isnan(s), 1 << 40).when(s == 0, 0).when(s > 0, place(s)).otherwise(-place(-s))
 
 
 def _ranked(df: DataFrame, groups: list[str], score: str, outcome: str) -> DataFrame:

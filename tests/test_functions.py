@@ -146,3 +146,16 @@ def test_termination_alignment_logits(spark):
     assert [s and tuple(s) for s in rows[0].spans] == [None, (0, 1), (1, 3)]
     r = spark.createDataFrame([([0.0, 0.0], 1)], "l array<double>, c int").select(confidence.logit_scores(F.col("l"), F.col("c")).alias("x")).first().x
     assert r.entropy == pytest.approx(math.log(2)) and r.logprob == pytest.approx(-math.log(2))
+
+
+def test_alignment_of_many_tokens(spark):
+    """Offsets go to visible tokens in order, in time about linear in the tokens."""
+    n = 20000
+    tokens = [9 if i % 7 == 0 else i % 5 for i in range(n)]
+    visible = [t for t in tokens if t != 9]
+    offsets = [(i, i + 1) for i in range(len(visible))]
+    df = spark.createDataFrame([(tokens, visible, offsets, n)], "t array<int>, e array<int>, o array<struct<start:int,end:int>>, n int")
+    x = df.select(confidence.alignment(F.col("t"), [9], F.col("e"), F.col("o"), F.col("n")).alias("x")).first().x
+    assert x.status == "aligned" and len(x.spans) == n
+    given = iter(offsets)
+    assert all(s is None if t == 9 else tuple(s) == next(given) for t, s in zip(tokens, x.spans, strict=True))

@@ -111,3 +111,20 @@ def test_accounting(spark):
 def test_recommendation():
     assert metrics.recommendation(False, "mini_12h")["status"] == "insufficient"
     assert "111" in metrics.recommendation(True, "mini_12h")["reason"] and "smoke" in metrics.recommendation(True, "smoke")["reason"]
+
+
+def test_auroc_of_any_score_range(spark):
+    """Slices follow the magnitude of scores: negative, tiny, huge, infinite, and tied ones."""
+    rng = random.Random(5)
+    scores = [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(300)] + [0.0, -0.0, 1.0, 1.0, 1.5, 1.5, float("inf"), float("-inf"), 5e-324, -5e-324] * 3
+    rows = [(s, int(rng.random() < 0.4)) for s in scores]
+    won = sum((a > b) + (a == b) / 2 for a, x in rows for b, y in rows if x and not y)
+    expected = won / (sum(x for _, x in rows) * sum(1 - x for _, x in rows))
+    df = spark.createDataFrame([("g", s, o) for s, o in rows], "g string, score double, outcome int")
+    assert metrics.auroc(df, ["g"]).first().auroc == pytest.approx(expected, abs=1e-12)
+
+
+def test_no_slice_holds_a_whole_group(spark):
+    df = spark.range(20000).select(metrics.score_slice((F.col("id") + 1) * 1.0).alias("s"), metrics.score_slice(F.lit(0.5) + F.col("id") / 50000).alias("t"))
+    for c in ("s", "t"):
+        assert df.groupBy(c).count().agg(F.max("count")).first()[0] < 200

@@ -246,3 +246,30 @@ def test_event_time_windows(spark, tmp_path):
     q = ingest.windowed_counts(stream, "ts", "1 minute", "1 minute", "k").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["count"] for r in spark.table("w").collect()) == [1, 2]
+
+
+def _conditions(spark):
+    rows = [(i, c, None if (i + 3 * k) % 7 == 0 else (i * (k + 2)) % 5 < 3) for i in range(40) for k, c in enumerate(("base", "kd_all", "kd_gated", "kd_oracle"))]
+    return spark.createDataFrame(rows, "example_id bigint, condition string, correct boolean")
+
+
+def test_one_pass_compares_all_conditions(spark):
+    results = _conditions(spark)
+    plan = training.paired_delta(results)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "Join" not in plan
+    for r in training.paired_delta(results).collect():
+        own = [x.diff for x in training.paired(results, r.left, r.right).collect()]
+        assert (r.n, r.delta) == (40, pytest.approx(sum(own) / 40))
+    with pytest.raises(Exception, match="two results"):
+        training.paired_delta(results.unionByName(results.limit(1))).collect()
+
+
+def test_the_table_of_comparisons_is_the_bootstrap_of_each(spark):
+    results = _conditions(spark)
+    table = {(r.left, r.right): r for r in training.comparison_table(results, 5, 300).collect()}
+    assert set(table) == set(training.COMPARISONS)
+    for pair, r in table.items():
+        one = training.bootstrap(training.paired(results, *pair), 5, 300).first()
+        assert (r.n, r.delta, r.ci_low, r.ci_high) == (one.n, pytest.approx(one.delta), pytest.approx(one.ci_low), pytest.approx(one.ci_high))
+    fewer = results.where("condition <> 'base' OR example_id < 30")
+    assert {r.n for r in training.comparison_table(fewer, 5, 50).collect()} == {30, 40}

@@ -364,7 +364,7 @@ def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int, **more: Co
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     row = F.xxhash64(F.col(key), F.col(text))
-    picked = docs.select(F.pmod(row, F.lit(blocks)).cast("int").alias("bid"), row.alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).cast("binary").alias("text"), *(c.alias(name) for name, c in more.items()))
+    picked = docs.select(F.pmod(row, F.lit(blocks)).cast("bigint").alias("bid"), row.alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).cast("binary").alias("text"), *(c.alias(name) for name, c in more.items()))
 
     def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)

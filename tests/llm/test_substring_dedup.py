@@ -33,6 +33,24 @@ def test_equals_brute_force(spark, window, rounds, block, fan):
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, brute(rows, window)))
 
 
+@pytest.fixture
+def scattered(spark):
+    """Partitions that are not put together again, so that what must meet has to be dealt alike."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_blocks_and_replies_meet(spark, scattered):
+    rows = awkward() + [("s", 100 + i, prose(i, 80, 40), "en", 1, 1, "k") for i in range(40)]
+    found = substring_dedup(frame(spark, rows), window=8, rounds=2, block_bytes=2000, bucket_keys=500, fan=5)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, brute(rows, 8)))
+
+
 def test_carries_columns(spark):
     found = substring_dedup(frame(spark), with_text=False, carry=("lang", "bid", "key"))
     assert found.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "lang", "bid", "key"]

@@ -1,8 +1,9 @@
-"""Grading of answers by exact canonical keys.
+"""Grading of answers by exact values.
 
-A key is the reduced fraction of an integer, decimal, a/b or \\frac{a}{b}; keys are equal if the
-values are. Other expressions are only known to equal themselves, so comparing them with
-anything else is unknown (null), never wrong. If ``math_verify`` can be imported it decides those.
+Numbers have the reduced fraction as key; other expressions are read as exact values
+(``expressions``), which are compared exactly. What can't be read so is only known to equal itself; comparing it with
+anything else is left to the optional engine (``verifier``), in an isolated process with a deadline, and is unknown (null)
+without it, never wrong.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import functions as F
 
-from surelake.functions import types
+from surelake.functions import expressions, types, verifier
 
 LONGEST = 2048
 GRADE = "correct boolean, prediction_parseable boolean, gold_parseable boolean, status string"
@@ -22,12 +23,6 @@ _NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)"
 _PLAIN = re.compile(rf"({_NUMBER})(?:\s*/\s*({_NUMBER}))?")
 _FRACTION = re.compile(rf"([+-]?)\\[dt]?frac\s*\{{\s*({_NUMBER})\s*\}}\s*\{{\s*({_NUMBER})\s*\}}")
 
-try:
-    import math_verify
-except ImportError:
-    math_verify = None
-
-
 def _balanced(text: str) -> bool:
     depth, p = 0, 0
     while p < len(text):
@@ -60,25 +55,56 @@ def canonical(value: str | None) -> tuple[str, str] | None:
     return "number", f"{number.numerator}/{number.denominator}"
 
 
-def equivalent(left: str | None, right: str | None) -> bool | None:
-    """True, False (also if either is missing or can't be parsed), or None: unknown."""
+@lru_cache(8192)
+def value_of(text: str):
+    """The exact value of an answer, or None."""
+    try:
+        return expressions.read(text.strip())
+    except expressions.Unsupported:
+        return None
+
+
+def exactly(left: str, right: str) -> bool | None:
+    """Are two parseable answers equal? None if exact values don't tell."""
     a, b = canonical(left), canonical(right)
-    if a is None or b is None:
-        return False
     if a == b:
         return True
     if a[0] == b[0] == "number":
         return False
-    if math_verify is not None:
-        try:
-            x, y = (math_verify.parse("\\boxed{" + v.strip() + "}") for v in (left, right))
-            return bool(math_verify.verify(x, y) or math_verify.verify(y, x)) if x and y else False
-        except Exception:  # the verifier's own failures are unknown outcomes
-            return None
-    return None
+    x, y = value_of(left), value_of(right)
+    try:
+        return None if x is None or y is None else expressions.same(x, y)
+    except expressions.Unsupported:
+        return None
+
+
+def equivalent(left: str | None, right: str | None, engine: verifier.Worker | None = None) -> bool | None:
+    """True, False (also if either is missing or can't be parsed), or None: unknown."""
+    if canonical(left) is None or canonical(right) is None:
+        return False
+    verdict = exactly(left, right)
+    engine = engine or verifier.worker()
+    return engine.equivalent(left, right) if verdict is None and engine else verdict
+
+
+def is_equivalent(left: str | None, right: str | None) -> bool:
+    """For callers that have no word for unknown."""
+    return equivalent(left, right) is True
+
+
+def parseable(value: str | None, engine: verifier.Worker | None = None) -> bool | None:
+    """Can it be parsed? None if the engine that was asked gave no answer."""
+    if canonical(value) is None:
+        return False
+    engine = engine or verifier.worker()
+    return True if engine is None or canonical(value)[0] == "number" or value_of(value) is not None else engine.parseable(value)
+
+
+def is_parseable(value: str | None) -> bool:
+    return parseable(value) is True
 
 
-def grade(prediction: str | None, gold: str | None) -> tuple[bool | None, bool, bool, str]:
+def grade(prediction: str | None, gold: str | None, engine: verifier.Worker | None = None) -> tuple[bool | None, bool | None, bool | None, str]:
     """(correct, prediction_parseable, gold_parseable, status) of an extracted answer."""
     p, g = canonical(prediction) is not None, canonical(gold) is not None
     if gold is None or not gold.strip():
@@ -89,14 +115,17 @@ def grade(prediction: str | None, gold: str | None) -> tuple[bool | None, bool,
         return False, False, True, "missing_prediction_answer"
     if not p:
         return False, False, True, "unparseable_prediction"
-    correct = equivalent(prediction, gold)
+    correct = exactly(prediction, gold)
+    engine = engine or verifier.worker()
+    if correct is None and engine:
+        return engine.grade(prediction, gold)
     return correct, True, True, "graded" if correct is not None else "unsupported_expression"
 
 
 @F.pandas_udf(types.struct(GRADE))
 def grade_answer(predictions: pd.Series, golds: pd.Series) -> pd.DataFrame:
     rows = [grade(None if pd.isna(p) else p, None if pd.isna(g) else g) for p, g in zip(predictions, golds, strict=True)]
-    return pd.DataFrame(rows, columns=["correct", "prediction_parseable", "gold_parseable", "status"]).astype({"correct": "boolean"})
+    return pd.DataFrame(rows, columns=["correct", "prediction_parseable", "gold_parseable", "status"]).astype({"correct": "boolean", "prediction_parseable": "boolean", "gold_parseable": "boolean"})
 
 
 @F.pandas_udf(types.BOOLEAN)
@@ -106,13 +135,13 @@ def answers_equivalent(lefts: pd.Series, rights: pd.Series) -> pd.Series:
 
 @F.pandas_udf(types.BOOLEAN)
 def answer_parseable(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: canonical(None if pd.isna(v) else v) is not None).astype("boolean")
+    return pd.Series([parseable(None if pd.isna(v) else v) for v in values], dtype="boolean")
 
 
 @F.pandas_udf(types.STRING)
 def answer_key(values: pd.Series) -> pd.Series:
-    """A key for votes: equal for equal numbers, the text itself for other expressions; null if missing."""
-    return values.map(lambda v: None if v is None or canonical(v) is None else canonical(v)[1])
+    """A key for votes: equal for equal numbers and exact values, the text itself for what has none; null if missing."""
+    return values.map(lambda v: None if v is None or canonical(v) is None else canonical(v)[1] if canonical(v)[0] == "number" or value_of(v) is None else expressions.key(value_of(v)))
 
 
 CONSISTENCY = (
@@ -121,7 +150,7 @@ CONSISTENCY = (
 )
 
 
-def consistency(greedy: str | None, samples: list[str | None], gold: str | None, same=equivalent) -> tuple:
+def consistency(greedy: str | None, samples: list[str | None], gold: str | None, same=equivalent, parses=parseable) -> tuple:
     """Greedy agreement and the majority of the samples, taken in order.
 
     A sample joins the first cluster whose first member it equals; missing answers are one cluster; of equally large
@@ -146,12 +175,13 @@ def consistency(greedy: str | None, samples: list[str | None], gold: str | None,
     n, agreed, unsure = len(samples), sum(m is True for m in matches), sum(m is None for m in matches)
     most = max(votes)
     winner = heads[votes.index(most)]
-    parseable = sum(canonical(a) is not None for a in samples)
+    verdicts = [parses(a) for a in samples]
+    known, dark = sum(v is True for v in verdicts), sum(v is None for v in verdicts)
     share = None if unsure else agreed / n
     if unknown:
-        return n, parseable, 0, agreed, unsure, share, None, None, None, None, "majority_comparison_incomplete", unknown
+        return n, known, dark, agreed, unsure, share, None, None, None, None, "majority_comparison_incomplete", unknown
     correct, _, _, status = grade(winner, gold)
-    return n, parseable, 0, agreed, unsure, share, winner, most, most / n, correct, status, 0
+    return n, known, dark, agreed, unsure, share, winner, most, most / n, correct, status, 0
 
 
 @F.pandas_udf(types.struct(CONSISTENCY))

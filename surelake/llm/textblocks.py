@@ -166,8 +166,14 @@ class Keys(NamedTuple):
 def united(a: np.ndarray, b: np.ndarray | None, value: np.ndarray | None = None, extra: np.ndarray | None = None) -> tuple[Keys, np.ndarray, np.ndarray]:
     """The distinct keys; per input its place among them; and whether it is the first of its key. Without values each counts 1."""
     n = len(a)
-    order = np.argsort(a, kind="stable") if b is None else np.lexsort((b, a))
+    order = np.argsort(a)
     x = a[order]
+    if b is not None:  # only equal ones need b
+        tie = np.zeros(n + 1, bool)
+        tie[1:n] = x[1:] == x[:-1]
+        tied = np.flatnonzero(tie[:n] | tie[1:])
+        some = order[tied]
+        order[tied] = some[np.lexsort((b[some], x[tied]))]
     new = np.ones(n, bool)
     new[1:] = x[1:] != x[:-1]
     if b is not None:

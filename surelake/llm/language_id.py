@@ -62,9 +62,9 @@ def unknown_share(known: np.ndarray, data: np.ndarray, bounds: np.ndarray, piece
         if len(x) < 4:
             continue
         four, at = _fours(x)
-        doc = np.searchsorted(bounds, at + a, "right") - 1
-        every += np.bincount(doc, minlength=len(every))
-        unknown += np.bincount(doc, ~known[four], len(every))
+        first = np.searchsorted(at, bounds - a)
+        every += np.diff(first)
+        unknown += np.diff(np.append(0, np.cumsum(~known[four]))[first])
     return unknown / (every + _SHRINK)
 
 

@@ -218,10 +218,11 @@ def _searched(batches: Iterator[pa.RecordBatch], slices: list[Slice], window: in
     for group in _grouped(tb.sliced(batches, "text"), 1 if len(slices) <= _KEPT_AUTOMATA else 32 << 20):
         hits: list[np.ndarray | None] = [None] * len(group)
         met: list[dict[int, set[str]]] = [{} for _ in group]
+        alone = _words(group[0]) if len(group) == 1 else None
         for s in slices:
             a = s.automaton(window)
             for k, batch in enumerate(group):
-                w = _words(batch)[2]
+                w = (alone or _words(batch))[2]
                 if hits[k] is None:
                     hits[k] = np.zeros(len(w.hash), bool)
                 for lo, hi in a.stretches(w.hash, w.first).tolist():
@@ -229,7 +230,7 @@ def _searched(batches: Iterator[pa.RecordBatch], slices: list[Slice], window: in
                         doc = int(np.searchsorted(w.first, lo, "right")) - 1
                         met[k].setdefault(doc, set()).update(a.names[i] for i in items if a.names[i] is not None)
         for batch, hit, names in zip(group, hits, met, strict=True):
-            data, bounds, w = _words(batch)
+            data, bounds, w = alone or _words(batch)
             yield batch, data, bounds, w, np.zeros(len(w.hash), bool) if hit is None else hit, names
 
 

@@ -8,11 +8,6 @@ from collections.abc import Iterable
 import numpy as np
 
 U = np.uint64
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-_WHERE = np.zeros((256, 8), np.uint8)  # place of the r-th set bit of a byte
-for _b in range(256):
-    for _r, _p in enumerate([p for p in range(8) if _b >> p & 1]):
-        _WHERE[_b, _r] = _p
 
 
 def mapped(arrays: Iterable[np.ndarray]) -> list[np.ndarray]:
@@ -46,8 +41,7 @@ class Sequence:
         flags = np.zeros(-(-self.size // 64) * 64, bool)
         flags[((values >> U(self.bits)) + np.arange(n, dtype=U)).astype(np.int64)] = True
         self.high = np.packbits(flags, bitorder="little").view(U)
-        ones = np.add.reduceat(_ONES[self.high.view(np.uint8)], np.arange(0, len(self.high) * 8, 8), dtype=np.int64)
-        self.ones = np.append(0, np.cumsum(ones))
+        self.ones = np.append(0, np.cumsum(np.bitwise_count(self.high), dtype=np.int64))
         self.tops = top >> self.bits
         self.low, self.high, self.ones = mapped([self.low, self.high, self.ones])
 
@@ -58,17 +52,15 @@ class Sequence:
         """Place of the k-th (from 0) set or clear bit."""
         before = self.ones if ones else np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         word = np.searchsorted(before, k, "right") - 1
-        left = k - before[word]
+        left = (k - before[word]).astype(U)
         bits = self.high[word] if ones else ~self.high[word]
         out = word * 64
-        todo = np.ones(len(k), bool)
-        for b in range(8):
-            byte = ((bits >> U(8 * b)) & U(255)).astype(np.int64)
-            count = _ONES[byte]
-            here = todo & (left < count)
-            out[here] += 8 * b + _WHERE[byte[here], left[here]]
-            todo &= ~here
-            left = np.where(todo, left - count, left)
+        for width in (32, 16, 8, 4, 2, 1):  # halves: is the bit in the lower one?
+            count = np.bitwise_count(bits & U((1 << width) - 1)).astype(U)
+            up = left >= count
+            left -= np.where(up, count, U(0))
+            bits = np.where(up, bits >> U(width), bits)
+            out += np.where(up, width, 0)
         return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -77,25 +69,55 @@ class Sequence:
     def access(self, i: np.ndarray) -> np.ndarray:
         return (((self._select(i, True) - i).astype(U)) << U(self.bits)) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Per number, the first place whose value is not smaller; n if there is none."""
+    def every(self) -> np.ndarray:
+        """All values, decoded in one pass."""
+        place = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
+        i = np.arange(self.n, dtype=np.int64)
+        return ((place - i).astype(U) << U(self.bits)) | self._low(i)
+
+    def values(self, i: np.ndarray) -> np.ndarray:
+        """As ``access``; many at once are decoded together."""
+        return self.every()[i] if 4 * len(i) >= self.n else self.access(i)
+
+    def _end(self, h: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Where the values of high bits h end, which begin at place lo: after the set bits that follow there."""
+        at = lo + h
+        word, off = np.minimum(at >> 6, len(self.high) - 1), (at & 63).astype(U)
+        clear = ~(self.high[word] >> off)
+        run = np.bitwise_count((clear & (~clear + U(1))) - U(1)).astype(np.int64)  # set bits from there on
+        out = lo + run
+        more = np.flatnonzero(run >= 64 - off.astype(np.int64))  # beyond the word
+        if len(more):
+            inner = h[more] < self.tops
+            out[more] = self.n
+            some = more[inner]
+            out[some] = self._select(h[some], False) - h[some]
+        return np.minimum(out, self.n)
+
+    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per number, the first place whose value is not smaller (n if there is none), and whether it is the number itself."""
+        if not self.n:
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high = np.minimum(x >> U(self.bits), U(self.tops + 1)).astype(np.int64)
-        beyond = high > self.tops
         h = np.minimum(high, self.tops)
-        lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0)
-        hi = np.where(h < self.tops, self._select(np.minimum(h, max(self.tops - 1, 0)), False) - h, self.n) if self.tops else np.full(len(h), self.n)
-        low = x & U((1 << self.bits) - 1)
-        end = hi.copy()
-        while True:  # binary search among those of equal high bits
-            open_ = lo < end
-            if not open_.any():
-                break
-            mid = (lo + end) // 2
-            less = np.zeros(len(lo), bool)
-            less[open_] = self._low(mid[open_]) < low[open_]
-            lo = np.where(open_ & less, mid + 1, lo)
-            end = np.where(open_ & ~less, mid, end)
-        return np.where(beyond, self.n, lo)
+        lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0) if self.tops else np.zeros(len(h), np.int64)
+        last = self._end(h, lo)
+        low, end = x & U((1 << self.bits) - 1), last.copy()
+        busy = np.flatnonzero(lo < end)
+        while len(busy):  # binary search among those of equal high bits
+            mid = (lo[busy] + end[busy]) // 2
+            less = self._low(mid) < low[busy]
+            lo[busy[less]] = mid[less] + 1
+            end[busy[~less]] = mid[~less]
+            busy = busy[lo[busy] < end[busy]]
+        there = np.flatnonzero((lo < last) & (high <= self.tops))
+        found = np.zeros(len(x), bool)
+        found[there] = self._low(lo[there]) == low[there]
+        return np.where(high > self.tops, self.n, lo), found
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Per number, the first place whose value is not smaller; n if there is none."""
+        return self.search(x)[0]
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -155,18 +177,18 @@ class Level:
         (self.code,) = mapped([code])
 
     def find(self, parent: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The place of each successor of its parent, -1 where it is not; parents of -1 have none."""
+        """The place of each successor of its parent, -1 where it is not; parents of -1 have none. Equal parents come together."""
         out = np.full(len(parent), -1, np.int64)
         if not self.successors.n:
             return out
         some = np.flatnonzero(parent >= 0)
-        asked, which = np.unique(parent[some], return_inverse=True)
-        lo, hi = self.pointers.access(asked).astype(np.int64), self.pointers.access(asked + 1).astype(np.int64)
-        base = np.where(lo > 0, self.successors.access(np.maximum(lo - 1, 0)) + U(1), U(0))
-        target = successor[some].astype(U) + base[which]
-        at = self.successors.successor(target)
-        ok = at < hi[which]
-        ok[ok] = self.successors.access(at[ok]) == target[ok]
+        mine = parent[some]
+        new = np.append(True, mine[1:] != mine[:-1])[: len(mine)]
+        asked, which = mine[new], np.cumsum(new) - 1
+        lo, hi = self.pointers.values(asked).astype(np.int64), self.pointers.values(asked + 1).astype(np.int64)
+        base = np.where(lo > 0, self.successors.values(np.maximum(lo - 1, 0)) + U(1), U(0))
+        at, ok = self.successors.search(successor[some].astype(U) + base[which])
+        ok &= at < hi[which]
         out[some[ok]] = at[ok]
         return out
 
@@ -205,9 +227,7 @@ class Trie:
         new_u[1:] = u[1:] != u[:-1]
         new_v = new_u.copy()
         new_v[1:] |= v[1:] != v[:-1]
-        place = self.contexts.successor(u[new_u])
-        there = place < self.contexts.n
-        there[there] = self.contexts.access(place[there]) == u[new_u][there]
+        place, there = self.contexts.search(u[new_u])
         context = np.where(there, place.astype(np.int64), -1)[np.cumsum(new_u) - 1]
         pair = self.second.find(context[new_v], v[new_v])[np.cumsum(new_v) - 1]
         out[pair >= 0, 0] = self.second.code[pair[pair >= 0]]

@@ -30,7 +30,38 @@ OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_t
 END, BEGIN = tb.U(0x5851F42D4C957F2D), tb.U(0x14057B7EF767814F)
 #: The w of a path that ends at v: the text does, or the next token is not known.
 NONE = 0xFFFFFFFF
-_TOTALS = 16  # paths (0, 0, i): eight bytes of the training tokens, eight of their kinds
+_FEW = 1 << 16
+_TOTALS = 16  # paths (0, 0, i << 8): eight bytes of the training tokens, eight of their kinds
+
+
+def pack_tokens(k: tb.Keys) -> bytes:
+    """Tokens are told apart by 48 bits."""
+    return tb.sections(tb.pack_sorted(k.a, 2), tb.small_counts(k.value))
+
+
+def unpack_tokens(body: bytes) -> tb.Keys:
+    a, value = tb.from_sections(body)
+    a = tb.unpack_sorted(a, 2)
+    return tb.Keys(a, np.zeros(len(a), tb.U), tb.from_small(value), np.zeros(len(a), np.int64))
+
+
+def narrowed(v: np.ndarray, w: np.ndarray, of_u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """24 bits are enough to tell the successors of a context apart that has few; 32 are kept of others. Every block knows the context's count."""
+    few = of_u < _FEW
+    return np.where(few, v & tb.U(0xFFFFFF00), v), np.where(few & (w != tb.U(NONE)), np.minimum(w, tb.U(0xFFFFFE00)) & tb.U(0xFFFFFF00), w)
+
+
+def _in_bytes(x: np.ndarray, few: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers of 24 bits, then those of 32."""
+    return np.ascontiguousarray(x[few].astype("<u4")).view(np.uint8).reshape(-1, 4)[:, 1:].tobytes(), x[~few].astype("<u4").tobytes()
+
+
+def _from_bytes(three: bytes, four: bytes, few: np.ndarray) -> np.ndarray:
+    wide = np.zeros((int(few.sum()), 4), np.uint8)
+    wide[:, 1:] = np.frombuffer(three, np.uint8).reshape(-1, 3)
+    out = np.empty(len(few), tb.U)
+    out[few], out[~few] = wide.view("<u4").ravel(), np.frombuffer(four, "<u4")
+    return out
 
 
 def pack_paths(k: tb.Keys) -> bytes:
@@ -42,16 +73,20 @@ def pack_paths(k: tb.Keys) -> bytes:
     new_v[1:] |= v[1:] != v[:-1]
     pairs = np.flatnonzero(new_v)
     runs = lambda starts, n: tb.small_counts(np.diff(np.append(starts, n)))
-    contexts = tb.pack_sorted(u[new_u] << tb.U(24), 3)
-    return tb.sections(contexts, tb.small_counts(k.extra[new_u]), runs(np.searchsorted(pairs, np.flatnonzero(new_u)), len(pairs)), v[new_v].astype(np.uint32).tobytes(), runs(pairs, len(u)), w.astype(np.uint32).tobytes(), tb.small_counts(k.value))
+    contexts, few = tb.pack_sorted(u[new_u] << tb.U(24), 3), k.extra < _FEW
+    w = np.where(few & (w == tb.U(NONE)), tb.U(0xFFFFFF00), w)
+    return tb.sections(contexts, tb.small_counts(k.extra[new_u]), runs(np.searchsorted(pairs, np.flatnonzero(new_u)), len(pairs)), *_in_bytes(v[new_v], few[new_v]), runs(pairs, len(u)), *_in_bytes(w, few), tb.small_counts(k.value))
 
 
 def unpack_paths(body: bytes) -> tb.Keys:
-    contexts, of_u, pairs, v, paths, w, value = tb.from_sections(body)
+    contexts, of_u, pairs, v3, v4, paths, w3, w4, value = tb.from_sections(body)
     pairs, paths = tb.from_small(pairs), tb.from_small(paths)
     u = np.repeat(np.repeat(tb.unpack_sorted(contexts, 3) >> tb.U(24), pairs), paths)
-    extra = np.repeat(np.repeat(tb.from_small(of_u), pairs), paths)
-    return joined(u, np.repeat(np.frombuffer(v, np.uint32), paths).astype(tb.U), np.frombuffer(w, np.uint32).astype(tb.U), tb.from_small(value), extra)
+    of_pair = np.repeat(tb.from_small(of_u), pairs)
+    extra = np.repeat(of_pair, paths)
+    w = _from_bytes(w3, w4, extra < _FEW)
+    w[(extra < _FEW) & (w == tb.U(0xFFFFFF00))] = NONE
+    return joined(u, np.repeat(_from_bytes(v3, v4, of_pair < _FEW), paths), w, tb.from_small(value), extra)
 
 
 def joined(u: np.ndarray, v: np.ndarray, w: np.ndarray, value: np.ndarray, extra: np.ndarray) -> tb.Keys:
@@ -90,7 +125,7 @@ class _Tokens:
         self.token[ends] = END
         self.token[word] = w.hash
         self.learned = np.repeat(table["learns"].to_numpy(zero_copy_only=False).astype(bool), np.diff(self.first))
-        self.kinds, self.at, _ = tb.united(tb.mix(self.token, 77), None, self.learned.astype(np.int64))
+        self.kinds, self.at, _ = tb.united(tb.mix(self.token, 77) & ~tb.U(0xFFFF), None, self.learned.astype(np.int64))
 
     def before(self, values: np.ndarray, at_begin) -> np.ndarray:
         """Of each token, the value of the one before it."""
@@ -119,6 +154,7 @@ class _Paths:
         u, of_u, v, w = t.before(t.token, BEGIN)[self.mask], self.of_u[self.mask], v[self.mask], w[self.mask]
         parts = (of_u // split + 1).astype(tb.U)
         u = tb.mix(u + (v % parts) * tb._C1, 8) >> tb.U(24)
+        v, w = narrowed(v, w, of_u)
         every = joined(u, v, w, t.learned[self.mask].astype(np.int64), of_u)
         self.keys, self.at, _ = tb.united(*every)
 
@@ -128,7 +164,7 @@ def _totals(t: _Tokens, mine: np.ndarray, count: np.ndarray) -> tb.Keys:
     value = np.zeros(_TOTALS, np.int64)
     value[0], value[8] = count[mine].sum(), np.count_nonzero(count[mine])
     zero = np.zeros(_TOTALS, tb.U)
-    return joined(zero, zero, np.arange(_TOTALS, dtype=tb.U), value, np.zeros(_TOTALS, np.int64))
+    return joined(zero, zero, np.arange(_TOTALS, dtype=tb.U) << tb.U(8), value, np.zeros(_TOTALS, np.int64))
 
 
 def look_up(keys: tb.Keys, mu: tuple[float, float]) -> np.ndarray:
@@ -154,7 +190,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
     scored whole. Repeated rows count as often as they are there; an empty table gives none; other columns are not read.
     """
     x, blocks, total = tb.in_blocks(docs, key, text, block_bytes, learns=samples.learns(key, modulus, held), held=samples.held_out(key, modulus, held))
-    tokens = tb.Exchange(blocks, max(1, total // 40 // bucket_keys), lambda k: k.value << 1, pack_reply=tb.small_counts, unpack_reply=tb.from_small, owned=True, fan=fan)
+    tokens = tb.Exchange(blocks, max(1, total // 40 // bucket_keys), lambda k: k.value << 1, pack_tokens, unpack_tokens, pack_reply=tb.small_counts, unpack_reply=tb.from_small, owned=True, fan=fan)
     paths = tb.Exchange(blocks, max(1, total // 6 // bucket_keys), lambda k: look_up(k, mu), pack_paths, unpack_paths, pack_codes, unpack_codes, fan=fan)
 
     def ask_tokens(table: pa.Table) -> pa.Table:

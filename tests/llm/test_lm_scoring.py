@@ -6,8 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from surelake.llm import textblocks as tb
 from surelake.llm.elias_fano import BOOK, Sequence, Trie
-from surelake.llm.lm_scoring import NONE, joined, lm_scores, pack_codes, pack_paths, split_up, unpack_codes, unpack_paths
+from surelake.llm.lm_scoring import NONE, joined, lm_scores, narrowed, pack_codes, pack_paths, pack_tokens, split_up, unpack_codes, unpack_paths, unpack_tokens
 from tests.llm.cases import DOCS, awkward, frame, prose
 
 
@@ -82,7 +83,9 @@ def test_sequence(top):
     s = Sequence(values)
     assert (s.access(np.arange(3000)) == values).all()
     asked = np.concatenate([values[::7], rng.integers(0, top + 5, 500, dtype=np.uint64)])
-    assert (s.successor(asked) == np.searchsorted(values, asked)).all()
+    assert (s.successor(asked) == np.searchsorted(values, asked)).all() and (s.every() == values).all()
+    at, there = s.search(asked)
+    assert (there == np.isin(asked, values)).all() and (s.values(np.arange(0, 3000, 50)) == values[::50]).all()
     assert Sequence(np.zeros(0, np.uint64)).successor(np.array([3], np.uint64)).tolist() == [0]
 
 
@@ -118,11 +121,15 @@ def test_trie_is_compact_and_finds_paths():
 def test_packed_paths(n):
     u, v, w = _paths(n, n)
     rng = np.random.default_rng(n)
-    keys = joined(u, v, w, rng.integers(0, 400, len(u)), u.astype(np.int64) * 7)
-    assert (keys.a[1:] >= keys.a[:-1]).all()
+    of_u = u.astype(np.int64) * 400  # some contexts are frequent
+    v, w = narrowed(v << np.uint64(8), w, of_u)
+    keys = tb.united(*joined(u, v, w, rng.integers(0, 400, len(u)), of_u))[0]
     for a, b in zip(keys, unpack_paths(pack_paths(keys)), strict=True):
         assert (a == b).all()
-    for a, b in zip((u, v, w), split_up(keys), strict=True):
+    u, v, w = split_up(keys)
+    for a, b in zip(keys[:2], joined(u, v, w, keys.value, keys.extra)[:2], strict=True):
         assert (a == b).all()
     codes = rng.integers(0, 4096, (n, 2)).astype(np.uint16)
     assert (unpack_codes(pack_codes(codes)) == codes).all()
+    tokens = tb.united(rng.integers(0, 1 << 64, n, dtype=np.uint64) & ~np.uint64(0xFFFF), None)[0]
+    assert all((a == b).all() for a, b in zip(tokens, unpack_tokens(pack_tokens(tokens)), strict=True))

@@ -25,9 +25,9 @@ def generation_rules(g: str, max_new_tokens: int) -> dict[str, Column]:
     good_span = lambda s: s.isNull() | (F.size(s) == 2) & (F.get(s, F.lit(0)) >= 0) & (F.get(s, F.lit(1)) >= F.get(s, F.lit(0)))
     return {
         "greedy token ids": F.col(f"{g}.text").isNotNull() & F.forall(tokens, lambda t: F.coalesce(t >= 0, F.lit(False))),
-        "greedy output limit": F.size(tokens) <= max_new_tokens,
-        "greedy score/token alignment": (F.size(vectors[0]) == F.size(tokens)) & (F.size(vectors[1]) == F.size(tokens)) & (F.size(vectors[2]) == F.size(tokens)),
-        "greedy score values": F.forall(vectors[0], lambda x: _finite(x) & (x >= 0)) & F.forall(vectors[1], lambda x: _finite(x) & (x <= 1e-7)) & F.forall(vectors[2], lambda x: x.isNotNull()),
+        "greedy length": F.size(tokens) <= max_new_tokens,
+        "greedy scores per token": (F.size(vectors[0]) == F.size(tokens)) & (F.size(vectors[1]) == F.size(tokens)) & (F.size(vectors[2]) == F.size(tokens)),
+        "greedy score range": F.forall(vectors[0], lambda x: _finite(x) & (x >= 0)) & F.forall(vectors[1], lambda x: _finite(x) & (x <= 1e-7)) & F.forall(vectors[2], lambda x: x.isNotNull()),
         "greedy character spans": spans.isNull() | (F.size(spans) == F.size(tokens)) & F.forall(spans, lambda s: F.coalesce(good_span(s), F.lit(False))),
         "greedy termination": F.col(f"{g}.token_alignment_status").isNotNull() & F.col(f"{g}.eos_generated").isNotNull() & F.col(f"{g}.was_truncated").isNotNull() & F.col(f"{g}.termination_reason").isNotNull(),
     }
@@ -45,7 +45,7 @@ def stage_rules(seed: int, sample_count: int, max_new_tokens: int) -> dict[str,
         "sample index": every(lambda e: (index(e).cast("string") == e["key"]) & index(e).between(0, sample_count - 1)),
         "sample seed": every(lambda e: e["value"]["seed"] == sample_seed(seed, F.col("example_id"), e["key"])),
         "sample generation": every(lambda e: e["value"]["generation"]["text"].isNotNull() & F.forall(tokens(e), lambda t: F.coalesce(t >= 0, F.lit(False)))),
-        "sample output limit": every(lambda e: F.size(tokens(e)) <= max_new_tokens),
+        "sample length": every(lambda e: F.size(tokens(e)) <= max_new_tokens),
         "sample termination": every(lambda e: e["value"]["generation"]["eos_generated"].isNotNull() & e["value"]["generation"]["was_truncated"].isNotNull() & e["value"]["generation"]["reason"].isNotNull()),
     }
 
@@ -67,6 +67,7 @@ def consistency_rules(c: str, k: int) -> dict[str, Column]:
         "vote sums": (v(counts[0]) + v(counts[1]) <= k) & (v(counts[2]) + v(counts[3]) <= k),
         "majority state": F.when(v("majority_comparison_unknown_count") > 0, hidden & incomplete).otherwise(v("majority_vote_count").isNotNull() & v("majority_vote_share").isNotNull() & ~incomplete),
         "vote shares": shares,
+        "majority status": v("majority_grading_status").isNotNull(),
     }
 
 
@@ -85,10 +86,12 @@ def record_rules(seed: int, sample_count: int, max_new_tokens: int) -> dict[str,
         "greedy confidence scores": scores,
         "requested sample count": F.col("requested_sample_count") == sample_count,
         "sample records": F.size(samples) == sample_count,
+        "sample answers": every(lambda s: s["answer"].isNull() == s["answer_method"].isNull()),
+        "greedy answer": F.col("greedy.predicted_answer").isNull() == F.col("greedy.answer_method").isNull(),
         "sample indices": F.array_sort(F.transform(samples, lambda s: s["index"])) == F.sequence(F.lit(0), F.lit(sample_count - 1)),
         "sample seeds": every(lambda s: s["seed"] == sample_seed(seed, F.col("example_id"), s["index"])),
         "sample generation": every(lambda s: s["text"].isNotNull() & F.forall(s["token_ids"], lambda t: F.coalesce(t >= 0, F.lit(False)))),
-        "sample output limit": every(lambda s: F.size(s["token_ids"]) <= max_new_tokens),
+        "sample length": every(lambda s: F.size(s["token_ids"]) <= max_new_tokens),
         "sample termination": every(lambda s: s["eos_generated"].isNotNull() & s["was_truncated"].isNotNull() & s["termination_reason"].isNotNull()),
     } | consistency_rules("self_consistency", sample_count)
 
@@ -116,6 +119,74 @@ def content_mismatches(records: DataFrame, examples: DataFrame, columns: list[st
     return records.join(other, key).where(~equal).select(key)
 
 
+def source_rules(origin: str | None = None) -> dict[str, Column]:
+    """Of a record beside its example, whose columns come as struct ``example``; null equals null."""
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(f"example.{b}"))
+    pairs = {"dataset": "dataset", "config": "source_config", "split": "split", "row_id": "source_row_id", "revision": "source_revision", "gold_status": "gold_status", "subject": "subject", "perturbation_type": "perturbation_type", "seed_question_id": "seed_question_id"}
+    rules = {"example": F.col("example.example_id").isNotNull(), "question": same("question", "question"), "gold answer": same("gold_answer", "gold_answer")}
+    rules |= {f"source {a}": same(f"source.{a}", b) for a, b in pairs.items()}
+    return rules | ({"execution origin": F.col("execution_origin").eqNullSafe(F.lit(origin))} if origin else {})
+
+
+def beside_examples(records: DataFrame, examples: DataFrame) -> DataFrame:
+    return records.join(examples.select("example_id", F.struct(*examples.columns).alias("example")), "example_id", "left")
+
+
+# What a stage has of a generation, and what a sample's record calls it.
+_GENERATED = ("text", "token_ids", "token_entropies_nats", "token_logprobs", "token_char_spans", "content_token_mask", "token_alignment_status", "eos_generated", "was_truncated", "termination_reason")
+_SAMPLED = {"text": "text", "token_ids": "token_ids", "eos_generated": "eos_generated", "was_truncated": "was_truncated", "termination_reason": "reason"}
+
+
+def stage_agreement_rules(seed: int, sample_count: int) -> dict[str, Column]:
+    """Of a record beside its stage, whose greedy part and samples come in the columns ``stage_greedy`` and ``stage_samples``."""
+    equal = F.lit(True)
+    for c in _GENERATED:
+        equal &= F.col(f"greedy.{c}").eqNullSafe(F.col(f"stage_greedy.{c}"))
+    staged = lambda s: F.try_element_at("stage_samples", s["index"].cast("string"))
+    every = lambda f: F.forall("samples", lambda s: F.coalesce(f(s), F.lit(False)))
+
+    def alike(s: Column) -> Column:
+        out = F.lit(True)
+        for mine, theirs in _SAMPLED.items():
+            out &= s[mine].eqNullSafe(staged(s)["generation"][theirs])
+        return out
+
+    return {
+        "stage": F.col("stage_greedy").isNotNull() & F.col("stage_samples").isNotNull(),
+        "greedy as staged": equal,
+        "staged samples": F.array_sort(F.map_keys("stage_samples")) == F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(sample_count - 1)), lambda i: i.cast("string"))),
+        "sample order": F.transform("samples", lambda s: s["index"]) == F.sequence(F.lit(0), F.lit(sample_count - 1)),
+        "sample seeds as staged": every(lambda s: (s["seed"] == staged(s)["seed"]) & (s["seed"] == sample_seed(seed, F.col("example_id"), s["index"]))),
+        "samples as staged": every(alike),
+    }
+
+
+def answer_rules() -> dict[str, Column]:
+    """Stored answers are those that their texts give: columns ``span`` (of the greedy text) and ``spans`` (of the samples)."""
+    mine = lambda s: F.struct(s["answer"].alias("value"), s["answer_method"].alias("method"))
+    theirs = F.transform("spans", lambda a: F.struct(a["value"].alias("value"), a["method"].alias("method")))
+    return {
+        "greedy answer of the text": F.col("greedy.predicted_answer").eqNullSafe(F.col("span.value")) & F.col("greedy.answer_method").eqNullSafe(F.col("span.method")),
+        "sample answers of the texts": F.transform("samples", mine).eqNullSafe(theirs),
+    }
+
+
+def integrity(records: DataFrame, receipts: DataFrame, stages: DataFrame, seed: int, sample_count: int) -> DataFrame:
+    """(example_id, violations) of records that their receipt, their stage or their own texts contradict.
+
+    Left joins by id: a record without receipt or stage is named too.
+    """
+    from surelake.functions.answers import answer_span
+    from surelake.plans.records import answer_spans_of, digests
+
+    rows = records.join(digests(records).withColumnRenamed("record_sha256", "digest"), "example_id")
+    rows = rows.join(receipts.select("example_id", "record_sha256"), "example_id", "left")
+    rows = rows.join(stages.select("example_id", F.col("greedy").alias("stage_greedy"), F.col("samples").alias("stage_samples")), "example_id", "left")
+    rows = rows.withColumn("span", answer_span(F.col("greedy.text"))).withColumn("spans", answer_spans_of(F.transform("samples", lambda s: s["text"])))
+    rules = {"receipt": F.col("digest").eqNullSafe(F.col("record_sha256"))} | stage_agreement_rules(seed, sample_count) | answer_rules()
+    return violations(rows, rules).where(F.size("violations") > 0).select("example_id", "violations")
+
+
 def check_teacher_run(manifest: dict, records: DataFrame, expected: dict) -> list[str]:
     """What keeps a run from being training input; expected: status, profile, seed, revisions, datasets and math_subjects (counts), sample_count."""
     wrong = [name for name in ("status", "seed") if manifest.get(name) != expected[name]]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from surelake.functions import answers, grading
 from surelake.operators import confidence, metrics, selection, training, validation, voting
-from surelake.sources import examples
+from surelake.sources import examples, sinks
 from surelake.streaming import ingest
 
 SIGNALS = {"length": "s_length", "hashed": "s_hashed", "source": "s_source", "mixed": "s_mixed"}
@@ -504,10 +504,7 @@ def checkpoint_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, ingested into a table that is resumed once without repeats."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    at = f"{sinks.shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     events = _read(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
     events.write.parquet(f"{at}/in")
     for _ in range(2):

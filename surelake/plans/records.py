@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import json
+import os
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +79,73 @@ def compact_rows(records: DataFrame) -> DataFrame:
     ).orderBy(rank, "example_id")
 
 
+def digests(records: DataFrame, key: str = "example_id") -> DataFrame:
+    """(key, record_sha256): the digest of each record's canonical JSON, with sorted keys, no blanks, no escapes and Python's shortest numbers; nulls are part of it."""
+
+    def work(frames):
+        for f in frames:
+            yield f.assign(record_sha256=[answers.canonical_digest(json.loads(t)) for t in f["record"]])[[key, "record_sha256"]]
+
+    texts = records.select(key, F.to_json(F.struct(*sorted(records.columns)), {"ignoreNullFields": "false"}).alias("record"))
+    return texts.mapInPandas(work, f"`{key}` {dict(records.dtypes)[key]}, record_sha256 string")
+
+
 def receipts(records: DataFrame, signature: str) -> DataFrame:
-    """A row for each record with the digest of its JSON text; made and compared by the same expression."""
-    digest = F.sha2(F.to_json(F.struct(*sorted(records.columns)), {"ignoreNullFields": "false"}), 256)
-    return records.select(F.lit(1).alias("schema_version"), F.lit(signature).alias("run_signature"), "example_id", digest.alias("record_sha256"))
+    """A row for each record with its digest, made by the same function that compares it later."""
+    return digests(records).select(F.lit(1).alias("schema_version"), F.lit(signature).alias("run_signature"), "example_id", "record_sha256")
+
+
+# How datasets are shown, in their order.
+LABELS = {"gsm8k": "GSM8K", "math": "MATH", "gsm_plus": "GSM-Plus"}
+_TABLE = ["subject_or_perturbation", "gold_answer", "greedy_answer", "greedy_correct", "entropy_confidence", "agreement_share", "majority_answer", "majority_share", "majority_correct", "greedy_tokens"]
+
+
+def _worked(title: str, r, longest: int = 1200) -> list[str]:
+    text = (r["greedy_text"] or "").strip()
+    text = text if len(text) <= longest else text[:longest].rstrip() + "\n…(cut for display)"
+    quoted = "> " + (r["question"] or "").strip().replace("\n", "\n> ")
+    verdict = "right" if r["greedy_correct"] else "wrong"
+    facts = f"Gold `{r['gold_answer']}`, answered `{r['greedy_answer']}` ({verdict}); entropy confidence {r['entropy_confidence']}, sequence probability {r['sequence_probability']}; {r['agreement_share']} of the samples agree, the majority says `{r['majority_answer']}` at {r['majority_share']}."
+    return [f"### {title}", "", f"`{r['example_id']}` ({LABELS.get(r['dataset'], r['dataset'])})", "", quoted, "", facts, "", "Samples: " + ", ".join(f"`{a}`" for a in r["sample_answers"]), "", "```text", text, "```", ""]
+
+
+def write_samples(records: DataFrame, folder: str, run_id: str) -> int:
+    """sample_rows.csv, sample_rows.jsonl and SAMPLE.md of a run; returns the number of rows.
+
+    For people to read, so for runs of a size that they can; rows pass through the driver one at a time, and overview and
+    worked examples are aggregated by Spark.
+    """
+    from surelake.operators import training
+    from surelake.sources.sinks import markdown_table
+
+    rows = compact_rows(records).persist()  # read four times
+    os.makedirs(folder, exist_ok=True)
+    overview = {r["dataset"]: r.asDict() for r in training.overview(rows).collect()}
+    order = [d for d in LABELS if d in overview] + sorted(set(overview) - set(LABELS))
+    share = lambda r, n: f"{r[n]} ({r[n] / r['scorable']:.1%})" if r["scorable"] else str(r[n])
+    shown = [{"dataset": LABELS.get(d, d), "questions": r["questions"], "scorable": r["scorable"], "greedy_right": share(r, "greedy_right"), "majority_right": share(r, "majority_right"), **{n: None if r[n] is None else f"{r[n]:.2f}" for n in ("agreement_right", "agreement_wrong")}} for d in order for r in [overview[d]]]
+    text = [f"# Rows of run `{run_id}`", "", "## Overview", "", markdown_table(shown, list(shown[0]) if shown else ["dataset"]), "", "## Worked examples", ""]
+    ordinal = F.struct(F.when(F.col("dataset") == "gsm8k", 0).when(F.col("dataset") == "math", 1).otherwise(2), F.col("example_id"))
+    numbered = rows.withColumn("ordinal", F.xxhash64(ordinal))
+    picked = training.exemplars(numbered).first().asDict()
+    found = {r["example_id"]: r for r in rows.where(F.col("example_id").isin([v for v in picked.values() if v])).collect()}
+    for name, title in (("confident_right", "Sure and right"), ("flagged_wrong", "Wrong, and few samples agree"), ("confident_wrong", "Wrong though the samples agree")):
+        if picked[name]:
+            text += _worked(title, found[picked[name]])
+    text += ["## All rows", "", "✓ right, ✗ wrong, — unknown.", ""]
+    n, last = 0, None
+    with open(os.path.join(folder, "sample_rows.csv"), "w", newline="", encoding="utf-8") as a, open(os.path.join(folder, "sample_rows.jsonl"), "w", encoding="utf-8") as b, open(os.path.join(folder, "SAMPLE.md"), "w", encoding="utf-8") as c:
+        table = csv.writer(a)
+        table.writerow(SAMPLE_FIELDS)
+        c.write("\n".join(text))
+        for r in rows.toLocalIterator():
+            n += 1
+            values = r.asDict()
+            table.writerow([" | ".join(str(x) for x in values[f]) if f == "sample_answers" else "" if values[f] is None else values[f] for f in SAMPLE_FIELDS])
+            b.write(json.dumps(values, ensure_ascii=False) + "\n")
+            if r["dataset"] != last:
+                last = r["dataset"]
+                c.write(f"\n### {LABELS.get(last, last)}\n\n| example | " + " | ".join(_TABLE) + " |\n|" + "---|" * (len(_TABLE) + 1) + "\n")
+            c.write(f"| `{r['example_id'].split(':')[-1]}` | " + " | ".join(answers.markdown_cell(values[f]) for f in _TABLE) + " |\n")
+    rows.unpersist()
+    return n

@@ -61,6 +61,53 @@ def execution_counts(records: DataFrame) -> dict[str, int]:
     return {r[0]: r[1] for r in records.where("length(execution_origin) > 0").groupBy("execution_origin").count().collect()}
 
 
+def with_hardware(rows: DataFrame, known: dict, origin: str = "execution_origin") -> DataFrame:
+    """rows with the hardware that the manifest names for their origin, or else the origin itself."""
+    named = [(k, v["gpu_name"]) for k, v in known.items() if isinstance(v, dict) and v.get("gpu_name")]
+    table = rows.sparkSession.createDataFrame(named, f"{origin} string, __named string")  # as long as the manifest, so it may be broadcast
+    return rows.join(F.broadcast(table), origin, "left").withColumn("hardware", F.coalesce("__named", origin)).drop("__named")
+
+
+def executions(records: DataFrame, known: dict) -> dict[str, dict]:
+    """Of each origin: its rows, its rows by dataset and its hardware."""
+    counts = records.where("length(execution_origin) > 0").groupBy("execution_origin", F.col("source.dataset").alias("dataset")).count()
+    out: dict[str, dict] = {}
+    for r in with_hardware(counts, known).collect():
+        one = out.setdefault(r.execution_origin, {"row_count": 0, "by_dataset": {}, "hardware": r.hardware})
+        one["row_count"] += r["count"]
+        one["by_dataset"][r.dataset] = r["count"]
+    return out
+
+
+def _shown(rows: list, fields: list[str]) -> str:
+    """A table in which numbers have three digits."""
+    return sinks.markdown_table([{f: f"{r[f]:.3f}" if isinstance(r[f], float) else r[f] for f in fields} for r in rows], fields)
+
+
+def report_text(summary: dict, rows: list, by_execution: list) -> str:
+    """report.md."""
+    s, why = list(summary["datasets"].values()), summary["recommendation"]
+    parts = [
+        "# Reliability report", "",
+        f"Run `{summary['run_id']}` of profile `{summary['profile']}`, status `{summary['run_status']}`: {summary['completed_count']} of {summary['selected_count']} rows completed, {summary['failed_count']} failed, {summary['pending_count']} pending.", "",
+        f"Recommendation: **{why['status']}**, signal `{why['signal'] or 'none'}`. {why['reason']}", "",
+        "Greedy rows predict whether the greedy answer is right, each signal on the rows that have it; paired_primary rows do so on the rows that have all primary signals; majority rows predict the majority's answer. Checks that ran out of time or failed are unknown and never count as wrong. Figures describe this run; there are no intervals.", "",
+        "## Unknown checks", "", sinks.markdown_table(s, ["dataset", "sample_answer_parse_unknown_count", "greedy_agreement_unknown_count", "majority_comparison_unknown_count"]) if s else "", "",
+        "## Coverage of outcomes", "",
+        f"A signal can only be recommended if {metrics.MIN_SCORABLE_FRACTION:.0%} of the selected rows of every dataset are scorable and all of those have an outcome.", "",
+        _shown(s, ["dataset", "selected_rows", "source_scorable_rows", "source_scorable_fraction", "scorable_rows", "outcome_label_coverage", "unknown_outcome_label_count"]) if s else "", "",
+    ]
+    if summary["executions"]:
+        names = sorted({d for e in summary["executions"].values() for d in e["by_dataset"]})
+        table = [{"execution": o, "hardware": e["hardware"], "rows": e["row_count"], **{d: e["by_dataset"].get(d, 0) for d in names}} for o, e in sorted(summary["executions"].items())]
+        parts += ["## Where it ran", "", sinks.markdown_table(table, ["execution", "hardware", "rows", *names]), ""]
+    parts += ["## Metrics", "", _shown(rows, sinks.METRIC_FIELDS), ""]
+    if by_execution:
+        parts += ["## Metrics by execution", "", _shown(by_execution, ["execution_origin", *sinks.METRIC_FIELDS]), ""]
+    parts += ["## Limits", "", "Entropy confidence measures how concentrated the model's choices are, not how likely it is to be right. Whether a student would learn more from gated answers is not measured here.", ""]
+    return "\n".join(parts)
+
+
 def run_report(spark: SparkSession, folder: str) -> dict:
     """Reads run_manifest.json, predictions.jsonl and stages/ of a run, and writes metrics.csv, calibration_bins.csv, metrics_by_execution.csv (if any), summary.json and report.md beside them."""
     manifest = checkpoints.read_manifest(os.path.join(folder, "run_manifest.json"))
@@ -87,11 +134,11 @@ def run_report(spark: SparkSession, folder: str) -> dict:
     summary = {
         "run_status": manifest.get("status", "unknown"), "profile": profile, "run_complete": complete, "missing_datasets": missing, "selected_count": count.selected, "completed_count": count.completed, "failed_count": count.failed,
         "pending_count": count.pending, "coverage_gate_valid": gate, "datasets": {s["dataset"]: s for s in summaries}, "macro": {m.signal: m.asDict() for m in macro}, "recommendation": metrics.recommendation(complete, profile),
-        "by_execution": execution_counts(records),
+        "by_execution": execution_counts(records), "executions": executions(records, manifest.get("execution_origins") or {}), "run_id": manifest.get("run_id", os.path.basename(os.path.abspath(folder))),
     }
     sinks.atomic_json(os.path.join(folder, "summary.json"), summary)
-    text = f"# Report\n\nStatus: {summary['run_status']}; completed {count.completed} of {count.selected}.\n\n{summary['recommendation']['reason']}\n\n## Metrics\n\n{sinks.markdown_table(rows, sinks.METRIC_FIELDS)}\n## Datasets\n\n"
-    text += sinks.markdown_table(summaries, list(summaries[0])) if summaries else ""
+    origins = tables["by_execution"].orderBy("execution_origin", "dataset", "ordinal").collect() if summary["executions"] else []
+    text = report_text(summary, rows, origins)
     with open(os.path.join(folder, "report.md"), "w", encoding="utf-8") as f:
         f.write(text)
     return summary

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from surelake.sources.sinks import atomic_json
+
 
 def run_signature(identity: dict) -> str:
     """Digest of what a run depends on; a resumed run must have the same."""
@@ -91,10 +93,10 @@ def windowed_counts(stream: DataFrame, time: str, window: str, late: str, *by: s
 
 
 class Progress(StreamingQueryListener):
-    """Rows and rate of each batch, at least ``seconds`` apart."""
+    """Rows and rate of each batch, at least ``seconds`` apart, to ``sink``; with a path, also as progress.json, replaced at once."""
 
-    def __init__(self, seconds: float = 30.0, sink=print):
-        self.seconds, self.sink, self.last = seconds, sink, 0.0
+    def __init__(self, seconds: float = 30.0, sink=print, path: str | None = None):
+        self.seconds, self.sink, self.path, self.last, self.rows = seconds, sink, path, -seconds, 0
 
     def onQueryStarted(self, event):
         pass
@@ -102,9 +104,13 @@ class Progress(StreamingQueryListener):
     def onQueryProgress(self, event):
         import time
 
+        self.rows += event.progress.numInputRows
         if time.monotonic() - self.last >= self.seconds:
             self.last = time.monotonic()
-            self.sink({"rows": event.progress.numInputRows, "rows_per_hour": (event.progress.processedRowsPerSecond or 0.0) * 3600})
+            found = {"rows": event.progress.numInputRows, "total_rows": self.rows, "rows_per_hour": (event.progress.processedRowsPerSecond or 0.0) * 3600, "batch": event.progress.batchId, "at": event.progress.timestamp}
+            self.sink(found)
+            if self.path:
+                atomic_json(self.path, found)
 
     def onQueryTerminated(self, event):
         pass
@@ -121,3 +127,27 @@ def stop_when(query: StreamingQuery, stop_file: str, deadline_seconds: float, po
             return "partial"
         query.awaitTermination(poll)
     return "complete"
+
+
+def request_stop(folder: str) -> str:
+    """Leaves the file that ``stop_when`` looks for."""
+    path = os.path.join(folder, "stop")
+    with open(path, "w", encoding="utf-8"):
+        return path
+
+
+def run_status(folder: str) -> dict:
+    """What a run's folder tells of it: its manifest's status and counts, the last progress, whether a writer holds it and whether it is asked to stop."""
+
+    def read(name: str) -> dict:
+        path = os.path.join(folder, name)
+        if not os.path.exists(path):
+            return {}
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+
+    manifest = read("run_manifest.json")
+    return {
+        "status": manifest.get("status", "unknown"), "selected": len(manifest.get("selected_example_ids", [])), "progress": read("progress.json"),
+        "being_written": os.path.exists(os.path.join(folder, "writer.lock")), "stopping": os.path.exists(os.path.join(folder, "stop")),
+    }

@@ -134,9 +134,9 @@ def stage_row(spark, **changes):
 @pytest.mark.parametrize(
     "change,rule",
     [
-        ({}, None), ({"greedy": None}, None), ({"greedy__token_logprobs": [-0.1]}, "greedy score/token alignment"), ({"greedy__token_entropies_nats": [-1.0, 0.0]}, "greedy score values"),
+        ({}, None), ({"greedy": None}, None), ({"greedy__token_logprobs": [-0.1]}, "greedy scores per token"), ({"greedy__token_entropies_nats": [-1.0, 0.0]}, "greedy score range"),
         ({"greedy__token_ids": [1, -2]}, "greedy token ids"), ({"greedy__token_char_spans": [[2, 1], None]}, "greedy character spans"), ({"greedy__token_char_spans": None}, None),
-        ({"samples__0__seed": 7}, "sample seed"), ({"samples__0__generation__token_ids": [1, 2, 3, 4, 5]}, "sample output limit"), ({"greedy__termination_reason": None}, "greedy termination"),
+        ({"samples__0__seed": 7}, "sample seed"), ({"samples__0__generation__token_ids": [1, 2, 3, 4, 5]}, "sample length"), ({"greedy__termination_reason": None}, "greedy termination"),
     ],
 )
 def test_stage_rules(spark, change, rule):

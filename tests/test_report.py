@@ -43,12 +43,29 @@ def test_end_to_end(spark, tmp_path):
     digests = receipts.select("example_id", "record_sha256")
     assert validation.digest_mismatches(digests, receipts).count() == 0
 
+    stages = found.select("example_id", F.col("greedy").alias("g"), F.col("samples").alias("s")).select("example_id", F.struct(*(F.col(f"g.{c}").alias(c) for c in validation._GENERATED)).alias("greedy"), F.map_from_entries(F.transform("s", lambda x: F.struct(x["index"].cast("string"), F.struct(x["seed"].alias("seed"), F.struct(*(x[a].alias(b) for a, b in validation._SAMPLED.items())).alias("generation"))))).alias("samples"))
+    assert validation.integrity(found, receipts, stages, 42, 4).count() == 0
+    changed = found.withColumn("greedy", F.when(F.col("example_id") == ids[0], F.col("greedy").withField("predicted_answer", F.lit("9"))).otherwise(F.col("greedy")))
+    assert [(r.example_id, r.violations) for r in validation.integrity(changed, receipts, stages, 42, 4).collect()] == [(ids[0], ["receipt", "greedy answer of the text"])]
+    lost = validation.integrity(found, receipts.where(F.col("example_id") != ids[1]), stages.where(F.col("example_id") != ids[2]), 42, 4)
+    assert {r.example_id: r.violations[0] for r in lost.collect()} == {ids[1]: "receipt", ids[2]: "stage"}
+    table = found.sparkSession.createDataFrame([(i, i.split(":")[0], "r", "c", "test", i[-1], "q", "7" if i[-1] != "4" else None, "s", "parsed" if i[-1] != "4" else "unanswerable", None, None, None) for i in ids[:-1]], examples.SCHEMA)
+    beside = validation.violations(validation.beside_examples(found, table), validation.source_rules("here")).where("size(violations) > 0").collect()
+    assert [(r.example_id, r.violations[0]) for r in beside] == [(ids[-1], "example")]
+
     compact = records.compact_rows(found)
     assert [x.example_id for x in compact.collect()][:5] == ids[:5] and set(records.SAMPLE_FIELDS) < set(compact.columns)
 
+    assert records.write_samples(found, str(tmp_path / "export"), "r1") == 15
+    exported = list(csv.DictReader(open(tmp_path / "export" / "sample_rows.csv")))
+    assert [r["example_id"] for r in exported] == [r.example_id for r in compact.collect()] and exported[0]["sample_answers"] == "7.0 | 8.0 | 8.0 | 8.0"
+    assert len((tmp_path / "export" / "sample_rows.jsonl").read_text().splitlines()) == 15
+    shown = (tmp_path / "export" / "SAMPLE.md").read_text()
+    assert shown.index("### GSM8K") < shown.index("### MATH") < shown.index("### GSM-Plus") and "Sure and right" in shown and shown.count("| `") == 15
+
     log = tmp_path / "predictions.jsonl"
     log.write_text("".join(x.j + "\n" for x in found.select(F.to_json(F.struct(*found.columns), {"ignoreNullFields": "false"}).alias("j")).collect()))
-    manifest = {"status": "complete", "selected_example_ids": ids, "selected_example_count": 15, "run_signature": "s", "profile": {"name": "smoke"}}
+    manifest = {"status": "complete", "selected_example_ids": ids, "selected_example_count": 15, "run_signature": "s", "profile": {"name": "smoke"}, "execution_origins": {"here": {"gpu_name": "a card"}}}
     (tmp_path / "run_manifest.json").write_text(json.dumps(manifest))
     summary = report.run_report(spark, str(tmp_path))
     assert summary["run_complete"] and summary["datasets"]["math"]["source_scorable_rows"] == 4 and summary["recommendation"]["status"] == "exploratory"
@@ -56,7 +73,9 @@ def test_end_to_end(spark, tmp_path):
     assert len(rows) == 21 and {r["n"] for r in rows if r["analysis"] == "greedy"} == {"4"}
     assert len(list(csv.DictReader(open(tmp_path / "metrics_by_execution.csv")))) == 21
     assert len(list(csv.DictReader(open(tmp_path / "calibration_bins.csv")))) == 21 * 15
-    assert "| math | greedy |" in (tmp_path / "report.md").read_text().replace("greedy | math", "math | greedy")
+    text = (tmp_path / "report.md").read_text()
+    assert "| math | greedy |" in text.replace("greedy | math", "math | greedy") and "| here | a card | 15 | 5 | 5 | 5 |" in text and "## Metrics by execution" in text
+    assert summary["executions"] == {"here": {"row_count": 15, "by_dataset": {d: 5 for d in ("gsm8k", "math", "gsm_plus")}, "hardware": "a card"}}
     assert json.load(open(tmp_path / "summary.json"))["completed_count"] == 15
 
 

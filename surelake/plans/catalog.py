@@ -512,6 +512,113 @@ def checkpoint_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").select("event_id", "event_type", "user_id")
 
 
+@_query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_type IN ('error', 'view') THEN event_type || event_id END AS failure FROM events),
+  l AS (SELECT user_id, failure FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM e) WHERE n = 1)
+  SELECT user_id, any_value(l.failure) AS failure, string_agg(e.failure, ',' ORDER BY event_id) AS failure_history FROM e JOIN l USING (user_id) WHERE l.failure IS NOT NULL GROUP BY user_id""")
+def failure_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose last event is a failure, with all of theirs."""
+    failure = F.when(F.col("event_type").isin("error", "view"), F.concat("event_type", F.col("event_id").cast("string")))
+    e = _read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("at"), failure.alias("failure"))
+    return ingest.open_failures(e, "user_id").withColumn("failure_history", F.array_join("failure_history", ","))
+
+
+@_query("SELECT CAST(epoch(time_bucket(INTERVAL 6 hours, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS begin_at, event_type, count(*) AS count FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of the streaming count, over all events at once."""
+    w = ingest.windowed_counts(_read(spark, sf_dir, "events"), "ts", "6 hours", "1 day", "event_type")
+    return w.select(F.unix_seconds(F.col("window.start").cast("timestamp")).alias("begin_at"), "event_type", "count")
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'a card' ELSE o_orderstatus END AS hardware FROM orders")
+def origin_hardware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surelake.plans.report import with_hardware
+
+    origin = F.when(F.col("o_orderkey") % 50 == 0, "known").otherwise(F.col("o_orderstatus"))
+    return with_hardware(_read(spark, sf_dir, "orders").select("o_orderkey", origin.alias("execution_origin")), {"known": {"gpu_name": "a card"}, "bad": "x"}).select("o_orderkey", "hardware")
+
+
+@_query("""SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":' || CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE '"é' || o_orderstatus || '"' END || '}') AS record_sha256 FROM orders""")
+def record_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surelake.plans.records import digests
+
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("é"), "o_orderstatus")).alias("o_orderstatus"))
+    return digests(o, "o_orderkey")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 3 OR o_orderkey % 10 = 4")
+def content_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys whose rows differ from a copy in which some values changed and some became null."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 10 != 5, F.col("o_orderpriority")).alias("p"))
+    k = F.col("o_orderkey") % 10
+    other = o.select("o_orderkey", F.when(k == 3, "changed").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k != 4, F.col("p")).alias("p"))
+    return validation.content_mismatches(o, other, ["o_orderstatus", "p"], "o_orderkey").select("o_orderkey")
+
+
+@_query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE * 4 AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), t AS (SELECT vec_id, max(x) AS top FROM v GROUP BY vec_id),
+  m AS (SELECT vec_id, any_value(top) AS top, ln(sum(exp(x - top))) AS mass FROM v JOIN t USING (vec_id) GROUP BY vec_id)
+  SELECT vec_id, round(-sum(exp(x - top - mass) * (x - top - mass)), 6) AS entropy, round(max(x) FILTER (i = 4) - any_value(top) - any_value(mass), 6) AS logprob FROM v JOIN m USING (vec_id) GROUP BY vec_id""")
+def logit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logits = F.transform("embedding", lambda x: x.cast("double") * 4)
+    return _rounded(_read(spark, sf_dir, "embeddings").select("vec_id", confidence.logit_scores(logits, F.lit(3)).alias("s")).select("vec_id", "s.*"))
+
+
+@_query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'aligned' WHEN 1 THEN 'token_roundtrip_mismatch' WHEN 2 THEN 'invalid_offsets' ELSE 'offsets_unavailable' END AS status,
+  CASE WHEN o_orderkey % 4 = 0 THEN '-,0:1,-,1:3' END AS spans FROM orders""")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    pair = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    offsets = F.when(k == 2, F.array(pair(0, 1), pair(1, 9))).when(k != 3, F.array(pair(0, 1), pair(1, 3)))
+    encoded = F.when(k == 1, F.array(F.lit(5), F.lit(6))).when(k != 3, F.array(F.lit(5), F.lit(7)))
+    a = confidence.alignment(F.array(F.lit(9), F.lit(5), F.lit(9), F.lit(7)), [9], encoded, offsets, F.lit(3))
+    shown = F.transform("a.spans", lambda s: F.when(s.isNull(), "-").otherwise(F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", a.alias("a")).select("o_orderkey", "a.status", F.array_join(shown, ",").alias("spans"))
+
+
+_EXACT = "n AS (SELECT o_orderkey, o_orderkey % 7 + 1 AS a, o_orderkey % 5 + 2 AS b FROM orders)"
+
+
+@_query(f"WITH {_EXACT} SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN a = b ELSE NULL END AS same FROM n")
+def exact_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surds that are equal in another form, tuples that are only if their parts are, and relations, which nothing here decides."""
+    a, b, k = (F.col("o_orderkey") % 7 + 1).cast("string"), (F.col("o_orderkey") % 5 + 2).cast("string"), F.col("o_orderkey") % 3
+    square = ((F.col("o_orderkey") % 7 + 1) * (F.col("o_orderkey") % 7 + 1) * (F.col("o_orderkey") % 5 + 2)).cast("string")
+    left = F.when(k == 0, F.concat(a, F.lit("\\sqrt{"), b, F.lit("}"))).when(k == 1, F.concat(F.lit("("), a, F.lit(", x+1)"))).otherwise(F.concat(F.lit("x<"), a))
+    right = F.when(k == 0, F.concat(F.lit("\\sqrt{"), square, F.lit("}"))).when(k == 1, F.concat(F.lit("("), b, F.lit(",1+x)"))).otherwise(F.concat(b, F.lit("5>x")))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", grading.answers_equivalent(left, right).alias("same"))
+
+
+@_query("""WITH v AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE CAST(l_partkey % 3 AS VARCHAR) END AS answer FROM lineitem),
+  g AS (SELECT l_orderkey, answer, count(*) AS n, min(i) AS first_at FROM v GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, first_at) AS r FROM g),
+  s AS (SELECT l_orderkey, count(*) AS sample_count, count(answer) AS parseable, count(*) FILTER (answer = CAST(l_orderkey % 3 AS VARCHAR)) AS agreed FROM v GROUP BY l_orderkey)
+  SELECT l_orderkey, CAST(sample_count AS INTEGER) AS sample_count, CAST(parseable AS INTEGER) AS sample_answer_parseable_count, CAST(agreed AS INTEGER) AS greedy_agreement_count, round(agreed / sample_count::DOUBLE, 6) AS greedy_agreement_share,
+    answer AS majority_answer, CAST(n AS INTEGER) AS majority_vote_count, round(n / sample_count::DOUBLE, 6) AS majority_vote_share, coalesce(answer = '1', false) AS majority_correct, CASE WHEN answer IS NULL THEN 'missing_prediction_answer' ELSE 'graded' END AS majority_grading_status
+  FROM s JOIN k USING (l_orderkey) WHERE r = 1""")
+def sample_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole summary of a question's samples, by the operator that compares answers in order."""
+    l = _read(spark, sf_dir, "lineitem")  # noqa: E741
+    answer = F.when(F.col("l_linenumber") % 5 != 0, F.concat((F.col("l_partkey") % 3).cast("string"), F.when(F.col("l_suppkey") % 2 == 0, ".0").otherwise("")))
+    samples = l.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", answer.alias("answer")))), lambda x: x["answer"]).alias("answers"))  # a question's few samples
+    c = grading.summarize_consistency((F.col("l_orderkey") % 3).cast("string"), "answers", F.lit("1"))
+    rows = samples.select("l_orderkey", c.alias("c")).select("l_orderkey", "c.*").withColumn("majority_answer", F.regexp_replace("majority_answer", r"\.0$", ""))
+    return _rounded(rows).drop("sample_answer_parse_unknown_count", "greedy_agreement_unknown_count", "majority_comparison_unknown_count")
+
+
+@_query("""SELECT o_orderkey AS example_id, o_orderkey % 5 AS ordinal FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 5 = 2 AND o_orderkey % 4 = 0 OR o_orderkey % 5 = 3""")
+def oracle_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses known to be right, and unknown ones whose answer grades as right."""
+    k, half = F.col("o_orderkey") % 5, F.when(F.col("o_orderkey") % 4 == 0, "\\frac{1}{2}").otherwise("0.25")
+    text = F.concat(F.lit("so \\boxed{"), F.when(k == 3, "0.5").otherwise(half), F.lit("}"))
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"), k.alias("ordinal"), text.alias("response"), F.lit("\\frac{2}{4}").alias("gold"), F.when(k == 0, True).when(k.isin(1, 4), False).alias("correct"))
+    return training.oracle_set(o).select("example_id", "ordinal")
+
+
+@_query(f"WITH {_EXAMPLES} SELECT example_id, CASE dataset WHEN 'gsm8k' THEN 'gsm8k-test-seed:' || substr(sha256('question ' || doc_id || ' ss'), 1, 16) WHEN 'gsm_plus' THEN seed_question_id END AS leak_group FROM ex WHERE doc_id % 9 = 0")
+def training_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _examples(spark, sf_dir).withColumn("question", F.concat(F.lit(" QUESTION  "), F.col("doc_id").cast("string"), F.lit(" ß")))
+    ids = e.where("doc_id % 9 = 0").select("example_id").unionByName(spark.createDataFrame([("missing",)], "example_id string"))
+    return selection.training_groups(ids, e)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_registered)
 

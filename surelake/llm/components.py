@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surelake.llm.shared import stored
+from surelake.llm.shared import forget, stored
 
 
 _SALTS = 16  # parts of a hub's edges; a round's shuffle has that many short rows for each node
@@ -19,7 +19,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, v) with v the smallest node of u's component, for every node u that is not the smallest itself.
 
     edges: (u, v) of numbers, in any direction; loops and repeats do no harm. Rounds go on until nothing changes, about the
-    logarithm of the largest component's size; each is written to the shared folder. Only a count and a checksum
+    logarithm of the largest component's size; each is written to the shared folder, and the one before removed. Only a count and a checksum
     of the edges come to the driver. More than ``most_rounds`` rounds raise an error: no edge is left out silently.
     """
     every = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
@@ -34,7 +34,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = salted.join(least, ["a", "salt"]).select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct())
+        last, edges = edges, stored(small.distinct())
+        forget(last)
         after = _digest(edges)
         if after == before:
             return edges

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from surelake.llm import textblocks as tb
 from surelake.llm.components import components
-from surelake.llm.shared import stored
+from surelake.llm.shared import forget, stored
 
 _SIGNED = "row bigint, doc_id bigint, n_words bigint, octets bigint, node bigint, paths binary"
 _NEIGHBOURS = "u bigint, v bigint, depth int, path binary"
@@ -320,11 +320,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
     groups = max(1, total // group_bytes)
     pair = lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j"))
-    grown = verified = known = None
+    grown = verified = known = last_sizes = None
     length, before = depth, depth + 1
     while True:
-        new = ties.where((F.col("depth") >= length) & (F.col("depth") < before)).select("u", "v")
+        new, last = ties.where((F.col("depth") >= length) & (F.col("depth") < before)).select("u", "v"), grown
         grown = components(new if grown is None else new.unionByName(grown))
+        forget(last)
         members = grown.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(grown.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         placed = members.join(nodes, "node")
         sizes = stored(placed.groupBy("comp").agg(F.count("*").alias("size"), F.sum("octets").alias("octets")))
@@ -336,13 +337,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         own = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.col("comp"))
         dealt = spread.select(own.alias("own"), (F.col("parts") > 1).alias("large"), F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "comp", "part", "node", "docs", "text")
         found = stored(dealt.groupBy("own", "large", "i", "j").applyInArrow(lambda rows: verify(rows, n, threshold), _VERIFIED))
-        verified = found if verified is None else stored(verified.join(fresh.select("comp"), "comp", "left_anti").join(sizes.select("comp"), "comp", "left_semi").unionByName(found))
-        known = sizes.select("comp", "size")
+        if verified is not None:  # components that grew or went into others are verified anew
+            before_that, verified = verified, stored(verified.join(fresh.select("comp"), "comp", "left_anti").join(sizes.select("comp"), "comp", "left_semi").unionByName(found))
+            forget(before_that, found, last_sizes)
+        else:
+            verified = found
+        last_sizes, known = sizes, sizes.select("comp", "size")
         pairs = {r.bin: r.n for r in verified.where("bin >= 0").groupBy("bin").agg(F.sum("pairs").alias("n")).collect()}
         before, length = length, next_length(pairs, low, recall, length, least, trees)
         if length == before:
             break
 
+    forget(ties, last_sizes, grown)
     verified = verified.where("bin < 0")
     roots = components(verified.where("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surelake.llm.shared import stored
+from surelake.llm.shared import forget, stored
 
 DIMS = ("source", "lang", "topic")
 #: Share of a value's tokens, to this power, is its target share before all are scaled to 1.
@@ -60,7 +60,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance
     """
     for dim in DIMS:
         cells = cells.join(targets[dim].select(dim, F.col("target").alias(f"target_{dim}")), dim, "left").withColumn(f"target_{dim}", F.coalesce(f"target_{dim}", F.lit(0.0)))
-    cells = stored(cells.coalesce(1) if few else cells)
+    last = cells = stored(cells.coalesce(1) if few else cells)
     full = F.col("w") >= F.col("tokens") * (1 - 1e-12)
     for done in range(1, rounds + 1):
         if few:
@@ -73,7 +73,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance
             cells = cells.withColumn("w", F.when(target > F.col("have"), raised).otherwise(F.coalesce(F.col("w") * F.try_divide(target, F.col("have")), F.lit(0.0)))).drop("have", "whole", "free")
         if done % 4 == 0 or not few:
             cells = stored(cells)
-            marked = cells
+            forget(last)
+            last = marked = cells
             for dim in DIMS:
                 marked = _with_sums(marked.coalesce(1) if few else marked, dim, {f"have_{dim}": F.col("w")}, few)
                 worst = F.greatest(worst, F.coalesce(F.abs(F.try_divide(F.col(f"have_{dim}"), F.col(f"target_{dim}")) - 1), F.lit(0.0)))

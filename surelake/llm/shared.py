@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables in it."""
 
 from __future__ import annotations
 
@@ -9,26 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, as in tests on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext._jsc.sc()
-        if context.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        folder = context.getCheckpointDir().get()
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+    """spark.checkpoint.dir. Only a session on one machine may do without, as in tests: it gets a temporary folder.
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder, so that later steps do not hang on executors that may go."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    On a cluster a machine's own folder would scatter a table's parts over the machines, so an unset one is an error there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir().get().rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once, as a Parquet table in the shared folder. Unlike a checkpoint, its plan starts anew."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """df, computed once, as a Parquet table in the shared folder. Its plan starts anew there, so it hangs on no executor."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._stored = path
+    return found
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes stored tables that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_stored", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

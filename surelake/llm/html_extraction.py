@@ -46,9 +46,9 @@ _SMALL = frozenset("p li td tr span label".split())  # hold text rather than blo
 _FURNITURE = frozenset("head nav footer aside form button menu dialog object canvas".split())
 _ARTICLE = frozenset(("article", "main"))
 _WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar subnav sidenav topnav navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup social share sharing related recommended recommendations comment comments disqus respond reply replies widget pagination pager toolbar login search contentinfo complementary alert alertdialog".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar subnav sidenav topnav navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup social share sharing related recommended recommendations comment comments disqus respond reply replies widget pagination pager toolbar login search contentinfo complementary alert alertdialog commentlist commentform adsbygoogle".split()
 )
-_COMMENTS = frozenset("comment comments disqus respond reply replies".split())  # may hold most of a page
+_COMMENTS = frozenset("comment comments commentlist commentform disqus respond reply replies".split())  # may hold most of a page
 _TOPS = frozenset(("header", "masthead", "topbar"))  # unless they are the article's own
 _NEVER_FURNITURE = frozenset(("html", "body", "article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())

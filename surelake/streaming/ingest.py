@@ -40,22 +40,35 @@ def exists(spark: SparkSession, path: str) -> bool:
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "example_id", fmt: str = "json", files_per_trigger: int = 8, strict: bool = True) -> StreamingQuery:
     """Appends new rows of a folder to a Parquet table, then stops; what was read before is not read again.
 
-    strict: a key that is already there stops the query; else such a row is left out. Both look at the table itself, so a
-    batch that is written again after a failure replaces its own rows and no others.
+    strict: a key that is already there stops the query. Each batch is then held against the key column of the table, of which
+    nothing else is read. Otherwise such a row is left out, and the stream's state store has the keys that it let pass, so a
+    batch costs as much as its own rows; the table is looked at only if it had rows before the stream's first run, or if that
+    run was strict. A stream that began without ``strict`` stays so. A batch that is written again after a failure
+    replaces its own rows and no others.
     """
     rows = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(source)
+    older, mark = exists(spark, target), f"{checkpoint.rstrip('/')}.keyed"
+    keyed = exists(spark, mark)
+    if strict and keyed:
+        raise ValueError("the stream began without strict")
+    if not strict and not keyed and not exists(spark, checkpoint):
+        keyed = True
+        spark.createDataFrame([(older,)], "older boolean").write.json(mark)
+    look = strict or not keyed or spark.read.schema("older boolean").json(mark).first()[0]
+    if keyed:
+        rows = rows.dropDuplicates([key])
 
     def append(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
-        done = own.read.schema(f"{schema}, __batch int").option("basePath", target).parquet(target).where(F.col("__batch") != number).select(key) if exists(own, target) else None
-        repeated = batch.groupBy(key).count().where("count > 1").select(key)
+        done = own.read.schema(f"{schema}, __batch int").option("basePath", target).parquet(target).where(F.col("__batch") != number).select(key) if look and exists(own, target) else None
         if strict:
+            fresh = batch
+            repeated = batch.groupBy(key).count().where("count > 1").select(key)
             again = repeated if done is None else repeated.unionByName(batch.join(done, key, "left_semi").select(key))
             if first := again.first():
                 raise ValueError(f"duplicate checkpoint for {first[0]}")
-            fresh = batch
         else:
-            fresh = batch.dropDuplicates([key])
+            fresh = batch if keyed else batch.dropDuplicates([key])
             fresh = fresh if done is None else fresh.join(done, key, "left_anti")
         fresh.withColumn("__batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__batch").parquet(target)
 

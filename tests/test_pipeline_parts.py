@@ -227,6 +227,22 @@ def test_ingest_resumes(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
 
 
+def test_lenient_ingest_keeps_keys_in_its_state(spark, tmp_path):
+    src, out, log, schema = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "log"), "example_id string, v int"
+
+    def run(rows, folder=log, **options):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(src)
+        ingest.ingest(spark, src, schema, out, folder, **options).awaitTermination()
+        return sorted((r.example_id, r.v) for r in spark.read.parquet(out).collect())
+
+    assert run([("a", 1), ("b", 2), ("a", 1)], strict=False) == [("a", 1), ("b", 2)]
+    assert run([("b", 9), ("c", 3)], strict=False) == [("a", 1), ("b", 2), ("c", 3)]
+    with pytest.raises(ValueError, match="without strict"):
+        run([], strict=True)
+    # another stream into the same table sees the rows that were there before it
+    assert run([("d", 4), ("c", 8)], str(tmp_path / "log2"), strict=False) == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
+
+
 def test_components_failures_and_signature(spark, tmp_path):
     rows = [("a", "greedy"), ("a", "0"), ("a", "1"), ("b", "greedy"), ("b", "0"), ("c", "0"), ("c", "1"), ("d", "greedy"), ("d", "0"), ("d", "7")]
     c = spark.createDataFrame(rows, "example_id string, component string")

@@ -298,7 +298,7 @@ def verify(rows: pa.Table, n: int, threshold: tuple[int, int]) -> pa.Table:
     return tb.table_of(_VERIFIED, {c: np.concatenate(v) if v else [] for c, v in out.items()})
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.9995, trees: int = 16, depth: int = 10, part_nodes: int = 2048, part_bytes: int = 16 << 20, group_bytes: int = 4 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.9995, trees: int = 16, depth: int = 10, part_nodes: int = 512, part_bytes: int = 16 << 20, group_bytes: int = 4 << 20) -> DataFrame:
     """Texts whose sets of n-word shingles have a Jaccard similarity of ``threshold`` or more are linked.
 
     Words are blank-separated, with A-Z lower-cased; a text of fewer than n words is one shingle. Returns a row for each row

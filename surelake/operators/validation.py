@@ -188,15 +188,29 @@ def integrity(records: DataFrame, receipts: DataFrame, stages: DataFrame, seed:
 
 
 def check_teacher_run(manifest: dict, records: DataFrame, expected: dict) -> list[str]:
-    """What keeps a run from being training input; expected: status, profile, seed, revisions, datasets and math_subjects (counts), sample_count."""
+    """What keeps a run from being training input, by name; nothing if it may be.
+
+    expected: status, profile, seed, revisions, datasets and math_subjects (counts), sample_count, and what else the manifest must have,
+    as ``manifest``.
+    """
     wrong = [name for name in ("status", "seed") if manifest.get(name) != expected[name]]
+    wrong += [f"manifest {name}" for name, value in expected.get("manifest", {}).items() if manifest.get(name) != value]
     if (manifest.get("profile") or {}).get("name") != expected["profile"]:
         wrong.append("profile")
     if manifest.get("revisions") != expected["revisions"]:
         wrong.append("manifest revisions")
     total = sum(expected["datasets"].values())
+    ids = manifest.get("selected_example_ids")
+    if not isinstance(ids, list) or len(ids) != total or len(set(ids)) != total or manifest.get("selected_example_count", total) != total:
+        wrong.append("selected ids")
+    if manifest.get("completed_example_count", total) != total or any(manifest.get(f"{k}_example_count", 0) for k in ("failed", "pending", "imported")):
+        wrong.append("row accounting")
+    chosen = records.sparkSession.createDataFrame([(i,) for i in ids or [] if isinstance(i, str)], "example_id string")
+    twice = records.groupBy("example_id").count().where("count > 1 OR example_id IS NULL OR example_id = ''").limit(1).count()
+    if twice or not same_keys(records, chosen, "example_id").first().equal:
+        wrong.append("row ids")
     counted = {r[0]: r[1] for r in records.groupBy("source.dataset").count().limit(100).collect()}
-    subjects = {r[0]: r[1] for r in records.where("source.dataset = 'math'").groupBy("source.subject").count().limit(100).collect()}
+    subjects = {r[0]: r[1] for r in records.where("source.dataset = 'math'").groupBy("source.config").count().limit(100).collect()}
     if counted != expected["datasets"] or sum(counted.values()) != total:
         wrong.append("dataset counts")
     if subjects != expected["math_subjects"]:
@@ -204,7 +218,7 @@ def check_teacher_run(manifest: dict, records: DataFrame, expected: dict) -> lis
     k = expected["sample_count"]
     row_rules = {
         "row status": F.col("status") == "complete",
-        "row samples": F.transform("samples", lambda s: s["index"]) == F.sequence(F.lit(0), F.lit(k - 1)),
+        "row samples": (F.transform("samples", lambda s: s["index"]) == F.sequence(F.lit(0), F.lit(k - 1))) & (F.col("requested_sample_count") == k),
         "row seeds": F.forall("samples", lambda s: F.coalesce(s["seed"] == sample_seed(expected["seed"], F.col("example_id"), s["index"]), F.lit(False))),
         "row revision": F.coalesce(F.create_map(*(F.lit(x) for kv in expected["revisions"].items() for x in kv))[F.col("source.dataset")] == F.col("source.revision"), F.lit(False)),
     }

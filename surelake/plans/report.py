@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surelake.operators import metrics
+from surelake.plans.plots import reliability_svg
 from surelake.sources import checkpoints, sinks
 
 # The signals of a report and where records keep them.
@@ -52,7 +53,7 @@ def report(records: DataFrame, selected: DataFrame) -> dict[str, DataFrame]:
         "bins": metrics.calibration_bins(pairs, ["analysis", "dataset", "signal"]),
         "by_execution": metrics.report_metrics(good.where("length(execution_origin) > 0"), ["dataset", "execution_origin"], signals, PRIMARY, "share", domain),
         "summary": metrics.dataset_summary(rows, chosen.groupBy("dataset").agg(F.count("*").alias("selected_rows")), signals),
-        "points": metrics.reliability_points(metrics.signals_to_rows(rows, ["dataset"], signals, "correct", "greedy"), ["dataset", "signal"]),
+        "points": metrics.reliability_points(metrics.signals_to_rows(rows, ["dataset"], signals, "correct", "greedy").unionByName(metrics.signals_to_rows(rows, ["dataset"], {"majority_vote_share": "share"}, "majority_correct", "majority")), ["dataset", "signal"]),
     }
 
 
@@ -108,8 +109,23 @@ def report_text(summary: dict, rows: list, by_execution: list) -> str:
     return "\n".join(parts)
 
 
+def diagrams(points: DataFrame, datasets: list[str]) -> dict[str, str]:
+    """A reliability diagram of every signal for each dataset. points: at most a few bins a signal."""
+    rows = points.orderBy("dataset", "signal", "bin_index").collect()
+    out = {}
+    for d in datasets:
+        panels = []
+        for s in [*GREEDY, "majority_vote_share"]:
+            own = [r.asDict() for r in rows if r["dataset"] == d and r["signal"] == s]
+            n = sum(r["count"] for r in own)
+            error = sum(r["count"] * abs(r["mean_confidence"] - r["accuracy"]) for r in own) / n if n else 0.0
+            panels.append((s, own, f"ECE={error:.3f}, n={n}" if n else ""))
+        out[d] = reliability_svg(f"Reliability: {d}", panels)
+    return out
+
+
 def run_report(spark: SparkSession, folder: str) -> dict:
-    """Reads run_manifest.json, predictions.jsonl and stages/ of a run, and writes metrics.csv, calibration_bins.csv, metrics_by_execution.csv (if any), summary.json and report.md beside them."""
+    """Reads run_manifest.json, predictions.jsonl and stages/ of a run, and writes metrics.csv, calibration_bins.csv, metrics_by_execution.csv (if any), summary.json, report.md and reliability_<dataset>.svg beside them."""
     manifest = checkpoints.read_manifest(os.path.join(folder, "run_manifest.json"))
     ids = manifest.get("selected_example_ids", [])
     selected = spark.createDataFrame([(i,) for i in ids], "example_id string")
@@ -138,6 +154,9 @@ def run_report(spark: SparkSession, folder: str) -> dict:
     }
     sinks.atomic_json(os.path.join(folder, "summary.json"), summary)
     origins = tables["by_execution"].orderBy("execution_origin", "dataset", "ordinal").collect() if summary["executions"] else []
+    for dataset, drawing in diagrams(tables["points"], sorted(summary["datasets"])).items():
+        with open(os.path.join(folder, f"reliability_{dataset}.svg"), "w", encoding="utf-8") as f:
+            f.write(drawing)
     text = report_text(summary, rows, origins)
     with open(os.path.join(folder, "report.md"), "w", encoding="utf-8") as f:
         f.write(text)

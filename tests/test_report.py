@@ -3,6 +3,7 @@
 import csv
 import json
 import math
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,24 @@ def test_end_to_end(spark, tmp_path):
     assert "| math | greedy |" in text.replace("greedy | math", "math | greedy") and "| here | a card | 15 | 5 | 5 | 5 |" in text and "## Metrics by execution" in text
     assert summary["executions"] == {"here": {"row_count": 15, "by_dataset": {d: 5 for d in ("gsm8k", "math", "gsm_plus")}, "hardware": "a card"}}
     assert json.load(open(tmp_path / "summary.json"))["completed_count"] == 15
+    drawing = ElementTree.parse(tmp_path / "reliability_math.svg").getroot()
+    titles = [t.text for t in drawing.iter("{http://www.w3.org/2000/svg}text")]
+    assert len(list(drawing.iter("{http://www.w3.org/2000/svg}polyline"))) == 5 and "majority vote share" in titles and sum("n=4" in t for t in titles) == 5
+
+
+EXPECTED = {"status": "complete", "profile": "smoke", "seed": 42, "revisions": {"gsm8k": "r", "math": "r", "gsm_plus": "r"}, "datasets": {"gsm8k": 5, "math": 5, "gsm_plus": 5}, "math_subjects": {"c": 5}, "sample_count": 4, "manifest": {"model": "m"}}
+
+
+def test_what_keeps_a_run_from_being_training_input(spark):
+    ids, found = made(spark)
+    good = {"status": "complete", "seed": 42, "profile": {"name": "smoke"}, "revisions": EXPECTED["revisions"], "selected_example_ids": ids, "completed_example_count": 15, "model": "m"}
+    found = spark.createDataFrame(found.collect(), found.schema)
+    assert validation.check_teacher_run(good, found, EXPECTED) == []
+    for change, wrong in [({"status": "partial"}, "status"), ({"model": "x"}, "manifest model"), ({"selected_example_ids": ids[:-1] + ids[:1]}, "selected ids"), ({"failed_example_count": 1}, "row accounting"), ({"selected_example_ids": ids[:-1] + ["z"]}, "row ids"), ({"seed": 7}, "seed")]:
+        assert wrong in validation.check_teacher_run(good | change, found, EXPECTED)
+    assert validation.check_teacher_run(good, found.unionByName(found.limit(1)), EXPECTED)[0] == "row ids"
+    other = found.withColumn("samples", F.reverse("samples")).withColumn("source", F.col("source").withField("revision", F.lit("q")))
+    assert validation.check_teacher_run(good, other, EXPECTED) == ["row revision", "row samples"]
 
 
 def test_incomplete_run(spark, tmp_path):

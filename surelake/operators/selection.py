@@ -26,12 +26,11 @@ class Profile:
     target_hours: float | None = None
 
     def __post_init__(self):
-        for field in ("gsm8k", "math_per_subject", "gsm_plus"):
-            value = getattr(self, field)
-            if value is not None and (isinstance(value, bool) or not isinstance(value, int) or value < 1):
-                raise ValueError(f"{field} must be a positive number or None")
-        if not self.name or not self.split or self.sample_count < 1 or self.max_new_tokens < 1 or self.target_hours is not None and self.target_hours <= 0:
-            raise ValueError("a profile needs a name, a split and positive sizes")
+        caps = (self.gsm8k, self.math_per_subject, self.gsm_plus)
+        whole = lambda x: type(x) is int and x > 0  # noqa: E731 (True is no number here)
+        sound = all(c is None or whole(c) for c in caps) and whole(self.sample_count) and whole(self.max_new_tokens) and (self.target_hours is None or self.target_hours > 0)
+        if not (sound and self.name and self.split):
+            raise ValueError(f"no sound profile: {self}")
 
 
 # The two profiles of the study.

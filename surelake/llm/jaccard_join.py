@@ -16,7 +16,7 @@
    nodes and bytes, and every pair of parts is one group, so that no task holds more than two parts. There,
    counts of shared n-grams are products of 0/1 matrices. Groups return each node's
    number of links, a spanning tree of them and a histogram of their similarities, never the pairs.
-5. Verified trees are grown into classes.
+5. The classes of a component that one group verified are whole; trees of the others are grown into classes.
 
 A node is named by a 64-bit hash of its words; the words themselves are not compared again.
 """
@@ -36,7 +36,7 @@ from surelake.llm.shared import forget, stored
 
 _SIGNED = "row bigint, doc_id bigint, n_words bigint, octets bigint, node bigint, paths binary"
 _NEIGHBOURS = "u bigint, v bigint, depth int, path binary"
-_VERIFIED = "comp bigint, node bigint, other bigint, links bigint, bin int, pairs bigint"
+_VERIFIED = "comp bigint, node bigint, other bigint, links bigint, bin int, pairs bigint, large boolean"
 _BINS = 20
 
 
@@ -295,10 +295,11 @@ def verify(rows: pa.Table, n: int, threshold: tuple[int, int]) -> pa.Table:
         out["bin"] += [np.full(len(tied) + len(at), -1), some]
         out["pairs"] += [np.zeros(len(tied) + len(at), np.int64), bins[some]]
         out["comp"].append(np.full(len(tied) + len(at) + len(some), comp[lo]))
+        out["large"].append(np.full(len(tied) + len(at) + len(some), rows["large"][0].as_py()))
     return tb.table_of(_VERIFIED, {c: np.concatenate(v) if v else [] for c, v in out.items()})
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.9995, trees: int = 16, depth: int = 10, part_nodes: int = 512, part_bytes: int = 16 << 20, group_bytes: int = 4 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.9995, trees: int = 16, depth: int = 10, part_nodes: int = 2048, part_bytes: int = 16 << 20, group_bytes: int = 4 << 20) -> DataFrame:
     """Texts whose sets of n-word shingles have a Jaccard similarity of ``threshold`` or more are linked.
 
     Words are blank-separated, with A-Z lower-cased; a text of fewer than n words is one shingle. Returns a row for each row
@@ -350,7 +351,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
     forget(ties, last_sizes, grown)
     verified = verified.where("bin < 0")
-    roots = components(verified.where("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v")))
+    tied = verified.where("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v"), "large")
+    roots = tied.where("NOT large").drop("large").unionByName(components(tied.where("large").drop("large")))  # one group's classes are whole
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(roots, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("v", "node")).join(links, "node", "left")
     named = named.select("node", "root", "docs", "copy_id", F.coalesce("links", F.lit(0)).alias("links"))

@@ -214,8 +214,11 @@ def forest(signed: DataFrame, trees: int, least: int) -> DataFrame:
     return found.where("v IS NOT NULL").unionByName(across).select("u", "v", "depth")
 
 
-def similarities(a: np.ndarray, b: np.ndarray | None, grams: list[np.ndarray], threshold: tuple[int, int], dims: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the sets a, or of a (rows) and b (columns), reach the threshold: a boolean matrix, exact; and the similarities."""
+def similarities(a: np.ndarray, b: np.ndarray | None, grams: list[np.ndarray], threshold: tuple[int, int], dims: int = 4096, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sets a, or of a (rows) and b (columns), reach the threshold: a boolean matrix, exact; and the similarity of each linked pair, once.
+
+    Whole matrices are of 32-bit numbers at most; what needs wider ones is done some rows at a time.
+    """
     every = a if b is None else np.concatenate([a, b])
     m, n = len(a), len(every)
     size = np.array([len(grams[i]) for i in every], np.int64)
@@ -228,33 +231,51 @@ def similarities(a: np.ndarray, b: np.ndarray | None, grams: list[np.ndarray], t
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     left, right = (slice(0, m), slice(0, m)) if b is None else (slice(0, m), slice(m, n))
-    shared = np.zeros((m, m if b is None else n - m), np.float32)
+    shared = np.zeros((m, m if b is None else n - m), np.int32)
     for lo in range(0, int(often.sum()), dims):
         s, e = np.searchsorted(column, [lo, lo + dims])
         part = np.zeros((n, min(dims, int(column[e - 1]) - lo + 1) if e > s else 0), np.float32)
         part[row[s:e], column[s:e] - lo] = 1
-        shared += part[left] @ part[right].T
+        for k in range(0, m, rows):  # whole numbers up to dims, which float32 has
+            shared[k : k + rows] += (part[left][k : k + rows] @ part[right].T).astype(np.int32)
     up, down = threshold
-    shared = shared.astype(np.int64)
-    both = size[left][:, None] + size[right][None, :] - shared
-    out = down * shared >= up * both
-    if b is None:
-        np.fill_diagonal(out, False)
-    return out, shared / np.maximum(both, 1)
-
-
-def _trees(link: np.ndarray) -> np.ndarray:
-    """The smallest member of each member's component, for a symmetric link matrix."""
-    n = len(link)
+    link, found = np.zeros(shared.shape, bool), []
+    for k in range(0, m, rows):
+        both = shared[k : k + rows].astype(np.int64)
+        either = size[left][k : k + rows, None] + size[right][None, :] - both
+        hit = down * both >= up * either
+        if b is None:
+            hit[np.arange(len(hit)), np.arange(k, k + len(hit))] = False
+        link[k : k + rows] = hit
+        once = np.triu(hit, k + 1) if b is None else hit
+        found.append(both[once] / np.maximum(either[once], 1))
+    return link, np.concatenate(found) if found else np.zeros(0)
+
+
+def _least(link: np.ndarray, label: np.ndarray, none: int, rows: int = 256) -> np.ndarray:
+    """Of each row, the smallest label of the columns that it is linked to."""
+    return np.concatenate([np.where(link[k : k + rows], label[None, :], none).min(axis=1, initial=none) for k in range(0, len(link), rows)]) if len(link) else np.zeros(0, np.int64)
+
+
+def _classes(link: np.ndarray, square: bool) -> np.ndarray:
+    """The smallest member of each member's component. Members are the rows, and then the columns unless they are the same."""
+    m = len(link)
+    n = m if square else m + link.shape[1]
     label = np.arange(n)
     while True:
-        new = np.minimum(label, np.where(link, label[None, :], n).min(axis=1, initial=n))
+        near = _least(link, label, n) if square else np.concatenate([_least(link, label[m:], n), _least(link.T, label[:m], n)])
+        new = np.minimum(label, near)
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
+def _counts(link: np.ndarray, weight: np.ndarray, rows: int = 256) -> np.ndarray:
+    """Of each row, the weights of the columns that it is linked to, added up."""
+    return np.concatenate([link[k : k + rows] @ weight for k in range(0, len(link), rows)]) if len(link) else np.zeros(0, np.int64)
+
+
 def verify(rows: pa.Table, n: int, threshold: tuple[int, int]) -> pa.Table:
     """Links of a group of components, or of the pair of parts (i, j) of one."""
     out: dict[str, list] = {c.split()[0]: [] for c in _VERIFIED.split(", ")}
@@ -272,26 +293,23 @@ def verify(rows: pa.Table, n: int, threshold: tuple[int, int]) -> pa.Table:
         at = lo + np.flatnonzero(once[lo:hi])
         grams = {k: np.unique(every[first[k] : first[k + 1]]) for k in at.tolist()}
         if i == j:
-            whole, alike = similarities(at, None, grams, threshold)
-            found = alike[np.triu(whole)]
+            link, found = similarities(at, None, grams, threshold)
+            links = _counts(link, docs[at])
         else:
             here, there = at[part[at] == i], at[part[at] == j]
             if not len(here) or not len(there):
                 continue
-            link, alike = similarities(here, there, grams, threshold)
-            found = alike[link]
-            whole = np.zeros((len(here) + len(there),) * 2, bool)
-            whole[: len(here), len(here) :] = link
-            whole[len(here) :, : len(here)] = link.T
+            link, found = similarities(here, there, grams, threshold)
+            links = np.concatenate([_counts(link, docs[there]), _counts(link.T, docs[here])])
             at = np.concatenate([here, there])
-        label = _trees(whole)
+        label = _classes(link, i == j)
         tied = np.flatnonzero(label != np.arange(len(at)))
         bins = np.bincount(np.minimum(((found - low) / max(1 - low, 1e-9) * _BINS).astype(np.int64), _BINS - 1), minlength=_BINS)
         some = np.flatnonzero(bins)
         a, z = at[tied], np.zeros(len(tied), np.int64)
         out["node"] += [node[a], node[at], np.zeros(len(some), np.int64)]
         out["other"] += [node[at[label[tied]]], node[at], np.zeros(len(some), np.int64)]
-        out["links"] += [z, (whole @ docs[at]).astype(np.int64), np.zeros(len(some), np.int64)]
+        out["links"] += [z, links.astype(np.int64), np.zeros(len(some), np.int64)]
         out["bin"] += [np.full(len(tied) + len(at), -1), some]
         out["pairs"] += [np.zeros(len(tied) + len(at), np.int64), bins[some]]
         out["comp"].append(np.full(len(tied) + len(at) + len(some), comp[lo]))

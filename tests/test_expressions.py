@@ -18,7 +18,7 @@ from surelake.functions.grading import canonical, equivalent, grade
         ("5\\text{ cm}", "5\\text{ m}", None), ("30^\\circ", "30", True), ("30^{\\circ}", "31", False), ("\\$12", "12", True), ("50\\%", "50\\%", True), ("50\\%", "0.5", None), ("\\sin(x)", "\\sin x", True), ("\\sin(x)", "\\cos(x)", None),
         ("\\begin{pmatrix} 1 & 2 \\\\ 3 & 4 \\end{pmatrix}", "\\begin{pmatrix}1&2\\\\3&\\frac{8}{2}\\end{pmatrix}", True), ("\\begin{pmatrix}1\\\\2\\end{pmatrix}", "\\begin{pmatrix}1\\\\3\\end{pmatrix}", False),
         ("-\\frac{3}{4}", "\\frac{-3}{4}", True), ("1,000", "1000", True), ("i^2", "-1", True), ("\\frac{1}{1+\\sqrt{2}}", "\\sqrt{2}-1", True), ("\\sqrt[3]{27}", "3", True), ("|{-3}|", "3", True), ("1.5\\times 10^3", "1500", True),
-        ("\\frac12", "0.5", True), ("a_1+b", "b+a_{1}", True), ("\\pm 2", "2", None), ("x<5", "5", None), ("\\frac{1}{", "1", False), (None, "1", False), ("", "", False), ("2^{100000}", "2", None), ("1/0", "1", None), ("(" * 900 + "1", "1", None),
+        ("\\frac12", "0.5", True), ("a_1+b", "b+a_{1}", True), ("\\pm 2", "2", None), ("x<5", "5", None), ("1e5", "100000", None), ("3e", "e+2e", True), ("\\frac{1}{", "1", False), (None, "1", False), ("", "", False), ("2^{100000}", "2", None), ("1/0", "1", None), ("(" * 900 + "1", "1", None),
     ],
 )
 def test_exact_values(left, right, expected):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surelake.operators import training, validation, voting
-from surelake.operators.selection import sample_seed
+from surelake.operators.selection import Profile, sample_seed, select_examples
 from surelake.sources import checkpoints, examples, sinks
 from surelake.streaming import ingest
 
@@ -40,6 +40,18 @@ def test_read_examples(spark, tmp_path):
         examples.check_revisions({"gsm8k": "main"}, ["gsm8k"])
 
 
+def test_load_selected(spark, tmp_path):
+    """Reads the pinned folders offline, checks that every source has rows, and takes what the profile asks for."""
+    sha = "b" * 40
+    spark.createDataFrame([(i, f"Q{i}", f"#### {i}") for i in range(6)], "source_row_id int, question string, answer string").write.parquet(f"{tmp_path}/gsm8k/main/revision={sha}")
+    found = examples.load_selected(spark, str(tmp_path), {"gsm8k": sha}, Profile("t", 2, 1, 1), 42, [("gsm8k", "main")])
+    again = select_examples(examples.read_examples(spark, str(tmp_path), {"gsm8k": sha}, requests=[("gsm8k", "main")]), Profile("t", 2, 1, 1), 42)
+    assert found.collect() == again.collect() and found.count() == 2
+    spark.createDataFrame([], "source_row_id int, problem string, solution string").write.parquet(f"{tmp_path}/math/algebra/revision={sha}")
+    with pytest.raises(ValueError, match="no rows"):
+        examples.load_selected(spark, str(tmp_path), {"gsm8k": sha, "math": sha}, Profile("t", 2, 1, 1), 42, [("gsm8k", "main"), ("math", "algebra")])
+
+
 def complete(i):
     return {"example_id": i, "status": "complete", "greedy": {"text": "t"}, "samples": []}
 

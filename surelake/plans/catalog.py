@@ -499,19 +499,29 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.col("role").alias("turn_role"), "text", F.explode(answers.chat_messages(F.col("text"))).alias("m")).select("conv_id", "turn", "turn_role", "text", "m.role", "m.content")
 
 
-@_query("SELECT event_id, event_type, user_id FROM events")
-def checkpoint_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files, ingested into a table that is resumed once without repeats."""
+def _streamed(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     import uuid
 
     at = f"{sinks.shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     events = _read(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
     events.write.parquet(f"{at}/in")
     for _ in range(2):
-        ingest.ingest(spark, f"{at}/in", "event_id bigint, event_type string, user_id bigint", f"{at}/out", f"{at}/log", "event_id", "parquet", strict=False).awaitTermination()
+        ingest.ingest(spark, f"{at}/in", "event_id bigint, event_type string, user_id bigint", f"{at}/out", f"{at}/log", "event_id", "parquet", strict=strict).awaitTermination()
     return spark.read.parquet(f"{at}/out").select("event_id", "event_type", "user_id")
 
 
+@_query("SELECT event_id, event_type, user_id FROM events")
+def checkpoint_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files, ingested into a table that is resumed once without repeats."""
+    return _streamed(spark, sf_dir, False)
+
+
+@_query("SELECT event_id, event_type, user_id FROM events")
+def strict_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a repeated id would stop the stream."""
+    return _streamed(spark, sf_dir, True)
+
+
 @_query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_type IN ('error', 'view') THEN event_type || event_id END AS failure FROM events),
   l AS (SELECT user_id, failure FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM e) WHERE n = 1)
   SELECT user_id, any_value(l.failure) AS failure, string_agg(e.failure, ',' ORDER BY event_id) AS failure_history FROM e JOIN l USING (user_id) WHERE l.failure IS NOT NULL GROUP BY user_id""")

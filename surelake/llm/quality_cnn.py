@@ -72,11 +72,26 @@ def _responses(tables: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pooled(net: Network, flat: np.ndarray, spans: np.ndarray, tables: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    response = _responses(net.filters if tables is None else tables, flat)
-    edges = spans.ravel()
-    edges = np.minimum(edges, len(response) - 1)
-    return np.maximum.reduceat(response, edges, axis=0)[::2] + net.shift, response
+def _pooled(net: Network, flat: np.ndarray, spans: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    response = _responses(tables, flat)
+    return np.maximum.reduceat(response, np.minimum(spans.ravel(), len(response) - 1), axis=0)[::2] + net.shift
+
+
+def _best(tables: np.ndarray, flat: np.ndarray, spans: np.ndarray, group: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's highest response in each chunk, and the step at which it is; about ``group`` steps at a time."""
+    most, where = np.empty((len(spans), FILTERS), np.float32), np.empty((len(spans), FILTERS), np.int64)
+    own, p = np.arange(FILTERS), 0
+    while p < len(spans):
+        q = max(p + 1, int(np.searchsorted(spans[:, 1], spans[p, 0] + group, "right")))
+        lo = int(spans[p, 0])
+        response = _responses(tables, flat[lo * STRIDE : (int(spans[q - 1, 1]) - 1) * STRIDE + WIDTH])
+        for c in range(p, q):
+            begin = int(spans[c, 0]) - lo
+            part = response[begin : int(spans[c, 1]) - lo]
+            at = part.argmax(axis=0)
+            most[c], where[c] = part[at, own], at + begin + lo
+        p = q
+    return most, where
 
 
 def scores(net: Network, data: np.ndarray, bounds: np.ndarray, group: int = 1 << 13, tables: np.ndarray | None = None) -> np.ndarray:
@@ -90,7 +105,7 @@ def scores(net: Network, data: np.ndarray, bounds: np.ndarray, group: int = 1 <<
             out[p] = _long(net, data[bounds[p] : bounds[q]], group, tables)
         else:
             flat, spans, first = _laid_out(data, bounds[p : q + 1])
-            feature = np.maximum(_pooled(net, flat, spans, tables)[0], 0)
+            feature = np.maximum(_pooled(net, flat, spans, tables), 0)
             mean = np.add.reduceat(feature, first[:-1], axis=0) / np.diff(first)[:, None]
             out[p:q] = _logit(net, mean, np.maximum.reduceat(feature, first[:-1], axis=0), np.minimum.reduceat(feature, first[:-1], axis=0))
         p = q
@@ -111,7 +126,7 @@ def _long(net: Network, data: np.ndarray, group: int, tables: np.ndarray) -> flo
         flat = np.zeros((at[-1] - at[0] + span) * STRIDE + WIDTH, np.uint8)
         flat[: len(part)] = part[: len(flat)]
         begin = at - at[0]
-        feature = np.maximum(_pooled(net, flat, np.column_stack([begin, np.minimum(begin + span, steps - at[0])]), tables)[0], 0)
+        feature = np.maximum(_pooled(net, flat, np.column_stack([begin, np.minimum(begin + span, steps - at[0])]), tables), 0)
         total += feature.sum(axis=0)
         most, least = np.maximum(most, feature.max(axis=0)), np.minimum(least, feature.min(axis=0))
         count += len(at)
@@ -144,7 +159,8 @@ def train(rows: list[tuple[str, int]], totals: dict, epochs: int = 12, batch: in
             ids = order[p : p + batch]
             bounds = np.append(0, np.cumsum([len(texts[i]) for i in ids]))
             flat, spans, first = _laid_out(np.concatenate([texts[i] for i in ids]) if bounds[-1] else np.zeros(0, np.uint8), bounds)
-            pooled, response = _pooled(net, flat, spans)
+            most_of, where = _best(net.filters, flat, spans)
+            pooled = most_of + net.shift
             feature = np.maximum(pooled, 0)
             n = np.diff(first)
             mean = np.add.reduceat(feature, first[:-1], axis=0) / n[:, None]
@@ -157,7 +173,7 @@ def train(rows: list[tuple[str, int]], totals: dict, epochs: int = 12, batch: in
                 back += np.where(feature == np.repeat(end, n, axis=0), np.repeat(error[:, None] * net.weights[k * FILTERS : (k + 1) * FILTERS], n, axis=0), 0)
             back[pooled <= 0] = 0
             learn = np.flatnonzero(np.abs(back).max(axis=1))
-            where = np.array([response[lo:hi].argmax(axis=0) + lo for lo, hi in spans[learn].tolist()], np.int64).reshape(-1, FILTERS) * STRIDE
+            where = where[learn] * STRIDE
             own, share = np.arange(FILTERS), back[learn].ravel()  # a filter learns from where it responded best
             grad = np.stack([np.bincount((flat[where + j].astype(np.int64) * FILTERS + own).ravel(), share, 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)]).astype(np.float32)
             grads = [grad, back.sum(axis=0), np.concatenate([(x * error[:, None]).sum(axis=0) for x in (mean, most, least)]), error.sum(keepdims=True)]

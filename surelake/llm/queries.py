@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surelake.llm import decontaminate, exact_topk, html_extraction, jaccard_join, language_id, lm_scoring, mixing, quality_cnn, substring_dedup, warc
+from surelake.llm import centroids, decontaminate, exact_topk, html_extraction, jaccard_join, language_id, lm_scoring, mixing, packing, quality_cnn, spelling, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(_read(spark, sf_dir, "pages"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_read(spark, sf_dir, "documents"), packing.by_chunks(public_tokenizers.path(tokenizer)))
+
+
 def language_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op5's result SQL can tell: which rows are held out, and which have no language."""
     found = op5_language_id(spark, sf_dir)
@@ -86,11 +100,11 @@ QUALITY_SQL = f"SELECT doc_id, {_CRC.format(n=3)} = 1 AS held_out, true AS is_pr
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_warc, op4_jaccard_join, op5_language_id, op6_exact_topk, op7_mixing, op8_lm_scoring, op9_quality, op10_html_extraction, language_facts, lm_base, quality_facts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_warc, op4_jaccard_join, op5_language_id, op6_exact_topk, op7_mixing, op8_lm_scoring, op9_quality, op10_html_extraction, op11_centroids, op12_spelling, op13_packing, language_facts, lm_base, quality_facts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Language ID, LM scoring, quality and HTML extraction can't be put in SQL as a whole; tests hold them against brute force or held-out rows."""
+    """Language ID, LM scoring, quality, HTML extraction and packing can't be put in SQL as a whole; tests hold them against brute force or held-out rows."""
     return {
         "op1_substring_dedup": substring_dedup.ORACLE_SQL,
         "op2_decontaminate": decontaminate.ORACLE_SQL,
@@ -98,6 +112,8 @@ def oracle_sql() -> dict[str, str]:
         "op4_jaccard_join": jaccard_join.ORACLE_SQL,
         "op6_exact_topk": exact_topk.ORACLE_SQL,
         "op7_mixing": mixing.oracle_sql(),
+        "op11_centroids": centroids.ORACLE_SQL,
+        "op12_spelling": spelling.ORACLE_SQL,
         "language_facts": LANGUAGE_SQL,
         "lm_base": BASE_SQL,
         "quality_facts": QUALITY_SQL,

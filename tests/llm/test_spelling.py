@@ -1,0 +1,105 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from surelake.llm.spelling import near_places, neighbours, partitions, variants
+from tests.llm.cases import awkward, frame
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def words_of(rows, min_length=6, min_count=5, every=199):
+    found = Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            found[run] += 1
+    return {w: n for w, n in found.items() if len(w) >= min_length and n >= min_count}
+
+
+def brute(words, times=5):
+    out = {}
+    for w, n in words.items():
+        others = sorted(((-m, v) for v, m in words.items() if near(w, v)))
+        form = others[0] if others and -others[0][0] >= times * n else None
+        out[w] = (form and form[1], n, len(others), form and -form[0])
+    rows = []
+    for w, (form, n, n_near, form_n) in out.items():
+        root = w
+        while out[root][0]:
+            root = out[root][0]
+        rows.append((w, form, root, n, n_near, form_n))
+    return sorted(rows)
+
+
+def vocabulary(seed, n, letters="abé", least=3, most=9):
+    rng = np.random.default_rng(seed)
+    return sorted({"".join(rng.choice(list(letters), rng.integers(least, most))) for _ in range(n)})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_trie_finds_all_pairs(seed):
+    words = ["", *vocabulary(seed, 150, "abc"[: 2 + seed % 2], 1, 7)]
+    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if near(a, b)}
+    found = list(near_places(words))
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+@pytest.mark.parametrize("least,most", [(3, 20_000), (3, 20), (1, 5), (6, 2)])
+def test_neighbours_at_any_size_of_partitions(spark, least, most):
+    """The smaller a partition may be, the more often the large ones are halved; the pairs stay the same, and none is found twice."""
+    words = {w: 1 + i % 7 for i, w in enumerate(vocabulary(least + most, 500, "abé", least, least + 6))}
+    table = spark.createDataFrame(list(words.items()), "word string, n bigint")
+    found = {r.word: (r.n_near, r.form_n, r.form) for r in neighbours(table, least, most).collect()}
+    want = {}
+    for w in words:
+        others = sorted((-m, v) for v, m in words.items() if near(w, v))
+        if others:
+            want[w] = (len(others), -others[0][0], others[0][1])
+    assert found == want
+
+
+def test_a_prefix_that_all_words_share_is_split(spark):
+    words = [("x" * 12 + w, 5) for w in vocabulary(1, 3000, "abcdef", 4, 8)] + [(w + "y" * 12, 5) for w in vocabulary(2, 3000, "abcdef", 4, 8)]
+    parts = partitions(spark.createDataFrame(words, "word string, n bigint"), 6, 100)
+    sizes = [r for p in parts for r in p.groupBy("key", "lo", "hi").count().collect()]
+    assert max(r["count"] for r in sizes if r.lo < r.hi) <= 100
+    assert max(r["count"] for r in sizes) <= 100 and len(parts) > 2
+
+
+@pytest.mark.parametrize("every", [199, 3])
+def test_variants_equal_brute_force(spark, every):
+    rng = np.random.default_rng(7)
+    known = vocabulary(5, 60, "abcÉ×", 5, 8)
+    texts = [(i, " ".join(known[int(x)].title() if x % 3 == 0 else known[int(x)] for x in rng.zipf(1.25, 200) % len(known))) for i in range(60)]
+    texts += [(None, "Abcabca, abcabca-abcabca_abcabca1abcabca"), (7, None), (8, ""), (9, "12 34 \x00"), (10, "a" * 3000 + " " + ("a" * 3000 + " ") * 5), (10, "a" * 3001 + "." + ("b" * 3001 + ".") * 7), (3, texts[3][1]), (3, texts[3][1]), (20, "qqqqqqq " * 300 + "qqqqqqr " * 50 + "qqqqqrr " * 6)]
+    found = variants(spark.createDataFrame([(k, t, "x", 1) for k, t in texts], "doc_id bigint, text string, word string, n int"), every=every, most=50)
+    assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    want = brute(words_of(texts, every=every))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert every < 199 or any(r[1] and r[1] != r[2] for r in want) and max(len(r[0]) for r in want) >= 3000
+
+
+def test_awkward_rows_and_none(spark):
+    found = variants(frame(spark), min_length=2, min_count=1)
+    want = brute(words_of([(r[1], r[2]) for r in awkward()], 2, 1))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert variants(frame(spark, [])).collect() == []
+    with pytest.raises(ValueError, match="above 1"):
+        variants(frame(spark), times=1)
+
+
+def test_no_python_before_the_join(spark):
+    plan = neighbours(spark.createDataFrame([("abcdef", 5)], "word string, n bigint"))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "CartesianProduct" not in plan

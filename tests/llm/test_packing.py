@@ -113,7 +113,8 @@ def test_many_equal_rows_and_none(spark):
     totals = placed.groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).toPandas()
     assert placed.count() == 30_000 and totals["sum(length)"].max() <= 64
     tokens = placed.agg({"length": "sum"}).first()[0]
-    assert len(totals) == -(-tokens // 64) == placed.agg({"sequence_id": "max"}).first()[0] + 1
+    counts = {r.length: r["count"] for r in placed.groupBy("length").count().collect()}
+    assert len(totals) == plan(counts, 64)[1] == placed.agg({"sequence_id": "max"}).first()[0] + 1 <= 1.01 * tokens / 64
     assert pack(docs.limit(0), by_chunks(PATH)).collect() == []
 
 

@@ -1,15 +1,17 @@
 """Main-text extraction by line-block distribution.
 
 Markup is stripped into lines, one per block element or line break. Every line has a
-size: the length of its text times a weight. Text in elements that are page furniture by
-tag, role or class name weighs little, text in a marked article more, runs of links
-little; nothing is deleted for its name. An element that holds most of the page's text is a
-wrapper and its name does not count. Where weights change, and in part between containers, empty
-lines come in. Sizes are summed over sliding windows of lines: a region begins where
-the sum surges and ends where it dives to nothing. A region stays if its highest
-sum reaches the threshold; the threshold is lower where the whole page has little text,
-and higher for regions that weigh less than the one with the highest sum. Short
-lines that share their container with a region that stays, stay with it.
+size: the length of its text times a weight. Sizes are summed over sliding windows of lines: a
+region begins where the sum surges and ends where it dives to nothing. The region with the highest
+sum is main text, and so are others that reach the threshold (lower where the whole page has little text, higher for
+regions that weigh less). Then what belongs to a region that stays, stays with it, however short: lines of the same marked
+article, and lines in the containers that hold the region's lines, tables and nested blocks too.
+
+Weights: text in a marked article weighs more, runs of short links little, page furniture little. What is furniture by its tag, or
+by a whole class, id or role of which each word is one of furniture or says nothing (``cookie-notice``, not ``social-history``), is left out with what it holds.
+Names that articles use as well (``related``, ``share``) count only if the element does not hold text like an article's. An
+element that holds most of the page's text is a wrapper and its name does not count. Where weights change, and in part
+between containers, empty lines come in.
 """
 
 from __future__ import annotations
@@ -35,9 +37,10 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _RAW_END = re.compile(r"</[a-zA-Z]+\s*>$")
-_HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'>]++)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Which elements end a line, hold other blocks, and are furniture by their tag. Fixed values of HTML and of common page templates.
 _BREAKS = frozenset("address blockquote br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section summary table tbody td tfoot th thead tr ul article aside nav header footer form body html head".split())
@@ -46,9 +49,13 @@ _SMALL = frozenset("p li td tr span label".split())  # hold text rather than blo
 _FURNITURE = frozenset("head nav footer aside form button menu dialog object canvas".split())
 _ARTICLE = frozenset(("article", "main"))
 _WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar subnav sidenav topnav navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup social share sharing related recommended recommendations comment comments disqus respond reply replies widget pagination pager toolbar login search contentinfo complementary alert alertdialog commentlist commentform adsbygoogle".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promos promotion promotions sidebar aside menu nav navbar subnav sidenav topnav navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup comment comments disqus respond pagination pager toolbar contentinfo complementary alertdialog commentlist commentform adsbygoogle".split()
 )
+_WEAK = frozenset("banner share sharing social related recommended recommendations search reply replies login alert overlay widget widgets".split())  # articles have sections of such names too
+# Words of names that say where an element stands or what shape it has.
+_NEUTRAL = frozenset("main site page post article entry global primary secondary top bottom left right inner outer fixed sticky mobile desktop list lists item items box bar area section sections wrapper wrap container content block blocks panel row col column button buttons btn btns link links icon icons form field input posts articles stories story news header head title body text slot unit placement display message messages thread threads count container1 inline small large mini big new bg js the".split())
 _COMMENTS = frozenset("comment comments commentlist commentform disqus respond reply replies".split())  # may hold most of a page
+_COMMENT_TITLE = re.compile(r"\(?\d+\)?\s+(?:reader\s+)?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)|(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)\s*\(\d+\)|leave a (?:comment|reply)", re.I)
 _TOPS = frozenset(("header", "masthead", "topbar"))  # unless they are the article's own
 _NEVER_FURNITURE = frozenset(("html", "body", "article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -60,34 +67,36 @@ class Line(NamedTuple):
     linked: int  # characters in links
     weight: float
     container: int  # the element that holds the line's block
+    mark: int  # the outermost marked article around it; 0 for none
+    around: tuple[int, ...]  # the containers around its own, inner ones first, but for the page's body
 
 
 class _Open:
-    __slots__ = ("article", "container", "hint", "tag")
+    __slots__ = ("around", "article", "container", "hint", "tag")
 
-    def __init__(self, tag: str, container: int, hint: int, article: bool):
-        self.tag, self.container, self.hint, self.article = tag, container, hint, article
+    def __init__(self, tag: str, container: int, hint: int, article: int, around: tuple | None):
+        self.tag, self.container, self.hint, self.article, self.around = tag, container, hint, article, around
 
 
 def lines(page: str, gap: int = 3) -> tuple[list[Line], bool]:
     """The page's lines, empty ones included, and whether an article is marked. Linear in the page, whatever it leaves open."""
-    rows: list[tuple[str, int, int, bool, int]] = []  # text, characters in links, hint, inside the mark, container
-    parents, wraps = [-1], [False]  # per hinted element, the next one around it, and whether it can be a mere wrapper; 0 is none
-    root = _Open("", 0, 0, False)
+    rows: list[tuple[str, int, int, int, int, tuple | None]] = []  # text, characters in links, hint, mark, container, chain of those around
+    parents, wraps = [-1], [0]  # per hinted element, the next one around it, and its kind (``_furniture``); 0 is none
+    root = _Open("", 0, 0, 0, None)
     stack: list[_Open] = [root]
     opened: Counter[str] = Counter()
     words: list[str] = []
-    linked, in_link, containers, marked = 0, 0, 0, False
+    linked, in_link, containers, marks = 0, 0, 0, 0
 
     def flush(blank: int = 0) -> None:
         nonlocal linked
         top = stack[-1]
         text = " ".join(entities.unescape("".join(words)).split()) if words else ""
         if text:
-            rows.append((text, min(linked, len(text)), top.hint, top.article, top.container))
+            rows.append((text, min(linked, len(text)), top.hint, top.article, top.container, top.around))
         words.clear()
         linked = 0
-        rows.extend([("", 0, top.hint, top.article, top.container)] * blank)
+        rows.extend([("", 0, top.hint, top.article, top.container, None)] * blank)
 
     end = page.rfind(">") + 1  # no tag ends beyond
     p, unclosed = 0, False
@@ -107,11 +116,18 @@ def lines(page: str, gap: int = 3) -> tuple[list[Line], bool]:
             continue
         if tag not in _BREAKS and tag not in _HOLDERS and tag not in _FURNITURE:
             continue
+        before = stack[-1]
         blank = 1 if tag in _HOLDERS and tag not in ("p", "li", "span") else 0
+        if blank and tag not in _SMALL and before.around is None and (closes or not before.container):
+            blank = gap  # between blocks of the page's body
         if tag in _BREAKS:
             flush(blank)
-        before = stack[-1]
         if closes:
+            if tag in _HEADINGS and rows and not before.hint and before.tag in ("div", "section") and _COMMENT_TITLE.fullmatch(rows[-1][0]):
+                parents.append(0)
+                wraps.append(3)
+                before.hint = len(parents) - 1  # what follows in it are readers' comments
+                rows[-1] = (*rows[-1][:2], before.hint, *rows[-1][3:])
             if not opened[tag]:
                 continue
             top = None
@@ -126,67 +142,91 @@ def lines(page: str, gap: int = 3) -> tuple[list[Line], bool]:
                 flush()
                 opened[stack.pop().tag] -= 1  # closed by the next one
             top = stack[-1]
-            hint, container = top.hint, top.container
-            if kind := _furniture(tag, attrs, top.article):
+            hint, container, around = top.hint, top.container, top.around
+            named = _attributes(attrs) if attrs else {}
+            if kind := _furniture(tag, named, bool(top.article)):
                 flush()
                 parents.append(hint)
-                wraps.append(kind == 1)
+                wraps.append(kind)
                 hint = len(parents) - 1
-            if tag not in _SMALL:
+            if tag not in _SMALL and tag not in ("html", "body"):
                 containers += 1
-                container = containers
-            article = top.article or tag in _ARTICLE or "role=" in attrs and bool(re.search(r"role\s*=\s*[\"']?main\b", attrs))
-            marked |= article
+                around, container = (container, around) if container else None, containers
+            article = top.article
+            if not article and (tag in _ARTICLE or named.get("role", "").lower() == "main"):
+                marks += 1
+                article = marks
             if article != top.article:
                 flush()
-            stack.append(_Open(tag, container, hint, article))
+            stack.append(_Open(tag, container, hint, article, around))
             opened[tag] += 1
         after = stack[-1]
         if after.hint != before.hint or after.article != before.article:
             flush()
-            rows.extend([("", 0, after.hint, after.article, after.container)] * gap)
+            rows.extend([("", 0, after.hint, after.article, after.container, None)] * gap)
             in_link = 0
     if p < len(page) and not unclosed:
         tail = page.find("<!--", p)
         words.append(page[p : tail if tail >= 0 else None])
     flush()
     weights = _weights(rows, parents, wraps)
-    return [Line(text, n, weights[hint] * (_MARKED if article else 1.0), container) for text, n, hint, article, container in rows], marked
+    return [Line(text, n, weights[hint] * (_MARKED if article else 1.0), container, article, around) for text, n, hint, article, container, around in rows], marks > 0
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    """Of each attribute the first value; empty without one."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
 
+def _kinds(name: str, article: bool) -> set[str]:
+    """Of a whole class, id or role: its words of furniture, if all others say nothing."""
+    words = [w.rstrip("0123456789") for w in _SPLIT.split(name.lower()) if w.rstrip("0123456789")]
+    found = {w for w in words if w in _WORDS or w in _WEAK or w in _TOPS and not article}
+    return found if all(w in found or w in _NEUTRAL for w in words) else set()
 
-def _furniture(tag: str, attrs: str, article: bool) -> int:
-    """0 for what is no furniture by tag or attributes, 1 for what may still be a wrapper of the whole page, 2 for what is none."""
+
+def _furniture(tag: str, named: dict[str, str], article: bool) -> int:
+    """0 for what is no furniture by tag or attributes, 1 for what may still be a wrapper of the whole page, 2 for what is if it holds no text like an article's, 3 for what is in any case."""
     if tag == "form":
         return 1
     if tag in _FURNITURE or tag == "header" and not article:
-        return 2
-    if not attrs or tag in _NEVER_FURNITURE:
+        return 3
+    if not named or tag in _NEVER_FURNITURE:
         return 0
-    if _HIDDEN.search(attrs):
+    if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(named.get("style", "")):
         return 1
-    found = {w for m in _HINT.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w in _WORDS or w in _TOPS and not article}
-    return 0 if not found else 2 if found & _COMMENTS else 1
+    found = set().union(*(_kinds(n, article) for n in (*named.get("class", "").split(), named.get("id", ""), named.get("role", ""))))
+    return 0 if not found else 3 if found & _COMMENTS else 2 if found <= _WEAK else 1
 
 
-def _weights(rows: list[tuple[str, int, int, bool, int]], parents: list[int], wraps: list[bool], most: float = 0.5, times: int = 4) -> list[float]:
-    """The weight of text in each hinted element: faint, or as around it if the element is but a wrapper.
+def _weights(rows: list[tuple], parents: list[int], wraps: list[int], most: float = 0.5, times: int = 4, prose: int = 200, line: int = 80, links: float = 0.2) -> list[float]:
+    """The weight of text in each hinted element: faint, or as around it if the element is but a wrapper, or an article's part with a weak name.
 
     A wrapper holds more than ``most`` of the page's text that is no link and ``times`` as much as stands in no hinted element,
-    and the marked article, if there is one.
+    and the marked article, if there is one. Text like an article's: ``prose`` characters in lines of ``line`` and more, of which few are links.
     """
-    total, marked = [0] * len(parents), [False] * len(parents)
-    for text, linked, hint, article, _ in rows:
-        total[hint] += len(text) - linked
-        marked[hint] |= article and bool(text)
+    n = len(parents)
+    total, marked, long, chars, linked = [0] * n, [False] * n, [0] * n, [0] * n, [0] * n
+    for text, in_links, hint, article, *_ in rows:
+        total[hint] += len(text) - in_links
+        chars[hint] += len(text)
+        linked[hint] += in_links
+        long[hint] += len(text) if len(text) >= line else 0
+        marked[hint] |= bool(article and text)
     page, free, mark = sum(total), total[0], any(marked)
-    wrapper = [False] * len(parents)
-    for e in range(len(parents) - 1, 0, -1):  # inner ones first
+    wrapper = [False] * n
+    for e in range(n - 1, 0, -1):  # inner ones first
         marked[parents[e]] |= marked[e]
-        wrapper[e] = wraps[e] and total[e] > max(most * page, times * free) and (marked[e] or not mark)
+        wrapper[e] = wraps[e] in (1, 2) and total[e] > max(most * page, times * free) and (marked[e] or not mark)
+        wrapper[e] |= wraps[e] == 2 and long[e] >= prose and linked[e] <= links * chars[e]
         if wrapper[e]:
-            total[parents[e]] += total[e]
-    out = [1.0] * len(parents)
-    for e in range(1, len(parents)):
+            for x in (total, chars, linked, long):
+                x[parents[e]] += x[e]
+    out = [1.0] * n
+    for e in range(1, n):
         out[e] = out[parents[e]] * (1.0 if wrapper[e] else _FAINT)
     return out
 
@@ -199,19 +239,18 @@ class Region(NamedTuple):
     lines: list[int]
 
 
-def link_runs(rows: list[Line], share: float = 0.6) -> list[bool]:
-    """Lines that are mostly link and follow or precede another such line."""
+def link_runs(rows: list[Line], share: float = 0.6, least: int = 2, longest: int = 60) -> list[bool]:
+    """Menus: at least ``least`` lines after one another that are mostly link and on average shorter than ``longest``; longer ones are titles or references."""
     out = [False] * len(rows)
-    last = -1  # the text line before, if mostly link
-    for i, r in enumerate(rows):
-        if not r.text:
-            continue
-        if r.linked <= share * len(r.text):
-            last = -1
+    run: list[int] = []
+    for i in [*(i for i, r in enumerate(rows) if r.text), -1]:
+        if i >= 0 and rows[i].linked > share * len(rows[i].text):
+            run.append(i)
             continue
-        if last >= 0:
-            out[last] = out[i] = True
-        last = i
+        if len(run) >= least and sum(len(rows[k].text) for k in run) < longest * len(run):
+            for k in run:
+                out[k] = True
+        run = []
     return out
 
 
@@ -249,7 +288,8 @@ def surges(rows: list[Line], window: int = 3, threshold: int = 86, most_links: f
 
     The region with the highest sum (the first, on a tie) stays. One that weighs as much or more must reach the threshold, or that share
     of the highest sum if this is less; one that weighs less must reach both the threshold and its share. Regions mostly of
-    links stay only if there are no others; then the one with the highest sum does, and those that weigh as much.
+    links stay only if there are no others; then the one with the highest sum does, and those that weigh as much. With a region stay the
+    other lines of its marked article, links too, and in unmarked text those in the containers of its lines that are no menu.
     """
     found = regions(rows, window)
     good = [r for r in found if r.linked <= most_links * r.chars]
@@ -259,9 +299,32 @@ def surges(rows: list[Line], window: int = 3, threshold: int = 86, most_links: f
     top = max(good, key=lambda r: r.peak)
     kept = [r for r in good if r is top or r.peak >= (min(threshold, share * top.peak) if r.weight >= top.weight else max(threshold, faint_share * top.peak))]
     stays = {k for r in kept for k in r.lines}
+    whole = {(rows[k].mark, rows[k].weight) for k in stays if rows[k].mark and rows[k].weight >= 1}
     homes = {(rows[k].container, rows[k].weight) for k in stays}
+    inner = {(c, w) for c, w in homes if c}  # the page's body holds everything
     runs = link_runs(rows)
-    return [r.text for k, r in enumerate(rows) if k in stays or r.text and not runs[k] and (r.container, r.weight) in homes and r.linked <= most_links * len(r.text)]
+    held: dict[tuple, bool] = {}
+
+    def inside(around: tuple | None, weight: float) -> bool:
+        """Is one of the containers around a home? Each is asked once."""
+        way = []
+        while around is not None and (key := (around[0], weight)) not in held:
+            held[key] = key in inner
+            way.append(key)
+            if held[key]:
+                break
+            around = around[1]
+        found = around is not None and held[around[0], weight]
+        for key in way:
+            held[key] = found
+        return found
+
+    def belongs(r: Line, run: bool) -> bool:
+        if r.mark:
+            return (r.mark, r.weight) in whole
+        return not run and r.linked <= most_links * len(r.text) and ((r.container, r.weight) in homes or inside(r.around, r.weight))
+
+    return [r.text for k, r in enumerate(rows) if r.text and (k in stays or belongs(r, runs[k]))]
 
 
 def main_text(page: str | None) -> str:

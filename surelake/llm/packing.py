@@ -11,6 +11,8 @@ their slots by a join on length and rank.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -29,6 +31,7 @@ from surelake.llm.shared import stored
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
 _KINDS = {"piece": pa.int32(), "task": pa.int32(), "ids": pa.list_(pa.int32())}
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MOST_CACHED = 1 << 20  # chunks of text that a worker keeps ids of
 _LONG = 1 << 22  # characters or bytes of a text that are split at once
 
@@ -99,6 +102,43 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _ends(path: str) -> np.ndarray:
+    """By id, whether a token ends a word; all false where the vocabulary does not tell."""
+    found = json.loads(_tokenizer(path).to_str())["model"]
+    suffix, vocabulary = found.get("end_of_word_suffix"), found.get("vocab", {})
+    out = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    if suffix and isinstance(vocabulary, dict):
+        out[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+    return out
+
+
+def _encoded(path: str, chunks: list[str], at_once: int = 64) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The chunks in another order, how many ids each has, and all their ids.
+
+    A call for each would cost more than the work, so chunks of letters alone, which are one word, go together by lines and
+    are told apart by where words end.
+    """
+    order, sizes, flat = [], [], []
+    plain = [c for c in chunks if _LETTERS.fullmatch(c)]
+    alone = [c for c in chunks if not _LETTERS.fullmatch(c)]
+    groups = [plain[p : p + at_once] for p in range(0, len(plain), at_once)]
+    ends = _ends(path)
+    for group, e in zip(groups, _tokenizer(path).encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, np.uint32)
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) == len(group) and len(ids) == cuts[-1]:
+            order += group
+            sizes.append(np.diff(cuts, prepend=0))
+            flat.append(ids)
+        else:  # words end otherwise with this tokenizer
+            alone += group
+    found = [e.ids for e in _tokenizer(path).encode_batch_fast(alone, add_special_tokens=False)]
+    sizes.append(np.array([len(x) for x in found], np.int64))
+    flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+    return order + alone, np.concatenate(sizes), np.concatenate(flat)
+
+
 class _Known:
     """What a worker has tokenised: chunks, each with its place in one array of ids."""
 
@@ -108,42 +148,44 @@ class _Known:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.begin, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.begin, self.flat, self.used, self.kept = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
 
     def places(self, chunks: list[str]) -> np.ndarray:
         if len(self.place) > _MOST_CACHED:
             self.clear()
-        new = [c for c in chunks if c not in self.place]
+        new = list(dict.fromkeys(c for c in chunks if c not in self.place))
         if new:
-            ids = [e.ids for e in _tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)]
-            ends = self.used + np.cumsum([len(x) for x in ids])
-            n = len(self.place)
+            new, sizes, ids = _encoded(self.path, new)
+            ends = self.used + np.cumsum(sizes)
+            n = self.kept
             while len(self.begin) < n + len(new) + 1:
                 self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             while len(self.flat) < ends[-1]:
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - self.used)
+            self.flat[self.used : ends[-1]] = ids
             self.begin[n + 1 : n + len(new) + 1] = ends
             self.place.update(zip(new, range(n, n + len(new)), strict=True))
-            self.used = int(ends[-1])
+            self.used, self.kept = int(ends[-1]), n + len(new)
         return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
 
 
 _known: dict[str, _Known] = {}
 
 
-def by_chunks(path: str) -> Callable[[pa.StringArray], list[np.ndarray]]:
+def by_chunks(path: str, lower: bool = True) -> Callable[[pa.StringArray], list[np.ndarray]]:
     """A tokenizer's ids of each text, for one that drops white space and looks at nothing across it or across a letter and a point or comma, as word_bpe_49k.json.
 
     Texts are split there, and a worker keeps the ids of the chunks that it has met. The result is that of the
-    whole text; a text of any length is held as its chunks and ids only, never as a tokenizer's own encoding.
+    whole text; a text of any length is held as its chunks and ids only, never as a tokenizer's own encoding. ``lower``: it lower-cases.
     """
 
     def short(texts: pa.StringArray) -> list[np.ndarray]:
         parts = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, "([A-Za-z])([,.;:!?])", "\\1 \\2"))
         coded = parts.flatten().dictionary_encode()
         known = _known.setdefault(path, _Known(path))
-        at = known.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        # The tokenizer lower-cases; of words of ASCII letters that can be done before it, so that one look-up serves both.
+        words = [c.lower() if c.isascii() and c.isalpha() else c for c in coded.dictionary.to_pylist()] if lower else coded.dictionary.to_pylist()
+        at = known.places(words)[coded.indices.to_numpy()]
         many = known.begin[at + 1] - known.begin[at]
         total = np.concatenate([[0], np.cumsum(many)])
         out = known.flat[np.arange(total[-1]) + np.repeat(known.begin[at] - total[:-1], many)]

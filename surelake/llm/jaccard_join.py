@@ -27,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surelake.llm import textblocks as tb
 from surelake.llm.components import components
-from surelake.llm.shared import forget, stored
+from surelake.llm.shared import apart, forget, repeated, stored
 
 _SIGNED = "row bigint, doc_id bigint, n_words bigint, octets bigint, node bigint, paths binary"
 _NEIGHBOURS = "u bigint, v bigint, depth int, path binary"
@@ -317,6 +317,16 @@ def verify(rows: pa.Table, n: int, threshold: tuple[int, int]) -> pa.Table:
     return tb.table_of(_VERIFIED, {c: np.concatenate(v) if v else [] for c, v in out.items()})
 
 
+def one_text(picked: DataFrame, signed: DataFrame) -> DataFrame:
+    """(row, text) of each row once, however often it is there; of those that repeat, each task sends one."""
+    keys, n = repeated(signed.select("row"), "row")
+    rows = picked.select("row", "text")
+    if not n:
+        return rows
+    once, twice = apart(rows, "row", keys, n)
+    return once.unionByName(twice.groupBy("row", "text").agg(F.count("*").alias("n")).drop("n"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.9995, trees: int = 16, depth: int = 10, part_nodes: int = 2048, part_bytes: int = 16 << 20, group_bytes: int = 4 << 20) -> DataFrame:
     """Texts whose sets of n-word shingles have a Jaccard similarity of ``threshold`` or more are linked.
 
@@ -334,6 +344,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     picked = docs.select(row.alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     signed = stored(picked.mapInArrow(_sign(trees, depth, n), _SIGNED))
+    single = one_text(picked, signed)
     nodes = signed.groupBy("node").agg(F.count("*").alias("docs"), F.min("doc_id").alias("copy_id"), F.min("row").alias("row"), F.max("octets").alias("octets"))
     ties = stored(forest(signed, trees, least))
 
@@ -351,7 +362,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         fresh = sizes if known is None else sizes.join(known, ["comp", "size"], "left_anti")  # a component only grows, so of one size it is the same
         parts = F.greatest(F.ceil(F.col("size") / part_nodes), F.ceil(F.col("all_octets") / part_bytes)).cast("int")
         cut = placed.join(fresh.select("comp", "size", F.col("octets").alias("all_octets")), "comp").select("node", "comp", "docs", "row", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-        texts = picked.select("row", "text").join(cut, "row")
+        texts = single.join(cut, "row")
         spread = texts.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), pair)))
         own = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.col("comp"))
         dealt = spread.select(own.alias("own"), (F.col("parts") > 1).alias("large"), F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "comp", "part", "node", "docs", "text")
@@ -388,9 +399,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     found = near_duplicates(docs, key, text, **options)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("row").alias("__stays"))
     marked = docs.withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
-    joined = marked.join(stays.select("__stays"), F.col("__row") == F.col("__stays"))
-    once = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    return joined.withColumn("__once", once).where("__once = 1").select(docs.columns)
+    keys, n = repeated(found.select("row"), "row")
+    if n:
+        once, twice = apart(marked, "__row", keys.withColumnRenamed("row", "__row"), n)
+        marked = once.unionByName(twice.dropDuplicates(["__row"]))
+    return marked.join(stays.select("__stays"), F.col("__row") == F.col("__stays")).select(docs.columns)
 
 
 ORACLE_SQL = """

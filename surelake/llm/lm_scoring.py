@@ -27,6 +27,7 @@ from surelake.llm import textblocks as tb
 from surelake.llm.elias_fano import BOOK, Trie
 
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+_COPIED = f"{OUT}, copies bigint"
 END, BEGIN = tb.U(0x5851F42D4C957F2D), tb.U(0x14057B7EF767814F)
 #: The w of a path that ends at v: the text does, or the next token is not known.
 NONE = 0xFFFFFFFF
@@ -124,8 +125,8 @@ class _Tokens:
         word[ends] = False
         self.token[ends] = END
         self.token[word] = w.hash
-        self.learned = np.repeat(table["learns"].to_numpy(zero_copy_only=False).astype(bool), np.diff(self.first))
-        self.kinds, self.at, _ = tb.united(tb.mix(self.token, 77) & ~tb.U(0xFFFF), None, self.learned.astype(np.int64))
+        self.weight = np.repeat(np.where(table["learns"].to_numpy(zero_copy_only=False).astype(bool), table["copies"].to_numpy(), 0), np.diff(self.first))  # how often it is learned
+        self.kinds, self.at, _ = tb.united(tb.mix(self.token, 77) & ~tb.U(0xFFFF), None, self.weight)
 
     def before(self, values: np.ndarray, at_begin) -> np.ndarray:
         """Of each token, the value of the one before it."""
@@ -155,7 +156,7 @@ class _Paths:
         parts = (of_u // split + 1).astype(tb.U)
         u = tb.mix(u + (v % parts) * tb._C1, 8) >> tb.U(24)
         v, w = narrowed(v, w, of_u)
-        every = joined(u, v, w, t.learned[self.mask].astype(np.int64), of_u)
+        every = joined(u, v, w, t.weight[self.mask], of_u)
         self.keys, self.at, _ = tb.united(*every)
 
 
@@ -208,7 +209,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
 
     def add_scores(_, table: pa.Table, rows: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return tb.table_of(OUT, {c.split()[0]: [] for c in OUT.split(", ")})
+            return tb.table_of(_COPIED, {c.split()[0]: [] for c in _COPIED.split(", ")})
         t, codes = _Tokens(table), paths.replies(rows)
         n, kinds = (int(x) for x in np.frombuffer(codes[:_TOTALS, 0].astype(np.uint8).tobytes(), "<i8"))
         p = _Paths(t, tb.from_small(tb.noted(rows)), bucket_keys)
@@ -222,10 +223,10 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
         begin = t.first[:-1]
         columns = {
             "doc_id": t.table["key"], "held_out": t.table["held"], "n_tokens": np.diff(t.first), "n_known": np.add.reduceat((p.count > 0).astype(np.int64), begin),
-            "train_tokens": np.full(len(begin), n), "base_score": np.add.reduceat(np.log10(unigram), begin), "score": np.add.reduceat(np.log10(np.minimum(trigram, 1.0)), begin),
+            "train_tokens": np.full(len(begin), n), "base_score": np.add.reduceat(np.log10(unigram), begin), "score": np.add.reduceat(np.log10(np.minimum(trigram, 1.0)), begin), "copies": t.table["copies"],
         }
-        return tb.table_of(OUT, columns)
+        return tb.table_of(_COPIED, columns)
 
     counted = tokens.run(x.groupBy("bid").applyInArrow(ask_tokens, tb.REQUEST)).withColumnRenamed("child", "bid")
     found = paths.run(x.groupBy("bid").cogroup(counted.groupBy("bid")).applyInArrow(ask_paths, tb.REQUEST)).withColumnRenamed("child", "bid")
-    return x.groupBy("bid").cogroup(found.groupBy("bid")).applyInArrow(add_scores, OUT)
+    return tb.multiplied(x.groupBy("bid").cogroup(found.groupBy("bid")).applyInArrow(add_scores, _COPIED))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +34,21 @@ def stored(df: DataFrame) -> DataFrame:
     return found
 
 
+_MOST_BROADCAST = 1 << 20  # numbers of 8 bytes
+
+
+def repeated(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """The keys that rows have more than once, as a stored table, and how many those are. Counted on each task before they are shuffled."""
+    found = stored(rows.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key))
+    return found, found.count()
+
+
+def apart(rows: DataFrame, key: str, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is not among those n keys, and the others. Up to 2**20 keys are broadcast, more are joined by shuffles."""
+    keys = F.broadcast(keys) if n <= _MOST_BROADCAST else keys
+    return rows.join(keys, key, "left_anti"), rows.join(keys, key, "left_semi")
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Removes stored tables that nothing reads any more; other frames are left alone."""
     for df in tables:

@@ -122,10 +122,15 @@ def _block(table: pa.Table):
 
 
 def _symbols(w: tb.Words, rounds: int, min_symbol: int, window: int):
-    """Symbols worth asking about: long enough, and decided by fewer words than a window has."""
-    name, _, size, low, high = recompress(w.hash, w.first, rounds)
+    """Symbols worth asking about: long enough, and decided by fewer words than a window has; with where they begin."""
+    name, at, size, low, high = recompress(w.hash, w.first, rounds)
     use = (size >= min_symbol) & (high - low <= window)
-    return name[use], low[use], high[use]
+    return name[use], at[use], low[use], high[use]
+
+
+def _copies(table: pa.Table, w: tb.Words) -> np.ndarray:
+    """Of each word, how often its row is there."""
+    return np.repeat(table["copies"].to_numpy(), np.diff(w.first))
 
 
 def _fits(first: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -152,11 +157,11 @@ def _twice(keys: tb.Keys) -> tb.Keys:
     return keys._replace(value=np.minimum(keys.value, 2))
 
 
-def _fingerprints(w: tb.Words, starts: np.ndarray, window: int) -> tuple[tb.Keys, np.ndarray]:
-    """80 bits of each window: two hashes of its words."""
+def _fingerprints(w: tb.Words, starts: np.ndarray, window: int, copies: np.ndarray) -> tuple[tb.Keys, np.ndarray]:
+    """80 bits of each window: two hashes of its words; each counts as often as its row is there."""
     a = tb.runs_of(w.hash, window, 11)[starts]
     b = tb.runs_of(w.hash, window, 12, 0xD1342543DE82EF95)[starts] >> tb.U(48)
-    keys, at, _ = tb.united(a, b)
+    keys, at, _ = tb.united(a, b, copies[starts])
     return _twice(keys), at
 
 
@@ -175,34 +180,34 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     is handled whole. An empty table gives none. Other columns are not read.
     """
     x, blocks, total = tb.in_blocks(docs, key, text, block_bytes, **{f"carry_{c}": F.col(c) for c in carry})
-    out_schema = ", ".join([OUT, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    out_schema = ", ".join([OUT, "copies bigint", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     way = tb.Exchange(blocks, max(1, total // 6 // bucket_keys), occurs_again, fan=fan)
 
     def ask_symbols(table: pa.Table) -> pa.Table:
-        _, _, _, w = _block(table)
-        name, _, _ = _symbols(w, rounds, min_symbol, window)
-        return way.ask(tb.first_bid(table), _twice(tb.united(name, None)[0]))
+        table, _, _, w = _block(table)
+        name, at, _, _ = _symbols(w, rounds, min_symbol, window)
+        return way.ask(tb.first_bid(table), _twice(tb.united(name, None, _copies(table, w)[at])[0]))
 
     def ask_windows(_, table: pa.Table, rows: pa.Table) -> pa.Table:
         if not table.num_rows:
             return tb.note(0, b"").slice(0, 0)
-        _, _, _, w = _block(table)
+        table, _, _, w = _block(table)
         n = len(w.hash)
-        name, low, high = _symbols(w, rounds, min_symbol, window)
+        name, _, low, high = _symbols(w, rounds, min_symbol, window)
         once = ~way.replies(rows)[tb.united(name, None)[1]]
         step = np.zeros(n + 2, np.int32)  # over the starts of windows that cover what decided such a symbol
         np.add.at(step, np.maximum(high[once] - window, 0), 1)
         np.add.at(step, low[once] + 1, -1)
         maybe = _fits(w.first, n, window) & (np.cumsum(step)[:n] <= 0)
         bid = tb.first_bid(table)
-        return pa.concat_tables([way.ask(bid, _fingerprints(w, np.flatnonzero(maybe), window)[0]), tb.note(bid, tb.pack_flags(maybe))])
+        return pa.concat_tables([way.ask(bid, _fingerprints(w, np.flatnonzero(maybe), window, _copies(table, w))[0]), tb.note(bid, tb.pack_flags(maybe))])
 
     def remove(_, table: pa.Table, rows: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return tb.with_columns(tb.table_of(OUT, {c.split()[0]: [] for c in OUT.split(", ")}), table, carry)
+            return tb.with_columns(tb.table_of(f"{OUT}, copies bigint", {c.split()[0]: [] for c in f"{OUT}, copies bigint".split(", ")}), table, carry)
         table, data, bounds, w = _block(table)
         starts = np.flatnonzero(tb.unpack_flags(tb.noted(rows)))
-        at = _fingerprints(w, starts, window)[1]
+        at = _fingerprints(w, starts, window, _copies(table, w))[1]
         gone = _covered(starts[way.replies(rows)[at]], len(w.hash), window)
         sums = np.append(0, np.cumsum(gone))
         first = w.first
@@ -219,12 +224,13 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 kept = b" ".join(kept)
             digests.append(hashlib.sha256(kept).hexdigest())
             texts.append(None if not with_text else kept.decode("utf-8", "replace") if removed[i] else table["text"][i].as_py())
-        rows = {"doc_id": table["key"], "n_words": np.diff(first), "n_removed": removed, "kept_sha256": digests, "kept_text": texts}
-        return tb.with_columns(tb.table_of(OUT, rows), table, carry)
+        rows = {"doc_id": table["key"], "n_words": np.diff(first), "n_removed": removed, "kept_sha256": digests, "kept_text": texts, "copies": table["copies"]}
+        return tb.with_columns(tb.table_of(f"{OUT}, copies bigint", rows), table, carry)
 
     symbols = way.run(x.groupBy("bid").applyInArrow(ask_symbols, tb.REQUEST)).withColumnRenamed("child", "bid")
     repeats = way.run(x.groupBy("bid").cogroup(symbols.groupBy("bid")).applyInArrow(ask_windows, tb.REQUEST)).withColumnRenamed("child", "bid")
     out = x.groupBy("bid").cogroup(repeats.groupBy("bid")).applyInArrow(remove, out_schema)
+    out = tb.multiplied(out)
     return out if with_text else out.drop("kept_text")
 
 

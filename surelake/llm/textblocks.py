@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surelake.llm.shared import apart, repeated
+
 U = np.uint64
 _C1, _C2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -363,14 +365,23 @@ def with_columns(rows: pa.Table, source: pa.Table, carry: tuple[str, ...]) -> pa
 
 
 def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int, **more: Column) -> tuple[DataFrame, int, int]:
-    """(bid, row, key, text, and more columns), with row a hash of key and text; the number of blocks; and of bytes of text.
+    """(bid, row, key, text, copies, and more columns), with row a hash of key and text; the number of blocks; and of bytes of text.
 
+    Equal rows are one, with the number of its copies: else a row that a third of the table repeats would fill one block. What repeats
+    is found by counts of hashes; only those rows' texts are shuffled for it, once from each task. ``multiplied`` gives the copies back.
     Texts are deflated one by one for the way to their blocks; ``ordered`` inflates them.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     row = F.xxhash64(F.col(key), F.col(text))
-    picked = docs.select(F.pmod(row, F.lit(blocks)).cast("bigint").alias("bid"), row.alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).cast("binary").alias("text"), *(c.alias(name) for name, c in more.items()))
+    rows = docs.select(row.alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).cast("binary").alias("text"), *(c.alias(name) for name, c in more.items()))
+    keys, n = repeated(docs.select(row.alias("row")), "row")
+    if n:
+        once, twice = apart(rows, "row", keys, n)
+        rows = once.withColumn("copies", F.lit(1).cast("bigint")).unionByName(twice.groupBy(*rows.columns).agg(F.count("*").alias("copies")))
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
+    picked = rows.select(F.pmod(F.xxhash64("row", *more), F.lit(blocks)).cast("bigint").alias("bid"), "row", "key", "text", "copies", *more)
 
     def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -391,5 +402,11 @@ def ordered(table: pa.Table) -> pa.Table:
     return table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
 
+def multiplied(rows: DataFrame, copies: str = "copies", step: int = 1 << 16) -> DataFrame:
+    """Each row as often as its copies, which column goes."""
+    parts = rows.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"({copies} - 1) div {step}"))))
+    return parts.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(step).cast("bigint"), F.col(copies) - F.col("__part") * step)))).drop("__part", "__n", copies)
+
+
 def first_bid(table: pa.Table) -> int:
     return table["bid"][0].as_py()

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from surelake.llm.components import components
 from surelake.llm import jaccard_join as module
@@ -142,3 +143,19 @@ def test_recall_against_brute_force(spark, threshold):
     expected = sum(len(x & y) * down >= up * len(x | y) and a != b for a, x in enumerate(own) for b, y in enumerate(own))
     found = sum(r.n_links for r in near_duplicates(frame(spark, rows), threshold=threshold).collect())
     assert len(set(texts)) > 80 and expected > 50 and found <= expected and found >= 0.995 * expected
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_a_row_that_is_there_100_000_times_is_verified_once(spark, keyed):
+    from surelake.llm.jaccard_join import one_text
+
+    text = prose(41, 60)
+    near = text + " more"
+    copies = spark.range(100_000).select(F.lit(5 if keyed else None).cast("bigint").alias("doc_id"), F.lit(text).alias("text")).repartition(6)
+    docs = copies.unionByName(spark.createDataFrame([(9, near), (11, prose(42, 60)), (12, prose(42, 60))], "doc_id bigint, text string"))
+    signed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    assert one_text(signed, signed).count() == 4
+    found = near_duplicates(docs).groupBy("doc_id", "class_id", "n_links").count().collect()
+    key = 5 if keyed else None
+    assert {(r.doc_id, r.class_id, r.n_links, r["count"]) for r in found} == {(key, 5 if keyed else 9, 100_000, 100_000), (9, 5 if keyed else 9, 100_000, 1), (11, 11, 1, 1), (12, 11, 1, 1)}
+    assert one_of_each(docs).count() == 2

@@ -133,3 +133,14 @@ def test_packed_paths(n):
     assert (unpack_codes(pack_codes(codes)) == codes).all()
     tokens = tb.united(rng.integers(0, 1 << 64, n, dtype=np.uint64) & ~np.uint64(0xFFFF), None)[0]
     assert all((a == b).all() for a, b in zip(tokens, unpack_tokens(pack_tokens(tokens)), strict=True))
+
+
+def test_a_row_counts_as_often_as_it_is_there(spark):
+    """Written out or as copies of other rows' texts, the model is the same."""
+    texts = [prose(i, 30, 40) for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 500 + [(4, texts[4])] * 2
+    learned = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    assert learned(3)
+    apart = [(i, t) for i, t in enumerate(texts)] + [(k, texts[3]) for k in range(1000, 9000) if learned(k)][:500] + [(4, texts[4])] * 2
+    one, two = ({(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm_scores(spark.createDataFrame(x, "doc_id bigint, text string").repartition(3)).where("doc_id < 20").collect()} for x in (rows, apart))
+    assert one == two and lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == len(rows)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from surelake.llm import textblocks as tb
 from surelake.llm.substring_dedup import recompress, substring_dedup
@@ -142,3 +143,25 @@ def test_packing(n):
     counts = np.array([0, 3, 254, 255, 10**12] * n, np.int64)
     assert (tb.from_small(tb.small_counts(counts)) == counts).all()
     assert (tb.unpack_sorted(tb.pack_sorted(keys.a >> np.uint64(24) << np.uint64(24), 3), 3) == keys.a >> np.uint64(24) << np.uint64(24)).all()
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_a_row_that_is_there_100_000_times_is_one_in_its_block(spark, keyed):
+    """The largest block has as many rows as without the copies, and every copy comes out."""
+    from surelake.llm import textblocks as tb
+
+    text, others = prose(31, 50), [(i, prose(100 + i, 40)) for i in range(300)]
+    rest = spark.createDataFrame(others, "doc_id bigint, text string")
+    copies = spark.range(100_000).select(F.lit(7777 if keyed else None).cast("bigint").alias("doc_id"), F.lit(text).alias("text")).repartition(6)
+    size = lambda docs, blocks: tb.in_blocks(docs, "doc_id", "text", blocks)[0].groupBy("bid").count().agg({"count": "max"}).first()[0]
+    assert size(copies.unionByName(rest), 1 << 22) <= size(rest, 1 << 14) + 1
+    found = substring_dedup(copies.unionByName(rest), block_bytes=1 << 22, with_text=False)
+    counts = {(r.doc_id is None or r.doc_id == 7777, r.n_words, r.n_removed): r["count"] for r in found.groupBy("doc_id", "n_words", "n_removed").count().collect()}
+    assert counts[True, 50, 50] == 100_000 and found.where("n_removed = 0").count() == 300
+
+
+def test_copies_with_other_columns_keep_them(spark):
+    text = prose(31, 50)
+    rows = [(None, text, "a")] * 3 + [(None, text, "b"), (1, text, None), (2, prose(9, 60), "c")]
+    found = substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), carry=("lang",))
+    assert sorted((r.lang or "", r.n_removed) for r in found.collect()) == [("", 50), ("a", 50), ("a", 50), ("a", 50), ("b", 50), ("c", 0)]

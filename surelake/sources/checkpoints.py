@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import os
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surelake.sources.logs import log_lines, parsed
+
 GREEDY = "text:string,token_ids:array<int>,token_entropies_nats:array<double>,token_logprobs:array<double>,token_char_spans:array<array<int>>,content_token_mask:array<boolean>,token_alignment_status:string,eos_generated:boolean,was_truncated:boolean,termination_reason:string"
 GRADED = "predicted_answer:string,answer_method:string,prediction_parseable:boolean,gold_parseable:boolean,correct:boolean,grading_status:string,content_token_count:int,mean_entropy_nats:double,entropy_confidence:double,sequence_logprob_sum:double,sequence_geometric_probability:double,answer_token_count:int,answer_token_geometric_probability:double,answer_alignment_status:string"
 SOURCE = "dataset:string,config:string,split:string,row_id:string,revision:string,gold_status:string,subject:string,perturbation_type:string,seed_question_id:string"
@@ -18,7 +19,6 @@ SAMPLE = "index:int,seed:bigint,text:string,token_ids:array<int>,answer:string,a
 CONSISTENCY = "sample_count:int,sample_answer_parseable_count:int,sample_answer_parse_unknown_count:int,greedy_agreement_count:int,greedy_agreement_unknown_count:int,greedy_agreement_share:double,majority_answer:string,majority_vote_count:int,majority_vote_share:double,majority_correct:boolean,majority_grading_status:string,majority_comparison_unknown_count:int"
 PREDICTION = f"example_id string, status string, source struct<{SOURCE}>, question string, gold_answer string, greedy struct<{GREEDY},{GRADED}>, samples array<struct<{SAMPLE}>>, self_consistency struct<{CONSISTENCY}>, requested_sample_count int, execution_origin string"
 STAGE = f"run_signature string, example_id string, greedy struct<{GREEDY}>, samples map<string,struct<seed:bigint,generation:struct<text:string,token_ids:array<int>,eos_generated:boolean,was_truncated:boolean,reason:string>>>, failure string, failure_history array<string>"
-_BAD = "__corrupt"
 
 
 def is_complete():
@@ -76,36 +76,14 @@ def repair(spark: SparkSession, path: str) -> list[str]:
     return sorted(tails)
 
 
-def whole_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a log without torn last ones: of those of a file that read like its torn one, one is left out."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    tails = torn_tails(spark, lines.inputFiles())
-    if not tails:
-        return lines
-    lines = lines.withColumn("file", F.input_file_name())
-    torn = reduce(lambda a, b: a | b, [(F.col("file") == f) & (F.col("value") == t) for f, (t, _) in tails.items()])
-    same = F.row_number().over(Window.partitionBy("file", "value").orderBy("value"))
-    # Torn lines become null rather than being filtered, so that no check of the lines can be moved before it.
-    kept = lines.select(F.when(~torn, F.col("value")).alias("value"))
-    again = lines.where(torn).withColumn("n", same).select(F.when(F.col("n") > 1, F.col("value")).alias("value"))
-    return kept.unionByName(again).where("value IS NOT NULL")
-
-
 def read_predictions(spark: SparkSession, path: str, schema: str = PREDICTION, blank: bool = False) -> DataFrame:
     """Complete records of a JSON-lines log, strictly.
 
     A last line without line end was torn off in writing and is left out; any other row that is corrupt or not complete, and an
-    id that is there twice, stops the query; so does a blank line, unless ``blank`` lets them pass. The driver reads no more of a file
-    than its last line.
+    id that is there twice, stops the query, which names line and file; so does a blank line, unless ``blank`` lets them pass. Large
+    files are read by many tasks, the driver reads no more of a file than its last line.
     """
-    kept = whole_lines(spark, path)
-    if blank:
-        kept = kept.where(F.length(F.trim("value")) > 0)
-    parsed = kept.select("value", F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"))
-    bad = F.when(F.col("value").isNotNull() & (F.col(f"r.{_BAD}").isNotNull() | F.col("r").isNull()), F.raise_error(F.lit("a checkpoint row is corrupt")))
-    records = parsed.where(F.coalesce(bad.cast("boolean"), F.lit(True))).select("r.*").drop(_BAD)
-    complete = F.when(F.coalesce(is_complete(), F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a checkpoint row is not a complete prediction")).cast("boolean"))
-    return without_duplicates(records.where(complete), "example_id")
+    return without_duplicates(parsed(log_lines(spark, path), schema, is_complete(), blank), "example_id")
 
 
 def read_export(spark: SparkSession, path: str, manifest: dict) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from surelake.sources.logs import log_stream, parsed
 from surelake.sources.sinks import atomic_json
 
 
@@ -46,7 +47,17 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     run was strict. A stream that began without ``strict`` stays so. A batch that is written again after a failure
     replaces its own rows and no others.
     """
-    rows = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(source)
+    return ingest_rows(spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(source), target, checkpoint, key, strict)
+
+
+def ingest_log(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "example_id", strict: bool = True, split_bytes: int = 64 << 20) -> StreamingQuery:
+    """As ``ingest``, from JSON-lines logs that grow: each run reads what whole lines were added. A torn last line waits, any other corrupt one stops the query."""
+    return ingest_rows(parsed(log_stream(spark, source, split_bytes), schema), target, checkpoint, key, strict)
+
+
+def ingest_rows(rows: DataFrame, target: str, checkpoint: str, key: str, strict: bool) -> StreamingQuery:
+    """A stream of rows into a table, as ``ingest`` has it."""
+    spark, schema = rows.sparkSession, ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
     older, mark = exists(spark, target), f"{checkpoint.rstrip('/')}.keyed"
     keyed = exists(spark, mark)
     if strict and keyed:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,9 +151,9 @@ def overview(rows: DataFrame) -> DataFrame:
 
 
 def exemplars(rows: DataFrame, ordinal: str = "ordinal", math: str = "math") -> DataFrame:
-    """example_id of the confident right (math only), the flagged wrong and the confident wrong row; the first row wins ties."""
+    """example_id of the confident right (math only), the flagged wrong and the confident wrong row; the first row wins ties, by any ordinal that has an order."""
     share, sure = F.coalesce("agreement_share", F.lit(0.0)), F.coalesce("entropy_confidence", F.lit(0.0))
-    most = lambda when: F.max_by("example_id", F.when(when, F.struct(share.alias("a"), sure.alias("b"), (-F.col(ordinal)).alias("c"))))
+    most = lambda when: F.min_by("example_id", F.when(when, F.struct((-share).alias("a"), (-sure).alias("b"), F.col(ordinal).alias("c"))))
     wrong = ~F.col("greedy_correct")
     low = F.struct(F.coalesce("agreement_share", F.lit(1.0)).alias("a"), F.col(ordinal).alias("c"))
     return rows.agg(
@@ -158,3 +161,43 @@ def exemplars(rows: DataFrame, ordinal: str = "ordinal", math: str = "math") ->
         F.min_by("example_id", F.when(wrong & F.col("greedy_answer").isNotNull(), low)).alias("flagged_wrong"),
         most(wrong).alias("confident_wrong"),
     )
+
+
+def resampled_means(spark, sizes: list[list[tuple[int, int]]], seed: int, rounds: int) -> DataFrame:
+    """(k, mean) of each round of each comparison k, given the counts of its few values.
+
+    A resample of n rows only matters by how many of each value it draws: these are multinomial, and are drawn as such, by conditional
+    binomials. So the work is rounds times values, whatever n is. Each round has a generator of its own, keyed by seed, comparison and round.
+    """
+
+    def draw_counts(batches):
+        for batch in batches:
+            at = batch.column("id").to_numpy()
+            means = np.empty(len(at))
+            for i, x in enumerate(at.tolist()):
+                k, r = divmod(x, rounds)
+                values, counts = (np.array(v, np.float64) for v in zip(*sizes[k], strict=True))
+                n = int(sum(c for _, c in sizes[k]))
+                means[i] = float(np.random.Generator(np.random.Philox(key=[seed % 2**64, k << 40 | r])).multinomial(n, counts / n) @ values) / n
+            yield pa.RecordBatch.from_pydict({"k": pa.array(at // rounds, pa.int32()), "mean": pa.array(means)})
+
+    return spark.range(rounds * len(sizes)).mapInArrow(draw_counts, "k int, mean double")
+
+
+def comparison_intervals(results: DataFrame, seed: int, rounds: int = 5000, comparisons: list[tuple[str, str]] | None = None) -> DataFrame:
+    """left, right, n, delta, ci_low and ci_high of every comparison: the paired bootstrap, drawn by counts.
+
+    The same distribution as ``comparison_table`` and ``bootstrap``, which draw row by row; their work grows with rounds times n,
+    this one's does not grow with n once the differences are counted. A comparison without examples stops the query.
+    """
+    pairs = comparisons or COMPARISONS
+    counts = paired_wide(results, pairs).agg(*(F.count_if(F.col(f"d{k}") == d).alias(f"c{k}_{d + 1}") for k in range(len(pairs)) for d in (-1, 0, 1))).first()
+    sizes = [[(d, counts[f"c{k}_{d + 1}"]) for d in (-1, 0, 1)] for k in range(len(pairs))]
+    totals = [sum(c for _, c in s) for s in sizes]
+    if not all(totals):
+        raise ValueError("there is nothing to resample")
+    spark = results.sparkSession
+    lo, hi = int(0.025 * rounds), max(int(0.975 * rounds) - 1, 0)
+    draws = resampled_means(spark, sizes, seed, rounds).groupBy("k").agg(F.sort_array(F.collect_list("mean")).alias("v"))  # as many as rounds, which is a parameter
+    known = spark.createDataFrame([(k, a, b, totals[k], sum(d * c for d, c in sizes[k]) / totals[k]) for k, (a, b) in enumerate(pairs)], "k int, left string, right string, n bigint, delta double")
+    return draws.join(F.broadcast(known), "k").select("left", "right", "n", "delta", F.get("v", F.lit(lo)).alias("ci_low"), F.get("v", F.lit(hi)).alias("ci_high"))

@@ -126,8 +126,7 @@ def write_samples(records: DataFrame, folder: str, run_id: str) -> int:
     shown = [{"dataset": LABELS.get(d, d), "questions": r["questions"], "scorable": r["scorable"], "greedy_right": share(r, "greedy_right"), "majority_right": share(r, "majority_right"), **{n: None if r[n] is None else f"{r[n]:.2f}" for n in ("agreement_right", "agreement_wrong")}} for d in order for r in [overview[d]]]
     text = [f"# Rows of run `{run_id}`", "", "## Overview", "", markdown_table(shown, list(shown[0]) if shown else ["dataset"]), "", "## Worked examples", ""]
     ordinal = F.struct(F.when(F.col("dataset") == "gsm8k", 0).when(F.col("dataset") == "math", 1).otherwise(2), F.col("example_id"))
-    numbered = rows.withColumn("ordinal", F.xxhash64(ordinal))
-    picked = training.exemplars(numbered).first().asDict()
+    picked = training.exemplars(rows.withColumn("ordinal", ordinal)).first().asDict()
     found = {r["example_id"]: r for r in rows.where(F.col("example_id").isin([v for v in picked.values() if v])).collect()}
     for name, title in (("confident_right", "Sure and right"), ("flagged_wrong", "Wrong, and few samples agree"), ("confident_wrong", "Wrong though the samples agree")):
         if picked[name]:

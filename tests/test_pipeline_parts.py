@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,3 +302,23 @@ def test_the_table_of_comparisons_is_the_bootstrap_of_each(spark):
         assert (r.n, r.delta, r.ci_low, r.ci_high) == (one.n, pytest.approx(one.delta), pytest.approx(one.ci_low), pytest.approx(one.ci_high))
     fewer = results.where("condition <> 'base' OR example_id < 30")
     assert {r.n for r in training.comparison_table(fewer, 5, 50).collect()} == {30, 40}
+
+
+def test_a_bootstrap_by_counts_has_the_interval_of_one_by_rows(spark):
+    """Within the error of 2,000 draws, for lopsided and even counts; the work does not grow with n."""
+    for lost, won, n in ((30, 60, 400), (0, 9, 200), (5, 5, 50)):
+        values = [-1] * lost + [1] * won + [0] * (n - lost - won)
+        rows = [(str(i), c, v) for i, d in enumerate(values) for c, v in (("a", d < 0), ("b", d > 0))]
+        found = training.comparison_intervals(spark.createDataFrame(rows, "example_id string, condition string, correct boolean"), 3, 2000, [("a", "b")]).first()
+        means = np.sort(np.random.default_rng(5).choice(values, (20_000, n)).mean(1))
+        assert (found.n, found.delta) == (n, pytest.approx(sum(values) / n))
+        spread = 6 * np.std(values) / n**0.5 * 0.05 + 1 / n  # of a quantile of 2,000 draws, and the grid of means
+        assert abs(found.ci_low - np.quantile(means, 0.025)) <= spread and abs(found.ci_high - np.quantile(means, 0.975)) <= spread
+    sizes = [[(-1, 10**11), (0, 10**12), (1, 2 * 10**11)], [(-1, 0), (0, 5), (1, 0)]]
+    one, two = (sorted(map(tuple, training.resampled_means(spark, sizes, 7, 300).repartition(k).collect())) for k in (1, 5))
+    assert one == two and len(one) == 600
+    large, none = np.array([m for k, m in one if k == 0]), [m for k, m in one if k == 1]
+    assert set(none) == {0.0} and abs(large.mean() - 1 / 13) < 1e-6 and 0 < large.std() < 1e-6
+    assert training.resampled_means(spark, sizes, 8, 300).collect() != training.resampled_means(spark, sizes, 7, 300).collect()
+    with pytest.raises(ValueError, match="nothing to resample"):
+        training.comparison_intervals(spark.createDataFrame([], "example_id string, condition string, correct boolean"), 3)

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surelake.functions import answers, grading
-from surelake.operators import confidence, metrics, selection, training, validation, voting
+from surelake.operators import confidence, detokenise, metrics, reconcile, selection, training, validation, voting
 from surelake.sources import examples, sinks
-from surelake.streaming import ingest
+from surelake.streaming import ingest, stages
 
 SIGNALS = {"length": "s_length", "hashed": "s_hashed", "source": "s_source", "mixed": "s_mixed"}
 PRIMARY = ["length", "hashed"]
@@ -629,6 +629,96 @@ def training_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.training_groups(ids, e)
 
 
+# Lines of an order as events of an example: 1 is the greedy part, 2 to 4 are samples, 5 is a failure if it was returned, 6 clears it.
+@_query("""WITH e AS (SELECT CAST(l_orderkey AS VARCHAR) AS example_id, l_linenumber AS n, CAST(l_shipdate AS TIMESTAMP) AS ts, CAST(l_partkey AS VARCHAR) AS payload FROM lineitem WHERE l_linenumber <= 4 OR l_linenumber = 6 OR l_linenumber = 5 AND l_returnflag = 'R'),
+  p AS (SELECT example_id, n, min_by(payload, (ts, payload)) AS payload, min(ts) AS ts FROM e WHERE n <= 4 GROUP BY ALL),
+  c AS (SELECT example_id, count(*) AS have, min(ts) AS ts, string_agg(n || '=' || payload, ',' ORDER BY n) AS parts FROM p GROUP BY example_id),
+  m AS (SELECT example_id, n, ts, lag(n) OVER (PARTITION BY example_id ORDER BY ts, n) AS before, row_number() OVER (PARTITION BY example_id ORDER BY ts DESC, n DESC) AS r FROM e WHERE n > 4),
+  f AS (SELECT example_id, bool_or(r = 1 AND n = 5) AS failed, count(*) FILTER (n = 6 AND before = 5) AS cleared, max(ts) FILTER (n = 6 AND before = 5) AS cleared_at FROM m GROUP BY example_id),
+  s AS (SELECT coalesce(c.example_id, f.example_id) AS example_id, coalesce(have, 0) AS have, coalesce(parts, '') AS parts, coalesce(failed, false) AS failed, coalesce(cleared, 0) AS cleared, coalesce(cleared_at, c.ts) + INTERVAL 30 DAY AS due FROM c FULL JOIN f ON c.example_id = f.example_id),
+  o AS (SELECT *, due <= (SELECT max(ts) FROM e) AS late FROM s)
+  SELECT example_id, CASE WHEN NOT failed AND have = 4 THEN 'complete' ELSE 'failed' END AS status, CAST(4 - have AS INTEGER) AS n_missing, parts, CASE WHEN failed THEN 'returned' WHEN have < 4 THEN 'timed out' END AS failure, CAST(cleared AS INTEGER) AS n_cleared
+  FROM o WHERE failed OR have = 4 OR late""")
+def component_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components as a keyed stream: whole examples, open failures, and those whose time ran out."""
+    import uuid
+
+    at = f"{sinks.shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    lines = _read(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    kind = F.when(n <= 4, "component").when((n == 5) & (F.col("l_returnflag") == "R"), "failed").when(n == 6, "cleared")
+    part = F.when(n == 1, "greedy").when(n <= 4, (n - 2).cast("string"))
+    payload = F.when(kind == "failed", "returned").otherwise(F.col("l_partkey").cast("string"))
+    events = lines.select(F.col("l_orderkey").cast("string").alias("example_id"), kind.alias("kind"), part.alias("component"), payload.alias("payload"), F.col("l_shipdate").cast("timestamp").alias("at")).where("kind IS NOT NULL")
+    events.write.parquet(f"{at}/in")
+    stages.run_stages(spark.readStream.schema(stages.EVENT).parquet(f"{at}/in"), f"{at}/out", f"{at}/log", 3, "30 days", "0 seconds", strict=False).awaitTermination()
+    rows = stages.read_staged(spark, f"{at}/out")
+    parts = F.array_compact(F.transform(F.concat(F.array("greedy"), "samples"), lambda p, i: F.when(p.isNotNull(), F.concat((i + 1).cast("string"), F.lit("="), p))))
+    return rows.select("example_id", "status", F.size("missing").alias("n_missing"), F.array_join(parts, ",").alias("parts"), "failure", F.size("failure_history").alias("n_cleared"))
+
+
+@_query("SELECT event_id, event_type, user_id, CASE WHEN event_id % 2 = 0 AND event_id < (SELECT max(event_id) FROM events) THEN 0 ELSE 1 END AS batch FROM events")
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that grows: half of the events and a torn line, then the others and the rest of that line, each read once, by byte ranges."""
+    import uuid
+
+    at = f"{sinks.shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    schema = "event_id bigint, event_type string, user_id bigint"
+    e = _read(spark, sf_dir, "events").select(*(c.split()[0] for c in schema.split(", ")))
+    last = e.orderBy(F.desc("event_id")).limit(1).select(F.to_json(F.struct("*")).alias("value")).collect()
+    rest = e.where(F.col("event_id") < (e.agg(F.max("event_id")).first()[0] or 0))
+    torn = (last[0].value if last else "").encode()
+
+    def run(rows: DataFrame, part: str, tail: bytes) -> None:
+        rows.select(F.to_json(F.struct("*"))).write.text(f"{at}/in/{part}")
+        sinks.write_bytes(spark, f"{at}/in/tail.jsonl", tail)
+        ingest.ingest_log(spark, f"{at}/in", schema, f"{at}/out", f"{at}/log", "event_id", split_bytes=1 << 20).awaitTermination()
+
+    run(rest.where("event_id % 2 = 0"), "even", torn[: len(torn) // 2])
+    run(rest.where("event_id % 2 <> 0"), "odd", torn + b"\n" * bool(torn))
+    return spark.read.schema(f"{schema}, __batch int").parquet(f"{at}/out").withColumnRenamed("__batch", "batch")
+
+
+@_query("""WITH t AS (SELECT conv_id, turn, text, hex(encode(text)) AS h FROM conversations WHERE text IS NOT NULL),
+  p AS (SELECT conv_id, turn, text, list_transform(range(0, len(h) // 2, 3), lambda i: h[2 * i + 1 : 2 * i + 6]) AS pieces FROM t),
+  l AS (SELECT conv_id, turn, text, pieces, list_transform(pieces, lambda p: len(list_filter(range(0, len(p) // 2), lambda j: p[2 * j + 1] NOT IN ('8', '9', 'A', 'B')))) AS leads FROM p),
+  s AS (SELECT conv_id, turn, text, list_transform(range(1, len(pieces) + 1), lambda i: CAST(greatest(0, coalesce(list_sum(leads[1 : i - 1]), 0) - CASE WHEN pieces[i][1] IN ('8', '9', 'A', 'B') THEN 1 ELSE 0 END) AS BIGINT) || ':' || CAST(coalesce(list_sum(leads[1 : i]), 0) AS BIGINT)) AS spans FROM l)
+  SELECT conv_id, turn, text, coalesce(array_to_string(spans, ','), '') AS offsets, true AS same FROM s""")
+def detokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts put together from token ids, with the offsets of tokens; here a token is up to three bytes, so many begin within a character."""
+    rows = _read(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text", F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(.{1,6})")).alias("pieces"))
+    number = lambda p: F.conv(F.concat(F.lit("1"), p), 16, 10).cast("bigint")
+    vocabulary = rows.select(F.explode("pieces").alias("p")).distinct().select(number(F.col("p")).alias("id"), F.unhex("p").alias("piece"), F.lit(False).alias("special"))
+    tokens = rows.select("conv_id", "turn", F.transform("pieces", number).alias("token_ids"))
+    found = detokenise.decoded(tokens, vocabulary, ["conv_id", "turn"])
+    shown = F.array_join(F.transform("offsets", lambda o: F.concat_ws(":", o["start"].cast("string"), o["end"].cast("string"))), ",")
+    given = rows.select("conv_id", "turn", F.col("text").alias("given"))
+    return found.join(given, ["conv_id", "turn"]).select("conv_id", "turn", "text", shown.alias("offsets"), (F.col("text") == F.col("given")).alias("same"))
+
+
+@_query(f"""WITH {_RESULTS}, f AS (SELECT p.l, p.r, coalesce(b.correct, false)::INT - coalesce(a.correct, false)::INT AS diff FROM (VALUES ('base', 'kd_all'), ('base', 'kd_gated'), ('base', 'kd_oracle'), ('kd_all', 'kd_gated'), ('kd_oracle', 'kd_gated')) p(l, r) JOIN res a ON a.condition = p.l JOIN res b ON b.condition = p.r AND a.example_id = b.example_id)
+  SELECT l AS "left", r AS "right", count(*) AS n, round(avg(diff), 6) AS delta, true AS low_as_expected, true AS high_as_expected FROM f GROUP BY l, r""")
+def comparison_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bootstrap by counts. Its bounds are draws, which SQL can't repeat: they are held against the normal interval, within a tenth of its width and one example."""
+    found = training.comparison_intervals(_results(spark, sf_dir), 11)
+    spread = training.paired_wide(_results(spark, sf_dir), training.COMPARISONS).agg(*(F.stddev_pop(f"d{k}").alias(f"s{k}") for k in range(len(training.COMPARISONS))))
+    rows = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"s{k}").alias("s")) for k, (a, b) in enumerate(training.COMPARISONS)))
+    error = spread.select(F.explode(rows).alias("r")).select("r.*")
+    half = 1.959964 * F.col("s") / F.sqrt("n")
+    near = lambda c, sign: F.abs(F.col(c) - F.col("delta") - sign * half) <= 0.2 * half + 1 / F.col("n")
+    return _rounded(found.join(error, ["left", "right"]).select("left", "right", "n", "delta", near("ci_low", -1).alias("low_as_expected"), near("ci_high", 1).alias("high_as_expected")))
+
+
+@_query("""WITH r AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 500 = 3 THEN 'changed' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 500 <> 7 UNION ALL SELECT -o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 500 = 11)
+  SELECT coalesce(o.o_orderkey, r.o_orderkey) AS o_orderkey, CAST(o.o_orderkey IS NOT NULL AS BIGINT) AS "left", CAST(r.o_orderkey IS NOT NULL AS BIGINT) AS "right" FROM orders o FULL JOIN r ON o.o_orderkey = r.o_orderkey WHERE o.o_orderkey IS NULL OR r.o_orderkey IS NULL OR o.o_orderstatus <> r.s""")
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between a table and a copy with rows changed, lost and added, by digests of key ranges."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    k = F.col("o_orderkey") % 500
+    copy = o.where(k != 7).withColumn("o_orderstatus", F.when(k == 3, "changed").otherwise(F.col("o_orderstatus"))).unionByName(o.where(k == 11).withColumn("o_orderkey", -F.col("o_orderkey")))
+    return reconcile.differences(o, copy, "o_orderkey").drop("equal")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_registered)
 

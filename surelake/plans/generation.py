@@ -2,8 +2,8 @@
 
 The generator is the caller's: ``make()`` is called once for each partition and returns an object with
 ``run(requests)``, which takes a list of dicts and returns as many generations. Long prompts go with long ones. A batch
-that runs out of memory is run again in smaller ones; a single request that fails so, or otherwise, is
-recorded as failed, and the rest goes on.
+that runs out of memory is run again in smaller ones, without what it had finished; a single request that fails so is
+recorded as failed, and the rest goes on. A request whose worker had to be started anew is tried once more. Any other error is no request's fault and stops the query.
 """
 
 from __future__ import annotations
@@ -22,37 +22,85 @@ def by_length(requests: list[dict], text: str, size: int) -> Iterator[list[dict]
         yield ordered[p : p + size]
 
 
-def run_all(batch: list[dict], run: Callable[[list[dict]], list], retries: int = 1) -> list[tuple[dict, object, str | None]]:
+class Unfinished(Exception):
+    """A batch that ended before its end; ``finished`` has the generations of some of its requests, by their place in the batch."""
+
+    def __init__(self, message: str = "", finished: dict[int, object] | None = None):
+        super().__init__(message)
+        self.finished = finished or {}
+
+
+class OutOfMemory(Unfinished, MemoryError):
+    """Smaller batches may do."""
+
+
+class Restart(Unfinished):
+    """The generator has to be made anew; what is left is tried once more."""
+
+
+def run_all(batch: list[dict], run: Callable[[list[dict]], list], together: str | None = None, failed: set | None = None) -> list[tuple[dict, object, str | None]]:
     """(request, generation, failure) of each request, once each and in order.
 
-    Out of memory halves the batch. Of one request it is a failure at once; any other error of one request is retried.
+    Out of memory (any MemoryError) runs what is not finished again in halves; of one request it is its failure. ``Restart`` runs what is not finished once more,
+    and a second one is its failure. Any other error is raised. ``together`` names what requests of one example share: after one failed,
+    those that have not run yet are not run but recorded as failed too; ``failed`` keeps such examples from batch to batch.
     """
-    try:
-        found = run(batch)
-        if len(found) != len(batch):
-            raise RuntimeError("the generator returned another number of generations")
-        return [(r, g, None) for r, g in zip(batch, found, strict=True)]
-    except MemoryError as e:
-        if len(batch) == 1:
-            return [(batch[0], None, f"out of memory: {e}")]
-    except Exception as e:
-        if len(batch) == 1:
-            return run_all(batch, run, retries - 1) if retries else [(batch[0], None, f"{type(e).__name__}: {e}")]
-    half = (len(batch) + 1) // 2
-    return run_all(batch[:half], run, retries) + run_all(batch[half:], run, retries)
-
-
-def generated(requests: DataFrame, make: Callable[[], object], schema: str, key: str = "example_id", text: str = "prompt", batch: int = 8, window: int = 256) -> DataFrame:
+    out: dict[int, tuple[object, str | None]] = {}
+    failed = set() if failed is None else failed
+    restarted: set[int] = set()
+    todo = [list(range(len(batch)))]
+    while todo:
+        part = todo.pop(0)
+        skipped = [i for i in part if together and batch[i][together] in failed]
+        out |= {i: (None, "skipped: another request of the example failed") for i in skipped}
+        part = [i for i in part if i not in out]
+        if not part:
+            continue
+        try:
+            found = run([batch[i] for i in part])
+            if len(found) != len(part):
+                raise RuntimeError("the generator returned another number of generations")
+            out |= {i: (g, None) for i, g in zip(part, found, strict=True)}
+        except (MemoryError, Restart) as e:
+            finished = getattr(e, "finished", {})
+            if not set(finished) <= set(range(len(part))):
+                raise RuntimeError("a finished request is outside the batch") from e
+            out |= {part[k]: (g, None) for k, g in finished.items()}
+            left = [i for i in part if i not in out]
+            again = [i for i in left if i not in restarted] if isinstance(e, Restart) else left if len(part) > 1 else []
+            for i in (i for i in left if i not in again):
+                out[i] = (None, f"{'out of memory' if isinstance(e, MemoryError) else 'worker failed twice'}: {e}")
+                failed.add(batch[i].get(together))
+            if isinstance(e, Restart):
+                restarted.update(again)
+                todo = [again, *todo]
+            else:
+                half = (len(again) + 1) // 2
+                todo = [again[:half], again[half:], *todo]
+    return [(r, *out[i]) for i, r in enumerate(batch)]
+
+
+def generated(requests: DataFrame, make: Callable[[], object], schema: str, key: str = "example_id", text: str = "prompt", batch: int = 8, window: int = 256, together: str | None = None) -> DataFrame:
     """(key, generation, failure): what a generator makes of each request; generation is a struct of ``schema``, null where it failed.
 
-    A window of that many requests is sorted by length at a time, so memory is bounded by it.
+    A window of that many requests is sorted by length at a time, so memory is bounded by it. ``together``: as in ``run_all``, within a partition.
     """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generator = make()
+        failed: set = set()
+
+        def run(part: list[dict]) -> list:
+            nonlocal generator
+            try:
+                return generator.run(part)
+            except Restart:
+                generator = make()
+                raise
+
         for frame in frames:
             for p in range(0, len(frame), window):
-                rows = [r for part in by_length(frame.iloc[p : p + window].to_dict("records"), text, batch) for r in run_all(part, generator.run)]
+                rows = [r for part in by_length(frame.iloc[p : p + window].to_dict("records"), text, batch) for r in run_all(part, run, together, failed)]
                 yield pd.DataFrame({key: [r[key] for r, _, _ in rows], "generation": [g for _, g, _ in rows], "failure": [e for _, _, e in rows]})
 
     kind = dict(requests.dtypes)[key]

@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -88,10 +89,29 @@ def seed_question_key(text: str | None) -> str | None:
     return "gsm8k-test-seed:" + hashlib.sha256(" ".join(text.casefold().split()).encode()).hexdigest()[:16]
 
 
-@F.pandas_udf(types.STRING)
-def seed_question_id(texts: pd.Series) -> pd.Series:
-    """Exact for every script: casefold and Unicode white space."""
-    return texts.map(seed_question_key, na_action="ignore")
+@cache
+def _folding() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
+    """By the Unicode tables of Python: letters that fold to one other letter, and what to; letters that fold to several; white space."""
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    folds = [(c, f) for c in every if (f := c.casefold()) != c]
+    one = [(c, f) for c, f in folds if len(f) == 1]
+    return "".join(c for c, _ in one), "".join(f for _, f in one), tuple((c, f) for c, f in folds if len(f) > 1), "".join(c for c in every if c.isspace())
+
+
+def casefold(text: Column) -> Column:
+    """str.casefold in built-in functions, for every code point: a literal map over characters. ASCII texts, as long in bytes as in characters, are only lower-cased."""
+    old, new, several, _ = _folding()
+    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several))
+    some = text.rlike("[" + "".join(f"\\x{{{ord(c):X}}}" for c, _ in several) + "]")
+    longer = F.when(some, F.aggregate(pairs, text, lambda t, p: F.replace(t, p["c"], p["f"]))).otherwise(text)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(longer, old, new))
+
+
+def seed_question_id(text: str | Column) -> Column:
+    """seed_question_key in built-in functions, exact for every script."""
+    text = F.col(text) if isinstance(text, str) else text
+    blanks = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in _folding()[3]) + "]+"
+    return F.concat(F.lit("gsm8k-test-seed:"), F.substring(F.sha2(F.trim(F.regexp_replace(casefold(text), blanks, " ")), 256), 1, 16))
 
 
 def ascii_seed_question_id(text: Column) -> Column:

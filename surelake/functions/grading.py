@@ -105,8 +105,15 @@ def is_parseable(value: str | None) -> bool:
 
 
 def grade(prediction: str | None, gold: str | None, engine: verifier.Worker | None = None) -> tuple[bool | None, bool | None, bool | None, str]:
-    """(correct, prediction_parseable, gold_parseable, status) of an extracted answer."""
+    """(correct, prediction_parseable, gold_parseable, status) of an extracted answer.
+
+    What exact values tell is graded; the rest is the engine's, whose parser goes first, so that a prediction on which it fails is ``parser_error`` whatever the
+    gold answer is. Without it a comparison that exact values don't decide is ``unsupported_expression``, a status of its own.
+    """
     p, g = canonical(prediction) is not None, canonical(gold) is not None
+    engine = engine or verifier.worker()
+    if engine and p and not g and canonical(prediction)[0] == "other" and value_of(prediction) is None:
+        return engine.grade(prediction, gold)  # its parser sees the prediction first, and may fail
     if gold is None or not gold.strip():
         return None, p, False, "missing_gold"
     if not g:
@@ -116,7 +123,6 @@ def grade(prediction: str | None, gold: str | None, engine: verifier.Worker | No
     if not p:
         return False, False, True, "unparseable_prediction"
     correct = exactly(prediction, gold)
-    engine = engine or verifier.worker()
     if correct is None and engine:
         return engine.grade(prediction, gold)
     return correct, True, True, "graded" if correct is not None else "unsupported_expression"

@@ -62,11 +62,12 @@ def seed_group(seed: str, key: str) -> Column:
 
 
 def check_examples(examples: DataFrame, key: str = "example_id") -> DataFrame:
-    """Stops on repeated keys; and on datasets other than the three known ones."""
-    place = F.count("*").over(Window.partitionBy(key))
-    known = F.col("dataset").isin("gsm8k", "math", "gsm_plus")
-    bad = F.when(~known, F.raise_error(F.lit("unsupported dataset"))).when(place > 1, F.raise_error(F.lit("duplicate example id"))).otherwise(F.col(key))
-    return examples.withColumn(key, bad)
+    """Stops on repeated keys; and on datasets other than the three known ones. Keys are counted on each task before they are shuffled; rows go on without a key that is there twice, as there is none."""
+    known = F.coalesce(F.col("dataset").isin("gsm8k", "math", "gsm_plus"), F.lit(False))
+    checked = examples.withColumn(key, F.when(known, F.col(key)).otherwise(F.raise_error(F.lit("unsupported dataset")).cast(examples.schema[key].dataType)))
+    stop = F.raise_error(F.lit("duplicate example id")).cast("boolean")
+    twice = examples.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.when(F.col("__n") > 1, stop).otherwise(F.lit(False))).select("__key")
+    return checked.join(twice, F.col(key) == F.col("__key"), "left_anti")
 
 
 def select_examples(examples: DataFrame, profile: Profile, seed: int, key: str = "example_id") -> DataFrame:

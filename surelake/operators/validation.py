@@ -209,8 +209,9 @@ def check_teacher_run(manifest: dict, records: DataFrame, expected: dict) -> lis
     twice = records.groupBy("example_id").count().where("count > 1 OR example_id IS NULL OR example_id = ''").limit(1).count()
     if twice or not same_keys(records, chosen, "example_id").first().equal:
         wrong.append("row ids")
-    counted = {r[0]: r[1] for r in records.groupBy("source.dataset").count().limit(100).collect()}
-    subjects = {r[0]: r[1] for r in records.where("source.dataset = 'math'").groupBy("source.config").count().limit(100).collect()}
+    # One row more than what is expected is enough to tell that something else is there.
+    counted = {r[0]: r[1] for r in records.groupBy("source.dataset").count().limit(len(expected["datasets"]) + 1).collect()}
+    subjects = {r[0]: r[1] for r in records.where("source.dataset = 'math'").groupBy("source.config").count().limit(len(expected["math_subjects"]) + 1).collect()}
     if counted != expected["datasets"] or sum(counted.values()) != total:
         wrong.append("dataset counts")
     if subjects != expected["math_subjects"]:

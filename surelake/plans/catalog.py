@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from surelake.functions import answers, grading
 from surelake.operators import confidence, detokenise, metrics, reconcile, selection, training, validation, voting
-from surelake.sources import examples, sinks
+from surelake.plans import records
+from surelake.sources import checkpoints, examples, sinks
 from surelake.streaming import ingest, stages
 
 SIGNALS = {"length": "s_length", "hashed": "s_hashed", "source": "s_source", "mixed": "s_mixed"}
@@ -493,10 +494,12 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROMPT_SQL = answers.PROMPT.replace("'", "''")
 
 
-@_query(f"SELECT conv_id, turn, role AS turn_role, text, 'user' AS role, '{_PROMPT_SQL}' || trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM conversations WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0")
+@_query(f"SELECT conv_id, turn, role AS turn_role, text, CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 THEN 'user' END AS role, '{_PROMPT_SQL}' || nullif(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') AS content FROM conversations")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "conversations").where("length(trim(text)) > 0")
-    return c.select("conv_id", "turn", F.col("role").alias("turn_role"), "text", F.explode(answers.chat_messages(F.col("text"))).alias("m")).select("conv_id", "turn", "turn_role", "text", "m.role", "m.content")
+    """A prompt for every turn; a blank one has none."""
+    blank = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\r]", "")) == 0  # a prompt of nothing stops the operator
+    c = _read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.col("role").alias("turn_role"), "text", F.when(~blank, F.get(answers.chat_messages(F.col("text")), F.lit(0))).alias("m")).select("conv_id", "turn", "turn_role", "text", "m.role", "m.content")
 
 
 def _streamed(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
@@ -719,6 +722,42 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.differences(o, copy, "o_orderkey").drop("equal")
 
 
+@_query("""WITH o AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'gsm8k' WHEN 1 THEN 'math' ELSE 'gsm_plus' END AS dataset FROM orders),
+  v AS (SELECT k, dataset, s, CAST((k + s * s) % 3 AS VARCHAR) AS answer FROM o, (SELECT unnest(range(4)) AS s)),
+  c AS (SELECT k, answer, count(*) AS n, min(s) AS first_at FROM v GROUP BY ALL), m AS (SELECT k, min_by(answer, (-n, first_at)) AS majority, max(n) AS votes FROM c GROUP BY k),
+  g AS (SELECT k, count(*) FILTER (answer = CAST(k % 5 AS VARCHAR)) AS agreed FROM v GROUP BY k),
+  r AS (SELECT o.dataset, CASE WHEN k % 7 <> 0 THEN k % 5 = k % 4 END AS correct, CASE WHEN k % 7 <> 0 THEN m.majority = CAST(k % 4 AS VARCHAR) END AS majority_correct, 1 - (0.5 + (k % 10) / 10.0::DOUBLE) / 2 / ln(50) AS entropy, g.agreed / 4.0 AS share, m.votes FROM o JOIN m USING (k) JOIN g USING (k))
+  SELECT dataset, count(*) AS n, count(correct) AS scorable, count(*) FILTER (correct) AS n_correct, count(*) FILTER (majority_correct) AS n_majority, round(avg(entropy), 6) AS confidence, round(avg(share), 6) AS agreement, CAST(sum(votes) AS BIGINT) AS votes, CAST(0 AS BIGINT) AS broken FROM r GROUP BY dataset""")
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generations of every order's question to graded records, appended to a log, read back strictly, held against all rules of records, and summed up by dataset."""
+    import uuid
+
+    at = f"{sinks.shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey")
+    dataset = F.when(k % 3 == 0, "gsm8k").when(k % 3 == 1, "math").otherwise("gsm_plus")
+    null, text = F.lit(None).cast("string"), lambda c: F.concat(F.lit("so \\boxed{"), c.cast("string"), F.lit("}"))
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", dataset.alias("dataset"), F.concat_ws(":", dataset, F.lit("c"), F.lit("test"), k.cast("string")).alias("example_id"))
+    table = o.select(
+        "example_id", "dataset", F.lit("r").alias("source_revision"), F.lit("c").alias("source_config"), F.lit("test").alias("split"), k.cast("string").alias("source_row_id"), F.concat(F.lit("question "), k.cast("string")).alias("question"),
+        F.when(k % 7 != 0, (k % 4).cast("string")).alias("gold_answer"), F.lit("s").alias("gold_solution"), F.when(k % 7 != 0, "parsed").otherwise("unanswerable").alias("gold_status"), null.alias("subject"), null.alias("perturbation_type"), null.alias("seed_question_id"),
+    )
+    ends = [F.lit(True).alias("eos_generated"), F.lit(False).alias("was_truncated"), F.lit("eos").alias("termination_reason")]
+    spans = F.array(F.array(F.lit(0), F.lit(3)), F.array(F.lit(3), F.lit(12)), F.lit(None).cast("array<int>"))
+    greedy = F.struct(
+        text(k % 5).alias("text"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("token_ids"), F.array(F.lit(0.5), (k % 10) / 10.0, F.lit(9.0)).alias("token_entropies_nats"), F.array(F.lit(-0.5), F.lit(-0.25), F.lit(-9.0)).alias("token_logprobs"),
+        spans.alias("token_char_spans"), F.array(F.lit(True), F.lit(True), F.lit(False)).alias("content_token_mask"), F.lit("aligned").alias("token_alignment_status"), *ends,
+    )
+    samples = F.transform(F.array(*map(F.lit, range(4))), lambda s: F.struct(s.alias("index"), text((k + s * s) % 3).alias("text"), F.array(F.lit(1)).alias("token_ids"), *ends))
+    found = records.prediction_records(table, o.select("example_id", greedy.alias("greedy"), samples.alias("samples")), 50, 42, "here")
+    sinks.append_predictions(found, f"{at}/predictions")
+    log = checkpoints.read_predictions(spark, f"{at}/predictions")
+    rows = validation.violations(log, validation.record_rules(42, 4, 10))
+    return _rounded(rows.groupBy("source.dataset").agg(
+        F.count("*").alias("n"), F.count("greedy.correct").alias("scorable"), F.count_if("greedy.correct").alias("n_correct"), F.count_if("self_consistency.majority_correct").alias("n_majority"), F.avg("greedy.entropy_confidence").alias("confidence"),
+        F.avg("self_consistency.greedy_agreement_share").alias("agreement"), F.sum("self_consistency.majority_vote_count").alias("votes"), F.count_if(F.size("violations") > 0).alias("broken"),
+    ))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_registered)
 

@@ -8,12 +8,20 @@ recorded as failed, and the rest goes on. A request whose worker had to be start
 
 from __future__ import annotations
 
+import collections
+import math
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surelake.sources import sinks
+
 
 def by_length(requests: list[dict], text: str, size: int) -> Iterator[list[dict]]:
     """Batches of up to ``size`` requests of about equal length, the longest first; equal lengths keep their order."""
@@ -80,6 +88,47 @@ def run_all(batch: list[dict], run: Callable[[list[dict]], list], together: str
     return [(r, *out[i]) for i, r in enumerate(batch)]
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's task, and its number among those of its class there; a task keeps a count for each class."""
+    task, seen = TaskContext.get().partitionId(), collections.Counter()
+    for batch in batches:
+        classes = batch.column("__class").to_numpy()
+        order = np.argsort(classes, kind="stable")
+        found, begin, many = np.unique(classes[order], return_index=True, return_counts=True)
+        nth = np.empty(len(classes), np.int64)
+        nth[order] = np.arange(len(classes)) - np.repeat(begin - np.array([seen[c] for c in found.tolist()], np.int64), many)
+        seen.update(dict(zip(found.tolist(), many.tolist(), strict=True)))
+        yield batch.append_column("__task", pa.array(np.full(len(classes), task), pa.int32())).append_column("__nth", pa.array(nth))
+
+
+def balanced(requests: DataFrame, tasks: int, text: str = "prompt", grain: float = 1.1) -> DataFrame:
+    """The same requests dealt to that many tasks of about equal cost, the length of the text and one, with requests of about equal length together, the longest first.
+
+    Lengths fall into classes that grow by ``grain``. Each class takes a stretch of the tasks as long as its share of the cost, and its requests
+    are laid along it by rank, which is a request's number in the task that wrote it and the counts of the tasks before: nothing is sorted as a
+    whole, and equal requests are spread like others. The driver gets a count for each class. The requests are written to the shared folder
+    first, so that ranks hold. No task can be smaller than its longest request.
+    """
+    spark = requests.sparkSession
+    size = (F.coalesce(F.length(F.col(text)), F.lit(0)) + 1).cast("bigint")
+    rows = requests.withColumns({"__cost": size, "__class": F.floor(F.log(size) / math.log(grain)).cast("int")})
+    at, schema = f"{sinks.shared_folder(spark)}/requests-{uuid.uuid4().hex}", ", ".join(f"`{c}` {kind}" for c, kind in [*rows.dtypes, ("__task", "int"), ("__nth", "bigint")])
+    rows.mapInArrow(_numbered, schema).write.parquet(at)
+    rows = spark.read.schema(schema).parquet(at)
+    sizes = rows.groupBy("__class", "__task").agg(F.count("*").alias("n"), F.sum("__cost").alias("cost"))
+    classes = sizes.groupBy("__class").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost")).orderBy(F.desc("__class")).collect()
+    total, reached, stretch = sum(r.cost for r in classes) or 1, 0, []
+    for r in classes:
+        stretch.append((r["__class"], r.n, reached / total * tasks, r.cost / total * tasks))
+        reached += r.cost
+    known = spark.createDataFrame(stretch, "__class int, __n bigint, __from double, __wide double")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__class").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    ranked = rows.join(sizes.select("__class", "__task", before), ["__class", "__task"]).join(F.broadcast(known), "__class")
+    place = F.col("__from") + (F.col("__before") + F.col("__nth") + 0.5) / F.col("__n") * F.col("__wide")
+    placed = ranked.withColumn("__place", F.greatest(F.lit(0), F.least(F.floor(place), F.lit(tasks - 1))).cast("int"))
+    return placed.repartitionById(tasks, "__place").sortWithinPartitions(F.desc("__cost")).select(*requests.columns)
+
+
 def generated(requests: DataFrame, make: Callable[[], object], schema: str, key: str = "example_id", text: str = "prompt", batch: int = 8, window: int = 256, together: str | None = None) -> DataFrame:
     """(key, generation, failure): what a generator makes of each request; generation is a struct of ``schema``, null where it failed.
 

@@ -63,8 +63,9 @@ def normalize(rows: DataFrame, dataset: str, config: str, split: str, revision:
 
 
 def require_all_sources(examples: DataFrame, requests: list[tuple[str, str]] | None = None) -> None:
-    """Stops if any (dataset, config) has no row."""
-    found = {(r.dataset, r.source_config) for r in examples.select("dataset", "source_config").distinct().limit(10_000).collect()}
+    """Stops if any (dataset, config) has no row; only the sources asked for are looked at."""
+    wanted = examples.sparkSession.createDataFrame(requests or REQUESTS, "dataset string, source_config string")
+    found = {(r.dataset, r.source_config) for r in examples.select("dataset", "source_config").join(F.broadcast(wanted), ["dataset", "source_config"], "left_semi").distinct().collect()}
     if missing := [r for r in requests or REQUESTS if r not in found]:
         raise ValueError(f"no rows of {missing}")
 

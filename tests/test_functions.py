@@ -160,3 +160,35 @@ def test_alignment_of_many_tokens(spark):
     assert x.status == "aligned" and len(x.spans) == n
     given = iter(offsets)
     assert all(s is None if t == 9 else tuple(s) == next(given) for t, s in zip(tokens, x.spans, strict=True))
+
+
+def test_casefold_equals_pythons_for_every_code_point(spark):
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(every[p : p + 500]) for p in range(0, len(every), 500)] + ["ΣΊΣΥΦΟΣ ὈΔΥΣΣΕΎΣ", "İstanbul Straße ﬃ ŉ", "plain ASCII", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", answers.casefold(F.col("t")).alias("f"), answers.seed_question_id("t").alias("k")).collect()
+    assert {r.i: r.f for r in rows} == {i: t.casefold() for i, t in enumerate(texts)}
+    assert {r.i: r.k for r in rows} == {i: answers.seed_question_key(t) for i, t in enumerate(texts)}
+    assert spark.createDataFrame([(None,)], "t string").select(answers.seed_question_id("t").alias("k")).first().k is None
+
+
+def test_seed_keys_stay_in_the_jvm(spark):
+    plan = spark.range(1).select(answers.seed_question_id(F.col("id").cast("string")).alias("k"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+class Parser:
+    """An engine whose parser fails on what the exact values can't read."""
+
+    def grade(self, prediction, gold):
+        return None, None, None, "parser_error"
+
+    def parseable(self, value):
+        return None
+
+
+def test_a_parser_that_fails_on_the_prediction_comes_before_a_missing_gold():
+    for gold in (None, " ", "{", "7"):
+        assert grading.grade("x < 5", gold, Parser()) == (None, None, None, "parser_error")
+    assert grading.grade("7", None, Parser()) == (None, True, False, "missing_gold")
+    assert grading.grade("{", None, Parser())[3] == "missing_gold" and grading.grade("{", "{", Parser())[3] == "unparseable_gold"
+    assert grading.grade("x < 5", None) == (None, True, False, "missing_gold")

@@ -199,3 +199,21 @@ def test_status_and_progress(spark, tmp_path):
     assert sinks.environment()["packages"]["pyspark"] and sinks.shared_folder(spark)
     assert ingest.exists(spark, str(tmp_path)) and not ingest.exists(spark, str(tmp_path / "none"))
     assert spark.range(3).select(F.col("id")).count() == 3
+
+
+@pytest.mark.parametrize("tasks", [2, 7, 16])
+def test_tasks_of_balanced_requests_cost_the_same(spark, tasks):
+    """A few long prompts among many short ones, whatever partition they come from; none is lost and long ones go with long ones."""
+    text = F.repeat(F.lit("x"), F.when(F.col("id") % 50 == 0, 3000 + F.col("id") % 900).otherwise(F.col("id") % 40).cast("int"))
+    rows = spark.range(20_000).repartition(3).select(F.col("id").cast("string").alias("example_id"), F.when(F.col("id") % 777 != 5, text).alias("prompt"), F.lit(1).alias("index"))
+    found = generation.balanced(rows, tasks).select("*", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")).collect()
+    assert len(found) == 20_000 == len({r.example_id for r in found})
+    cost = [sum(len(r.prompt or "") + 1 for r in found if r.task == t) for t in range(tasks)]
+    assert max(cost) < 1.2 * sum(cost) / tasks
+    for t in range(tasks):
+        lengths = [len(r.prompt or "") for r in sorted(found, key=lambda r: r["at"]) if r.task == t]
+        assert lengths == sorted(lengths, reverse=True)
+    assert generation.balanced(rows.limit(0), tasks).count() == 0
+    same = spark.createDataFrame([("a", "x" * 10)] * 320, "example_id string, prompt string").repartition(3)
+    counts = [r["count"] for r in generation.balanced(same, tasks).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 320 and len(counts) == tasks and max(counts) <= 320 // tasks + 1

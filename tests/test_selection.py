@@ -92,3 +92,13 @@ def test_heldout_limits_reach_the_map_side(spark):
     assert plan.count("WindowGroupLimit") >= 8  # partial and final, of four rankings
     assert {r.dataset: r["count"] for r in found.groupBy("dataset").count().collect()} == {"gsm8k": 5, "math": 6, "gsm_plus": 4}
     assert sorted(r.place for r in found.where("dataset = 'gsm8k'").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_checked_examples(spark):
+    rows = [(f"gsm8k:main:test:{i}", "gsm8k", "main", None, "parsed", "1") for i in range(5)]
+    assert selection.check_examples(spark.createDataFrame(rows, SCHEMA)).count() == 5
+    with pytest.raises(Exception, match="duplicate example id"):
+        selection.check_examples(spark.createDataFrame([*rows, rows[2]], SCHEMA)).collect()
+    for unknown in ("other", None):
+        with pytest.raises(Exception, match="unsupported dataset"):
+            selection.check_examples(spark.createDataFrame([*rows, ("x", unknown, "main", None, "parsed", "1")], SCHEMA)).collect()

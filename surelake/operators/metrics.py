@@ -76,14 +76,22 @@ def score_slice(s: Column, per_octave: int = 4096) -> Column:
     return F.when(F.isnan(s), 1 << 40).when(s == 0, 0).when(s > 0, place(s)).otherwise(-place(-s))
 
 
+def score_counts(df: DataFrame, groups: list[str], score: str = "score", outcome: str = "outcome") -> DataFrame:
+    """Rows with a known outcome per distinct score ``s`` of each group, null too: pos and neg. All metrics can be made from it, and counts of parts of a table add up to its own."""
+    o = known_outcome(outcome)
+    return df.where(o.isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("s")).agg(F.sum(o).alias("pos"), F.sum(1 - o).alias("neg"))
+
+
 def _ranked(df: DataFrame, groups: list[str], score: str, outcome: str) -> DataFrame:
-    """Rows counted per distinct score ``s``: pos, neg, and ``won``, the pairs that its positives win, ties as halves.
+    return ranked_counts(score_counts(df, groups, score, outcome), groups)
+
+
+def ranked_counts(counted: DataFrame, groups: list[str]) -> DataFrame:
+    """Of ``score_counts``: pos, neg, and ``won``, the pairs that its positives win, ties as halves.
 
     Negatives below a score are those of lower slices, which are summed up first, plus those below it in its slice; so no
     task sorts a whole group. Rows without a score are counted too and win nothing.
     """
-    o = known_outcome(outcome)
-    counted = df.where(o.isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("s")).agg(F.sum(o).alias("pos"), F.sum(1 - o).alias("neg"))
     sliced = counted.withColumn("slice", score_slice(F.col("s")))
     lower = sliced.groupBy(*groups, "slice").agg(F.sum(F.when(F.col("s").isNotNull(), F.col("neg"))).alias("n"))
     lower = lower.withColumn("below", F.coalesce(F.sum("n").over(Window.partitionBy(*groups).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -106,7 +114,12 @@ def metric_table(df: DataFrame, groups: list[str], scorable: str = "scorable_n",
     df has score and outcome, null where unknown. Rows with a known outcome are scorable, those that also have a valid score
     count. All metrics come from one count per distinct score, summed up per bin and then per group.
     """
-    ranked = _ranked(df.withColumn("score", valid_score("score")), groups, "score", "outcome")
+    return metrics_of_counts(score_counts(df.withColumn("score", valid_score("score")), groups), groups, scorable, n_bins)
+
+
+def metrics_of_counts(counted: DataFrame, groups: list[str], scorable: str = "scorable_n", n_bins: int = BINS) -> DataFrame:
+    """``metric_table`` from ``score_counts`` of valid scores."""
+    ranked = ranked_counts(counted, groups)
     index = F.when(F.col("s").isNotNull(), F.least(F.floor(F.col("s") * n_bins), F.lit(n_bins - 1)).cast("int"))
     rows = F.col("pos") + F.col("neg")
     bins = ranked.groupBy(*groups, index.alias("bin")).agg(F.sum(rows).alias("rows"), F.sum(F.col("s") * rows).alias("conf"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))

@@ -15,7 +15,7 @@ from surelake.functions import answers, grading
 from surelake.operators import confidence, detokenise, metrics, reconcile, selection, training, validation, voting
 from surelake.plans import records
 from surelake.sources import checkpoints, examples, sinks
-from surelake.streaming import ingest, stages
+from surelake.streaming import ingest, live, stages
 
 SIGNALS = {"length": "s_length", "hashed": "s_hashed", "source": "s_source", "mixed": "s_mixed"}
 PRIMARY = ["length", "hashed"]
@@ -722,6 +722,19 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.differences(o, copy, "o_orderkey").drop("equal")
 
 
+@_query(f"{_PAIRS}, {_BINS}, e AS (SELECT dataset, CAST(sum(n) AS BIGINT) AS n, sum(n * a) / sum(n) AS accuracy, sum(n * abs(c - a)) / sum(n) AS ece FROM bins GROUP BY dataset), u AS ({_AUROC.format(g='dataset', t='pairs')}) SELECT dataset, n, round(accuracy, 6) AS accuracy, round(ece, 6) AS ece, auroc FROM e JOIN u USING (dataset)")
+def live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics kept up to date by a stream of seven batches, read from the counts that it keeps."""
+    import uuid
+
+    at = f"{sinks.shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    rows = _pairs(spark, sf_dir).select("dataset", F.col("score").cast("double").alias("score"), F.col("outcome").cast("int").alias("outcome"))
+    rows.repartition(7).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema("dataset string, score double, outcome int").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    live.follow(stream, ["dataset"], f"{at}/counts", f"{at}/log", fan=2).awaitTermination()
+    return _rounded(live.current_metrics(spark, f"{at}/counts", ["dataset"], fan=2).select("dataset", "n", "accuracy", "ece", "auroc"))
+
+
 @_query("""WITH o AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'gsm8k' WHEN 1 THEN 'math' ELSE 'gsm_plus' END AS dataset FROM orders),
   v AS (SELECT k, dataset, s, CAST((k + s * s) % 3 AS VARCHAR) AS answer FROM o, (SELECT unnest(range(4)) AS s)),
   c AS (SELECT k, answer, count(*) AS n, min(s) AS first_at FROM v GROUP BY ALL), m AS (SELECT k, min_by(answer, (-n, first_at)) AS majority, max(n) AS votes FROM c GROUP BY k),

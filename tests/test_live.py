@@ -1,0 +1,50 @@
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from surelake.operators import metrics
+from surelake.streaming.live import current_counts, current_metrics, follow, parts_of
+
+ROW = "g string, score double, outcome int"
+
+
+@pytest.mark.parametrize("fan", [2, 3, 16])
+def test_parts_cover_every_batch_once(fan):
+    for n in range(300):
+        parts = parts_of(n, fan)
+        covered = [b for level, last in parts for b in range(last - fan**level + 1, last + 1)]
+        assert covered == list(range(n)) and all((last + 1) % fan**level == 0 for level, last in parts)
+        assert len(parts) <= (fan - 1) * max(1, n.bit_length())
+
+
+def test_after_each_batch_the_metrics_are_those_of_all_rows(spark, tmp_path):
+    rng, rows = random.Random(2), []
+    (tmp_path / "in").mkdir()
+    target = str(tmp_path / "counts")
+    assert current_metrics(spark, target, ["g"], 2).collect() == []
+    stream = lambda: spark.readStream.schema(ROW).json(str(tmp_path / "in"))
+    for n in range(5):
+        new = [{"g": rng.choice(["a", "b", None]), "score": rng.choice([0.0, 0.25, 0.5, 1.0, round(rng.random(), 3), None, 7.0]), "outcome": rng.choice([0, 1, 1, None, 3])} for _ in range(200 if n != 2 else 0)]
+        rows += new
+        (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps(r) + "\n" for r in new))
+        follow(stream(), ["g"], target, str(tmp_path / "log"), fan=2).awaitTermination()
+        full = metrics.metric_table(spark.createDataFrame([(r["g"], r["score"], r["outcome"]) for r in rows], ROW), ["g"])
+        order = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select("g", "n", "scorable_n", "accuracy", "ece", "auroc", "coverage").collect()), key=repr)
+        assert order(current_metrics(spark, target, ["g"], 2)) == order(full)
+    kept = current_counts(spark, target, ["g"], 2)
+    assert kept.agg(F.sum(F.col("pos") + F.col("neg"))).first()[0] == sum(r["outcome"] in (0, 1) for r in rows)
+    parts = {(r["__level"], r["__batch"]) for r in spark.read.parquet(target).select("__level", "__batch").distinct().collect()}
+    assert (1, 1) in parts and (2, 3) in parts
+
+
+def test_a_batch_that_is_written_again_counts_once(spark, tmp_path):
+    """The same batch number over the same rows, as after a crash before its commit."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"g": "a", "score": 0.5, "outcome": 1}\n' * 10)
+    for log in ("one", "two"):
+        follow(spark.readStream.schema(ROW).json(str(tmp_path / "in")), ["g"], str(tmp_path / "counts"), str(tmp_path / log), fan=2).awaitTermination()
+        assert current_metrics(spark, str(tmp_path / "counts"), ["g"], 2).first().n == 10
+    with pytest.raises(ValueError, match="two parts"):
+        follow(spark.readStream.schema(ROW).json(str(tmp_path / "in")), ["g"], "x", "y", fan=1)

@@ -182,7 +182,7 @@ def look_up(keys: tb.Keys, mu: tuple[float, float]) -> np.ndarray:
     return out
 
 
-def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, mu: tuple[float, float] = (1000.0, 20.0), block_bytes: int = 4 << 20, bucket_keys: int = 1 << 19, fan: int = 4096) -> DataFrame:
+def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, mu: tuple[float, float] = (10000.0, 5.0), block_bytes: int = 4 << 20, bucket_keys: int = 1 << 19, fan: int = 4096) -> DataFrame:
     """Scores every row's whole text with a trigram model of the rows whose crc32 remainder is not ``held``.
 
     Tokens are blank-separated words after A-Z are lower-cased, then one end. Returns doc_id (null stays null; such rows are

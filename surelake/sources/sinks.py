@@ -19,13 +19,19 @@ from surelake.functions.answers import markdown_cell
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share. Only a session on one machine may do without; it gets a temporary folder."""
+    """spark.checkpoint.dir. Only a session on one machine may do without, as in tests: it gets a temporary folder, once.
+
+    On a cluster a machine's own folder would scatter a table's parts over the machines, so an unset one is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="shared-")
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir().get().rstrip("/")
 
 
 def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:

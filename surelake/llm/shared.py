@@ -1,28 +1,13 @@
-"""The folder that driver and executors share, and tables in it."""
+"""Tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Only a session on one machine may do without, as in tests: it gets a temporary folder.
-
-    On a cluster a machine's own folder would scatter a table's parts over the machines, so an unset one is an error there.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir().get().rstrip("/")
+from surelake.sources.sinks import shared_folder
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     edges: (u, v) of numbers, in any direction; loops and repeats do no harm. Rounds go on until nothing changes, about the
     logarithm of the largest component's size; each is written to the shared folder, and the one before removed. Only a count and a checksum
-    of the edges come to the driver. More than ``most_rounds`` rounds raise an error: no edge is left out silently.
+    of the edges come to the driver; the joins are by sorting, as Spark takes rows that are repeated by salt for as few as they were
+    and would broadcast them. More than ``most_rounds`` rounds raise an error: no edge is left out silently.
     """
     every = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
     edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -31,9 +32,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"), every.alias("salt"))
         salted = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
-        large = salted.join(least, ["a", "salt"]).select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted.join(least.hint("merge"), ["a", "salt"]).select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v")))
+        small = large.join(root.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v")))
         last, edges = edges, stored(small.distinct())
         forget(last)
         after = _digest(edges)

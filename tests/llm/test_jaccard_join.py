@@ -80,6 +80,21 @@ def test_components(spark):
     assert found == {a: b for a, b in label.items() if a != b}
 
 
+def test_components_broadcast_nothing(spark, monkeypatch):
+    from surelake.llm import components as rounds
+
+    plans = []
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(rounds, "stored", stored)
+    edges = spark.range(200).select(F.col("id").alias("u"), (F.col("id") - F.col("id") % 4).alias("v"))
+    assert components(edges).count() == 150
+    assert len(plans) > 1 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_prefixes_shorten_until_the_recall():
     for threshold in (0.5, 0.7, 0.8, 0.9):
         for recall in (0.9, 0.99, 0.9995):

@@ -214,8 +214,8 @@ def forest(signed: DataFrame, trees: int, least: int) -> DataFrame:
     return found.where("v IS NOT NULL").unionByName(across).select("u", "v", "depth")
 
 
-def similarities(a: np.ndarray, b: np.ndarray | None, grams: list[np.ndarray], threshold: tuple[int, int], dims: int = 4096, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the sets a, or of a (rows) and b (columns), reach the threshold: a boolean matrix, exact; and the similarity of each linked pair, once.
+def similarities(a: np.ndarray, b: np.ndarray | None, grams: list[np.ndarray], threshold: tuple[int, int], dims: int = 1024, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sets a, or of a (rows) and b (columns), reach the threshold: a boolean matrix, exact; and how many linked pairs each bin of similarity has.
 
     Whole matrices are of 32-bit numbers at most; what needs wider ones is done some rows at a time.
     """
@@ -239,7 +239,8 @@ def similarities(a: np.ndarray, b: np.ndarray | None, grams: list[np.ndarray], t
         for k in range(0, m, rows):  # whole numbers up to dims, which float32 has
             shared[k : k + rows] += (part[left][k : k + rows] @ part[right].T).astype(np.int32)
     up, down = threshold
-    link, found = np.zeros(shared.shape, bool), []
+    low = up / down
+    link, bins = np.zeros(shared.shape, bool), np.zeros(_BINS, np.int64)
     for k in range(0, m, rows):
         both = shared[k : k + rows].astype(np.int64)
         either = size[left][k : k + rows, None] + size[right][None, :] - both
@@ -248,8 +249,9 @@ def similarities(a: np.ndarray, b: np.ndarray | None, grams: list[np.ndarray], t
             hit[np.arange(len(hit)), np.arange(k, k + len(hit))] = False
         link[k : k + rows] = hit
         once = np.triu(hit, k + 1) if b is None else hit
-        found.append(both[once] / np.maximum(either[once], 1))
-    return link, np.concatenate(found) if found else np.zeros(0)
+        found = both[once] / np.maximum(either[once], 1)
+        bins += np.bincount(np.minimum(((found - low) / max(1 - low, 1e-9) * _BINS).astype(np.int64), _BINS - 1), minlength=_BINS)
+    return link, bins
 
 
 def _least(link: np.ndarray, label: np.ndarray, none: int, rows: int = 256) -> np.ndarray:
@@ -288,23 +290,21 @@ def verify(rows: pa.Table, n: int, threshold: tuple[int, int]) -> pa.Table:
     once[1:] = node[1:] != node[:-1]  # repeated rows bring a node's text again
     i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
     starts = np.flatnonzero(np.append(True, comp[1:] != comp[:-1]))
-    low = threshold[0] / threshold[1]
     for lo, hi in zip(starts, np.append(starts[1:], len(comp)), strict=True):
         at = lo + np.flatnonzero(once[lo:hi])
         grams = {k: np.unique(every[first[k] : first[k + 1]]) for k in at.tolist()}
         if i == j:
-            link, found = similarities(at, None, grams, threshold)
+            link, bins = similarities(at, None, grams, threshold)
             links = _counts(link, docs[at])
         else:
             here, there = at[part[at] == i], at[part[at] == j]
             if not len(here) or not len(there):
                 continue
-            link, found = similarities(here, there, grams, threshold)
+            link, bins = similarities(here, there, grams, threshold)
             links = np.concatenate([_counts(link, docs[there]), _counts(link.T, docs[here])])
             at = np.concatenate([here, there])
         label = _classes(link, i == j)
         tied = np.flatnonzero(label != np.arange(len(at)))
-        bins = np.bincount(np.minimum(((found - low) / max(1 - low, 1e-9) * _BINS).astype(np.int64), _BINS - 1), minlength=_BINS)
         some = np.flatnonzero(bins)
         a, z = at[tied], np.zeros(len(tied), np.int64)
         out["node"] += [node[a], node[at], np.zeros(len(some), np.int64)]

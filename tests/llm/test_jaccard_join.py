@@ -80,6 +80,23 @@ def test_components(spark):
     assert found == {a: b for a, b in label.items() if a != b}
 
 
+def test_links_of_two_parts_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    grams = [np.unique(np.where(rng.random(200) < 0.05, rng.integers(0, 1 << 60, 200).astype(np.uint64), base)) for _ in range(4096)]
+    tracemalloc.start()
+    link, bins = module.similarities(np.arange(2048), np.arange(2048, 4096), grams, (4, 5))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 85e6
+    assert bins.sum() == link.sum() > 2048 * 1024
+    few = [set(g.tolist()) for g in (*grams[:20], *grams[2048:2068])]
+    same = [[5 * len(a & b) >= 4 * len(a | b) for b in few[20:]] for a in few[:20]]
+    assert link[:20, :20].tolist() == same
+
+
 def test_components_broadcast_nothing(spark, monkeypatch):
     from surelake.llm import components as rounds
 

@@ -81,3 +81,28 @@ def test_by_the_clock_nothing_is_late(spark, tmp_path):
 def test_unknown_components_stop_the_query(spark, tmp_path):
     with pytest.raises(Exception, match="a has no component 7"):
         Run(spark, tmp_path, samples=2).feed(event("a", "component", "7", "x"))
+
+
+def test_the_state_has_a_key_for_a_bucket_and_for_long_open_examples(spark, tmp_path, monkeypatch):
+    from surelake.streaming import stages
+
+    monkeypatch.setattr(stages, "_BUCKETS", 3)
+    (tmp_path / "in").mkdir()
+    stream, found = spark.readStream.schema(EVENT).json(str(tmp_path / "in")), []
+
+    def feed(n, *events):
+        (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps(e) + "\n" for e in events))
+        query = run_stages(stream, str(tmp_path / "out"), str(tmp_path / "log"), samples=1, patience="2 hours", late="0 seconds")
+        query.awaitTermination()
+        found.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    ids = [f"e{i}" for i in range(60)]
+    long = "x" * 1000
+    feed(0, *(event(e, "component", "greedy", long if i < 2 else e) for i, e in enumerate(ids)), event("clock", "component", "0", "t", 1))
+    feed(1, *(event(e, "component", "0", "s", 1.5) for e in ids[:1] + ids[10:]), event("clock", "component", "greedy", "t", 2.5))
+    assert max(found) <= 3 + 2 + 3 * 2  # buckets, long ones, and a timer of each bucket with its index
+    rows = {r.example_id: r for r in latest(read_staged(spark, str(tmp_path / "out"))).collect()}
+    assert sorted(rows) == sorted([*ids, "clock"])
+    assert all(rows[e].status == "complete" and rows[e].samples == ["s"] for e in ids[:1] + ids[10:])
+    assert all(rows[e].failure == "timed out" and rows[e].missing == ["0"] for e in ids[1:10])
+    assert rows["e0"].greedy == rows["e1"].greedy == long and rows["e2"].greedy == "e2"

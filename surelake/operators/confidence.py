@@ -96,8 +96,12 @@ def alignment(tokens: Column, special: list[int], encoded: Column, offsets: Colu
 
 
 def logit_scores(logits: Column, chosen: Column) -> Column:
-    """Struct of entropy (nats) and logprob of the chosen entry of one token's logits."""
-    top = F.array_max(logits)
-    mass = F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
-    entropy = F.aggregate(logits, F.lit(0.0), lambda a, x: a - F.exp(x - top - mass) * (x - top - mass))
-    return F.struct(entropy.alias("entropy"), (F.get(logits, chosen) - top - mass).alias("logprob"))
+    """Struct of entropy (nats) and logprob of the chosen entry of one token's logits. Largest logit and mass are computed once a token, not once an entry."""
+    given = F.struct(logits.alias("v"), F.array_max(logits).alias("top"), chosen.alias("chosen"))
+
+    def scores(z: Column) -> Column:
+        down = lambda a, x: a - F.exp(x - z["z"]["top"] - z["mass"]) * (x - z["z"]["top"] - z["mass"])
+        return F.struct(F.aggregate(z["z"]["v"], F.lit(0.0), down).alias("entropy"), (F.get(z["z"]["v"], z["z"]["chosen"]) - z["z"]["top"] - z["mass"]).alias("logprob"))
+
+    mass = lambda z: F.log(F.aggregate(z["v"], F.lit(0.0), lambda a, x: a + F.exp(x - z["top"])))
+    return bound(given, lambda z: bound(F.struct(z.alias("z"), mass(z).alias("mass")), scores))

@@ -192,3 +192,16 @@ def test_a_parser_that_fails_on_the_prediction_comes_before_a_missing_gold():
     assert grading.grade("7", None, Parser()) == (None, True, False, "missing_gold")
     assert grading.grade("{", None, Parser())[3] == "missing_gold" and grading.grade("{", "{", Parser())[3] == "unparseable_gold"
     assert grading.grade("x < 5", None) == (None, True, False, "missing_gold")
+
+
+def test_logit_scores_of_a_large_vocabulary(spark):
+    import time
+
+    began = time.time()
+    rows = spark.range(2).select(F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: ((i * (F.col("id") + 3)) % 17).cast("double")).alias("l"))
+    found = [r.x for r in rows.select(confidence.logit_scores(F.col("l"), F.lit(3)).alias("x")).collect()]
+    for k, r in enumerate(found):
+        v = [float(i * (k + 3) % 17) for i in range(2000)]
+        mass = math.log(sum(math.exp(x) for x in v))
+        assert r.entropy == pytest.approx(-sum(math.exp(x - mass) * (x - mass) for x in v)) and r.logprob == pytest.approx(v[3] - mass)
+    assert time.time() - began < 60

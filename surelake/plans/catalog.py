@@ -762,7 +762,7 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     samples = F.transform(F.array(*map(F.lit, range(4))), lambda s: F.struct(s.alias("index"), text((k + s * s) % 3).alias("text"), F.array(F.lit(1)).alias("token_ids"), *ends))
     found = records.prediction_records(table, o.select("example_id", greedy.alias("greedy"), samples.alias("samples")), 50, 42, "here")
-    sinks.append_predictions(found, f"{at}/predictions")
+    sinks.append_predictions(found, f"{at}/predictions", "gzip")
     log = checkpoints.read_predictions(spark, f"{at}/predictions")
     rows = validation.violations(log, validation.record_rules(42, 4, 10))
     return _rounded(rows.groupBy("source.dataset").agg(

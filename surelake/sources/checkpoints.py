@@ -96,9 +96,9 @@ def read_export(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
 
 
 def without_duplicates(rows: DataFrame, key: str) -> DataFrame:
-    """The same rows; a key that is there twice stops the query."""
+    """The same rows; a key that is there twice stops the query. Only keys are shuffled: those that are there twice are none, and are broadcast."""
     twice = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("duplicate checkpoint for "), F.col(key))).cast("boolean")).otherwise(F.lit(False)))
-    return rows.join(twice, key, "left_anti")
+    return rows.join(F.broadcast(twice), key, "left_anti")
 
 
 def read_stages(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 ``spark.read.format("lines_log").load(path)`` cuts files into byte ranges, so one large file is read by many tasks; a line
 belongs to the range in which it begins. ``spark.readStream.format("lines_log")`` has the byte behind the last line end of each file as its
 offset. A last line that no line end follows was torn off in writing: it is not read, and a stream reads it once it is whole.
+Files ending in .gz are written once as a whole: each is one range, read by one task, and bytes are counted unpacked.
 """
 
 from __future__ import annotations
@@ -31,9 +32,15 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def packed(file: str) -> bool:
+    return file.endswith(".gz")
+
+
 def whole_end(file: str, room: int = 1 << 16) -> int:
-    """The byte behind a file's last line end; 0 if it has none. Reads backwards from the end as far as it must."""
+    """The byte behind a file's last line end; 0 if it has none. Reads backwards from the end as far as it must. A packed file's size."""
     system, path = opened(file)
+    if packed(file):
+        return system.get_file_info(path).size
     with system.open_input_file(path) as f:
         end = f.size()
         while end:
@@ -70,7 +77,9 @@ class ByteRange(InputPartition):
 
 
 def ranges(file: str, start: int, end: int, size: int) -> list[ByteRange]:
-    return [ByteRange(file, a, min(a + size, end), a == start) for a in range(start, end, size)]
+    if packed(file) and 0 < start < end:
+        raise ValueError(f"{file} is packed and was written to after it was read")
+    return [ByteRange(file, a, min(a + size, end), a == start) for a in range(start, end, max(1, end - start) if packed(file) else size)]
 
 
 def _batch(part: ByteRange, found: list[tuple[int, bytes]], first: int) -> pa.RecordBatch:
@@ -86,23 +95,26 @@ def _batch(part: ByteRange, found: list[tuple[int, bytes]], first: int) -> pa.Re
 def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
     """The range's lines, a few MB at a time; a line may be longer."""
     system, path = opened(part.file)
-    with system.open_input_file(path) as f:
-        if f.size() < part.end:
+    whole = packed(part.file)
+    with system.open_input_stream(path, compression="gzip") if whole else system.open_input_file(path) as f:
+        if not whole and f.size() < part.end:
             raise ValueError(f"{part.file} is shorter than what was read of it")
         at = part.start if part.aligned else part.start - 1
-        f.seek(at)
+        if not whole:
+            f.seek(at)
+        end = float("inf") if whole else part.end
         skip, rest, begin, found, held, first = not part.aligned, [], at, [], 0, 1
-        while begin < part.end or skip:
+        while begin < end or skip:
             chunk = f.read(_CHUNK)
             if not chunk:
                 break  # a line that is not whole; the range's end is never behind one
-            *whole, tail = chunk.split(b"\n")
-            for piece in whole:
+            *lines, tail = chunk.split(b"\n")
+            for piece in lines:
                 line = b"".join([*rest, piece])
                 rest = []
                 if skip:
                     skip = False  # begins in the range before
-                elif begin < part.end:
+                elif begin < end:
                     found.append((begin, line))
                     held += len(line)
                 begin += len(line) + 1

@@ -123,3 +123,31 @@ def test_a_stream_stops_at_a_corrupt_line_and_at_a_file_that_got_shorter(spark,
     with pytest.raises(Exception, match="shorter|corrupt"):
         run()
     assert log_stream(spark, str(folder)).isStreaming
+
+
+def test_records_are_not_shuffled_to_look_for_repeated_keys(spark):
+    from surelake.sources.checkpoints import without_duplicates
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = without_duplicates(spark.range(20).selectExpr("cast(id as string) AS k", "repeat('x', 100) AS body"), "k")
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with pytest.raises(Exception, match="duplicate checkpoint for a"):
+        without_duplicates(spark.createDataFrame([("a",), ("b",), ("a",)], "k string"), "k").collect()
+
+
+def test_packed_files_are_read_whole(spark, tmp_path):
+    import gzip
+
+    rows = [json.dumps({"k": i, "body": "x" * 100}) for i in range(2000)]
+    (tmp_path / "a.json.gz").write_bytes(gzip.compress(("\n".join(rows) + "\n").encode()) + gzip.compress(b"torn"))
+    (tmp_path / "b.json").write_text("plain\n")
+    found = log_lines(spark, str(tmp_path), split_bytes=500).collect()
+    assert sorted(r.value for r in found) == sorted([*rows, "plain"])
+    (tmp_path / "a.json.gz").write_bytes(gzip.compress("\n".join(rows).encode())[:-40])
+    with pytest.raises(Exception):  # noqa: B017
+        log_lines(spark, str(tmp_path)).collect()

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GATE = 0.75
 # The pairs of conditions that are compared.
 COMPARISONS = [("base", "kd_all"), ("base", "kd_gated"), ("base", "kd_oracle"), ("kd_all", "kd_gated"), ("kd_oracle", "kd_gated")]
+_PLACES, _TASK_DRAWS = 1 << 12, 1 << 24  # of a row and of a task, when resamples are drawn place by place
 
 
 def responses(records: DataFrame) -> DataFrame:
@@ -81,18 +83,37 @@ def paired_delta(results: DataFrame, comparisons: list[tuple[str, str]] | None =
     return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def draw(seed: int, n: int) -> Column:
-    """Place in [0, n) of draw ``i`` of ``round``."""
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("i").cast("string")), 256), 1, 12), 16, 10).cast("bigint") % n
+def drawn_sums(spark: SparkSession, seed: int, n: int, rounds: int, sizes: list[list[tuple[int, int]]]) -> DataFrame:
+    """(round, t0, t1, ...): the sums of each round's n draws, one for each list of (value, count) in ascending order.
 
+    Place ``i`` of ``round`` draws the first 48 bits of the SHA-256 of ``seed:round:i``, modulo n, and so the value that a cumulative count
+    has there. A round's places are cut into parts of 4,096; a task hashes a round's head once a part and goes on from there for every place.
+    """
+    parts, tasks = -(-n // _PLACES), max(spark.sparkContext.defaultParallelism, rounds * n // _TASK_DRAWS)
+    names = [f"t{k}" for k in range(len(sizes))]
 
-def drawn_value(place: Column, sizes: list[tuple[int, int]]) -> Column:
-    """The value at a place, from (value, count) in ascending order."""
-    value, reached = F.lit(None), 0
-    for d, c in sizes:
-        reached += c
-        value = F.coalesce(value, F.when(place < reached, F.lit(d)))
-    return value
+    def draw(batches):
+        part, tails = None, []
+        for batch in batches:
+            at = batch.column("id").to_numpy()
+            sums = np.zeros((len(sizes), len(at)))
+            for j, x in enumerate(at.tolist()):
+                own, r = divmod(x, rounds)  # a task's rounds of one part follow each other
+                if own != part:
+                    part, tails = own, [b"%d" % i for i in range(own * _PLACES, min(n, (own + 1) * _PLACES))]
+                head = hashlib.sha256(f"{seed}:{r}:".encode()).copy
+                digests = b"".join([(h := head()).update(i) or h.digest() for i in tails])
+                place = (np.frombuffer(digests, ">u8")[::4] >> np.uint64(16)) % np.uint64(n)
+                for k, values in enumerate(sizes):
+                    reached = below = 0
+                    for d, c in values:
+                        reached, before = reached + c, below
+                        below = np.count_nonzero(place < reached)
+                        sums[k, j] += d * (below - before)
+            yield pa.RecordBatch.from_pydict({"round": pa.array(at % rounds), **dict(zip(names, map(pa.array, sums), strict=True))})
+
+    found = spark.range(0, rounds * parts, 1, tasks).mapInArrow(draw, ", ".join(["round bigint", *(f"{c} double" for c in names)]))
+    return found.groupBy("round").agg(*(F.sum(c).alias(c) for c in names))  # whole numbers, so their order does not matter
 
 
 def comparison_table(results: DataFrame, seed: int, rounds: int = 5000, comparisons: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -110,8 +131,7 @@ def comparison_table(results: DataFrame, seed: int, rounds: int = 5000, comparis
         own = [k for k, s in enumerate(sizes) if sum(c for _, c in s) == n]
         if not n:
             raise ValueError("there is nothing to resample")
-        rows = spark.range(rounds * n).select((F.col("id") / n).cast("bigint").alias("round"), (F.col("id") % n).alias("i")).select("round", draw(seed, n).alias("p"))
-        means = rows.groupBy("round").agg(*((F.sum(drawn_value(F.col("p"), sizes[k])) / n).alias(f"m{k}") for k in own))
+        means = drawn_sums(spark, seed, n, rounds, [sizes[k] for k in own]).select(*((F.col(f"t{j}") / n).alias(f"m{k}") for j, k in enumerate(own)))
         draws = means.agg(*(F.sort_array(F.collect_list(f"m{k}")).alias(f"m{k}") for k in own))  # as many as rounds, which is a parameter
         entry = lambda k: F.struct(
             F.lit(pairs[k][0]).alias("left"), F.lit(pairs[k][1]).alias("right"), F.lit(n).cast("bigint").alias("n"), F.lit(sum(d * c for d, c in sizes[k]) / n).alias("delta"),  # noqa: B023
@@ -133,8 +153,7 @@ def bootstrap(diffs: DataFrame, seed: int, rounds: int = 5000) -> DataFrame:
     if not n:
         raise ValueError("there is nothing to resample")
     spark = diffs.sparkSession
-    drawn = spark.range(rounds * n).select((F.col("id") / n).cast("bigint").alias("round"), (F.col("id") % n).alias("i")).select("round", drawn_value(draw(seed, n), [(r.diff, r.c) for r in sizes]).alias("d"))
-    means = drawn.groupBy("round").agg((F.sum("d") / n).alias("mean"))
+    means = drawn_sums(spark, seed, n, rounds, [[(r.diff, r.c) for r in sizes]]).select((F.col("t0") / n).alias("mean"))
     draws = means.agg(F.sort_array(F.collect_list("mean")).alias("draws"))  # as many as rounds, which is a parameter
     lo, hi = int(0.025 * rounds), max(int(0.975 * rounds) - 1, 0)
     delta = sum(r.diff * r.c for r in sizes) / n

@@ -1,6 +1,7 @@
 """Sources, sinks, validation, training sets and streaming."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -304,6 +305,20 @@ def test_the_table_of_comparisons_is_the_bootstrap_of_each(spark):
     assert {r.n for r in training.comparison_table(fewer, 5, 50).collect()} == {30, 40}
 
 
+def test_a_bootstrap_hashes_parts_of_a_round_and_no_row_for_each_draw(spark):
+    """The draws are the built-in SHA-256 of seed, round and place, over more places than a part has; no row is made for each of them."""
+    rounds, n = 6, 9000
+    sizes = [[(-1, 2000), (0, 4001), (1, 2999)], [(-1, 0), (0, 1), (1, 8999)], [(0.5, 9000)]]
+    place = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit("7"), (F.col("id") / n).cast("bigint").cast("string"), (F.col("id") % n).cast("string")), 256), 1, 12), 16, 10).cast("bigint") % n
+    drawn = np.array([r.p for r in spark.range(rounds * n).select("id", place.alias("p")).orderBy("id").collect()]).reshape(rounds, n)
+    found = sorted(map(tuple, training.drawn_sums(spark, 7, n, rounds, sizes).collect()))
+    assert found == [(r, float((p >= 6001).sum() - (p < 2000).sum()), float((p >= 1).sum()), n / 2) for r, p in enumerate(drawn)]
+    rows = [(i, c, (i * k) % 3 == 0) for i in range(n) for k, c in ((1, "a"), (2, "b"))]
+    table = training.comparison_table(spark.createDataFrame(rows, "example_id bigint, condition string, correct boolean"), 7, rounds, [("a", "b")])
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert int(re.search(r"Range \(0, (\d+),", plan)[1]) == rounds * 3
+
+
 def test_a_bootstrap_by_counts_has_the_interval_of_one_by_rows(spark):
     """Within the error of 2,000 draws, for lopsided and even counts; the work does not grow with n."""
     for lost, won, n in ((30, 60, 400), (0, 9, 200), (5, 5, 50)):

@@ -200,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     picked, totals = samples.balanced(one, "key", "key", "label", max_rows, salt="quality")
     if not picked:
         return train([], totals)
-    few = docs.sparkSession.createDataFrame(picked, "key bigint, label int")  # max_rows at most, so it may be broadcast
+    few = pa.table({"key": pa.array([k for k, _ in picked], pa.int64()), "label": pa.array([y for _, y in picked], pa.int32())})
+    few = docs.sparkSession.createDataFrame(few)  # max_rows at most, so it may be broadcast; a list would start Python workers, which stay beside those that score
     texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).join(F.broadcast(few), "key")
     rows = texts.groupBy("key", "label").agg(F.min("text").alias("text")).collect()
     return train([(r.text or "", r.label) for r in sorted(rows, key=lambda r: r.key)], totals)

@@ -145,3 +145,14 @@ def test_contradicting_labels_teach_nothing(spark):
     both = [(i, 1 - y, 0, "x") for i, y, _, _ in labels]
     table = spark.createDataFrame(labels + both, "doc_id bigint, quality int, toxic int, text string")
     assert {r.score for r in quality_cnn.score(frame(spark, docs), quality_cnn.fit(frame(spark, docs), table)).collect()} == {0.5}
+
+
+def test_fitting_quality_leaves_no_python_workers_behind(spark, monkeypatch):
+    """What was picked goes to the join without a list that executors pickle in Python."""
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "zzz qqq xx ") * 5) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_, **__: pytest.fail("a list was dealt out"))
+    net = quality_cnn.fit(docs, labels)
+    monkeypatch.undo()
+    found = quality_cnn.score(docs, net).collect()
+    assert len(found) == 60 and all(r.predicted == r.doc_id % 2 for r in found)

@@ -114,4 +114,5 @@ def sample_seed(base_seed: int, key: str | Column, index: str | Column) -> Colum
     """The first 63 bits, but for the sign, of sha256(seed, key, index with zero bytes between)."""
     k, i = ((F.col(c) if isinstance(c, str) else c).cast("string") for c in (key, index))
     digest = F.sha2(F.concat(F.lit(f"{base_seed}\0"), k, F.lit("\0"), i), 256)
-    return (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("bigint")
+    unsigned = F.concat(F.translate(F.substring(digest, 1, 1), "89abcdef", "01234567"), F.substring(digest, 2, 15))  # without the first bit
+    return F.conv(unsigned, 16, 10).cast("bigint")

@@ -749,9 +749,12 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     dataset = F.when(k % 3 == 0, "gsm8k").when(k % 3 == 1, "math").otherwise("gsm_plus")
     null, text = F.lit(None).cast("string"), lambda c: F.concat(F.lit("so \\boxed{"), c.cast("string"), F.lit("}"))
-    o = _read(spark, sf_dir, "orders").select("o_orderkey", dataset.alias("dataset"), F.concat_ws(":", dataset, F.lit("c"), F.lit("test"), k.cast("string")).alias("example_id"))
+    orders = _read(spark, sf_dir, "orders")
+    o = orders.select("o_orderkey", F.concat_ws(":", dataset, F.lit("c"), F.lit("test"), k.cast("string")).alias("example_id"))
+    # Dealt and sorted while rows are small, once for both sides of the join by id, in tasks that write a packed file each.
+    o = o.repartition(-(-orders.count() // 16_000) or 1, "example_id").sortWithinPartitions("example_id")
     table = o.select(
-        "example_id", "dataset", F.lit("r").alias("source_revision"), F.lit("c").alias("source_config"), F.lit("test").alias("split"), k.cast("string").alias("source_row_id"), F.concat(F.lit("question "), k.cast("string")).alias("question"),
+        "example_id", dataset.alias("dataset"), F.lit("r").alias("source_revision"), F.lit("c").alias("source_config"), F.lit("test").alias("split"), k.cast("string").alias("source_row_id"), F.concat(F.lit("question "), k.cast("string")).alias("question"),
         F.when(k % 7 != 0, (k % 4).cast("string")).alias("gold_answer"), F.lit("s").alias("gold_solution"), F.when(k % 7 != 0, "parsed").otherwise("unanswerable").alias("gold_status"), null.alias("subject"), null.alias("perturbation_type"), null.alias("seed_question_id"),
     )
     ends = [F.lit(True).alias("eos_generated"), F.lit(False).alias("was_truncated"), F.lit("eos").alias("termination_reason")]
@@ -760,7 +763,7 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         text(k % 5).alias("text"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("token_ids"), F.array(F.lit(0.5), (k % 10) / 10.0, F.lit(9.0)).alias("token_entropies_nats"), F.array(F.lit(-0.5), F.lit(-0.25), F.lit(-9.0)).alias("token_logprobs"),
         spans.alias("token_char_spans"), F.array(F.lit(True), F.lit(True), F.lit(False)).alias("content_token_mask"), F.lit("aligned").alias("token_alignment_status"), *ends,
     )
-    samples = F.transform(F.array(*map(F.lit, range(4))), lambda s: F.struct(s.alias("index"), text((k + s * s) % 3).alias("text"), F.array(F.lit(1)).alias("token_ids"), *ends))
+    samples = F.array(*(F.struct(F.lit(s).alias("index"), text((k + s * s) % 3).alias("text"), F.array(F.lit(1)).alias("token_ids"), *ends) for s in range(4)))
     found = records.prediction_records(table, o.select("example_id", greedy.alias("greedy"), samples.alias("samples")), 50, 42, "here")
     sinks.append_predictions(found, f"{at}/predictions", "gzip")
     log = checkpoints.read_predictions(spark, f"{at}/predictions")

@@ -6,11 +6,10 @@ import csv
 import json
 import os
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surelake.functions import answers, grading, types
+from surelake.functions import answers, grading
 from surelake.operators import confidence
 from surelake.operators.selection import sample_seed
 
@@ -24,7 +23,7 @@ def prediction_records(examples: DataFrame, generations: DataFrame, vocab_size:
     """
     rows = examples.join(generations, "example_id")
     rows = rows.withColumn("span", answers.answer_span("greedy.text"))
-    sample_answers = answer_spans_of(F.transform("samples", lambda s: s["text"]))
+    sample_answers = answers.answer_spans(F.transform("samples", lambda s: s["text"]))
     rows = rows.withColumn("answers", sample_answers)
     values = F.transform("answers", lambda a: a["value"])
     rows = rows.withColumns({"grade": grading.grade_answer(F.col("span.value"), F.col("gold_answer")), "votes": grading.summarize_consistency(F.col("span.value"), values, F.col("gold_answer"))})
@@ -53,17 +52,6 @@ def prediction_records(examples: DataFrame, generations: DataFrame, vocab_size:
     )
 
 
-def answer_spans_of(texts):
-    """answer_span of each text of an array."""
-    kind = types.T.ArrayType(types.struct(answers.SPAN))
-
-    @F.pandas_udf(kind)
-    def spans(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda ts: [dict(zip(("value", "start", "end", "method"), answers.final_answer(t) or (None,) * 4, strict=True)) for t in ts])
-
-    return spans(texts)
-
-
 def compact_rows(records: DataFrame) -> DataFrame:
     """A flat row for each record, scores rounded to 3 digits, ordered by dataset and id."""
     third = F.when(F.col("source.dataset") == "math", F.coalesce(F.nullif(F.col("source.subject"), F.lit("")), F.col("source.config"))).otherwise(F.col("source.perturbation_type"))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,14 +83,18 @@ def ranges(file: str, start: int, end: int, size: int) -> list[ByteRange]:
     return [ByteRange(file, a, min(a + size, end), a == start) for a in range(start, end, max(1, end - start) if packed(file) else size)]
 
 
-def _batch(part: ByteRange, found: list[tuple[int, bytes]], first: int) -> pa.RecordBatch:
+def _batch(part: ByteRange, body: bytes, starts: np.ndarray, begin: int, first: int) -> pa.RecordBatch:
+    """The lines of a body that ends with one, from where they start in it; the body begins at byte ``begin``."""
+    n = len(starts)
+    text = body[starts[0] :].replace(b"\n", b"")
+    ends = np.append(starts - starts[0] - np.arange(n), len(text)).astype(np.int32)
+    lines = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(text)])
     try:
-        values = pa.array([b for _, b in found], pa.binary()).cast(pa.string())
+        values = lines.cast(pa.string())
     except pa.ArrowInvalid:
-        bad = next(i for i, (_, b) in enumerate(found) if b.decode("utf-8", "replace").encode() != b)
+        bad = next(i for i, b in enumerate(lines.to_pylist()) if b.decode("utf-8", "replace").encode() != b)
         raise ValueError(f"line {first + bad} after byte {part.start} of {part.file} is not UTF-8") from None
-    n = len(found)
-    return pa.RecordBatch.from_arrays([values, pa.array([part.file] * n, pa.string()), pa.array([a for a, _ in found], pa.int64()), pa.array([part.start] * n, pa.int64()), pa.array(range(first, first + n), pa.int64())], names=["value", "file", "byte", "range", "line"])
+    return pa.RecordBatch.from_arrays([values, pa.repeat(part.file, n), pa.array(starts + begin), pa.repeat(pa.scalar(part.start, pa.int64()), n), pa.array(np.arange(first, first + n))], names=["value", "file", "byte", "range", "line"])
 
 
 def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -103,27 +108,24 @@ def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
         if not whole:
             f.seek(at)
         end = float("inf") if whole else part.end
-        skip, rest, begin, found, held, first = not part.aligned, [], at, [], 0, 1
+        skip, rest, begin, first = not part.aligned, [], at, 1
         while begin < end or skip:
             chunk = f.read(_CHUNK)
             if not chunk:
                 break  # a line that is not whole; the range's end is never behind one
-            *lines, tail = chunk.split(b"\n")
-            for piece in lines:
-                line = b"".join([*rest, piece])
-                rest = []
-                if skip:
-                    skip = False  # begins in the range before
-                elif begin < end:
-                    found.append((begin, line))
-                    held += len(line)
-                begin += len(line) + 1
-            rest.append(tail)
-            if held > _CHUNK:
-                yield _batch(part, found, first)
-                first, found, held = first + len(found), [], 0
-        if found:
-            yield _batch(part, found, first)
+            cut = chunk.rfind(b"\n") + 1
+            if not cut:
+                rest.append(chunk)
+                continue
+            body = b"".join([*rest, chunk[:cut]])
+            rest = [chunk[cut:]]
+            starts = np.flatnonzero(np.frombuffer(body, np.uint8) == 10) + 1  # of the next line each
+            starts = np.concatenate([[0], starts])[int(skip) :]  # with skip, the first line begins in the range before
+            skip = False
+            many = int((starts[:-1] + begin < end).sum())
+            if many:
+                yield _batch(part, body[: starts[many]], starts[:many], begin, first)
+            first, begin = first + many, begin + len(body)
 
 
 class _Reader(DataSourceReader):
@@ -204,6 +206,11 @@ def place() -> Column:
     return F.concat(F.lit("line "), F.col("line").cast("string"), F.when(F.col("range") > 0, F.concat(F.lit(" after byte "), F.col("range").cast("string"))).otherwise(""), F.lit(" of "), F.col("file"))
 
 
+def once(value: Column) -> Column:
+    """The value, computed once a row: Spark copies an expression into every filter and column that names it, but none out of a generator."""
+    return F.explode(F.array(value))
+
+
 def parsed(lines: DataFrame, schema: str, complete: Column | None = None, blank: bool = False) -> DataFrame:
     """The lines as JSON objects of a schema, strictly: a corrupt line stops the query, and so does one that is not ``complete``; the error names line and file.
 
@@ -211,8 +218,9 @@ def parsed(lines: DataFrame, schema: str, complete: Column | None = None, blank:
     """
     if blank:
         lines = lines.where(F.length(F.trim("value")) > 0)
-    rows = lines.select(place().alias("__at"), F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"))
+    rows = lines.select("file", "range", "line", once(F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})).alias("r"))
     stop = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), F.col("__at"))).cast("boolean")
+    rows = rows.select(place().alias("__at"), "r")
     fine = F.when(F.col(f"r.{_BAD}").isNotNull() | F.col("r").isNull(), stop("a checkpoint row is corrupt")).otherwise(F.lit(True))
     rows = rows.where(fine).select("__at", "r.*").drop(_BAD)
     if complete is not None:

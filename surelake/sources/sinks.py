@@ -77,8 +77,9 @@ def append_predictions(records: DataFrame, folder: str, compression: str = "none
     """Adds complete predictions to a log, a folder of JSON lines, columns in the order of their names; one that is not complete stops the query. ``compression``: none or gzip, as the log's reader knows; packed files are of 20,000 records at most, as one task reads a whole one."""
     from surelake.sources.checkpoints import is_complete
 
-    fine = F.when(F.coalesce(is_complete(), F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("only complete predictions can be appended")).cast("boolean"))
-    records.where(fine).select(*sorted(records.columns)).write.mode("append").option("ignoreNullFields", "false").option("compression", compression).option("maxRecordsPerFile", 0 if compression == "none" else 20_000).json(folder)
+    # As a column, not a filter: Spark would copy what makes greedy and samples into a filter.
+    status = F.when(F.coalesce(is_complete(), F.lit(False)), F.col("status")).otherwise(F.raise_error(F.lit("only complete predictions can be appended")).cast("string"))
+    records.withColumn("status", status).select(*sorted(records.columns)).write.mode("append").option("ignoreNullFields", "false").option("compression", compression).option("maxRecordsPerFile", 0 if compression == "none" else 20_000).json(folder)
 
 
 def append_record(path: str, record: dict) -> None:

@@ -205,3 +205,25 @@ def test_logit_scores_of_a_large_vocabulary(spark):
         mass = math.log(sum(math.exp(x) for x in v))
         assert r.entropy == pytest.approx(-sum(math.exp(x - mass) * (x - mass) for x in v)) and r.logprob == pytest.approx(v[3] - mass)
     assert time.time() - began < 60
+
+
+def test_equal_arguments_are_worked_on_once_a_batch(spark):
+    import pyarrow as pa
+
+    from surelake.functions import types
+
+    seen = []
+
+    def work(a, b):
+        seen.append((a, b))
+        return a, None if b is None else len(b)
+
+    texts = pa.array(["x", None, "", "x", "y", None])[1:]
+    lists = pa.array([["q"], None, [], ["p", None], ["pN"], None])[1:]
+    want = [(None, None), ("", 0), ("x", 2), ("y", 1), (None, None)]
+    found = types.by_distinct("a string, n int", work, pa.concat_arrays([texts, texts]), pa.concat_arrays([lists, lists]))
+    assert [(r["a"], r["n"]) for r in found.to_pylist()] == want * 2 and len(seen) == 4
+    assert types.by_distinct("a string, n int", work, texts, lists).to_pylist() == found.to_pylist()[:5]
+    assert len(types.by_distinct("a string, n int", work, texts[:0], lists[:0])) == 0
+    rows = spark.createDataFrame([(["\\boxed{1}", None, "x"],), (None,), ([],), (["answer: 2"],)], "t array<string>").coalesce(1)
+    assert [None if r.s is None else [(a.value, a.start, a.method) for a in r.s] for r in rows.select(answers.answer_spans("t").alias("s")).collect()] == [[("1", 7, "boxed"), (None, None, None), (None, None, None)], None, [], [("2", 8, "answer_label")]]

@@ -151,3 +151,14 @@ def test_packed_files_are_read_whole(spark, tmp_path):
     (tmp_path / "a.json.gz").write_bytes(gzip.compress("\n".join(rows).encode())[:-40])
     with pytest.raises(Exception):  # noqa: B017
         log_lines(spark, str(tmp_path)).collect()
+
+
+def test_a_line_is_parsed_once_and_for_its_key_alone(spark, tmp_path):
+    from surelake.sources.checkpoints import PREDICTION, is_complete
+
+    (tmp_path / "a.jsonl").write_bytes(body(record(i) for i in range(3)))
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    rows = parsed(log_lines(spark, str(tmp_path)), PREDICTION, is_complete()).where("greedy.text IS NOT NULL AND length(example_id) > 1")
+    assert plan(rows).count("from_json(") == 1 and rows.count() == 3
+    whole = plan(read_predictions(spark, str(tmp_path)))
+    assert whole.count("from_json(") == 2 and whole.count("from_json(StructField(example_id,StringType,true), value") == 1
